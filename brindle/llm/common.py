@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch: whole texts travel in them, so batches stay small.
-BATCH_ROWS = 512
+BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -56,7 +56,8 @@ def clear_scratch(spark: SparkSession) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the rows of Arrow batches for this session: whole texts travel in them."""
+    """Bound the rows and bytes of Arrow batches for this session: whole texts travel in them."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
