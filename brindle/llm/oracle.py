@@ -36,7 +36,17 @@ FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, v
 WHERE rank <= 5
 """
 
+OP3 = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+g AS (SELECT d, max(page_id) AS response FROM p WHERE n >= 1000 AND page_id IS NOT NULL GROUP BY d)
+SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest,
+       CASE WHEN n >= 1000 AND page_id <> response THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id <> response THEN response END AS refers_to
+FROM p LEFT JOIN g USING (d)
+"""
+
 ORACLES: dict[str, str] = {
     "op1_topk": OP1,
+    "op3_warc": OP3,
     "op10_decontamination": OP10,
 }

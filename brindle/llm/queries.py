@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, pieces, topk
+from . import decontam, pieces, topk, warc
 from .oracle import ORACLES  # noqa: F401
 
 
@@ -26,6 +26,11 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5, scale=256.0)
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.round_trip(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"), piece_model())
 
@@ -37,6 +42,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
+    "op3_warc": op3_warc,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_decontamination": op10_decontamination,
 }
\ No newline at end of file
