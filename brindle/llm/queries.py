@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontam, pieces, topk, warc
+from . import decontam, pieces, topk, toxicity, warc
 from .oracle import ORACLES  # noqa: F401
 
 
@@ -31,6 +32,13 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = toxicity.learn(documents, table(spark, sf_dir, "labels"))
+    found = toxicity.score(documents, model, threshold=0.7, evidence=False)
+    return found.select("doc_id", toxicity.is_held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"), piece_model())
 
@@ -43,6 +51,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
     "op3_warc": op3_warc,
+    "op5_toxicity": op5_toxicity,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_decontamination": op10_decontamination,
 }
\ No newline at end of file
