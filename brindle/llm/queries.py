@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, pieces, topk, toxicity, warc
+from . import decontam, pieces, pii, topk, toxicity, warc
 from .oracle import ORACLES  # noqa: F401
 
 
@@ -32,6 +32,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.sanitised_spans(table(spark, sf_dir, "documents")))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     model = toxicity.learn(documents, table(spark, sf_dir, "labels"))
@@ -51,6 +55,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
     "op3_warc": op3_warc,
+    "op4_pii": op4_pii,
     "op5_toxicity": op5_toxicity,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_decontamination": op10_decontamination,
