@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, pieces, pii, topk, toxicity, warc
+from . import decontam, html, pieces, pii, topk, toxicity, warc
 from .oracle import ORACLES  # noqa: F401
 
 
@@ -43,6 +43,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", toxicity.is_held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"), piece_model())
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc": op3_warc,
     "op4_pii": op4_pii,
     "op5_toxicity": op5_toxicity,
+    "op8_html": op8_html,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_decontamination": op10_decontamination,
 }
\ No newline at end of file
