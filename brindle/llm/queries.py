@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html, pieces, pii, topk, toxicity, warc
+from . import decontam, html, neardup, pieces, pii, topk, toxicity, warc
 from .oracle import ORACLES  # noqa: F401
 
 
@@ -27,6 +27,11 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5, scale=256.0)
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.grouped(table(spark, sf_dir, "documents"), neardup.Join(words=4, percent=80))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.round_trip(table(spark, sf_dir, "pages"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -58,6 +63,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
+    "op2_minhash": op2_minhash,
     "op3_warc": op3_warc,
     "op4_pii": op4_pii,
     "op5_toxicity": op5_toxicity,
