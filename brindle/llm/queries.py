@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html, neardup, pieces, pii, topk, toxicity, warc
+from . import decontam, html, langid, neardup, pieces, pii, topk, toxicity, warc
 from .oracle import ORACLES  # noqa: F401
 
 
@@ -48,6 +48,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", toxicity.is_held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc": op3_warc,
     "op4_pii": op4_pii,
     "op5_toxicity": op5_toxicity,
+    "op6_langid": op6_langid,
     "op8_html": op8_html,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_decontamination": op10_decontamination,
