@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html, langid, neardup, pieces, pii, topk, toxicity, warc
+from . import chat, decontam, html, langid, neardup, pieces, pii, topk, toxicity, warc
 from .oracle import ORACLES  # noqa: F401
 
 
@@ -52,6 +52,11 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chat.repair(table(spark, sf_dir, "conversations"))
+    return found.select("conv_id", "turn", "role", "new_role", "action", "inserted", "inserted_after", F.sha2("part", 256).alias("part_sha256"))
+
+
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
@@ -72,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_pii": op4_pii,
     "op5_toxicity": op5_toxicity,
     "op6_langid": op6_langid,
+    "op7_chat": op7_chat,
     "op8_html": op8_html,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_decontamination": op10_decontamination,
