@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch: whole texts travel in them, so batches stay small.
@@ -67,6 +67,21 @@ def own_columns(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{theirs}`").alias(ours) for ours, theirs in columns.items()])
 
 
+#: Keys that are sent to every executor at most; with more, tables are joined by a shuffle.
+SENT_KEYS = 1_000_000
+
+
+def row_key(id_column: str = "doc_id", text_column: str = "text") -> Column:
+    """Tells rows apart; rows that are equal in id and text share a key."""
+    return F.xxhash64(F.col(f"`{id_column}`"), F.coalesce(F.col(f"`{text_column}`"), F.lit("")))
+
+
+def sent(keys: DataFrame, name: str) -> DataFrame:
+    """Distinct keys, written, and broadcast if they are at most `SENT_KEYS`."""
+    keys = written(keys.distinct(), name)
+    return F.broadcast(keys) if keys.count() <= SENT_KEYS else keys
+
+
 def mapped(df: DataFrame, rows, schema: str) -> DataFrame:
     """mapInArrow with a function from an iterator of batches to an iterator of column lists.
 

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, mapped, own_columns, small_batches, words_of, written
+from .common import as_bytes, mapped, own_columns, row_key, sent, small_batches, words_of, written
 
 #: Positions between two documents of a shard; a phrase and its slop are shorter.
 GAP = 64
@@ -260,6 +260,13 @@ def decontaminate(documents: DataFrame, tests: DataFrame, window: int = 10, slop
     return search(written(build_index(documents, held), "postings"), tests, window, slop)
 
 
+def cleaned(documents: DataFrame, tests: DataFrame, window: int = 10, slop: int = 0, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The documents without a word in an occurrence of a test's window; all columns stay."""
+    marked = documents.withColumn("_row", row_key(id_column, text_column))
+    found = decontaminate(marked.select(F.col("_row").alias("doc_id"), F.col(f"`{text_column}`").alias("text")), tests, window, slop)
+    return marked.join(sent(found.where("contaminated").select(F.col("doc_id").alias("_row")), "contaminated"), "_row", "left_anti").drop("_row")
+
+
 def digest_items(df: DataFrame) -> DataFrame:
     """Items as their number and the digest of their ids joined by commas."""
     return df.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")

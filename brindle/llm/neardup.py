@@ -21,10 +21,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, as_bytes, mapped, small_batches, written
+from .common import LOWER, as_bytes, mapped, row_key, sent, small_batches, written
 from .components import components
 
 #: Minwise tokens in a class's pool; the first trees * branches of them make the first level.
@@ -34,8 +34,6 @@ _XOR = _RANDOM.integers(0, 2**64, POOL, dtype=np.uint64)
 _ODD = _RANDOM.integers(0, 2**64, POOL, dtype=np.uint64) | np.uint64(1)
 #: Agreements of two sketches from which sets are compared: pairs at 0.8 have 51 of 64 on average; 2 in 10^8 have fewer.
 LEAST_AGREEING = 32
-#: Classes whose texts are named to the executors at most; with more, texts are joined by a shuffle.
-NAMED = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -83,10 +81,6 @@ def minwise(hashes: np.ndarray) -> np.ndarray:
     return (best >> np.uint64(32)).astype("<u4")
 
 
-def row_key(id_column: str, text_column: str) -> Column:
-    return F.xxhash64(F.col(f"`{id_column}`"), F.coalesce(F.col(f"`{text_column}`"), F.lit("")))
-
-
 def sets(documents: DataFrame, join: Join, id_column: str, text_column: str) -> DataFrame:
     """doc_id, row, n (set size), digest of the set, its minwise tokens and a byte of each (null for an empty set)."""
     small_batches(documents.sparkSession)
@@ -170,8 +164,7 @@ def confirmed(pairs: DataFrame, classes: DataFrame, documents: DataFrame, join:
     """The pairs (a, b) of classes whose full sets have the similarity."""
     pairs = written(pairs.distinct(), "pairs")
     ids = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct().join(classes.select("cid", "row"), "cid")
-    ids = written(ids, "named")
-    named = F.broadcast(ids) if ids.count() <= NAMED else ids
+    named = sent(ids, "named")
     texts = documents.select(row_key(id_column, text_column).alias("row"), F.col(f"`{text_column}`").cast("binary").alias("text"))
     texts = written(texts.join(named, "row").groupBy("cid").agg(F.first("text").alias("text")), "texts")
     both = pairs.join(texts.select(F.col("cid").alias("b"), F.col("text").alias("text_b")), "b")
@@ -277,9 +270,10 @@ def deduplicated(documents: DataFrame, join: Join = Join(), id_column: str = "do
 
     Of rows that repeat both id and text one stays; of rows that repeat an id alone, those of their groups.
     """
-    kept = grouped(documents, join, id_column, text_column).where("kept").select(F.col("row").alias("_row")).distinct()
+    kept = grouped(documents, join, id_column, text_column).where("kept").groupBy(F.col("row").alias("_row")).agg(F.count("*").alias("_times"))
+    kept = written(kept, "kept")
     marked = documents.withColumn("_row", row_key(id_column, text_column))
     named = marked.where(F.col(f"`{id_column}`").isNotNull())
-    few = F.broadcast(kept) if kept.count() <= NAMED else kept
-    named = named.join(few, "_row", "left_semi").dropDuplicates(["_row"])
-    return named.unionByName(marked.where(F.col(f"`{id_column}`").isNull())).drop("_row")
+    once = named.join(sent(kept.where("_times = 1").select("_row"), "once"), "_row", "left_semi")
+    again = named.join(sent(kept.where("_times > 1").select("_row"), "again"), "_row", "left_semi").dropDuplicates(["_row"])
+    return once.unionByName(again).unionByName(marked.where(F.col(f"`{id_column}`").isNull())).drop("_row")

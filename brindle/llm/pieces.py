@@ -217,7 +217,7 @@ class _Texts(dict):
 
 def _run(df: DataFrame, model_path: str, id_column: str, text_column: str, columns: str, fold) -> DataFrame:
     small_batches(df.sparkSession)
-    kind = dict(df.dtypes)[id_column]
+    kind = df.schema[id_column].dataType.simpleString()
 
     def rows(batches) -> Iterator[list]:
         encoder = Encoder(Pieces(model_path))

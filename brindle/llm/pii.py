@@ -13,10 +13,11 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, as_bytes, mapped, own_columns, small_batches, words_of, written
+from .common import LOWER, as_bytes, mapped, own_columns, row_key, small_batches, words_of, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: Characters of an address before its sign, and the pattern after it.
@@ -98,11 +99,6 @@ def near_terms(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[str,
     return out
 
 
-def row_key(id_column: str, text_column: str) -> Column:
-    """Tells rows apart; rows that are equal in id and text share what is found in them."""
-    return F.xxhash64(F.col(f"`{id_column}`"), F.coalesce(F.col(f"`{text_column}`"), F.lit("")))
-
-
 def detect(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Base spans of every whole text and the words near them: doc_id, row, spans, near.
 
@@ -215,16 +211,15 @@ def sanitised(documents: DataFrame, thresholds: Thresholds = Thresholds(), id_co
     # rows of one key have the same id and text, so one of them tells the spans of all
     spans = spans.groupBy("row").agg(F.max("spans").alias("_spans")).withColumnRenamed("row", "_row")
     marked = documents.withColumn("_row", row_key(id_column, text_column)).join(spans, "_row", "left").drop("_row")
-    replaced = F.when(F.col("_spans").isNull(), F.col(f"`{text_column}`")).otherwise(_replace(F.col(f"`{text_column}`"), F.col("_spans")))
-    return marked.withColumn(text_column, replaced).drop("_spans")
-
+    at, schema = marked.columns.index(text_column), documents.schema
 
-def _replace(text: Column, spans: Column) -> Column:
-    """`sanitise` on a column of texts."""
-    import pandas as pd
-
-    @F.pandas_udf("string")
-    def replace(texts: pd.Series, found: pd.Series) -> pd.Series:
-        return pd.Series([t if t is None or s is None else sanitise(t, [(x["start"], x["end"], x["kind"]) for x in s]) for t, s in zip(texts, found, strict=True)], dtype=object)
-
-    return replace(text, spans)
+    def rows(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = batch.column(batch.num_columns - 1).to_pylist()
+            columns = batch.columns[:-1]
+            if any(spans):
+                texts = [t if t is None or not s else sanitise(t, [(x["start"], x["end"], x["kind"]) for x in s]) for t, s in zip(columns[at].to_pylist(), spans, strict=True)]
+                columns[at] = pa.array(texts, columns[at].type)
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
+
+    return marked.mapInArrow(rows, schema)

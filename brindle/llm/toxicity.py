@@ -17,6 +17,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -237,3 +238,18 @@ def score(documents: DataFrame, model: Model, threshold: float = 0.7, evidence:
 
     schema = f"doc_id {kind}, score double, predicted int" + ", evidence array<struct<doc_id: string, label: int, cosine: double>>" * evidence
     return mapped(own_columns(documents, doc_id="doc_id", text="text"), rows, schema)
+
+
+def accepted(documents: DataFrame, model: Model, threshold: float = 0.7, text_column: str = "text") -> DataFrame:
+    """The documents whose score stays below the threshold; all columns stay."""
+    small_batches(documents.sparkSession)
+    given = documents.sparkSession.sparkContext.broadcast(model)
+    at = documents.columns.index(text_column)
+
+    def rows(batches) -> Iterator:
+        model, memory = given.value, {}
+        for batch in batches:
+            raw = (model.raw(model.neighbours(*model.vector(term_counts(t), memory))) for t in as_bytes(batch.column(at)))
+            yield batch.filter(pa.array([model.calibrated(r) < threshold for r in raw], pa.bool_()))
+
+    return documents.mapInArrow(rows, documents.schema)
