@@ -1,3 +1,207 @@
-"""The same queries in SQL."""
+"""The same queries in DuckDB's SQL, written for themselves: nothing of the Spark plans is used."""
 
-ORACLES = {}
+from __future__ import annotations
+
+from ..operators.sanitize import SENSITIVE, TOPICS
+
+BITS = (128, 256, 512, 1024)
+TEXT, OTHER = "BRAZIL supplier", "AUTOMOBILE part"
+
+NODES = """
+nodes AS (
+  SELECT 'region:' || r_regionkey AS id, 'region' AS type, r_name AS text FROM region
+  UNION ALL SELECT 'nation:' || n_nationkey, 'nation', n_name FROM nation
+  UNION ALL SELECT 'supplier:' || s_suppkey, 'supplier', s_name FROM supplier
+  UNION ALL SELECT 'customer:' || c_custkey, 'customer', concat_ws(' ', nullif(c_name, ''), nullif(c_mktsegment, '')) FROM customer
+  UNION ALL SELECT 'part:' || p_partkey, 'part', concat_ws(' ', nullif(p_name, ''), nullif(p_type, ''), nullif(p_brand[:100], '')) FROM part)
+"""
+EDGES = """
+edges AS (
+  SELECT source, target, type, source || '|' || target || '|' || type AS edge_seq FROM (
+    SELECT 'nation:' || n_nationkey AS source, 'region:' || n_regionkey AS target, 'in_region' AS type FROM nation
+    UNION ALL SELECT 'supplier:' || s_suppkey, 'nation:' || s_nationkey, 'based_in' FROM supplier
+    UNION ALL SELECT 'customer:' || c_custkey, 'nation:' || c_nationkey, 'lives_in' FROM customer
+    UNION ALL SELECT DISTINCT 'supplier:' || l_suppkey, 'part:' || l_partkey, 'supplies' FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 49)),
+ends AS (SELECT source AS id, target AS nbr FROM edges UNION ALL SELECT target, source FROM edges),
+truth AS (SELECT DISTINCT id, nbr FROM ends)
+"""
+ELIGIBLE = "eligible AS (SELECT id AS query_id, count(*) AS n_true FROM truth JOIN nodes USING (id) GROUP BY id HAVING count(*) >= 2)"
+DIGEST = "('0x' || substr(sha256({text}), {at}, 16))::UBIGINT"
+
+
+def samples(seeds: int, n: int) -> str:
+    return f"""
+picks AS (
+  SELECT seed::INTEGER AS seed, query_id, n_true FROM (
+    SELECT seed, query_id, n_true, row_number() OVER (PARTITION BY seed ORDER BY sha256(seed || ':' || query_id), query_id) AS place FROM eligible, range({seeds}) t(seed))
+  WHERE place <= {n})"""
+
+
+def digest(text: str, j: int) -> str:
+    return DIGEST.format(text=text, at=49 - 16 * j)
+
+
+def simhash(source: str, name: str) -> str:
+    """CTEs: `name` has id and four unsigned limbs of a table (id, text)."""
+    each = ", ".join(f"{digest('s || w', j)} AS u{j}" for j in range(4))
+    sums = ", ".join(f"(sum(n * ((u{j} >> {b}) & 1)) * 2 > sum(n))::INTEGER AS b{j}_{b}" for j in range(4) for b in range(64))
+    limbs = ", ".join(" + ".join(f"coalesce(b{j}_{b}, 0)::UBIGINT * {1 << b}::UBIGINT" for b in range(64)) + f" AS u{j}" for j in range(4))
+    return rf"""
+{name}_words AS (SELECT id, w, count(*) AS n FROM (SELECT id, unnest(regexp_split_to_array(lower(text), '\s+')) AS w FROM {source}) WHERE w <> '' GROUP BY ALL),
+{name}_hashes AS (SELECT id, n, {each} FROM {name}_words, (VALUES ('h1'), ('h2'), ('h3'), ('h4')) seeds(s)),
+{name}_bits AS (SELECT id, {sums} FROM {name}_hashes GROUP BY id),
+{name} AS (SELECT id, {limbs} FROM (SELECT id FROM {source}) LEFT JOIN {name}_bits USING (id))"""
+
+
+def topology() -> str:
+    sums = ", ".join(f"((sum(weight * ((u{j} >> {b}) & 1)) * 2) >= sum(one) + 2)::INTEGER AS b{j}_{b}" for j in range(4) for b in range(64))
+    limbs = ", ".join(" + ".join(f"b{j}_{b}::UBIGINT * {1 << b}::UBIGINT" for b in range(64)) + f" AS u{j}" for j in range(4))
+    return f"""
+votes AS (
+  SELECT id, 2 AS weight, 0 AS one, u0, u1, u2, u3 FROM content
+  UNION ALL SELECT e.id, 1, 1, u0, u1, u2, u3 FROM ends e JOIN content c ON c.id = e.nbr),
+address_bits AS (SELECT id, {sums} FROM votes GROUP BY id),
+address AS (SELECT id, {limbs} FROM address_bits)"""
+
+
+SIGNED = ", ".join(f"(u{j}::BIT)::BIGINT AS l{j}" for j in range(4))
+CONTENT = f"{NODES.strip()}, {simhash('nodes', 'content')}"
+GRAPH = f"{NODES.strip()}, {EDGES}"
+ADDRESS = f"{GRAPH}, {simhash('nodes', 'content')}, {topology()}"
+
+
+def hamming(a: str, b: str, limbs=range(4)) -> str:
+    return " + ".join(f"bit_count(xor({a}u{j}, {b}u{j}))::INTEGER" for j in limbs)
+
+
+def of_text(text: str, name: str) -> str:
+    return f"{name}_t AS (SELECT 'q' AS id, '{text}' AS text), {simhash(f'{name}_t', name)}"
+
+
+def scores(index: str, queries: str, name: str, dist: str | None = None) -> str:
+    return f"""
+{name}_ranked AS (
+  SELECT q.query_id, a.id, row_number() OVER (PARTITION BY q.query_id ORDER BY {dist or hamming('a.', 'b.')}, a.id) AS rank
+  FROM (SELECT DISTINCT query_id FROM {queries}) q JOIN {index} b ON b.id = q.query_id JOIN {index} a ON a.id <> q.query_id),
+{name} AS (
+  SELECT q.query_id, coalesce(1.0 / min(rank) FILTER (t.nbr IS NOT NULL), 0.0) AS rr,
+         count(*) FILTER (t.nbr IS NOT NULL AND rank <= 5) / any_value(n_true) AS recall
+  FROM {name}_ranked q LEFT JOIN truth t ON t.id = q.query_id AND t.nbr = q.id JOIN eligible e ON e.query_id = q.query_id GROUP BY q.query_id)"""
+
+
+MULTISEED = f"""
+WITH {ADDRESS}, {ELIGIBLE}, {samples(10, 50)}, {scores('content', 'picks', 'by_content')}, {scores('address', 'picks', 'by_topology')},
+seeds AS (
+  SELECT seed, 'content' AS method, round(avg(rr), 9) AS mrr, round(avg(recall), 9) AS recall_5 FROM picks JOIN by_content USING (query_id) GROUP BY seed
+  UNION ALL SELECT seed, 'topology', round(avg(rr), 9), round(avg(recall), 9) FROM picks JOIN by_topology USING (query_id) GROUP BY seed)
+"""
+
+
+def width(b: int) -> str:
+    n = -(-b // 64)
+    return "lower(" + " || ".join(f"lpad(to_hex(u{j % 4}), 16, '0')" for j in reversed(range(n))) + ")"
+
+
+def hops(n: int) -> str:
+    """Nodes within n hops of one seed's queries, with their distance."""
+    out = "reach0 AS (SELECT query_id, query_id AS node, 0 AS dist FROM picks)"
+    for k in range(1, n + 1):
+        out += f", reach{k} AS (SELECT query_id, node, min(dist) AS dist FROM (SELECT * FROM reach{k - 1} UNION ALL SELECT query_id, nbr, {k} FROM reach{k - 1} JOIN truth ON id = node) GROUP BY ALL)"
+    return out + f", sub AS (SELECT query_id, node, dist FROM reach{n})"
+
+
+def ranking(column: str, order: str) -> str:
+    return f"SELECT query_id, node, {column} AS score, (row_number() OVER (PARTITION BY query_id ORDER BY {order}, node))::INTEGER AS rank FROM scored WHERE node <> query_id"
+
+
+EGO = f"{GRAPH}, {ELIGIBLE}, {samples(1, 20)}"
+INSIDE = "inside AS (SELECT a.query_id, e.source, e.target FROM edges e JOIN sub a ON a.node = e.source JOIN sub b ON b.node = e.target AND b.query_id = a.query_id)"
+PRIVATE = """
+private AS (
+  SELECT 'supplier:' || s_suppkey AS id, 'spec' AS type, s_name || '—x' AS label,
+         CASE WHEN s_nationkey % 3 = 0 THEN 'quantum_biology_H' || (s_nationkey + 1) END AS chain,
+         CASE WHEN s_nationkey % 2 = 0 THEN 'active' ELSE 'unheard' END AS status, CASE WHEN s_acctbal > 0 THEN 'title' END AS title FROM supplier
+  UNION ALL SELECT 'customer:' || c_custkey, NULL, '', NULL, NULL, '' FROM customer)
+"""
+TOPIC = "CASE chain " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in TOPICS.items()) + " END"
+SANITIZED = f"""{PRIVATE}, clean AS (
+  SELECT id, coalesce(type, 'unknown') AS type,
+         coalesce({TOPIC}, CASE WHEN label <> '' AND label <> id THEN replace(label, '—', '-')[:80] END, id) AS label,
+         coalesce(status, '') AS status, CASE WHEN {TOPIC} IS NOT NULL THEN chain END AS cluster FROM private)"""
+PAGERANK = f"""
+WITH RECURSIVE {EGO}, {hops(1)}, {INSIDE},
+step AS (SELECT DISTINCT query_id, a, b FROM (SELECT query_id, source AS a, target AS b FROM inside UNION ALL SELECT query_id, target, source FROM inside)),
+sums AS (SELECT query_id, a, count(*) AS n FROM step GROUP BY ALL),
+walk AS (
+  SELECT query_id, node, 0 AS k, CASE WHEN node = query_id THEN 1.0::DOUBLE ELSE 0.0 END AS p FROM sub
+  UNION ALL
+  SELECT s.query_id, s.node, w.k, 0.85 * coalesce(w.p, 0) + CASE WHEN s.node = s.query_id THEN 0.15 ELSE 0 END
+  FROM sub s JOIN (
+    SELECT x.query_id, x.node, any_value(y.k) + 1 AS k, sum(CASE WHEN t.b IS NOT NULL THEN y.p / n ELSE 0 END) AS p
+    FROM sub x JOIN walk y ON y.query_id = x.query_id LEFT JOIN step t ON t.query_id = x.query_id AND t.b = x.node AND t.a = y.node
+    LEFT JOIN sums u ON u.query_id = y.query_id AND u.a = y.node GROUP BY x.query_id, x.node) w
+  ON w.query_id = s.query_id AND w.node = s.node WHERE w.k <= 50)
+SELECT query_id, node, round(p, 9) AS pagerank FROM walk WHERE k = 50
+"""
+SIM = """
+WITH v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+n AS (SELECT id, list_transform(v, lambda x: x / CASE WHEN list_inner_product(v, v) = 0 THEN 1 ELSE sqrt(list_inner_product(v, v)) END) AS v FROM v),
+sims AS (SELECT a.id AS query_id, b.id, round(list_inner_product(a.v, b.v), 9) AS sim FROM n a JOIN n b ON a.id <> b.id WHERE a.id % 50 = 0)
+SELECT * FROM (SELECT query_id, id, sim, (row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id))::INTEGER AS rank FROM sims) WHERE rank <= 10
+"""
+
+ORACLES: dict[str, str] = {
+    "kg_nodes": f"WITH {NODES} SELECT id, type, text FROM nodes",
+    "kg_edges": f"WITH {EDGES} SELECT * FROM edges",
+    "node_texts": rf"WITH {NODES} SELECT id, coalesce(nullif(text, ''), '(empty)') AS text, len(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> ''))::INTEGER AS n_tokens FROM nodes",
+    "undirected_degree": f"WITH {EDGES} SELECT id, count(*) AS degree, count(DISTINCT nbr) AS n_true FROM ends GROUP BY id",
+    "truth_neighbors": f"WITH {EDGES} SELECT id, nbr FROM truth",
+    "eligible_queries": f"WITH {GRAPH}, {ELIGIBLE} SELECT * FROM eligible",
+    "sample_queries": f"WITH {GRAPH}, {ELIGIBLE}, {samples(10, 50)} SELECT * FROM picks",
+    "digest_baseline": f"WITH {NODES} SELECT id, " + ", ".join(f"({digest('text', j)}::BIT)::BIGINT AS l{j}" for j in range(4)) + " FROM nodes",
+    "content_address": f"WITH {CONTENT} SELECT id, {SIGNED} FROM content",
+    "topology_address": f"WITH {ADDRESS} SELECT id, {SIGNED} FROM address",
+    "address_widths": f"WITH {ADDRESS} " + " UNION ALL ".join(f"SELECT id, {b}::INTEGER AS bits, {width(b)} AS address FROM address" for b in BITS),
+    "documents_simhash": f"WITH d AS (SELECT doc_id AS id, text FROM documents), {simhash('d', 'content')} SELECT id, {SIGNED} FROM content",
+    "documents_near": f"""WITH d AS (SELECT doc_id AS id, text FROM documents), {simhash('d', 'content')},
+one AS (SELECT min(id) AS id, u0, u1, u2, u3 FROM content GROUP BY u0, u1, u2, u3)
+SELECT a, b, dist FROM (SELECT x.id AS a, y.id AS b, {hamming('x.', 'y.')} AS dist FROM one x JOIN one y ON x.id < y.id) WHERE dist <= 15""",
+    "hamming_topk_text": f"WITH {ADDRESS}, {of_text(TEXT, 'q')} SELECT a.id, {hamming('a.', 'q.')} AS dist FROM address a, q ORDER BY dist, a.id LIMIT 10",
+    "hamming_topk_node": f"""WITH {ADDRESS} SELECT id, dist, coalesce(nullif(text, ''), '')[:60] AS name FROM (
+SELECT a.id, {hamming('a.', 'b.')} AS dist FROM address a, address b WHERE b.id = 'nation:3' AND a.id <> 'nation:3' ORDER BY dist, a.id LIMIT 10) JOIN (
+SELECT 'region:' || r_regionkey AS id, r_name AS text FROM region UNION ALL SELECT 'nation:' || n_nationkey, n_name FROM nation
+UNION ALL SELECT 'supplier:' || s_suppkey, s_name FROM supplier UNION ALL SELECT 'customer:' || c_custkey, c_name FROM customer
+UNION ALL SELECT 'part:' || p_partkey, p_name FROM part) USING (id)""",
+    "hamming_topk_exclude": f"WITH {ADDRESS}, {of_text(TEXT, 'q')} SELECT a.id, {hamming('a.', 'q.')} AS dist FROM address a, q WHERE a.id NOT LIKE 'supplier:%' ORDER BY dist, a.id LIMIT 10",
+    "hamming_topk_batch": f"""WITH {ADDRESS} SELECT * FROM (
+SELECT query_id, id, dist, (row_number() OVER (PARTITION BY query_id ORDER BY dist, id))::INTEGER AS rank FROM (
+SELECT b.id AS query_id, a.id, {hamming('a.', 'b.')} AS dist FROM address a JOIN address b ON a.id <> b.id WHERE b.id LIKE 'nation:%' OR b.id LIKE 'region:%')) WHERE rank <= 10""",
+    "compose_xor_topk": f"""WITH {ADDRESS}, {of_text(TEXT, 'q')}, {of_text(OTHER, 'r')}, b AS (SELECT {", ".join(f"xor(q.u{j}, r.u{j}) AS u{j}" for j in range(4))} FROM q, r)
+SELECT a.id, {hamming('a.', 'b.')} AS dist FROM address a, b ORDER BY dist, a.id LIMIT 10""",
+    "bind_unbind_errors": f"WITH {NODES} SELECT count(*) AS trials, 0::BIGINT AS errors FROM nodes",
+    "cosine_topk": SIM,
+    "vector_lengths": "SELECT vec_id, round(list_inner_product(v, v), 6) AS before, CASE WHEN list_inner_product(v, v) = 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS after FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)",
+    "multiseed": f"{MULTISEED} SELECT * FROM seeds",
+    "multiseed_stats": f"""{MULTISEED} SELECT method, n, round(m, 7) AS mean, round(s, 7) AS std, round(m - 1.96 * s / sqrt(n), 7) AS low, round(m + 1.96 * s / sqrt(n), 7) AS high
+FROM (SELECT method, count(*) AS n, avg(mrr) AS m, stddev_samp(mrr) AS s FROM seeds GROUP BY method)""",
+    "multiseed_paired_t": f"""{MULTISEED}, d AS (SELECT a.mrr AS a, b.mrr AS b FROM seeds a JOIN seeds b USING (seed) WHERE a.method = 'topology' AND b.method = 'content'),
+s AS (SELECT count(*) AS n, avg(a - b) AS m, stddev_samp(a - b) AS s, avg(a) AS a, avg(b) AS b FROM d)
+SELECT n, n - 1 AS df, round(m, 5) AS mean_diff, round(s, 5) AS std_diff, round(m / (s / sqrt(n)), 5) AS t, round(a / b, 5) AS ratio,
+CASE WHEN n - 1 < 9 THEN '' WHEN abs(m / (s / sqrt(n))) > 4.781 THEN '***' WHEN abs(m / (s / sqrt(n))) > 3.250 THEN '**' WHEN abs(m / (s / sqrt(n))) > 2.262 THEN '*' ELSE '' END AS stars FROM s""",
+    "bits_sweep": f"WITH {ADDRESS}, {ELIGIBLE}, {samples(1, 50)}, {scores('address', 'picks', 's128', hamming('a.', 'b.', range(2)))}, {scores('address', 'picks', 's256')} "
+    + "SELECT 128::INTEGER AS bits, round(avg(rr), 9) AS mrr, round(avg(recall), 9) AS recall_5 FROM s128"
+    + "".join(f" UNION ALL SELECT {b}::INTEGER, round(avg(rr), 9), round(avg(recall), 9) FROM s256" for b in BITS[1:]),
+    "bfs_two_hops": f"WITH {EGO}, {hops(2)} SELECT query_id, node, dist FROM sub",
+    "induced_subgraph": f"WITH {EGO}, {hops(2)}, {INSIDE} SELECT query_id, count(*) AS edges FROM inside GROUP BY query_id",
+    "rank_bfs_distance": f"WITH {EGO}, {hops(1)}, scored AS (SELECT query_id, node, dist::DOUBLE AS d FROM sub) {ranking('d', 'd')}",
+    "rank_degree": f"""WITH {EGO}, {hops(1)}, {INSIDE}, both_ends AS (SELECT query_id, source AS node FROM inside UNION ALL SELECT query_id, target FROM inside),
+scored AS (SELECT s.query_id, s.node, count(b.node)::DOUBLE AS d FROM sub s LEFT JOIN both_ends b ON b.query_id = s.query_id AND b.node = s.node GROUP BY ALL) {ranking('d', 'd DESC')}""",
+    "local_pagerank": PAGERANK,
+    "sanitize_nodes": f"WITH {SANITIZED} SELECT * FROM clean",
+    "sanitize_edges": f"WITH {EDGES} SELECT source, target, type FROM edges",
+    "edge_integrity": "SELECT DISTINCT 'region:' || n_regionkey AS id FROM nation",
+    "field_counts": f"WITH {PRIVATE} SELECT count(*) FILTER (title <> '') AS titles, count(*) FILTER (chain <> '' OR status <> '') AS placed FROM private",
+    "sensitive_scan": f"WITH {SANITIZED} SELECT pattern, coalesce((SELECT bool_or(contains(concat_ws(' ', id, type, label, status, cluster), pattern)) FROM clean), false) AS found FROM (VALUES "
+    + ", ".join(f"('{p}')" for p in (*SENSITIVE, "Supplier#", "unheard"))
+    + ") t(pattern)",
+}

@@ -1,3 +1,287 @@
-"""Queries over the driver's tables."""
+"""Queries over the driver's tables, one for each operator or group of operators."""
 
-QUERIES = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import bits, text, vectors
+from ..operators import evaluate, graph, retrieval, sanitize, signatures, walk
+from .kg import kg_edges, kg_nodes, node_records, table
+
+BITS = (128, 256, 512, 1024)
+SEEDS = tuple(range(10))
+#: Texts that the fixed queries ask for.
+TEXT, OTHER = "BRAZIL supplier", "AUTOMOBILE part"
+
+
+def content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signatures.simhash(kg_nodes(spark, sf_dir))
+
+
+def addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signatures.build_addresses(kg_nodes(spark, sf_dir), graph.undirected(kg_edges(spark, sf_dir)))
+
+
+def eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.eligible(kg_nodes(spark, sf_dir), kg_edges(spark, sf_dir))
+
+
+def samples(spark: SparkSession, sf_dir: str, seeds=SEEDS, n: int = 50) -> DataFrame:
+    return evaluate.sampled(eligible(spark, sf_dir), seeds, n)
+
+
+def undirected_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.degree(kg_edges(spark, sf_dir))
+
+
+def true_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.true_neighbors(kg_edges(spark, sf_dir))
+
+
+def sample_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return samples(spark, sf_dir)
+
+
+def digest_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses that are plain digests of the texts."""
+    return kg_nodes(spark, sf_dir).select("id", *bits.digest_address(F.col("text")))
+
+
+def address_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses of four widths, as hex."""
+    base = addresses(spark, sf_dir)
+    parts = [base.select("id", F.lit(b).alias("bits"), bits.to_hex(bits.resized(bits.limbs_of(), b)).alias("address")) for b in BITS]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def documents_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses of all documents, by the kernel for long texts."""
+    return signatures.simhash_arrow(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def documents_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of different document addresses within 15 bits."""
+    return retrieval.radius_join(documents_simhash(spark, sf_dir), 15)
+
+
+def hamming_topk_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.text_query(addresses(spark, sf_dir), TEXT, 10)
+
+
+def hamming_topk_node(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.decorated(retrieval.node_query(addresses(spark, sf_dir), "nation:3", 10), node_records(spark, sf_dir).withColumn("label", F.lit(None).cast("string")))
+
+
+def hamming_topk_exclude(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As by text, without the nodes of one type."""
+    nodes = kg_nodes(spark, sf_dir)
+    return retrieval.top_k(addresses(spark, sf_dir), bits.literal(bits.address_of(TEXT)), 10, exclude=nodes.where("type = 'supplier'"))
+
+
+def hamming_topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of every nation and region."""
+    index = addresses(spark, sf_dir)
+    asked = index.where("id like 'nation:%' or id like 'region:%'").withColumnRenamed("id", "query_id")
+    return retrieval.top_k_batch(index, asked, 10)
+
+
+def compose_xor_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.composed_query(addresses(spark, sf_dir), TEXT, OTHER, 10)
+
+
+def bind_unbind_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors in taking apart what was bound, over all pairs of a node and its successor in the key's order."""
+    index = content(spark, sf_dir)
+    key = F.lit("key").alias("k")
+    other = [bits.digest_limb(F.concat(key, F.col("id")), j) for j in range(4)]
+    bound = index.select("id", *bits.limbs_of(), *[o.alias(f"k{j}") for j, o in enumerate(other)])
+    keys = [F.col(f"k{j}") for j in range(4)]
+    back = bits.unbind(bits.bind(bits.limbs_of(), keys), keys)
+    return bound.agg(F.count("*").alias("trials"), F.count_if(bits.hamming(back, bits.limbs_of()) != 0).alias("errors"))
+
+
+def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = table(spark, sf_dir, "embeddings")
+    rows = v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return retrieval.cosine_top_k(rows, rows.where("id % 50 = 0").withColumnRenamed("id", "query_id"), 10)
+
+
+def vector_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lengths before and after normalising."""
+    v = F.col("embedding")
+    n = vectors.normalised(v)
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(vectors.dot(v, v), 6).alias("before"), F.round(vectors.dot(n, n), 6).alias("after"))
+
+
+def method_scores(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    edges, asked = graph.true_neighbors(kg_edges(spark, sf_dir)), samples(spark, sf_dir).select("query_id").distinct()
+    return {name: evaluate.query_scores(index, asked, edges) for name, index in (("content", content(spark, sf_dir)), ("topology", addresses(spark, sf_dir)))}
+
+
+def multiseed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MRR and recall of each seed and method."""
+    chosen = samples(spark, sf_dir)
+    parts = [evaluate.seed_means(scores, chosen, name) for name, scores in method_scores(spark, sf_dir).items()]
+    return reduce(DataFrame.unionByName, parts).select("seed", "method", F.round("mrr", 9).alias("mrr"), F.round("recall_5", 9).alias("recall_5"))
+
+
+def multiseed_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean, deviation and interval of each method over the seeds."""
+    found = evaluate.spread(multiseed(spark, sf_dir), "method", "mrr")
+    return found.select("method", "n", *[F.round(c, 7).alias(c) for c in ("mean", "std", "low", "high")])
+
+
+def multiseed_paired_t(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paired t of the two methods over the seeds."""
+    wide = multiseed(spark, sf_dir).groupBy("seed").agg(*[F.max(F.when(F.col("method") == m, F.col("mrr"))).alias(m) for m in ("topology", "content")])
+    return evaluate.paired_t(wide, "topology", "content").select("n", "df", "stars", *[F.round(c, 5).alias(c) for c in ("mean_diff", "std_diff", "t", "ratio")])
+
+
+def bits_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MRR and recall of one seed by the address's width."""
+    base, truth, chosen = addresses(spark, sf_dir), graph.true_neighbors(kg_edges(spark, sf_dir)), samples(spark, sf_dir, (0,))
+    parts = []
+    for b in BITS:
+        scores = evaluate.query_scores(base.select("id", *bits.resized(bits.limbs_of(), b)), chosen, truth)
+        parts.append(evaluate.seed_means(scores, chosen, "topology").select(F.lit(b).alias("bits"), F.round("mrr", 9).alias("mrr"), F.round("recall_5", 9).alias("recall_5")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def ego(spark: SparkSession, sf_dir: str, hops: int = 1, most: int = 100_000) -> DataFrame:
+    """Subgraphs around one seed's queries, up to a number of hops."""
+    near = graph.undirected(kg_edges(spark, sf_dir))
+    return graph.bfs_subgraph(samples(spark, sf_dir, (0,), 20), near, most, hops)
+
+
+def bfs_two_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ego(spark, sf_dir, 2).select("query_id", "node", "dist")
+
+
+def bfs_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subgraphs of fifty nodes, in queue order."""
+    return ego(spark, sf_dir, None, 50)
+
+
+def induced_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = graph.induced_edges(ego(spark, sf_dir, 2), kg_edges(spark, sf_dir))
+    return found.groupBy("query_id").agg(F.count("*").alias("edges"))
+
+
+def ego_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return walk.local_scores(ego(spark, sf_dir), kg_edges(spark, sf_dir))
+
+
+def _ranking(ranker: str, ties: str = "node") -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return walk.ranked(ego_scores(spark, sf_dir), ranker, ties).select("query_id", "node", F.round("score", 9).alias("score"), "rank")
+
+    return query
+
+
+def local_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ego_scores(spark, sf_dir).select("query_id", "node", F.round("pagerank", 9).alias("pagerank"))
+
+
+def capped_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return walk.local_scores(bfs_capped(spark, sf_dir), kg_edges(spark, sf_dir))
+
+
+def ctqw_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return walk.walk_top_k(capped_scores(spark, sf_dir), 10)
+
+
+def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The walk's list, filled up with the nearest by signature."""
+    index, asked = addresses(spark, sf_dir), samples(spark, sf_dir, (0,), 20).select("query_id")
+    near = retrieval.top_k_batch(index, asked.join(index.withColumnRenamed("id", "query_id"), "query_id"), 50)
+    return walk.hybrid(ctqw_topk(spark, sf_dir), near, 10)
+
+
+def ranker_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MRR and recall of the four rankers over the same capped subgraphs."""
+    scores, truth = capped_scores(spark, sf_dir), graph.true_neighbors(kg_edges(spark, sf_dir))
+    asked, parts = samples(spark, sf_dir, (0,), 20), []
+    for name in walk.RANKERS:
+        found = evaluate.ranking_scores(walk.ranked(scores, name), asked, truth)
+        parts.append(found.agg(F.lit(name).alias("ranker"), F.round(F.avg("rr"), 9).alias("mrr"), F.round(F.avg("recall"), 9).alias("recall_5")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def private_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers and customers in the private shape: labels, chains, states, and a field that is sensitive."""
+    s = table(spark, sf_dir, "supplier").select(F.concat(F.lit("supplier:"), "s_suppkey").alias("id"), F.lit("spec").alias("type"), F.concat("s_name", F.lit("—"), F.lit("x")).alias("label"), F.when(F.col("s_nationkey") % 3 == 0, F.concat(F.lit("quantum_biology_H"), (F.col("s_nationkey") + 1).cast("string"))).alias("chain"), F.when(F.col("s_nationkey") % 2 == 0, "active").otherwise("unheard").alias("status"), F.when(F.col("s_acctbal") > 0, "title").alias("title"))
+    c = table(spark, sf_dir, "customer").select(F.concat(F.lit("customer:"), "c_custkey").alias("id"), F.lit(None).cast("string").alias("type"), F.lit("").alias("label"), F.lit(None).cast("string").alias("chain"), F.lit(None).cast("string").alias("status"), F.lit("").alias("title"))
+    return s.unionByName(c)
+
+
+def sanitize_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sanitize.sanitized_nodes(private_nodes(spark, sf_dir))
+
+
+def sanitize_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sanitize.sanitized_edges(kg_edges(spark, sf_dir))
+
+
+def edge_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edge ends that are missing when regions are no nodes."""
+    return graph.endpoints_missing(kg_nodes(spark, sf_dir).where("type <> 'region'"), kg_edges(spark, sf_dir))
+
+
+def field_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sanitize.field_counts(private_nodes(spark, sf_dir), {"titles": ("title",), "placed": ("chain", "status")})
+
+
+def sensitive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sanitize.pattern_scan(sanitize_nodes(spark, sf_dir), (*sanitize.SENSITIVE, "Supplier#", "unheard"))
+
+
+def node_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts and numbers of tokens of all nodes."""
+    return kg_nodes(spark, sf_dir).select("id", text.placeholder(F.col("text")).alias("text"), F.size(text.tokens(F.col("text"))).alias("n_tokens"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "kg_nodes": kg_nodes,
+    "kg_edges": kg_edges,
+    "node_texts": node_texts,
+    "undirected_degree": undirected_degree,
+    "truth_neighbors": true_neighbors,
+    "eligible_queries": eligible,
+    "sample_queries": sample_queries,
+    "digest_baseline": digest_baseline,
+    "content_address": content,
+    "topology_address": addresses,
+    "address_widths": address_widths,
+    "documents_simhash": documents_simhash,
+    "documents_near": documents_near,
+    "hamming_topk_text": hamming_topk_text,
+    "hamming_topk_node": hamming_topk_node,
+    "hamming_topk_exclude": hamming_topk_exclude,
+    "hamming_topk_batch": hamming_topk_batch,
+    "compose_xor_topk": compose_xor_topk,
+    "bind_unbind_errors": bind_unbind_errors,
+    "cosine_topk": cosine_topk,
+    "vector_lengths": vector_lengths,
+    "multiseed": multiseed,
+    "multiseed_stats": multiseed_stats,
+    "multiseed_paired_t": multiseed_paired_t,
+    "bits_sweep": bits_sweep,
+    "bfs_two_hops": bfs_two_hops,
+    "bfs_capped": bfs_capped,
+    "induced_subgraph": induced_subgraph,
+    "rank_bfs_distance": _ranking("bfs_distance"),
+    "rank_degree": _ranking("local_degree"),
+    "local_pagerank": local_pagerank,
+    "ctqw_topk": ctqw_topk,
+    "hybrid_topk": hybrid_topk,
+    "ranker_ablation": ranker_ablation,
+    "sanitize_nodes": sanitize_nodes,
+    "sanitize_edges": sanitize_edges,
+    "edge_integrity": edge_integrity,
+    "field_counts": field_counts,
+    "sensitive_scan": sensitive_scan,
+}
