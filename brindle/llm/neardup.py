@@ -5,12 +5,12 @@ them. Each class has a pool of minwise tokens. A tree branches a node's classes
 node: classes that agree in one of them go to the same child. Nodes that are small enough are compared
 exhaustively, larger ones branch on. Independent trees repeat this. Two classes at the threshold meet in a
 small node of one tree with probability p = 1 - (1 - s p)^branches at any depth (0.991 for s = 0.8 and
-three branches), so five trees miss a pair in 6 of 10^11 cases.
+three branches), so four trees miss a pair in 7 of 10^9 cases.
 
-Before trees are searched, each first-level node links its classes to one of them where that is true. Nodes whose
-classes are in one component already need no comparison, so a large group of near copies costs as many
-comparisons as it has members. A node that is still large at the last depth is compared in pairs of blocks.
-Every link is confirmed on full sets.
+Before the trees are searched, each first-level node links its classes to one of them where that is true. Nodes whose
+classes are in one component already need no comparison, and inside a node only members outside its largest
+component are compared with the others. A node that is still large at the last depth is compared in pairs
+of blocks. Sketches tell which members may have a link at all; every link is confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -42,10 +42,11 @@ class Join:
 
     words: int = 5
     percent: int = 80  # 100 * intersection >= percent * union
-    trees: int = 5
+    trees: int = 4
     branches: int = 3
-    small: int = 64  # classes of a node that is compared exhaustively
-    depth: int = 4  # levels after which larger nodes are compared in blocks
+    small: int = 4096  # classes of a node that is compared exhaustively
+    elements: int = 1 << 19  # and elements of their sets together
+    depth: int = 2  # levels after which larger nodes are compared in pairs of blocks
 
 
 class _Words(dict):
@@ -53,7 +54,7 @@ class _Words(dict):
 
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 1_000_000:
+        if len(self) < 400_000:
             self[word] = value
         return value
 
@@ -132,41 +133,129 @@ def branched(members: DataFrame, join: Join, level: int) -> DataFrame:
     return mapped(members.select("node", "cid", "tokens"), rows, "node bigint, cid bigint")
 
 
-def met(groups: DataFrame, join: Join) -> DataFrame:
-    """a, b: pairs of different components in a small node, or across two blocks, whose sizes and sketches allow a link.
+def runs(batches) -> Iterator[tuple]:
+    """(group, its rows) of batches whose rows are sorted by their first column; one group is held at a time."""
+    now, rows = None, []
+    for batch in batches:
+        for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if rows and row[0] != now:
+                yield now, rows
+                rows = []
+            now = row[0]
+            rows.append(row[1:])
+    if rows:
+        yield now, rows
 
-    `groups` has `members`, an array of (side, comp, cid, n, sketch); pairs of sides 0 and 1 are compared, or all
-    pairs where there is only side 0.
+
+def together(df: DataFrame) -> DataFrame:
+    """Rows with their group's others one after another; groups are of bounded size."""
+    return df.repartition("grp").sortWithinPartitions("grp")
+
+
+def active(members: DataFrame, join: Join) -> DataFrame:
+    """grp, side, comp, cid of the members of groups that may have a link to another component of their group.
+
+    `members` has grp, side, comp, cid, n, sketch; in groups with sides 0 and 1, pairs across them count. What is told
+    is members, not pairs: a group of m gives at most m rows.
     """
 
     def rows(batches) -> Iterator[list]:
-        for batch in batches:
-            found: set[tuple[int, int]] = set()
-            for members in batch.column(0).to_pylist():
-                members = [m for m in members if m["sketch"] is not None]
-                side, comp, cid, n = (np.array([m[k] for m in members], np.int64) for k in ("side", "comp", "cid", "n"))
-                sketch = np.frombuffer(b"".join(m["sketch"] for m in members), np.uint8).reshape(-1, POOL)
-                across = bool(len(side)) and side.max() != side.min()
-                for i in range(len(members)):
-                    if across and side[i]:
-                        continue
-                    other = np.flatnonzero(side == 1) if across else np.arange(i + 1, len(members))
-                    other = other[(comp[other] != comp[i]) & (100 * np.minimum(n[other], n[i]) >= join.percent * np.maximum(n[other], n[i]))]
+        out: list[list] = [[], [], [], []]
+        for grp, some in runs(batches):
+            side, comp, cid, n = (np.array(c, np.int64) for c in list(zip(*some, strict=True))[:4])
+            sketch = np.frombuffer(b"".join(m[4] for m in some), np.uint8).reshape(-1, POOL)
+            across = side.max() != side.min()
+            hit = np.zeros(len(some), bool)
+            for i in range(len(some)):
+                other = np.flatnonzero(side != side[i]) if across else np.arange(i + 1, len(some))
+                other = other[(comp[other] != comp[i]) & (100 * np.minimum(n[other], n[i]) >= join.percent * np.maximum(n[other], n[i]))]
+                if len(other):
+                    other = other[(sketch[other] == sketch[i]).sum(axis=1) >= LEAST_AGREEING]
                     if len(other):
-                        other = other[(sketch[other] == sketch[i]).sum(axis=1) >= LEAST_AGREEING]
-                        found.update((min(int(cid[i]), c), max(int(cid[i]), c)) for c in cid[other].tolist())
-            yield [[p[0] for p in found], [p[1] for p in found]]
+                        hit[i] = True
+                        hit[other] = True
+            for k in np.flatnonzero(hit).tolist():
+                for column, value in zip(out, (grp, *some[k][:3]), strict=True):
+                    column.append(value)
+            if len(out[0]) > 10_000:
+                yield out
+                out = [[], [], [], []]
+        yield out
+
+    return mapped(together(members.select("grp", "side", "comp", "cid", "n", "sketch")), rows, "grp string, side int, comp bigint, cid bigint")
 
-    return mapped(groups.select("members"), rows, "a bigint, b bigint")
+
+def connected(members: DataFrame, join: Join) -> DataFrame:
+    """a, b: confirmed links that connect the components of each group as all links between them do.
+
+    `members` has grp, side, comp, cid, hashes. A member of the group's largest component is compared with no one itself:
+    those outside are compared with it.
+    """
+
+    def rows(batches) -> Iterator[list]:
+        for _, some in runs(batches):
+            found = _exhausted(some, join.percent)
+            if found:
+                yield [[p[0] for p in found], [p[1] for p in found]]
+
+    return mapped(together(members.select("grp", "side", "comp", "cid", "hashes")), rows, "a bigint, b bigint")
+
+
+def _exhausted(members: list[tuple], percent: int) -> list[tuple[int, int]]:
+    """Links of a group's members (side, comp, cid, hashes)."""
+    members = sorted(members, key=lambda m: m[2])
+    sets = [np.frombuffer(m[3], "<u8") for m in members]
+    side, cid = np.array([m[0] for m in members]), [m[2] for m in members]
+    n = np.array([len(x) for x in sets], np.int64)
+    starts = np.concatenate([[0], np.cumsum(n)[:-1]])
+    _, code = np.unique(np.concatenate(sets), return_inverse=True)
+    flag = np.zeros(len(code) + 1, np.int32)
+    root = np.array([m[1] for m in members], np.int64)  # a member's component now
+    across = side.max() != side.min()
+    values, counts = np.unique(root, return_counts=True)
+    largest = values[counts.argmax()]
+    out = []
+    for x in range(len(members)):
+        if root[x] == largest:
+            continue
+        mine = code[starts[x] : starts[x] + n[x]]
+        flag[mine] = 1
+        common = np.add.reduceat(flag[code], starts)
+        flag[mine] = 0
+        good = 100 * common >= percent * (n + n[x] - common)
+        if across:
+            good &= side != side[x]
+        for y in np.flatnonzero(good).tolist():
+            if root[y] != root[x]:
+                out.append((min(cid[x], cid[y]), max(cid[x], cid[y])))
+                old, new = (root[y], root[x]) if root[y] != largest else (root[x], largest)
+                root[root == old] = new
+    return out
+
+
+def texts_of(ids: DataFrame, classes: DataFrame, documents: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """cid, text (binary): one text of each named class."""
+    named = sent(ids.select("cid").distinct().join(classes.select("cid", "row"), "cid"), "named")
+    texts = documents.select(row_key(id_column, text_column).alias("row"), F.col(f"`{text_column}`").cast("binary").alias("text"))
+    return texts.join(named, "row").groupBy("cid").agg(F.first("text").alias("text"))
+
+
+def hashes_of(texts: DataFrame, join: Join) -> DataFrame:
+    """cid, hashes: the full sets."""
+
+    def rows(batches) -> Iterator[list]:
+        memory = _Words()
+        for batch in batches:
+            yield [batch.column(0), [shingles(t, join.words, memory).tobytes() for t in batch.column(1).to_pylist()]]
+
+    return mapped(texts.select("cid", "text"), rows, "cid bigint, hashes binary")
 
 
 def confirmed(pairs: DataFrame, classes: DataFrame, documents: DataFrame, join: Join, id_column: str, text_column: str) -> DataFrame:
     """The pairs (a, b) of classes whose full sets have the similarity."""
     pairs = written(pairs.distinct(), "pairs")
-    ids = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct().join(classes.select("cid", "row"), "cid")
-    named = sent(ids, "named")
-    texts = documents.select(row_key(id_column, text_column).alias("row"), F.col(f"`{text_column}`").cast("binary").alias("text"))
-    texts = written(texts.join(named, "row").groupBy("cid").agg(F.first("text").alias("text")), "texts")
+    ids = pairs.select(F.col("a").alias("cid")).union(pairs.select("b"))
+    texts = written(texts_of(ids, classes, documents, id_column, text_column), "texts")
     both = pairs.join(texts.select(F.col("cid").alias("b"), F.col("text").alias("text_b")), "b")
     both = both.join(texts.select(F.col("cid").alias("a"), F.col("text").alias("text_a")), "a")
 
@@ -185,35 +274,39 @@ def confirmed(pairs: DataFrame, classes: DataFrame, documents: DataFrame, join:
                     good[1].append(b)
             yield good
 
-    return written(mapped(both.select("a", "b", "text_a", "text_b"), rows, "a bigint, b bigint"), "confirmed")
+    return mapped(both.select("a", "b", "text_a", "text_b"), rows, "a bigint, b bigint")
 
 
 def links(classes: DataFrame, documents: DataFrame, join: Join, id_column: str, text_column: str) -> DataFrame:
     """a, b: links that connect the classes as all their links do."""
-    keys = written(first_level(classes, join), "nodes")
+    where = (classes, documents)
+    keys = first_level(classes, join)
     nodes = keys.groupBy("node").agg(F.count("*").alias("count"), F.min("cid").alias("pivot")).where("count > 1")
-    keys = written(keys.join(nodes, "node"), "shared")
+    keys = written(keys.join(nodes.select("node", "pivot"), "node"), "shared")
     sizes = classes.select("cid", "n", "sketch")
     pivots = keys.where("cid <> pivot").select(F.col("pivot").alias("a"), F.col("cid").alias("b")).distinct()
-    linked = confirmed(_allowed(pivots, sizes, join), classes, documents, join, id_column, text_column)
-    members = keys.select("node", "cid")
+    linked = written(confirmed(_allowed(pivots, sizes, join), *where, join, id_column, text_column), "linked")
+    # From here on nodes within one component are done; components are not found anew at deeper levels.
+    comp = components(linked).select(F.col("node").alias("cid"), "root")
+    placed = written(sizes.join(comp, "cid", "left").select("cid", "n", "sketch", F.coalesce("root", "cid").alias("comp")), "placed")
+    members, found = keys.select("node", "cid"), None
     for level in range(join.depth + 1):
-        comp = written(components(linked), "components")
-        members = members.join(comp.select(F.col("node").alias("cid"), "root"), "cid", "left").select("node", "cid", F.coalesce("root", "cid").alias("comp"))
-        nodes = members.groupBy("node").agg(F.count("*").alias("count"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
-        members = written(members.join(nodes.select("node", "count"), "node"), "open")
-        exact = members.where(F.col("count") <= join.small)
-        groups = _collected(exact.withColumn("side", F.lit(0)), sizes, ["node"])
-        more = met(groups, join)
-        large = members.where(F.col("count") > join.small)
+        members = members.join(placed.select("cid", "n", "comp"), "cid")
+        nodes = members.groupBy("node").agg(F.count("*").alias("count"), F.sum("n").alias("elements"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
+        members = written(members.join(nodes.select("node", "count", "elements"), "node"), "open")
+        small = (F.col("count") <= join.small) & (F.col("elements") <= join.elements)
+        exact = members.where(small).select(F.concat_ws(":", F.lit(level), "node").alias("grp"), F.lit(0).alias("side"), "cid")
+        large = members.where(~small)
         if level == join.depth:
-            more = more.union(met(_collected(_blocks(large, join), sizes, ["node", "i", "j"]), join))
-        found = confirmed(more, classes, documents, join, id_column, text_column)
-        linked = written(linked.union(found), "linked")
+            exact = exact.unionByName(_blocks(large, join))
+        some = written(active(exact.join(placed, "cid"), join), "active")
+        found = some if found is None else found.union(some)
         if level == join.depth or large.isEmpty():
-            return linked
-        members = written(branched(large.join(classes.select("cid", "tokens"), "cid"), join, level), "children")
-    return linked
+            break
+        members = written(branched(large.select("node", "cid").join(classes.select("cid", "tokens"), "cid"), join, level), "children")
+    texts = texts_of(found, *where, id_column, text_column)
+    sets_ = written(hashes_of(texts, join), "hashes")
+    return written(linked.union(connected(found.join(sets_, "cid"), join)), "linked")
 
 
 def _allowed(pairs: DataFrame, sizes: DataFrame, join: Join) -> DataFrame:
@@ -231,18 +324,12 @@ def _allowed(pairs: DataFrame, sizes: DataFrame, join: Join) -> DataFrame:
     return mapped(pairs.select("a", "b", "sketch_a", "sketch_b"), rows, "a bigint, b bigint")
 
 
-def _collected(members: DataFrame, sizes: DataFrame, by: list[str]) -> DataFrame:
-    """Members of each small node, or pair of blocks, in one row; their number is bounded."""
-    members = members.join(sizes, "cid")
-    return members.groupBy(*by).agg(F.collect_list(F.struct("side", "comp", "cid", "n", "sketch")).alias("members"))
-
-
 def _blocks(large: DataFrame, join: Join) -> DataFrame:
     """Each member of a large node in each pair of the node's blocks that its own block is in."""
-    count = F.ceil(F.col("count") / join.small).cast("int")
+    count = F.ceil(F.greatest(F.col("count") / join.small, F.col("elements") / join.elements) * 2).cast("int")
     large = large.withColumn("own", F.pmod(F.xxhash64("cid", "node"), count).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
     i, j = F.least("own", "other"), F.greatest("own", "other")
-    return large.select("node", "cid", "comp", i.cast("int").alias("i"), j.cast("int").alias("j"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"))
+    return large.select(F.concat_ws(":", F.lit("blocks"), "node", i, j).alias("grp"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "cid")
 
 
 def grouped(documents: DataFrame, join: Join = Join(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
