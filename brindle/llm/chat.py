@@ -6,7 +6,9 @@ the automaton asks for them, or merges into the turn before it. The cheapest rep
 automaton's states, so a run of turns is a small matrix of costs from state to state, and runs compose by
 (min, +) products. Turns are range-partitioned by conversation and place, a partition's runs are packed into chunks,
 and only the chunks' matrices meet: first those of a conversation in one partition, then those of
-its partitions. Even a conversation with a third of all turns is spread over many tasks.
+its partitions. They give each chunk the costs of reaching its first state; a chunk then tells for each state that it
+may end in where the cheapest way begins, and these four numbers compose backwards. Even a conversation
+with a third of all turns is spread over many tasks, and how it is cut changes nothing.
 """
 
 from __future__ import annotations
@@ -88,9 +90,17 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a[:, :, None] + b[None]).min(axis=1)
 
 
-def path(matrices: list[np.ndarray], start: int, end: int) -> list[int]:
-    """States before, between and after matrices on the cheapest way; the smallest state where several are."""
-    costs = [np.where(np.arange(4) == start, 0.0, INFINITE)]
+def begin() -> np.ndarray:
+    """Costs of the states before the first turn."""
+    return np.where(np.arange(4) == 0, 0.0, INFINITE)
+
+
+def path(matrices: list[np.ndarray], row: np.ndarray, end: int) -> list[int]:
+    """States before, between and after matrices on the cheapest way to `end`, given the costs of those before.
+
+    From the end backwards, the smallest state where several are as cheap.
+    """
+    costs = [row]
     for m in matrices:
         costs.append((costs[-1][:, None] + m).min(axis=0))
     states = [end]
@@ -99,10 +109,10 @@ def path(matrices: list[np.ndarray], start: int, end: int) -> list[int]:
     return states[::-1]
 
 
-def repaired(roles: list[int], start: int, end: int, costs: Costs) -> list[tuple[int, int, bool]]:
-    """(state before, state after, merged) of each turn on the cheapest way from start to end."""
+def repaired(roles: list[int], row: np.ndarray, end: int, costs: Costs) -> list[tuple[int, int, bool]]:
+    """(state before, state after, merged) of each turn on the cheapest way to `end`."""
     kinds = {r: step(r, costs) for r in set(roles)}
-    states = path([kinds[r] for r in roles], start, end)
+    states = path([kinds[r] for r in roles], row, end)
     ways = {r: options(r, costs) for r in kinds}
     return [next((s, t, merged) for _, s, t, merged in ways[r] if (s, t) == pair) for r, pair in zip(roles, zip(states, states[1:], strict=False), strict=True)]
 
@@ -124,6 +134,26 @@ def rendered(before: int, after: int, merged: bool, text: str, last: bool, costs
     return out
 
 
+def _matrices(pdf: pd.DataFrame) -> list[np.ndarray]:
+    return [np.reshape(x, (4, 4)) for x in pdf["m"]]
+
+
+def _forward(row: np.ndarray, matrices: list[np.ndarray]) -> list[np.ndarray]:
+    """Costs of the states before, between and after matrices."""
+    rows = [row]
+    for m in matrices:
+        rows.append((rows[-1][:, None] + m).min(axis=0))
+    return rows
+
+
+def _back(end: int, ways) -> list[int]:
+    """The state after each of some runs, last run first, and the state before the first."""
+    states = [end]
+    for way in ways:
+        states.append(int(way[states[-1]]))
+    return states
+
+
 def repair(turns: DataFrame, costs: Costs = Costs(), conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """Repair and render all conversations, a row for each turn, repeated rows included.
 
@@ -170,46 +200,71 @@ def repair(turns: DataFrame, costs: Costs = Costs(), conv: str = "conv_id", turn
     chunks = written(mapped(turns, packed, f"conv_id {a}, p int, block int, turns array<{b}>, roles array<string>, texts array<string>, m array<double>"), "chunks")
 
     # The chunks of a conversation in a partition, then the conversation's partitions: both are few for a group.
-    def composed(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("block")
-        m = None
-        for x in pdf["m"]:
-            one = np.reshape(x, (4, 4))
-            m = one if m is None else product(m, one)
-        return pd.DataFrame({"conv_id": pdf["conv_id"].iloc[:1], "p": pdf["p"].iloc[:1], "m": [m.ravel().tolist()]})
-
+    key = f"conv_id {a}, p int"
     small = chunks.select("conv_id", "p", "block", "m")
-    spans = written(small.groupBy("conv_id", "p").applyInPandas(composed, f"conv_id {a}, p int, m array<double>"), "spans")
 
-    def across(pdf: pd.DataFrame) -> pd.DataFrame:
+    def composed(pdf: pd.DataFrame) -> pd.DataFrame:
+        ms = _matrices(pdf.sort_values("block"))
+        for m in ms[1:]:
+            ms[0] = product(ms[0], m)
+        return pd.DataFrame({"conv_id": pdf["conv_id"].iloc[:1], "p": pdf["p"].iloc[:1], "m": [ms[0].ravel().tolist()]})
+
+    def reached(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("p")
-        ms = [np.reshape(x, (4, 4)) for x in pdf["m"]]
-        row = np.where(np.arange(4) == 0, 0.0, INFINITE)
-        for m in ms:
-            row = (row[:, None] + m).min(axis=0)
-        states = path(ms, 0, best_end(row, costs))
-        final = [False] * (len(ms) - 1) + [True]
-        return pd.DataFrame({"conv_id": pdf["conv_id"], "p": pdf["p"], "s": states[:-1], "t": states[1:], "final": final})
-
-    ends = spans.groupBy("conv_id").applyInPandas(across, f"conv_id {a}, p int, s int, t int, final boolean")
-    ends = ends.withColumnRenamed("conv_id", "c")
-
-    def within(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = _forward(begin(), _matrices(pdf))
+        return pd.DataFrame({"c": pdf["conv_id"], "q": pdf["p"], "row": rows[:-1]})
+
+    spans = small.groupBy("conv_id", "p").applyInPandas(composed, f"{key}, m array<double>")
+    spans = written(spans.groupBy("conv_id").applyInPandas(reached, f"c {a}, q int, row array<double>"), "spans")
+    same = F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("p") == F.col("q"))
+
+    def entered(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("block")
-        states = path([np.reshape(x, (4, 4)) for x in pdf["m"]], int(pdf["s"].iloc[0]), int(pdf["t"].iloc[0]))
-        final = [False] * (len(pdf) - 1) + [bool(pdf["final"].iloc[0])]
-        return pd.DataFrame({"p": pdf["p"], "block": pdf["block"], "s": states[:-1], "t": states[1:], "last": final})
+        rows = _forward(np.array(pdf["row"].iloc[0]), _matrices(pdf))
+        return pd.DataFrame({"p": pdf["p"], "block": pdf["block"], "row": rows[:-1], "after": rows[1:]})
 
-    joined = small.join(ends.withColumnRenamed("p", "q"), F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("p") == F.col("q")))
-    states = joined.select("conv_id", "p", "block", "m", "s", "t", "final").groupBy("conv_id", "p").applyInPandas(within, "p int, block int, s int, t int, last boolean")
+    rows = small.join(spans, same).select("conv_id", "p", "block", "m", "row").groupBy("conv_id", "p")
     # blocks are numbered through a partition, so (p, block) names a chunk
+    rows = written(rows.applyInPandas(entered, "p int, block int, row array<double>, after array<double>"), "entered")
+
+    def backward(batches) -> Iterator[list]:
+        for batch in batches:
+            some = batch.to_pylist()
+            ways = []
+            for c in some:
+                ms = [step(role_of(r), costs) for r in c["roles"]]
+                ways.append([path(ms, np.array(c["row"]), end)[0] for end in range(4)])
+            yield [[c[k] for c in some] for k in ("conv_id", "p", "block")] + [ways, [c["after"] for c in some]]
+
+    ways = chunks.select("conv_id", "p", "block", "roles").join(rows, ["p", "block"]).select("conv_id", "p", "block", "roles", "row", "after")
+    ways = written(mapped(ways, backward, f"{key}, block int, way array<int>, after array<double>"), "ways")
+
+    def through(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("block", ascending=False)
+        return pd.DataFrame({"conv_id": pdf["conv_id"].iloc[:1], "p": pdf["p"].iloc[:1], "way": [[_back(e, pdf["way"])[-1] for e in range(4)]], "after": [pdf["after"].iloc[0]]})
+
+    def ended(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("p", ascending=False)
+        ends = _back(best_end(np.array(pdf["after"].iloc[0]), costs), pdf["way"])
+        return pd.DataFrame({"c": pdf["conv_id"], "q": pdf["p"], "t": ends[:-1], "final": [True] + [False] * (len(pdf) - 1)})
+
+    ends = ways.groupBy("conv_id", "p").applyInPandas(through, f"{key}, way array<int>, after array<double>")
+    ends = written(ends.groupBy("conv_id").applyInPandas(ended, f"c {a}, q int, t int, final boolean"), "ends")
+
+    def left(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("block", ascending=False)
+        ends = _back(int(pdf["t"].iloc[0]), pdf["way"])
+        return pd.DataFrame({"p": pdf["p"], "block": pdf["block"], "t": ends[:-1], "last": [bool(pdf["final"].iloc[0])] + [False] * (len(pdf) - 1)})
+
+    states = ways.join(ends, same).select("conv_id", "p", "block", "way", "t", "final").groupBy("conv_id", "p").applyInPandas(left, "p int, block int, t int, last boolean")
+    states = states.join(rows.select("p", "block", "row"), ["p", "block"])
     whole = chunks.drop("m").join(states, ["p", "block"])
 
     def told(batches) -> Iterator[list]:
         for batch in batches:
             out: list[list] = [[] for _ in range(9)]
             for c in batch.to_pylist():
-                steps = repaired([role_of(r) for r in c["roles"]], c["s"], c["t"], costs)
+                steps = repaired([role_of(r) for r in c["roles"]], np.array(c["row"]), c["t"], costs)
                 for k, ((s, t, merged), number, given, text) in enumerate(zip(steps, c["turns"], c["roles"], c["texts"], strict=True)):
                     last = c["last"] and k == len(steps) - 1
                     same = role_of(given) == t
@@ -220,16 +275,14 @@ def repair(turns: DataFrame, costs: Costs = Costs(), conv: str = "conv_id", turn
                         column.append(value)
             yield out
 
-    return mapped(whole.select("conv_id", "p", "block", "turns", "roles", "texts", "s", "t", "last"), told, f"conv_id {a}, turn {b}, place bigint, role string, new_role string, action string, inserted int, inserted_after int, part string")
+    return mapped(whole.select("conv_id", "p", "block", "turns", "roles", "texts", "row", "t", "last"), told, f"conv_id {a}, turn {b}, place bigint, role string, new_role string, action string, inserted int, inserted_after int, part string")
 
 
 def brute_force(turns: list[tuple[str | None, str]], costs: Costs = Costs()) -> tuple[float, str]:
     """Cost and text of one conversation's repair, for checks."""
     roles = [role_of(r) for r, _ in turns]
-    row = np.where(np.arange(4) == 0, 0.0, INFINITE)
-    for r in roles:
-        row = (row[:, None] + step(r, costs)).min(axis=0)
+    row = _forward(begin(), [step(r, costs) for r in roles])[-1]
     end = best_end(row, costs)
-    steps = repaired(roles, 0, end, costs)
+    steps = repaired(roles, begin(), end, costs)
     text = "".join(rendered(*s, x, k == len(steps) - 1, costs) for k, (s, (_, x)) in enumerate(zip(steps, turns, strict=True)))
     return float(row[end] + len(AT_END[end]) * costs.insert), text
