@@ -1,9 +1,7 @@
-"""What the operators share: written tables in the shared folder, batches, words."""
+"""What the operators share: paths in the shared folder, batches, words."""
 
 from __future__ import annotations
 
-import hashlib
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -11,38 +9,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import shared_dir, written
+
 #: Rows in an Arrow batch: whole texts travel in them, so batches stay small.
 BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: what the cluster names in spark.checkpoint.dir.
-
-    Where that is unset, as in tests, a temporary folder is made once and kept in the session.
-    """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("brindle.shared.dir", None)
-    if not named:
-        named = tempfile.mkdtemp(prefix="brindle-")
-        spark.conf.set("brindle.shared.dir", named)
-    return named.rstrip("/")
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark)}/brindle/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The DataFrame written to the shared folder and read again: its lineage ends there.
-
-    A lost executor then costs a re-read, not a recomputation, and two readers see the same rows.
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def drop_written(spark: SparkSession, path: str) -> None:
     """Delete a folder through the file system that its path names."""
     jvm = spark.sparkContext._jvm
@@ -105,10 +82,6 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary()).to_pylist()
 
 
-def sha256(text: str) -> str:
-    return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
-
-
 #: Lower-cases A-Z and leaves all other bytes.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Lower-cases A-Z; every ASCII byte but letters and digits becomes a space. Bytes of other characters stay.
