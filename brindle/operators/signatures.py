@@ -98,7 +98,10 @@ def topology(content: DataFrame, undirected: DataFrame) -> DataFrame:
     return _address(votes, ["id"], lambda count: 2 * count >= F.col("_one") + 2).join(content.select("id"), "id", "left_semi")
 
 
-def build_addresses(nodes: DataFrame, undirected: DataFrame, bits: int = 256, arrow: bool = False) -> DataFrame:
-    """Topology addresses of nodes (id, text) and undirected edges (id, nbr)."""
+def build_addresses(nodes: DataFrame, undirected: DataFrame, bits: int = 256, arrow: bool = True) -> DataFrame:
+    """Topology addresses of nodes (id, text) and undirected edges (id, nbr).
+
+    Texts are hashed where they lie unless `arrow` is false; either way gives the same addresses.
+    """
     content = (simhash_arrow if arrow else simhash)(nodes)
     return topology(content, undirected).select("id", *resized(limbs_of(), bits))

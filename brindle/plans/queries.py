@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bits, text, vectors
 from ..operators import evaluate, graph, retrieval, sanitize, signatures, walk
+from ..storage import written
 from .kg import kg_edges, kg_nodes, node_records, table
 
 BITS = (128, 256, 512, 1024)
@@ -26,6 +27,11 @@ def addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signatures.build_addresses(kg_nodes(spark, sf_dir), graph.undirected(kg_edges(spark, sf_dir)))
 
 
+def index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The addresses as a stored index: it is built once and read as often as a query needs it."""
+    return written(addresses(spark, sf_dir), "index")
+
+
 def eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.eligible(kg_nodes(spark, sf_dir), kg_edges(spark, sf_dir))
 
@@ -65,7 +71,7 @@ def documents_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def documents_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of different document addresses within 15 bits."""
-    return retrieval.radius_join(documents_simhash(spark, sf_dir), 15)
+    return retrieval.radius_join(written(documents_simhash(spark, sf_dir), "addresses"), 15)
 
 
 def hamming_topk_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +79,7 @@ def hamming_topk_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hamming_topk_node(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.decorated(retrieval.node_query(addresses(spark, sf_dir), "nation:3", 10), node_records(spark, sf_dir).withColumn("label", F.lit(None).cast("string")))
+    return retrieval.decorated(retrieval.node_query(index(spark, sf_dir), "nation:3", 10), node_records(spark, sf_dir).withColumn("label", F.lit(None).cast("string")))
 
 
 def hamming_topk_exclude(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,9 +90,9 @@ def hamming_topk_exclude(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hamming_topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest of every nation and region."""
-    index = addresses(spark, sf_dir)
-    asked = index.where("id like 'nation:%' or id like 'region:%'").withColumnRenamed("id", "query_id")
-    return retrieval.top_k_batch(index, asked, 10)
+    stored = index(spark, sf_dir)
+    asked = stored.where("id like 'nation:%' or id like 'region:%'").withColumnRenamed("id", "query_id")
+    return retrieval.top_k_batch(stored, asked, 10)
 
 
 def compose_xor_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,11 +100,11 @@ def compose_xor_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bind_unbind_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Errors in taking apart what was bound, over all pairs of a node and its successor in the key's order."""
-    index = content(spark, sf_dir)
+    """Errors in taking apart what was bound, over all nodes, each bound to a key of its own."""
+    plain = content(spark, sf_dir)
     key = F.lit("key").alias("k")
     other = [bits.digest_limb(F.concat(key, F.col("id")), j) for j in range(4)]
-    bound = index.select("id", *bits.limbs_of(), *[o.alias(f"k{j}") for j, o in enumerate(other)])
+    bound = plain.select("id", *bits.limbs_of(), *[o.alias(f"k{j}") for j, o in enumerate(other)])
     keys = [F.col(f"k{j}") for j in range(4)]
     back = bits.unbind(bits.bind(bits.limbs_of(), keys), keys)
     return bound.agg(F.count("*").alias("trials"), F.count_if(bits.hamming(back, bits.limbs_of()) != 0).alias("errors"))
@@ -117,15 +123,18 @@ def vector_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(vectors.dot(v, v), 6).alias("before"), F.round(vectors.dot(n, n), 6).alias("after"))
 
 
-def method_scores(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    edges, asked = graph.true_neighbors(kg_edges(spark, sf_dir)), samples(spark, sf_dir).select("query_id").distinct()
-    return {name: evaluate.query_scores(index, asked, edges) for name, index in (("content", content(spark, sf_dir)), ("topology", addresses(spark, sf_dir)))}
+def method_scores(spark: SparkSession, sf_dir: str, chosen: DataFrame) -> dict[str, DataFrame]:
+    """Each method's scores of all queries that any seed samples."""
+    nodes, edges = kg_nodes(spark, sf_dir), graph.undirected(kg_edges(spark, sf_dir))
+    plain = written(signatures.simhash_arrow(nodes), "content")
+    truth, asked = written(edges.select("id", "nbr").distinct(), "truth"), chosen.select("query_id").distinct()
+    return {name: evaluate.query_scores(found, asked, truth) for name, found in (("content", plain), ("topology", written(signatures.topology(plain, edges), "index")))}
 
 
 def multiseed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MRR and recall of each seed and method."""
-    chosen = samples(spark, sf_dir)
-    parts = [evaluate.seed_means(scores, chosen, name) for name, scores in method_scores(spark, sf_dir).items()]
+    chosen = written(samples(spark, sf_dir), "samples")
+    parts = [evaluate.seed_means(scores, chosen, name) for name, scores in method_scores(spark, sf_dir, chosen).items()]
     return reduce(DataFrame.unionByName, parts).select("seed", "method", F.round("mrr", 9).alias("mrr"), F.round("recall_5", 9).alias("recall_5"))
 
 
@@ -143,7 +152,7 @@ def multiseed_paired_t(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bits_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MRR and recall of one seed by the address's width."""
-    base, truth, chosen = addresses(spark, sf_dir), graph.true_neighbors(kg_edges(spark, sf_dir)), samples(spark, sf_dir, (0,))
+    base, truth, chosen = index(spark, sf_dir), graph.true_neighbors(kg_edges(spark, sf_dir)), written(samples(spark, sf_dir, (0,)), "samples")
     parts = []
     for b in BITS:
         scores = evaluate.query_scores(base.select("id", *bits.resized(bits.limbs_of(), b)), chosen, truth)
@@ -187,7 +196,7 @@ def local_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def capped_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return walk.local_scores(bfs_capped(spark, sf_dir), kg_edges(spark, sf_dir))
+    return walk.local_scores(written(bfs_capped(spark, sf_dir), "subgraphs"), kg_edges(spark, sf_dir))
 
 
 def ctqw_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,14 +205,14 @@ def ctqw_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The walk's list, filled up with the nearest by signature."""
-    index, asked = addresses(spark, sf_dir), samples(spark, sf_dir, (0,), 20).select("query_id")
-    near = retrieval.top_k_batch(index, asked.join(index.withColumnRenamed("id", "query_id"), "query_id"), 50)
+    stored, asked = index(spark, sf_dir), samples(spark, sf_dir, (0,), 20).select("query_id")
+    near = retrieval.top_k_batch(stored, asked.join(stored.withColumnRenamed("id", "query_id"), "query_id"), 50)
     return walk.hybrid(ctqw_topk(spark, sf_dir), near, 10)
 
 
 def ranker_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MRR and recall of the four rankers over the same capped subgraphs."""
-    scores, truth = capped_scores(spark, sf_dir), graph.true_neighbors(kg_edges(spark, sf_dir))
+    scores, truth = written(capped_scores(spark, sf_dir), "scores"), graph.true_neighbors(kg_edges(spark, sf_dir))
     asked, parts = samples(spark, sf_dir, (0,), 20), []
     for name in walk.RANKERS:
         found = evaluate.ranking_scores(walk.ranked(scores, name), asked, truth)
