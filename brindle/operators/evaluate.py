@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import random
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.bits import hamming, limb_names
+from .retrieval import query_blocks
 
 #: Two-sided critical values of Student's t at 0.001, 0.01 and 0.05, by degrees of freedom.
 CRITICAL = {9: (4.781, 3.250, 2.262), 19: (3.883, 2.861, 2.093), 29: (3.659, 2.756, 2.045)}
@@ -34,10 +36,15 @@ def query_scores(addresses: DataFrame, queries: DataFrame, truth: DataFrame, top
 
     Addresses are ranked by distance, then id, without the query. No full ranking is built: the rank of the best
     true neighbour is one more than the number of addresses before it, which is counted before the shuffle. Recall's
-    denominator holds all true neighbours, even those that cannot be found. `queries` is a stated, bounded set.
+    denominator holds all true neighbours, even those that cannot be found. Queries are a stated set: they meet the
+    addresses in blocks of bounded size.
     """
+    parts = [_block_scores(addresses, block, truth, top) for block in query_blocks(queries.select("query_id").distinct())]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _block_scores(addresses: DataFrame, queries: DataFrame, truth: DataFrame, top: int) -> DataFrame:
     names = [n for n in addresses.columns if n in limb_names(8192)]
-    queries = queries.select("query_id").distinct()
     true = truth.select(F.col("id").alias("query_id"), F.col("nbr")).join(queries, "query_id", "left_semi")
     counts = true.groupBy("query_id").agg(F.count("*").alias("n_true"))
     asked = queries.join(addresses.select(F.col("id").alias("query_id"), *[F.col(n).alias(f"q_{n}") for n in names]), "query_id")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.bits import address_of, bind, hamming, literal
-from ..functions.vectors import dot, normalised
+from ..functions.vectors import normalised
 
 #: Queries that are sent to the executors at once.
 QUERY_BLOCK = 4096
@@ -21,6 +21,12 @@ def _limbs(df: DataFrame) -> list[str]:
     return sorted((c for c in df.columns if c[0] == "l" and c[1:].isdigit()), key=lambda c: int(c[1:]))
 
 
+def query_blocks(queries: DataFrame) -> list[DataFrame]:
+    """A stated set of queries in parts that are small enough to be sent to all tasks."""
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    return [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) for b in range(blocks)] if blocks > 1 else [queries]
+
+
 def ranked(addresses: DataFrame, query: Sequence[Column], order: Sequence[str] = ("id",)) -> DataFrame:
     """All addresses with their distance, nearest first; ties go by the `order` columns (id, or the input's order)."""
     names = _limbs(addresses)
@@ -62,10 +68,9 @@ def top_k_batch(addresses: DataFrame, queries: DataFrame, k: int = 10) -> DataFr
     its k best for each query, so the shuffle holds queries * batches * k rows, not queries * addresses.
     """
     names, kind, q_kind = _limbs(addresses), addresses.schema["id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
-    spark, total = addresses.sparkSession, queries.count()
-    blocks, out = max(1, -(-total // QUERY_BLOCK)), None
-    for block in range(blocks):
-        some = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).select("query_id", *names).collect()
+    spark, out = addresses.sparkSession, None
+    for block in query_blocks(queries.select("query_id", *names)):
+        some = block.collect()
         given = spark.sparkContext.broadcast(([r["query_id"] for r in some], np.array([r[1:] for r in some], np.int64).reshape(len(some), len(names))))
 
         def rows(batches, given=given) -> Iterator[pa.RecordBatch]:
@@ -99,13 +104,39 @@ def top_k_batch(addresses: DataFrame, queries: DataFrame, k: int = 10) -> DataFr
 def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, places: int = 9) -> DataFrame:
     """The k nearest of every query by cosine: query_id, id, sim (rounded), rank; ties go by id.
 
-    `vectors` has id and vector, `queries` query_id and vector: a stated set of queries, sent to all tasks.
+    `vectors` has id and vector, `queries` query_id and vector, all of one dimension; null vectors take no part, vectors of
+    length 0 have cosine 0. Queries go to the executors in bounded blocks; each batch keeps its k best for each.
     """
-    q = queries.select("query_id", normalised(F.col("vector")).alias("q"))
-    x = vectors.select("id", normalised(F.col("vector")).alias("x"))
-    sims = x.join(F.broadcast(q) if queries.count() <= QUERY_BLOCK else q, F.col("id") != F.col("query_id")).select("query_id", "id", F.round(dot(F.col("q"), F.col("x")), places).alias("sim"))
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    it, qt = to_arrow_type(vectors.schema["id"].dataType), to_arrow_type(queries.schema["query_id"].dataType)
+    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {vectors.schema['id'].dataType.simpleString()}, sim double"
+    x, out = vectors.where("vector is not null").select("id", normalised(F.col("vector")).alias("v")), None
+    for block in query_blocks(queries.where("vector is not null").select("query_id", normalised(F.col("vector")).alias("v"))):
+        some = block.collect()
+        given = vectors.sparkSession.sparkContext.broadcast(([r["query_id"] for r in some], np.array([r["v"] for r in some], np.float64)))
+
+        def rows(batches, given=given) -> Iterator[pa.RecordBatch]:
+            ids_q, q = given.value
+            best: list[list] = [[] for _ in ids_q]
+            for batch in batches:
+                if not batch.num_rows or not ids_q:
+                    continue
+                ids = batch.column(0).to_pylist()
+                v = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+                sims = np.round(q @ v.T, places) + 0.0
+                for i, mine in enumerate(ids_q):
+                    sim = sims[i]
+                    near = np.flatnonzero(sim >= np.partition(sim, len(sim) - k - 1)[len(sim) - k - 1]) if len(sim) > k + 1 else np.arange(len(sim))
+                    best[i] = heapq.nsmallest(k, best[i] + [(-float(sim[n]), ids[n]) for n in near.tolist() if ids[n] != mine])
+            told = [(mine, i, -s + 0.0) for mine, found in zip(ids_q, best, strict=True) for s, i in found]
+            columns = list(zip(*told, strict=True)) if told else [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], qt), pa.array(columns[1], it), pa.array(columns[2], pa.float64())], names=["query_id", "id", "sim"])
+
+        part = x.mapInArrow(rows, kinds)
+        out = part if out is None else out.unionByName(part)
     order = Window.partitionBy("query_id").orderBy(F.desc("sim"), "id")
-    return sims.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def radius_join(addresses: DataFrame, radius: int = 15) -> DataFrame:

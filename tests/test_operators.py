@@ -81,6 +81,17 @@ def test_batch_equals_single(spark):
         assert found == want
 
 
+def test_cosine(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 2)
+    r = random.Random(8)
+    rows = [(k, [r.gauss(0, 1) for _ in range(6)]) for k in range(90)] + [(200, [0.0] * 6), (201, None), (202, [2.0] + [0.0] * 5), (203, [3.0] + [0.0] * 5)]
+    df = spark.createDataFrame(rows, "id long, vector array<double>").repartition(3)
+    asked = df.where("id in (0, 5, 200, 201, 202)").withColumnRenamed("id", "query_id")
+    unit = {i: np.array(v) / (np.linalg.norm(v) or 1) for i, v in rows if v}
+    want = {(q, i, n) for q in (0, 5, 200, 202) for n, (_, i) in enumerate(sorted((-round(float(unit[q] @ v), 9) + 0.0, i) for i, v in unit.items() if i != q)[:4], 1)}
+    assert {(x["query_id"], x["id"], x["rank"]) for x in retrieval.cosine_top_k(df, asked, 4).collect()} == want
+
+
 def test_radius_join(spark):
     r, rows = random.Random(5), []
     for k in range(60):
