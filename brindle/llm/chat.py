@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -111,10 +112,19 @@ def path(matrices: list[np.ndarray], row: np.ndarray, end: int) -> list[int]:
 
 def repaired(roles: list[int], row: np.ndarray, end: int, costs: Costs) -> list[tuple[int, int, bool]]:
     """(state before, state after, merged) of each turn on the cheapest way to `end`."""
-    kinds = {r: step(r, costs) for r in set(roles)}
+    kinds, ways = _tables(costs)
     states = path([kinds[r] for r in roles], row, end)
-    ways = {r: options(r, costs) for r in kinds}
-    return [next((s, t, merged) for _, s, t, merged in ways[r] if (s, t) == pair) for r, pair in zip(roles, zip(states, states[1:], strict=False), strict=True)]
+    return [ways[r, s, t] for r, s, t in zip(roles, states, states[1:], strict=False)]
+
+
+@lru_cache(maxsize=16)
+def _tables(costs: Costs) -> tuple[list[np.ndarray], dict[tuple[int, int, int], tuple[int, int, bool]]]:
+    """Cost matrices by role, and the cheapest way by role, state before and state after."""
+    ways: dict[tuple[int, int, int], tuple[int, int, bool]] = {}
+    for r in range(4):
+        for _, s, t, merged in options(r, costs):
+            ways.setdefault((r, s, t), (s, t, merged))
+    return [step(r, costs) for r in range(4)], ways
 
 
 def best_end(row: np.ndarray, costs: Costs) -> int:
@@ -175,33 +185,39 @@ def repair(turns: DataFrame, costs: Costs = Costs(), conv: str = "conv_id", turn
 
     def packed(batches) -> Iterator[list]:
         held: list[tuple] = []
-        size, block, now = 0, 0, object()
+        size, block, now = 0, 0, None
+        opening = True  # the partition's first conversation may have begun before it
+        begun = True  # the chunk begins its conversation
 
-        def chunk() -> list:
+        def chunk(whole: bool) -> list:
             m = None
             for r in held:
-                one = step(role_of(r[1]), costs)
+                one = _tables(costs)[0][role_of(r[1])]
                 m = one if m is None else product(m, one)
             turns_, roles_, texts_ = zip(*held, strict=True)
-            return [[now[0]], [now[1]], [block], [list(turns_)], [list(roles_)], [list(texts_)], [m.ravel().tolist()]]
+            return [[now[0]], [now[1]], [block], [whole], [list(turns_)], [list(roles_)], [list(texts_)], [m.ravel().tolist()]]
 
         for batch in batches:
             for c, t, r, x, p in zip(*[k.to_pylist() for k in batch.columns], strict=True):
-                if held and ((c, p) != now or len(held) >= CHUNK_TURNS or size + len(x) > CHUNK_CHARACTERS):
-                    yield chunk()
-                    held, size, block = [], 0, block + 1
+                if held and (c != now[0] or len(held) >= CHUNK_TURNS or size + len(x) > CHUNK_CHARACTERS):
+                    other = c != now[0]
+                    yield chunk(other and begun and not opening)
+                    held, size, block, begun = [], 0, block + 1, other
+                    opening = opening and not other
                 now = (c, p)
                 held.append((t, r, x))
                 size += len(x)
-        if held:
-            yield chunk()
+        if held:  # the partition's last conversation may go on after it
+            yield chunk(False)
 
     a, b = kinds[conv], kinds[turn]
-    chunks = written(mapped(turns, packed, f"conv_id {a}, p int, block int, turns array<{b}>, roles array<string>, texts array<string>, m array<double>"), "chunks")
+    chunks = written(mapped(turns, packed, f"conv_id {a}, p int, block int, whole boolean, turns array<{b}>, roles array<string>, texts array<string>, m array<double>"), "chunks")
 
-    # The chunks of a conversation in a partition, then the conversation's partitions: both are few for a group.
+    # Most conversations are one chunk, known to be whole, and are repaired where they lie. Of the others,
+    # the chunks of a conversation in a partition, then the conversation's partitions: both are few for a group.
     key = f"conv_id {a}, p int"
-    small = chunks.select("conv_id", "p", "block", "m")
+    cut = chunks.where("not whole")
+    small = cut.select("conv_id", "p", "block", "m")
 
     def composed(pdf: pd.DataFrame) -> pd.DataFrame:
         ms = _matrices(pdf.sort_values("block"))
@@ -232,11 +248,11 @@ def repair(turns: DataFrame, costs: Costs = Costs(), conv: str = "conv_id", turn
             some = batch.to_pylist()
             ways = []
             for c in some:
-                ms = [step(role_of(r), costs) for r in c["roles"]]
+                ms = [_tables(costs)[0][role_of(r)] for r in c["roles"]]
                 ways.append([path(ms, np.array(c["row"]), end)[0] for end in range(4)])
             yield [[c[k] for c in some] for k in ("conv_id", "p", "block")] + [ways, [c["after"] for c in some]]
 
-    ways = chunks.select("conv_id", "p", "block", "roles").join(rows, ["p", "block"]).select("conv_id", "p", "block", "roles", "row", "after")
+    ways = cut.select("conv_id", "p", "block", "roles").join(rows, ["p", "block"]).select("conv_id", "p", "block", "roles", "row", "after")
     ways = written(mapped(ways, backward, f"{key}, block int, way array<int>, after array<double>"), "ways")
 
     def through(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -258,15 +274,23 @@ def repair(turns: DataFrame, costs: Costs = Costs(), conv: str = "conv_id", turn
 
     states = ways.join(ends, same).select("conv_id", "p", "block", "way", "t", "final").groupBy("conv_id", "p").applyInPandas(left, "p int, block int, t int, last boolean")
     states = states.join(rows.select("p", "block", "row"), ["p", "block"])
-    whole = chunks.drop("m").join(states, ["p", "block"])
+    single = [F.lit(None).cast(t).alias(n) for n, t in (("row", "array<double>"), ("t", "int"), ("last", "boolean"))]
+    columns = ["conv_id", "p", "block", "turns", "roles", "texts"]
+    every = cut.join(states, ["p", "block"]).select(*columns, "row", "t", "last").unionByName(chunks.where("whole").select(*columns, *single))
 
     def told(batches) -> Iterator[list]:
+        kinds, _ = _tables(costs)
         for batch in batches:
             out: list[list] = [[] for _ in range(9)]
             for c in batch.to_pylist():
-                steps = repaired([role_of(r) for r in c["roles"]], np.array(c["row"]), c["t"], costs)
+                roles = [role_of(r) for r in c["roles"]]
+                row, end, final = c["row"], c["t"], c["last"]
+                if row is None:  # a whole conversation
+                    row, final = begin(), True
+                    end = best_end(_forward(row, [kinds[r] for r in roles])[-1], costs)
+                steps = repaired(roles, np.array(row), end, costs)
                 for k, ((s, t, merged), number, given, text) in enumerate(zip(steps, c["turns"], c["roles"], c["texts"], strict=True)):
-                    last = c["last"] and k == len(steps) - 1
+                    last = final and k == len(steps) - 1
                     same = role_of(given) == t
                     action = ("merge" if same else "merge-relabel") if merged else "keep" if same else "relabel"
                     place = (c["p"] << 40) + (c["block"] << 16) + k
@@ -275,7 +299,7 @@ def repair(turns: DataFrame, costs: Costs = Costs(), conv: str = "conv_id", turn
                         column.append(value)
             yield out
 
-    return mapped(whole.select("conv_id", "p", "block", "turns", "roles", "texts", "row", "t", "last"), told, f"conv_id {a}, turn {b}, place bigint, role string, new_role string, action string, inserted int, inserted_after int, part string")
+    return mapped(every, told, f"conv_id {a}, turn {b}, place bigint, role string, new_role string, action string, inserted int, inserted_after int, part string")
 
 
 def brute_force(turns: list[tuple[str | None, str]], costs: Costs = Costs()) -> tuple[float, str]:
