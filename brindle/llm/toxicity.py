@@ -38,6 +38,8 @@ class Bounds:
     folds: int = 4  # shares of the rows, for the calibration
     text_bytes: int = 65536  # longer labelled texts are not fitted on; all texts are scored
     terms: int = 1500
+    association: float = 16.0  # chi-square with the label that a term has at least
+    lift: float = 3.0  # times as frequent under one label as under the other, at least
     least: int = 4  # examples that hold a term at least
     neighbours: int = 15
     other_words: float = 0.5  # what a word that is no term adds to a document's squared length
@@ -66,18 +68,21 @@ class Model:
     tiles: np.ndarray | None = None  # weights of a term in a block's examples
     most: np.ndarray | None = None  # (term, block) -> greatest weight
     steps: tuple[list[float], list[float]] = ((), ())
+    starts: frozenset = frozenset()  # first bytes of the terms: most words have none of them
 
     def vector(self, counts: Counter, memory: dict) -> tuple[np.ndarray, np.ndarray]:
         """Terms of a document and their weights, of length 1 together."""
-        found: Counter = Counter()
+        found: dict[int, int] = {}
+        starts = self.starts
         for word, n in counts.items():
-            held = memory.get(word)
-            if held is None:
-                if len(memory) > 500_000:
-                    memory.clear()
-                held = memory[word] = tuple(t for x in terms_of(word) if (t := self.terms.get(x)) is not None)
-            for t in held:
-                found[t] += n
+            if word[: STARTS[0]] in starts:
+                held = memory.get(word)
+                if held is None:
+                    if len(memory) > 100_000:
+                        memory.clear()
+                    held = memory[word] = tuple(t for x in terms_of(word) if (t := self.terms.get(x)) is not None)
+                for t in held:
+                    found[t] = found.get(t, 0) + n
         terms = np.fromiter(found, np.int64, len(found))
         weights = (1 + np.log(np.fromiter(found.values(), np.float64, len(found)))) * self.idf[terms]
         # words that are no terms of the index lengthen the document all the same
@@ -121,35 +126,45 @@ def fit(rows: list[tuple], bounds: Bounds = Bounds(), weights: tuple[float, floa
 
     `weights` tells how many rows of label 0 and of label 1 each given one stands for.
     """
+    rows = list({t: (i, t, y) for i, t, y in reversed(rows)}.values())[::-1]  # copies of a text say nothing new
     counted = [(i, term_counts(t), int(y)) for i, t, y in rows]
+    words: dict[bytes, list[bytes]] = {}
+    parts: list[tuple[Counter, Counter]] = [(Counter(), Counter()) for _ in range(bounds.folds)]  # documents that hold a term
+    for k, (_, counts, y) in enumerate(counted):
+        parts[k % bounds.folds][y].update({t for w in counts for t in words.get(w) or words.setdefault(w, terms_of(w))})
+    whole = tuple(sum((p[y] for p in parts), Counter()) for y in (0, 1))
+    often = sorted(t for t in whole[0].keys() | whole[1].keys() if whole[0][t] + whole[1][t] >= bounds.least)
+    held = np.array([[whole[y][t] for t in often] for y in (0, 1)], np.int64).reshape(2, len(often))
     seen = []
     for fold in range(bounds.folds):
-        part = build([r for k, r in enumerate(counted) if k % bounds.folds != fold], bounds)
+        less = np.array([[parts[fold][y][t] for t in often] for y in (0, 1)], np.int64).reshape(2, len(often))
+        part = build([r for k, r in enumerate(counted) if k % bounds.folds != fold], often, held - less, bounds)
         memory: dict = {}
         seen += [(part.raw(part.neighbours(*part.vector(c, memory))), y, weights[y]) for _, c, y in counted[fold :: bounds.folds]]
-    model = build(counted, bounds)
+    model = build(counted, often, held, bounds)
     model.steps = isotonic(seen)
     return model
 
 
-def build(counted: list[tuple], bounds: Bounds) -> Model:
-    """Terms, weights and index of examples (id, counts of words, label), not calibrated."""
+def build(counted: list[tuple], often: list[bytes], held: np.ndarray, bounds: Bounds) -> Model:
+    """Terms, weights and index of examples (id, counts of words, label), not calibrated.
+
+    `held` has the numbers of examples of each label that hold each of the terms in `often`.
+    """
     model = Model(bounds)
     n = [sum(y == k for _, _, y in counted) for k in (0, 1)]
-    held: tuple[Counter, Counter] = (Counter(), Counter())
-    for _, counts, y in counted:
-        held[y].update({t for w in counts for t in terms_of(w)})
     total = sum(n)
-
-    def association(t: bytes) -> float:
-        a, b = held[1][t], held[0][t]
-        rest = (a + b) * (total - a - b) * n[0] * n[1]
-        return total * (a * n[0] - b * n[1]) ** 2 / rest if rest else 0.0
-
-    often = [t for t in held[0].keys() | held[1].keys() if held[0][t] + held[1][t] >= bounds.least]
-    chosen = sorted(often, key=lambda t: (-association(t), t))[: bounds.terms]
-    model.terms = {t: k for k, t in enumerate(chosen)}
-    model.idf = np.array([1 + np.log((1 + total) / (1 + held[0][t] + held[1][t])) for t in chosen] or [0.0])
+    b, a = held.astype(np.float64)
+    rest = (a + b) * (total - a - b) * n[0] * n[1]
+    association = np.where(rest > 0, total * (a * n[0] - b * n[1]) ** 2 / np.where(rest > 0, rest, 1), 0.0)  # chi-square
+    share_a, share_b = (a + 0.5) / (n[1] + 1), (b + 0.5) / (n[0] + 1)
+    lift = np.maximum(share_a / share_b, share_b / share_a)
+    order = np.argsort(-association, kind="stable")
+    good = (a + b >= bounds.least) & (association >= bounds.association) & (lift >= bounds.lift)
+    chosen = order[good[order]][: bounds.terms]
+    model.terms = {often[k]: j for j, k in enumerate(chosen.tolist())}
+    model.starts = frozenset(t[: STARTS[0]] for t in model.terms)
+    model.idf = 1 + np.log((1 + total) / (1 + a + b))[chosen] if len(chosen) else np.zeros(1)
     # Examples with the same leading term lie together, so that few blocks have high bounds.
     memory: dict = {}
     vectors = [(*model.vector(counts, memory), i, y) for i, counts, y in counted]
