@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import ahocorasick
 import sentencepiece
@@ -188,6 +189,12 @@ class Encoder:
         return " ".join(out)
 
 
+@lru_cache(maxsize=2)
+def encoder_of(model_path: str) -> Encoder:
+    """The process's encoder for a vocabulary file: a worker's tasks share what it remembers."""
+    return Encoder(Pieces(model_path))
+
+
 def encode(df: DataFrame, model_path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Ids of every whole text and the text that they decode to, exactly as the library gives them.
 
@@ -220,7 +227,7 @@ def _run(df: DataFrame, model_path: str, id_column: str, text_column: str, colum
     kind = df.schema[id_column].dataType.simpleString()
 
     def rows(batches) -> Iterator[list]:
-        encoder = Encoder(Pieces(model_path))
+        encoder = encoder_of(model_path)
         pieces = encoder.pieces
         texts = _Texts(pieces)
         for batch in batches:
