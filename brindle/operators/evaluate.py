@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.bits import hamming, limb_names
-from .retrieval import query_blocks
+from .retrieval import cosine_top_k, query_blocks
 
 #: Two-sided critical values of Student's t at 0.001, 0.01 and 0.05, by degrees of freedom.
 CRITICAL = {9: (4.781, 3.250, 2.262), 19: (3.883, 2.861, 2.093), 29: (3.659, 2.756, 2.045)}
@@ -70,6 +70,17 @@ def ranking_scores(ranking: DataFrame, queries: DataFrame, truth: DataFrame, top
     return out.select("query_id", F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("rr"), F.coalesce(F.col("hits") / F.col("n_true"), F.lit(0.0)).alias("recall"))
 
 
+def vector_scores(vectors: DataFrame, queries: DataFrame, truth: DataFrame, top: int = 5, depth: int = 1000) -> DataFrame:
+    """The same of a ranking by cosine, as far as the `depth` nearest: a query whose first true neighbour lies deeper scores 0."""
+    ranking = cosine_top_k(vectors, queries, depth).select("query_id", F.col("id").alias("node"), "rank")
+    return ranking_scores(ranking, queries, truth, top)
+
+
+def storage_bytes(bits: int = 256, dimensions: int = 384) -> dict[str, float]:
+    """Bytes of a node's address and of its float32 vector, and their ratio."""
+    return {"signature": bits // 8, "vector": 4 * dimensions, "ratio": 4 * dimensions / (bits // 8)}
+
+
 def seed_means(scores: DataFrame, samples: DataFrame, method: str) -> DataFrame:
     """seed, method, mrr, recall_5 over each seed's queries; each query was scored once for all seeds."""
     means = samples.join(scores, "query_id").groupBy("seed").agg(F.avg("rr").alias("mrr"), F.avg("recall").alias("recall_5"))

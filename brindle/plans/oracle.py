@@ -150,6 +150,16 @@ sims AS (SELECT a.id AS query_id, b.id, round(list_inner_product(a.v, b.v), 9) A
 SELECT * FROM (SELECT query_id, id, sim, (row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id))::INTEGER AS rank FROM sims) WHERE rank <= 10
 """
 
+BY_LABEL = """
+WITH v AS (SELECT vec_id AS id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+n AS (SELECT id, label, list_transform(v, lambda x: x / CASE WHEN list_inner_product(v, v) = 0 THEN 1 ELSE sqrt(list_inner_product(v, v)) END) AS v FROM v),
+r AS (
+  SELECT a.id AS query_id, a.label = b.label AS same, row_number() OVER (PARTITION BY a.id ORDER BY round(list_inner_product(a.v, b.v), 9) DESC, b.id) AS rank
+  FROM n a JOIN n b ON a.id <> b.id WHERE a.id % 50 = 0)
+SELECT query_id, round(coalesce(1.0 / min(rank) FILTER (same), 0.0), 9) AS rr,
+       round(coalesce(count(*) FILTER (same AND rank <= 5) / nullif(count(*) FILTER (same), 0), 0.0), 9) AS recall FROM r GROUP BY query_id
+"""
+
 ORACLES: dict[str, str] = {
     "kg_nodes": f"WITH {NODES} SELECT id, type, text FROM nodes",
     "kg_edges": f"WITH {EDGES} SELECT * FROM edges",
@@ -181,6 +191,7 @@ SELECT a.id, {hamming('a.', 'b.')} AS dist FROM address a, b ORDER BY dist, a.id
     "bind_unbind_errors": f"WITH {NODES} SELECT count(*) AS trials, 0::BIGINT AS errors FROM nodes",
     "cosine_topk": SIM,
     "vector_lengths": "SELECT vec_id, round(list_inner_product(v, v), 6) AS before, CASE WHEN list_inner_product(v, v) = 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS after FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)",
+    "vectors_by_label": BY_LABEL,
     "multiseed": f"{MULTISEED} SELECT * FROM seeds",
     "multiseed_stats": f"""{MULTISEED} SELECT method, n, round(m, 7) AS mean, round(s, 7) AS std, round(m - 1.96 * s / sqrt(n), 7) AS low, round(m + 1.96 * s / sqrt(n), 7) AS high
 FROM (SELECT method, count(*) AS n, avg(mrr) AS m, stddev_samp(mrr) AS s FROM seeds GROUP BY method)""",

@@ -160,6 +160,15 @@ def bits_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def vectors_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reciprocal rank and recall of vectors with the query's label, by cosine."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+    asked = v.where("id % 50 = 0").withColumnRenamed("id", "query_id")
+    truth = asked.select(F.col("query_id").alias("id"), "label").join(v.select(F.col("id").alias("nbr"), "label"), "label").where("id <> nbr").select("id", "nbr")
+    found = evaluate.vector_scores(v, asked, truth, depth=100_000)
+    return found.select("query_id", F.round("rr", 9).alias("rr"), F.round("recall", 9).alias("recall"))
+
+
 def ego(spark: SparkSession, sf_dir: str, hops: int = 1, most: int = 100_000) -> DataFrame:
     """Subgraphs around one seed's queries, up to a number of hops."""
     near = graph.undirected(kg_edges(spark, sf_dir))
@@ -275,6 +284,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bind_unbind_errors": bind_unbind_errors,
     "cosine_topk": cosine_topk,
     "vector_lengths": vector_lengths,
+    "vectors_by_label": vectors_by_label,
     "multiseed": multiseed,
     "multiseed_stats": multiseed_stats,
     "multiseed_paired_t": multiseed_paired_t,
