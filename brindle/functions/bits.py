@@ -25,9 +25,14 @@ def limbs_of(prefix: str = "", bits: int = 256) -> list[Column]:
     return [F.col(f"{prefix}{n}") for n in limb_names(bits)]
 
 
+def hex_limb(digest: Column, j: int) -> Column:
+    """Limb j of 64 hex digits, read as one big-endian number."""
+    return F.conv(F.substring(digest, 49 - 16 * j, 16), 16, -10).cast("long")
+
+
 def digest_limb(text: Column, j: int) -> Column:
-    """Limb j of the SHA-256 of a text, read as one big-endian number."""
-    return F.conv(F.substring(F.sha2(text, 256), 49 - 16 * j, 16), 16, -10).cast("long")
+    """Limb j of the SHA-256 of a text."""
+    return hex_limb(F.sha2(text, 256), j)
 
 
 def digest_address(text: Column) -> list[Column]:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.bits import LIMBS, SEEDS, digest_limb, limb_names, limbs_of, resized
+from ..functions.bits import LIMBS, SEEDS, hex_limb, limb_names, limbs_of, resized
 from ..functions.text import tokens
 
 LANES = 0x0000000100000001
@@ -26,7 +26,7 @@ def _slices(df: DataFrame, by: list[str], limbs: list[Column], weight: Column, m
     """Packed sums of weighted bits: a row for each group and slice, and other sums beside them."""
     df = df.select(*by, *[x.alias(f"_l{j}") for j, x in enumerate(limbs)], weight.alias("_w"), *[c.alias(n) for n, c in more.items()], F.explode(F.sequence(F.lit(0), F.lit(31))).alias("_b"))
     lane = lambda j: F.expr(f"shiftrightunsigned(_l{j}, _b) & {LANES}L") * F.col("_w")
-    sums = [F.sum(sum((lane(j) for j in range(k, len(limbs), LIMBS)), F.lit(0))).alias(f"_v{k}") for k in range(LIMBS)]
+    sums = [F.sum(lane(k)).alias(f"_v{k}") for k in range(LIMBS)]
     return df.groupBy(*by, "_b").agg(*sums, *[F.sum(n).alias(n) for n in more])
 
 
@@ -46,11 +46,14 @@ def simhash(df: DataFrame, id_column: str = "id", text_column: str = "text", bit
 
     Returns the id and its limbs. A text without words has the address 0. Ids are unique; a null id is none.
     """
-    base = df.select(F.col(id_column).alias("id"), F.col(text_column).alias("_t")).where("id is not null")
-    words = base.select("id", F.explode(tokens(F.col("_t"))).alias("_word")).groupBy("id", "_word").agg(F.count("*").alias("_n"))
-    hashed = [digest_limb(F.concat(F.lit(s), F.col("_word")), j) for s in SEEDS for j in range(LIMBS)]
-    votes = _slices(words, ["id"], hashed, F.col("_n"), {"_m": F.col("_n")})
-    found = _address(votes, ["id"], lambda count: count > 2 * F.col("_m"))
+    # Texts are dealt by id once, to a number of partitions that is kept: all sums and joins below follow that dealing.
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    base = df.select(F.col(id_column).alias("id"), F.col(text_column).alias("_t")).where("id is not null").repartition(parts, "id")
+    seeds = F.explode(F.array(*map(F.lit, SEEDS))).alias("_seed")  # a row for each seed keeps the code of a row small
+    words = base.select("id", F.explode(tokens(F.col("_t"))).alias("_word")).select("id", "_word", seeds)
+    hashed = words.select("id", F.sha2(F.concat("_seed", "_word"), 256).alias("_h"))
+    votes = _slices(hashed, ["id"], [hex_limb(F.col("_h"), j) for j in range(LIMBS)], F.lit(1), {"_m": F.lit(1)})
+    found = _address(votes, ["id"], lambda count: 2 * count > F.col("_m"))
     filled = base.select("id").join(found, "id", "left").select("id", *[F.coalesce(c, F.lit(0).cast("long")).alias(n) for n, c in zip(limb_names(), limbs_of(), strict=True)])
     return filled.select("id", *resized(limbs_of(), bits))
 
