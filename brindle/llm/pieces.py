@@ -20,7 +20,7 @@ from .common import mapped, own_columns, small_batches
 
 MARK = "▁"
 #: Chunks and pairs that a worker remembers; beyond it the memory starts anew, which changes no result.
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 
 
 class Pieces:
