@@ -1,6 +1,6 @@
 """Personal data and what discloses it: base patterns, then terms by their information about the entities.
 
-The base patterns find the protected entities. Corpus counts tell what a term near an entity says about it:
+The base patterns find the protected entities. Corpus counts tell what a term in an entity's texts says about it:
 with N documents, the pointwise mutual information log(N n(e,t) / (n(e) n(t))) as a share of the entity's own
 information log(N / n(e)). It is 1 where the term occurs only with the entity, near 0 where the term tells
 nothing. Terms from one threshold on are generalised, from a higher one on removed.
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, as_bytes, mapped, own_columns, row_key, small_batches, words_of, written
+from .common import LOWER, as_bytes, mapped, own_columns, row_key, sent, small_batches, words_of, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: Characters of an address before its sign, and the pattern after it.
@@ -30,17 +30,17 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 WORD = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
 DIGITS = re.compile("[0-9]+")
 
-#: Words on each side of an entity that may disclose it, as far as they lie within so many characters.
-NEAR_WORDS, NEAR_CHARACTERS = 8, 256
 #: Terms that are sent to the executors at most; with more, all terms are counted and joined.
 SENT_TERMS = 200_000
+#: Pairs of an entity and a term that a task counts before it hands them on.
+HELD_PAIRS = 200_000
 
 
 @dataclass(frozen=True)
 class Thresholds:
     generalise: float = 0.75
     remove: float = 0.95
-    support: int = 3  # different texts that hold the term near the entity
+    support: int = 3  # different texts that hold the term and the entity
 
 
 def luhn(digits: str) -> bool:
@@ -85,24 +85,23 @@ def entity(text: str, span: tuple[int, int, str]) -> str:
     return f"{span[2]}:{value.lower() if span[2] in ('email', 'ip') else ''.join(DIGITS.findall(value))}"
 
 
-def near_terms(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[str, str, int, int]]:
-    """(entity, term, start, end) of the words beside each entity that lie in no entity."""
-    out = []
-    for span in spans:
-        left, right = max(0, span[0] - NEAR_CHARACTERS), min(len(text), span[1] + NEAR_CHARACTERS)
-        before = [m for m in WORD.finditer(text, left, span[0]) if m.start() > left or not left or not WORD.match(text, left - 1)]
-        after = [m for m in WORD.finditer(text, span[1], right) if m.end() < right or right == len(text) or not WORD.match(text, right)]
-        name = entity(text, span)
-        for m in before[-NEAR_WORDS:] + after[:NEAR_WORDS]:
-            if not any(a < m.end() and m.start() < b for a, b, _ in spans):
-                out.append((name, m[0].encode("utf-8", "replace").translate(LOWER).decode(), m.start(), m.end()))
+def terms_of(text: str, spans: list[tuple[int, int, str]]) -> dict[str, list[int]]:
+    """Where each word of the whole text starts, without the words that lie in an entity."""
+    out: dict[str, list[int]] = {}
+    k, end = 0, 0  # spans before k start before the word; end is the furthest of theirs
+    for m in WORD.finditer(text):
+        while k < len(spans) and spans[k][0] < m.end():
+            end = max(end, spans[k][1])
+            k += 1
+        if end <= m.start():
+            out.setdefault(m[0].encode("utf-8", "replace").translate(LOWER).decode(), []).append(m.start())
     return out
 
 
 def detect(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Base spans of every whole text and the words near them: doc_id, row, spans, near.
+    """Base spans of every whole text, and the entities and words of texts that have any: doc_id, row, spans, entities, terms.
 
-    `near` is null where there is no span. A null text counts as empty.
+    `entities` and `terms` are null where there is no span. A null text counts as empty.
     """
     small_batches(documents.sparkSession)
     kind = dict(documents.dtypes)[id_column]
@@ -110,14 +109,15 @@ def detect(documents: DataFrame, id_column: str = "doc_id", text_column: str = "
 
     def rows(batches) -> Iterator[list]:
         for batch in batches:
-            spans, near = [], []
+            spans, entities, terms = [], [], []
             for text in batch.column(2).to_pylist():
                 found = base_spans(text) if text else []
                 spans.append([{"kind": k, "start": a, "end": b} for a, b, k in found])
-                near.append([{"entity": e, "term": t, "start": a, "end": b} for e, t, a, b in near_terms(text, found)] if found else None)
-            yield [batch.column(0), batch.column(1), spans, near]
+                entities.append(sorted({entity(text, s) for s in found}) if found else None)
+                terms.append([{"term": t, "at": at} for t, at in terms_of(text, found).items()] if found else None)
+            yield [batch.column(0), batch.column(1), spans, entities, terms]
 
-    return mapped(documents, rows, f"doc_id {kind}, row bigint, {SPANS}, near array<struct<entity: string, term: string, start: int, end: int>>")
+    return mapped(documents, rows, f"doc_id {kind}, row bigint, {SPANS}, entities array<string>, terms array<struct<term: string, at: array<int>>>")
 
 
 SPANS = "spans array<struct<kind: string, start: int, end: int>>"
@@ -142,38 +142,81 @@ def document_counts(documents: DataFrame, terms: set[bytes] | None, text_column:
     return mapped(own_columns(documents, text=text_column), rows, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
 
 
+def pair_counts(texts: DataFrame, counts: dict[str, int] | None, highest: float, power: float) -> DataFrame:
+    """entity, term, n_both, texts: rows and different texts that hold both, added up in each task before the shuffle.
+
+    `texts` has copies, held (entity, n_entity) and terms. With `counts` a pair is left out only if no number of common
+    texts could bring it to the threshold: n(e,t) <= n(e), so it takes n(t) <= highest * n(e) ** power.
+    """
+    given = texts.sparkSession.sparkContext.broadcast(counts)
+
+    def told(pairs: dict[tuple[str, str], list[int]]) -> list[list]:
+        return [[e for e, _ in pairs], [t for _, t in pairs], [n for n, _ in pairs.values()], [n for _, n in pairs.values()]]
+
+    def rows(batches) -> Iterator[list]:
+        known, pairs = given.value, {}
+        for batch in batches:
+            for copies, held, terms in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                some = [(t, 0 if known is None else known[t]) for t in terms if known is None or t in known]
+                for e in held:
+                    most = highest * e["n_entity"] ** power
+                    for t, n in some:
+                        if n <= most:
+                            pair = pairs.setdefault((e["entity"], t), [0, 0])
+                            pair[0] += copies
+                            pair[1] += 1
+                    if len(pairs) > HELD_PAIRS:
+                        yield told(pairs)
+                        pairs = {}
+        yield told(pairs)
+
+    found = mapped(texts.select("copies", "held", "terms"), rows, "entity string, term string, n_both bigint, texts bigint")
+    return found.groupBy("entity", "term").agg(F.sum("n_both").alias("n_both"), F.sum("texts").alias("texts"))
+
+
 def disclosing(documents: DataFrame, found: DataFrame, thresholds: Thresholds = Thresholds(), text_column: str = "text") -> DataFrame:
-    """entity, term, disclosure of the pairs from the lower threshold on, by counts over all documents."""
+    """entity, term, disclosure of the pairs from the lower threshold on, by counts over whole documents."""
     total = documents.count()
-    near = found.where("near is not null").select("row", "doc_id", F.explode("near").alias("x")).select("row", "doc_id", "x.entity", "x.term")
-    pairs = near.groupBy("entity", "term", "row").agg(F.lit(1).alias("one"))  # a text counts once
-    rows = found.where("near is not null").groupBy("row").agg(F.count("*").alias("copies"))
-    pairs = pairs.join(rows, "row").groupBy("entity", "term").agg(F.sum("copies").alias("n_both"), F.count("*").alias("texts"))
-    pairs = written(pairs.where(F.col("texts") >= thresholds.support), "pairs")
-    held = near.select("entity", "row").distinct().join(rows, "row").groupBy("entity").agg(F.sum("copies").alias("n_entity"))
-    terms = pairs.select("term").distinct()
+    bearing = found.where("entities is not null")
+    rows = bearing.groupBy("row").agg(F.count("*").alias("copies"))  # a text counts once as support
+    each = bearing.select("row", F.explode("entities").alias("entity")).distinct().join(rows, "row")
+    entities = each.groupBy("entity").agg(F.sum("copies").alias("n_entity"), F.count("*").alias("texts"))
+    entities = entities.where((F.col("texts") >= thresholds.support) & (F.col("n_entity") < total)).select("entity", "n_entity")
+    entities = sent(entities, "supported")
+    held = each.join(entities, "entity").groupBy("row").agg(F.first("copies").alias("copies"), F.collect_list(F.struct("entity", "n_entity")).alias("held"))
+    names = bearing.select("row", F.transform("terms", lambda x: x["term"]).alias("terms")).dropDuplicates(["row"])
+    texts = written(names.join(held, "row"), "texts")
+    terms = texts.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("texts"))
+    terms = written(terms.where(F.col("texts") >= thresholds.support).select("term"), "terms")
     few = terms.count() <= SENT_TERMS
     chosen = {r["term"].encode() for r in terms.collect()} if few else None
-    counts = document_counts(documents, chosen, text_column)
-    pairs = pairs.join(held, "entity").join(counts, "term")
+    counts = written(document_counts(documents, chosen, text_column), "counts")
+    highest = float(total) ** (1 - thresholds.generalise) * (1 + 1e-9)
+    known = {r["term"]: r["n"] for r in counts.collect()} if few else None
+    pairs = pair_counts(texts, known, highest, thresholds.generalise).where(F.col("texts") >= thresholds.support)
+    pairs = pairs.join(entities, "entity").join(counts, "term")
     share = F.log(F.lit(float(total)) * F.col("n_both") / (F.col("n_entity") * F.greatest("n", "n_both"))) / F.log(F.lit(float(total)) / F.col("n_entity"))
-    pairs = pairs.where(F.col("n_entity") < total).select("entity", "term", share.alias("disclosure"))
-    return pairs.where(F.col("disclosure") >= thresholds.generalise)
+    return pairs.select("entity", "term", share.alias("disclosure")).where(F.col("disclosure") >= thresholds.generalise)
 
 
 def sanitised_spans(documents: DataFrame, thresholds: Thresholds = Thresholds(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """All spans of every whole text: doc_id, row, spans (kind, start, end), by start, then kind.
 
-    Kinds are the base ones, and `generalise` or `remove` for terms that disclose an entity beside them. Base spans
-    stay as found. Counts cover all rows; copies of a text count as rows but not as support. A row for each
-    document, repeated rows included; a null or empty text has none; an empty table gives no rows.
+    Kinds are the base ones, and `generalise` or `remove` for terms that disclose an entity: all their places in the
+    texts that hold the entity, however far from it. Base spans stay as found. Counts cover all rows; copies of a text
+    count as rows but not as support. A row for each document, repeated rows included; a null or empty text has none;
+    an empty table gives no rows.
     """
     found = written(detect(documents, id_column, text_column), "entities")
-    pairs = disclosing(documents, found, thresholds, text_column)
-    near = found.where("near is not null").select("row", F.explode("near").alias("x")).select("row", "x.*").distinct()
+    pairs = written(disclosing(documents, found, thresholds, text_column), "pairs")
+    pairs = F.broadcast(pairs) if pairs.count() <= SENT_TERMS else pairs
+    bearing = found.where("entities is not null")
+    placed = bearing.select("row", F.explode("terms").alias("x")).select("row", "x.*").join(pairs, "term")
+    placed = placed.join(bearing.select("row", F.explode("entities").alias("entity")).distinct(), ["row", "entity"], "left_semi")
+    flagged = placed.groupBy("row", "term").agg(F.max("disclosure").alias("disclosure"), F.first("at").alias("at"))
     kind = F.when(F.col("disclosure") >= thresholds.remove, "remove").otherwise("generalise")
-    flagged = near.join(pairs, ["entity", "term"]).groupBy("row", "start", "end").agg(F.max("disclosure").alias("disclosure"))
-    flagged = flagged.groupBy("row").agg(F.collect_list(F.struct(kind.alias("kind"), "start", "end")).alias("more"))
+    flagged = flagged.select("row", kind.alias("kind"), F.explode("at").alias("start"), F.length("term").alias("n"))
+    flagged = flagged.groupBy("row").agg(F.collect_list(F.struct("kind", "start", (F.col("start") + F.col("n")).alias("end"))).alias("more"))
     rank = F.array(*[F.lit(k) for k in (*KINDS, "generalise", "remove")])
     every = F.transform(F.concat("spans", F.coalesce("more", F.array().cast("array<struct<kind:string,start:int,end:int>>"))), lambda s: F.struct(s["start"].alias("start"), F.array_position(rank, s["kind"]).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))
     ordered = F.transform(F.array_sort(every), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))

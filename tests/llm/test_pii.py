@@ -1,9 +1,12 @@
 """Base spans against the plain patterns, disclosure against counts by hand."""
 
 import hashlib
+import math
 import random
 import re
 
+import pytest
+
 from brindle.llm import pii
 
 SCHEMA = "doc_id long, text string, row string, spans int, term string"
@@ -82,6 +85,52 @@ def test_sanitised_texts(spark):
     assert all(got[i]["text"] == t for i, t in rows if t is None or "@" not in t)
 
 
+def test_terms_far_from_the_entity(spark):
+    """A term that stands far from the address in every text is marked at all its places, beside a common filler."""
+    filler = "common words " * 60
+    rows = [(k, f"Zorblat {filler} number{k} writes ann@mail.example.com {filler} and zorblat, {filler}é zorblat") for k in range(4)]
+    rows += [(10 + k, f"{filler} writes number and é {k}") for k in range(30)]
+    got = {x["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in x["spans"]] for x in pii.sanitised_spans(frame(spark, rows)).collect()}
+    for i, text in rows:
+        want = [("remove", m.start(), m.end()) for m in re.finditer("(?i)zorblat", text)]
+        assert [s for s in got[i] if s[0] in ("remove", "generalise")] == want
+        assert len(want) == (3 if i < 10 else 0)
+
+
+def disclosed(rows, thresholds=pii.Thresholds()):
+    """Pairs and their disclosure by counting over whole texts."""
+    spans = [pii.base_spans(t) for _, t in rows]
+    words = [{m[0].lower() for m in pii.WORD.finditer(t)} for _, t in rows]
+    own = [{m[0].lower() for m in pii.WORD.finditer(t) if not any(a < m.end() and m.start() < b for a, b, _ in s)} for (_, t), s in zip(rows, spans, strict=True)]
+    held, out = [{pii.entity(t, x) for x in s} for (_, t), s in zip(rows, spans, strict=True)], {}
+    for e in set().union(*held):
+        at = [k for k, h in enumerate(held) if e in h]
+        for w in set().union(*[own[k] for k in at]):
+            both, n = sum(w in own[k] for k in at), sum(w in x for x in words)
+            if both >= thresholds.support and len(at) < len(rows):
+                share = math.log(len(rows) * both / (len(at) * max(n, both))) / math.log(len(rows) / len(at))
+                if share >= thresholds.generalise:
+                    out[e, w] = round(share, 9)
+    return out
+
+
+@pytest.mark.parametrize("sent", [200_000, 0])
+def test_counts_at_random(spark, monkeypatch, sent):
+    monkeypatch.setattr(pii, "SENT_TERMS", sent)
+    monkeypatch.setattr(pii, "HELD_PAIRS", 40)
+    r = random.Random(8)
+    rows = []
+    for k in range(120):
+        who = r.randrange(12)
+        words = [f"w{int(40 * r.random() ** 2)}" for _ in range(30)] + [f"own{who}"] * (r.random() < 0.8)
+        r.shuffle(words)
+        rows.append((k, " ".join(words + [f"p{who}@mail.org"] * (who < 6))))
+    df = frame(spark, rows)
+    found = pii.detect(df).localCheckpoint()
+    got = {(x["entity"], x["term"]): round(x["disclosure"], 9) for x in pii.disclosing(df, found).collect()}
+    assert got == disclosed(rows) and got
+
+
 def test_replacing():
     assert pii.sanitise("abc Def 12", [(0, 3, "remove"), (4, 7, "generalise"), (8, 10, "generalise")]) == " [NAME] [NUMBER]"
     assert pii.sanitise("0123456789", [(0, 5, "card"), (3, 7, "phone")]) == "[CARD]789"
