@@ -25,7 +25,10 @@ INDEPENDENT = 60
 #: Pages that a smoothed count weighs as much as.
 SMOOTHING = 5.0
 
-DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?\s*([a-zA-Z]{2,3})\b|<meta\b[^>]*?content-language[^>]*?content\s*=\s*[\"']?\s*([a-zA-Z]{2,3})\b", re.I)
+#: Tags that may declare a language, and where in them it stands; what is read once is not given back.
+OPEN = re.compile(r"<(html|meta)\b", re.I)
+CONTENT_LANGUAGE = re.compile("content-language", re.I)
+LANG, CONTENT = (re.compile(name + r"\s*+=\s*+(?:[\"']\s*+)?([a-zA-Z]{2,3})\b", re.I) for name in (r"\blang", "content"))
 HOST = re.compile(r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", re.I)
 
 
@@ -87,9 +90,22 @@ def learn(documents: DataFrame, text_column: str = "text", lang_column: str = "l
 
 
 def declared(page: str | None) -> str | None:
-    """The language that the markup declares: its first subtag in lower case."""
-    m = DECLARED.search(page[:65536] if page else "")
-    return (m[1] or m[2]).lower() if m else None
+    """The language that the markup declares: its first subtag in lower case. The whole page is read, in linear time."""
+    ends = {"html": 0, "meta": 0}
+    for m in OPEN.finditer(page or ""):
+        tag = m[1].lower()
+        if m.start() < ends[tag]:  # in a tag that an earlier one of the kind has opened and that says nothing
+            continue
+        at, close = m.end(), page.find(">", m.end())
+        end = ends[tag] = close if close >= 0 else len(page)
+        if tag == "meta":
+            name = CONTENT_LANGUAGE.search(page, at, end)
+            found = CONTENT.search(page, name.end(), end) if name else None
+        else:
+            found = LANG.search(page, at, end)
+        if found:
+            return found[1].lower()
+    return None
 
 
 def address(url: str | None) -> tuple[str | None, str | None, str | None]:

@@ -1,5 +1,8 @@
 """Evidence fusion on pages with known languages, and its edge cases."""
 
+import random
+import re
+
 from brindle.llm import langid
 
 WORDS = {"en": "the and of that with this from for which there".split(), "de": "der und nicht eine durch auch nach wird über für".split(), "fr": "les dans une pour avec est sur être très où".split()}
@@ -57,3 +60,30 @@ def test_parts():
     assert langid.address("http://localhost/") == (None, "localhost", "localhost") and langid.address("x/y") == (None, None, None)
     assert langid.declared("<!doctype html><HTML class=x lang = 'pt-BR'>") == "pt"
     assert langid.declared('<meta http-equiv="content-language" content="de">') == "de" and langid.declared("<p lang=x>") is None
+
+
+def test_declared_after_a_long_head():
+    for lead in ("<!--" + "x" * 70_000 + "-->", "<!--" + "x > y " * 40_000 + "-->", "<style>" + "a{b:c} " * 20_000 + "</style>"):
+        assert langid.declared(lead + "<html class='a' lang=\"sv-SE\"><body>") == "sv"
+        assert langid.declared("<html><head>" + lead + "<meta http-equiv=content-language content='fi'>") == "fi"
+
+
+#: What is declared, in one pattern whose time grows with a power of the page's length.
+PLAIN = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?\s*([a-zA-Z]{2,3})\b|<meta\b[^>]*?content-language[^>]*?content\s*=\s*[\"']?\s*([a-zA-Z]{2,3})\b", re.I)
+
+
+def test_declared_at_random():
+    r, hits = random.Random(4), 0
+    parts = ["<html", "<META", " ", " ", ">", "lang", "Lang=", "=", "content-language", " content", "content=", "'", '"', "de", "fra", "abcd", "x", "-", "<"]
+    for _ in range(60_000):
+        page = r.choice(["", "<html ", "<meta content-language "]) + "".join(r.choice(parts) for _ in range(r.randint(1, 16)))
+        m = PLAIN.search(page)
+        hits += m is not None
+        assert langid.declared(page) == ((m[1] or m[2]).lower() if m else None), page
+    assert hits > 500
+
+
+def test_declared_is_read_once():
+    for page in ("<html ", "<meta ", "<meta content-language ", "<meta content-language content", "<html lang", "<html lang=", "<html><meta>"):
+        assert langid.declared(page * 100_000) is None
+    assert langid.declared("<html lang=" + " " * 1_000_000) is None
