@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.bits import hamming, limb_names
-from .retrieval import cosine_top_k, query_blocks
+from ..functions.vectors import dot, normalised
+from .retrieval import cosine_before, cosine_top_k, query_blocks
 
 #: Two-sided critical values of Student's t at 0.001, 0.01 and 0.05, by degrees of freedom.
 CRITICAL = {9: (4.781, 3.250, 2.262), 19: (3.883, 2.861, 2.093), 29: (3.659, 2.756, 2.045)}
@@ -70,10 +71,17 @@ def ranking_scores(ranking: DataFrame, queries: DataFrame, truth: DataFrame, top
     return out.select("query_id", F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("rr"), F.coalesce(F.col("hits") / F.col("n_true"), F.lit(0.0)).alias("recall"))
 
 
-def vector_scores(vectors: DataFrame, queries: DataFrame, truth: DataFrame, top: int = 5, depth: int = 1000) -> DataFrame:
-    """The same of a ranking by cosine, as far as the `depth` nearest: a query whose first true neighbour lies deeper scores 0."""
-    ranking = cosine_top_k(vectors, queries, depth).select("query_id", F.col("id").alias("node"), "rank")
-    return ranking_scores(ranking, queries, truth, top)
+def vector_scores(vectors: DataFrame, queries: DataFrame, truth: DataFrame, top: int = 5) -> DataFrame:
+    """The same of a ranking by cosine, however deep the first true neighbour lies: what is before it is counted, not ranked."""
+    asked, unit = queries.select("query_id", "vector").where("vector is not null"), normalised(F.col("vector"))
+    true = truth.select(F.col("id").alias("query_id"), F.col("nbr").alias("id")).where("id <> query_id")
+    pairs = true.join(asked.select("query_id", unit.alias("v")), "query_id").join(vectors.where("vector is not null").select("id", unit.alias("w")), "id")
+    sim = F.round(dot(F.col("v"), F.col("w")), 9) + 0.0
+    best = pairs.select("query_id", "id", sim.alias("sim")).groupBy("query_id").agg(F.min(F.struct((-F.col("sim")).alias("away"), "id")).alias("best"))
+    best = best.select("query_id", (-F.col("best.away")).alias("sim"), "best.id")
+    first = cosine_before(vectors, asked.join(best, "query_id")).select("query_id", (1 / (1 + F.col("n_before"))).alias("exact"))
+    found = ranking_scores(cosine_top_k(vectors, queries, top).select("query_id", F.col("id").alias("node"), "rank"), queries, truth, top)
+    return found.join(first, "query_id", "left").select("query_id", F.coalesce("exact", F.lit(0.0)).alias("rr"), "recall")
 
 
 def storage_bytes(bits: int = 256, dimensions: int = 384) -> dict[str, float]:

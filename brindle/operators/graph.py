@@ -36,16 +36,16 @@ def eligible(nodes: DataFrame, edges: DataFrame, least: int = 2) -> DataFrame:
     return counts.join(nodes.select("id"), "id", "left_semi").select(F.col("id").alias("query_id"), "n_true")
 
 
-def bfs_subgraph(queries: DataFrame, near: DataFrame, most: int = 50, hops: int | None = None) -> DataFrame:
+def bfs_subgraph(queries: DataFrame, near: DataFrame, most: int | None = 50, hops: int | None = None) -> DataFrame:
     """Breadth-first subgraphs of all queries at once: query_id, node, bfs_order, dist.
 
     `near` is `undirected`'s table. The order is that of one queue: nodes by their parent's order, then by the
-    edges' order. A subgraph ends at `most` nodes or after `hops` levels. Unknown queries give themselves. One
+    edges' order. A subgraph ends at `most` nodes (None: no such end) or after `hops` levels. Unknown queries give themselves. One
     pass of joins a level serves all queries; each level is written, so the plan stays short.
     """
     start = queries.select("query_id").distinct()
     seen = start.select("query_id", F.col("query_id").alias("node"), F.lit(1).alias("bfs_order"), F.lit(0).alias("dist"))
-    if most <= 1:
+    if most is not None and most <= 1:
         return seen
     near = near.select(F.col("id").alias("node"), "nbr", "edge_seq", "side")
     level, frontier = 0, seen
@@ -55,8 +55,9 @@ def bfs_subgraph(queries: DataFrame, near: DataFrame, most: int = 50, hops: int
         found = found.join(seen.select("query_id", "node"), ["query_id", "node"], "left_anti")
         order = Window.partitionBy("query_id").orderBy("key", "node")
         have = seen.groupBy("query_id").agg(F.max("bfs_order").alias("have"))
-        found = found.withColumn("at", F.row_number().over(order)).where(F.col("at") <= most).join(have, "query_id")
-        found = found.where(F.col("have") + F.col("at") <= most)
+        found = found.withColumn("at", F.row_number().over(order))
+        found = (found if most is None else found.where(F.col("at") <= most)).join(have, "query_id")
+        found = found if most is None else found.where(F.col("have") + F.col("at") <= most)
         frontier = written(found.select("query_id", "node", (F.col("have") + F.col("at")).cast("int").alias("bfs_order"), F.lit(level).alias("dist")), "level")
         if frontier.isEmpty():
             break

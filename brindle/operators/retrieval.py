@@ -139,6 +139,41 @@ def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, places: in
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def cosine_before(vectors: DataFrame, marks: DataFrame, places: int = 9) -> DataFrame:
+    """query_id, n_before: vectors that come before a marked one in the ranking by cosine, then id.
+
+    `marks` has query_id, the query's vector, and sim and id of the marked vector. Each task hands on one count a query.
+    """
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    qt, kinds = to_arrow_type(marks.schema["query_id"].dataType), f"query_id {marks.schema['query_id'].dataType.simpleString()}, n bigint"
+    x, out = vectors.where("vector is not null").select("id", normalised(F.col("vector")).alias("v")), None
+    for block in query_blocks(marks.select("query_id", normalised(F.col("vector")).alias("v"), "sim", "id")):
+        some = block.collect()
+        given = vectors.sparkSession.sparkContext.broadcast(([r["query_id"] for r in some], np.array([r["v"] for r in some], np.float64), np.array([r["sim"] for r in some], np.float64), [r["id"] for r in some]))
+
+        def rows(batches, given=given) -> Iterator[pa.RecordBatch]:
+            ids_q, q, sim, marked = given.value
+            before = np.zeros(len(ids_q), np.int64)
+            for batch in batches:
+                if not batch.num_rows or not ids_q:
+                    continue
+                ids = batch.column(0).to_pylist()
+                v = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+                sims = np.round(q @ v.T, places) + 0.0
+                before += (sims > sim[:, None]).sum(axis=1)
+                own = {n: k for k, n in enumerate(ids)}
+                for i, k in [(i, own[mine]) for i, mine in enumerate(ids_q) if mine in own]:
+                    before[i] -= sims[i, k] > sim[i]  # a query is not before itself
+                for i, k in zip(*np.nonzero(sims == sim[:, None]), strict=True):
+                    before[i] += ids[k] < marked[i] and ids[k] != ids_q[i]
+            yield pa.RecordBatch.from_arrays([pa.array(ids_q, qt), pa.array(before)], names=["query_id", "n"])
+
+        part = x.mapInArrow(rows, kinds)
+        out = part if out is None else out.unionByName(part)
+    return out.groupBy("query_id").agg(F.sum("n").alias("n_before"))
+
+
 def radius_join(addresses: DataFrame, radius: int = 15) -> DataFrame:
     """a, b, dist of all pairs of 256-bit addresses that differ in at most `radius` < 16 bits, exactly.
 

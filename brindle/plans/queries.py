@@ -165,12 +165,12 @@ def vectors_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
     asked = v.where("id % 50 = 0").withColumnRenamed("id", "query_id")
     truth = asked.select(F.col("query_id").alias("id"), "label").join(v.select(F.col("id").alias("nbr"), "label"), "label").where("id <> nbr").select("id", "nbr")
-    found = evaluate.vector_scores(v, asked, truth, depth=100_000)
+    found = evaluate.vector_scores(v, asked, truth)
     return found.select("query_id", F.round("rr", 9).alias("rr"), F.round("recall", 9).alias("recall"))
 
 
-def ego(spark: SparkSession, sf_dir: str, hops: int = 1, most: int = 100_000) -> DataFrame:
-    """Subgraphs around one seed's queries, up to a number of hops."""
+def ego(spark: SparkSession, sf_dir: str, hops: int | None = 1, most: int | None = None) -> DataFrame:
+    """Subgraphs around one seed's queries, up to a number of hops or nodes."""
     near = graph.undirected(kg_edges(spark, sf_dir))
     return graph.bfs_subgraph(samples(spark, sf_dir, (0,), 20), near, most, hops)
 

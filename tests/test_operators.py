@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions import bits
 from brindle.operators import evaluate, graph, retrieval, sanitize, signatures, walk
+from brindle.plans import queries
 
 EDGES = "source string, target string, type string, edge_seq int"
 
@@ -143,6 +144,40 @@ def test_bfs_cap_on_a_star(spark):
     assert [x["node"] for x in got] == ["hub"] + [f"x{k:02d}" for k in range(49)]
 
 
+def test_bfs_without_a_cap(spark):
+    near = graph.undirected(edges_of(spark, [("hub", f"x{k:02d}") for k in range(60)] + [("x07", f"y{k}") for k in range(9)]))
+    asked = spark.createDataFrame([("hub",), ("y0",)], "query_id string")
+    got = graph.bfs_subgraph(asked, near, None, 2).groupBy("query_id").agg(F.count("*"), F.max("dist"), F.max("bfs_order")).collect()
+    assert {tuple(x) for x in got} == {("hub", 70, 2, 70), ("y0", 11, 2, 11)}
+
+
+def test_registered_subgraphs_have_no_cap(spark, monkeypatch):
+    given = []
+    monkeypatch.setattr(graph, "bfs_subgraph", lambda asked, near, most, hops: given.append((most, hops)) or asked)
+    monkeypatch.setattr(queries, "samples", lambda *_: spark.createDataFrame([("a",)], "query_id string"))
+    monkeypatch.setattr(queries, "kg_edges", lambda *_: edges_of(spark, [("a", "b")]))
+    queries.ego(spark, "", 2)
+    assert given == [(None, 2)]
+
+
+def test_vector_scores_at_any_depth(spark):
+    r = random.Random(13)
+    rows = [(k, [float(r.randint(-3, 3)) for _ in range(3)], r.choice("ab")) for k in range(200)] + [(k, [-1.0, 0.0, 0.01 * (k - 1200)], "c") for k in range(200, 1400)]
+    rows += [(1400, [1.0, 0.0, 0.0], "d"), (1401, [-1.0, 0.0, 0.0], "d"), (1402, None, "a"), (1403, [0.0, 0.0, 0.0], "e")]
+    v = spark.createDataFrame(rows, "id long, vector array<double>, label string").repartition(3)
+    asked = v.where("id in (3, 4, 5, 300, 1400, 1401, 1402, 1403)").withColumnRenamed("id", "query_id")
+    truth = asked.select(F.col("query_id").alias("id"), "label").join(v.select(F.col("id").alias("nbr"), "label"), "label").where("id <> nbr").select("id", "nbr")
+    unit = {k: np.array(x) / (np.linalg.norm(x) or 1) for k, x, _ in rows if x}
+    label, want = {k: c for k, _, c in rows}, {}
+    for q in (3, 4, 5, 300, 1400, 1401, 1402, 1403):
+        order = sorted((-round(float(unit[q] @ unit[k]), 9) + 0.0, k) for k in unit if k != q) if q in unit else []
+        hits = [n + 1 for n, (_, k) in enumerate(order) if label[k] == label[q]]
+        true = sum(c == label[q] for k, c in label.items() if k != q)
+        want[q] = (round(1 / hits[0], 9) if hits else 0.0, round(sum(h <= 5 for h in hits) / true, 9) if true else 0.0)
+    got = {x["query_id"]: (round(x["rr"], 9), round(x["recall"], 9)) for x in evaluate.vector_scores(v, asked, truth).collect()}
+    assert got == want and 0 < got[1400][0] < 1 / 1000
+
+
 def test_walks_by_hand():
     k2, path3 = np.array([[0, 1], [1, 0]], float), np.array([[0, 1, 0], [1, 0, 1], [0, 1, 0]], float)
     assert walk.ctqw(k2, 0)[1] == pytest.approx(math.sin(0.5) ** 2)
