@@ -198,6 +198,13 @@ def members(addresses: DataFrame) -> DataFrame:
     return addresses.join(addresses.groupBy(*names).agg(F.min("id").alias("representative")), names).select("id", "representative")
 
 
+def linked_members(addresses: DataFrame, pairs: DataFrame) -> DataFrame:
+    """id, representative, links: a row for each address's id, with the number of its representative's pairs in `pairs`."""
+    ends = pairs.select(F.col("a").alias("representative")).union(pairs.select("b"))
+    links = ends.groupBy("representative").agg(F.count("*").alias("links"))
+    return members(addresses).join(links, "representative", "left").select("id", "representative", F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+
+
 def decorated(results: DataFrame, nodes: DataFrame) -> DataFrame:
     """Results with their nodes' short titles; of nodes that repeat an id, the first in input order, else any."""
     from ..functions.text import short_title

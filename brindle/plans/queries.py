@@ -74,6 +74,12 @@ def documents_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.radius_join(written(documents_simhash(spark, sf_dir), "addresses"), 15)
 
 
+def documents_near_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its address's representative, of which `documents_near` has the pairs, and their number."""
+    stored = written(documents_simhash(spark, sf_dir), "addresses")
+    return retrieval.linked_members(stored, retrieval.radius_join(stored, 15))
+
+
 def hamming_topk_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.text_query(addresses(spark, sf_dir), TEXT, 10)
 
@@ -276,6 +282,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "address_widths": address_widths,
     "documents_simhash": documents_simhash,
     "documents_near": documents_near,
+    "documents_near_members": documents_near_members,
     "hamming_topk_text": hamming_topk_text,
     "hamming_topk_node": hamming_topk_node,
     "hamming_topk_exclude": hamming_topk_exclude,

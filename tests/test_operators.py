@@ -111,6 +111,21 @@ def test_radius_join(spark):
         retrieval.radius_join(index, 16)
 
 
+def test_members_of_near_documents(spark, tmp_path):
+    """Every document is told, copies with and without other neighbours too."""
+    r = random.Random(3)
+    base = [" ".join(f"w{r.randrange(500)}" for _ in range(300)) for _ in range(6)]
+    texts = [base[0], base[0] + " w1", base[0], base[1], base[1].upper(), base[1], base[2], base[3], "", ""]
+    spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    address = {k: bits.address_of(t) for k, t in enumerate(texts)}
+    first = {k: min(j for j in address if address[j] == address[k]) for k in address}
+    dist = lambda x, y: sum(((a ^ b) & (1 << 64) - 1).bit_count() for a, b in zip(address[x], address[y], strict=True))
+    links = {k: sum(j != k and dist(j, k) <= 15 for j in set(first.values())) for k in set(first.values())}
+    got = queries.QUERIES["documents_near_members"](spark, str(tmp_path)).collect()
+    assert sorted(tuple(x) for x in got) == [(k, first[k], links[first[k]]) for k in sorted(address)]
+    assert (links[0], links[3]) == (1, 0) and [first[k] for k in (2, 5, 9)] == [0, 3, 8]
+
+
 def queue_bfs(pairs, query, most):
     near = defaultdict(list)
     for a, b in pairs:
