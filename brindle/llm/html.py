@@ -200,7 +200,7 @@ def nodes_of(root: Node) -> list[Node]:
         if node.tag == "#text":
             t = node.text
             n = len(t)
-            node.stats = [n, t.count(" ") + 1, node.linked, node.tags, 1, 0, 0, 0, t.count(". ") + t.count("! ") + t.count("? ") + (t[-1] in ".!?"), t.count(","), sum(map(t.count, "0123456789")), sum(map(str.isupper, t[:200])) * max(1.0, n / 200), n, "©" in t or "(c)" in t.lower(), 0]
+            node.stats = [n, t.count(" ") + 1, node.linked, node.tags, 1, 0, 0, 0, t.count(". ") + t.count("! ") + t.count("? ") + (t[-1] in ".!?"), t.count(","), sum(map(t.count, "0123456789")), sum(map(str.isupper, t)), n, "©" in t or "(c)" in t.lower(), 0]
             continue
         total = [0.0] * 15
         for c in node.children:
@@ -228,6 +228,12 @@ def features(order: list[Node]) -> tuple[np.ndarray, list[int]]:
     parents, depths = [-1] * len(order), [0] * len(order)
     base, up, upw, rest = len(TAGS), len(TAGS) + len(WORDS), len(TAGS) + len(WORDS) + 6, len(TAGS) + 2 * len(WORDS) + 6
     whole = order[0].stats[0] if order else 1
+    spots = {}  # among the children with text: their number, the place, the lengths of those beside it
+    for node in order:
+        mates = [c for c in node.children if c.stats[0]]
+        lengths = [0.0, *(c.stats[0] for c in mates), 0.0]
+        for j, c in enumerate(mates):
+            spots[id(c)] = len(mates), j, lengths[j], lengths[j + 2]
     for k, node in enumerate(order):
         row, s = x[k], node.stats
         tag = TAG_OF.get(node.tag)
@@ -242,15 +248,7 @@ def features(order: list[Node]) -> tuple[np.ndarray, list[int]]:
             row[up : up + 6] = np.maximum(x[p, up : up + 6], x[p, :6])
             row[upw:rest] = np.maximum(x[p, upw:rest], x[p, base:up])
             parent_length = node.parent.stats[0]
-            mates = [c for c in node.parent.children if c.stats[0]] if len(node.parent.children) <= 400 else node.parent.children
-            siblings = len(mates)
-            if siblings <= 400:
-                at = next(j for j, c in enumerate(mates) if c is node)
-                before = mates[at - 1].stats[0] if at else 0.0
-                after = mates[at + 1].stats[0] if at + 1 < siblings else 0.0
-            else:
-                at = siblings // 2
-                before = after = s[0]
+            siblings, at, before, after = spots[id(node)]
         n = s[0]
         row[rest:] = (
             depths[k], log1p(n), log1p(s[1]), log1p(s[2]), log1p(s[3]), n / (1 + s[3]), s[2] / n, log1p(s[4]), log1p(s[5]), log1p(s[6]), log1p(s[7]),

@@ -60,3 +60,21 @@ def test_extract(spark):
     assert len(got) == 4 and all(len(x["text"]) == x["n_chars"] for x in got)
     assert {x["text"] for x in got if x["page_id"] != 1} == {""}
     assert html.extract(pages.limit(0)).collect() == []
+
+
+def test_features_of_many_siblings():
+    """Places, neighbours and upper case are told alike however many children an element has and however long a text is."""
+    at, before, after, n, upper = (html.NAMES.index(k) for k in ("place", "before", "after", "siblings", "upper"))
+    for k in (5, 401, 3000):
+        page = "<body>" + "".join(f"<p>{'a' * (1 + j % 7)}</p><p></p>" for j in range(k)) + "</body>"
+        order = html.nodes_of(html.parse(page))
+        x, _ = html.features(order)
+        rows = [r for r, node in zip(x, order, strict=True) if node.tag == "p"]
+        size = [1 + j % 7 for j in range(k)]
+        assert len(rows) == k
+        for j in (0, 1, k // 3, k - 1):
+            want = [j / k, np.log1p(size[j - 1] if j else 0), np.log1p(size[j + 1] if j + 1 < k else 0), np.log1p(k)]
+            assert rows[j][[at, before, after, n]] == pytest.approx(want, rel=1e-6)
+    order = html.nodes_of(html.parse("<p>" + "A" * 200 + "b" * 600 + "</p>"))
+    x, _ = html.features(order)
+    assert x[-1][upper] == pytest.approx(0.25)
