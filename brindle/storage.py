@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders that each open `scratch` has seen written.
+_OPEN: list[list[str]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """What the cluster names in spark.checkpoint.dir; where that is unset, one temporary folder for the session."""
+    """What the cluster names in spark.checkpoint.dir; where that is unset, one temporary folder for a local session.
+
+    A cluster that names none is an error: its executors could not read this machine's folders.
+    """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("brindle.shared.dir", None)
     if not named:
+        if not (spark.sparkContext.master or "").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="brindle-")
         spark.conf.set("brindle.shared.dir", named)
     return named.rstrip("/")
@@ -19,6 +29,42 @@ def shared_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """The DataFrame written as a table and read again: its lineage ends there."""
-    path = f"{shared_dir(df.sparkSession)}/brindle/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    path = f"{shared_dir(spark)}/brindle/{name}-{uuid.uuid4().hex}"
+    for made in _OPEN:
+        made.append(path)
+    return path
+
+
+def drop_written(spark: SparkSession, path: str) -> None:
+    """Delete a folder through the file system that its path names."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete every table that `written` left in the shared folder; results that read them end."""
+    drop_written(spark, f"{shared_dir(spark)}/brindle")
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Collects the folders that are written inside; those still in the list at its end are deleted.
+
+    What shall stay is taken from the list. DataFrames that read the others end with them.
+    """
+    made: list[str] = []
+    _OPEN.append(made)
+    try:
+        yield made
+    finally:
+        _OPEN[:] = [m for m in _OPEN if m is not made]
+        for path in made:
+            drop_written(spark, path)
