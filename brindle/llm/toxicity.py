@@ -1,27 +1,30 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are words and beginnings of words, chosen by their association with the labels. The index holds the
-examples' postings in blocks: for each term and each block that has it, the examples' weights and their maximum. A
-document's terms give each block an upper bound; blocks are scored from the greatest bound down until no
-bound exceeds the k-th best cosine, so the neighbours are those of a full comparison. The votes of the neighbours,
-weighted by closeness, are calibrated by isotonic regression on labelled rows, each scored by a model that
-was fitted without its share of the rows.
+A vector has a component for every word of a text, whether any example holds it or not, and one for each chosen
+beginning of words; its weight is (1 + log count) * (1 + log((1 + N) / (1 + examples that hold it))). All components
+make its length. Inner products go over the chosen terms, words and beginnings that are associated with the labels;
+with `Bounds.terms` None they go over all words, which is the plain TF-IDF cosine. The index holds the examples' postings in
+blocks: for each term and each block that has it, the examples' weights and their maximum. A document's terms
+give each block an upper bound; blocks are scored from the greatest bound down until no bound exceeds the k-th
+best cosine, so the neighbours are those of a full comparison. The votes of the neighbours, weighted by closeness, are
+calibrated by isotonic regression on labelled rows, each scored by a model that was fitted without its share of
+the rows; between the regression's steps the score is interpolated.
 """
 
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, mapped, own_columns, small_batches, words_of
+from .common import as_bytes, mapped, own_columns, sent, small_batches, words_of, written
 
 #: Examples in a block of the index.
 BLOCK = 64
@@ -37,13 +40,12 @@ class Bounds:
     clean: int = 3000  # of label 0
     folds: int = 4  # shares of the rows, for the calibration
     text_bytes: int = 65536  # longer labelled texts are not fitted on; all texts are scored
-    terms: int = 1500
+    terms: int | None = 1500  # None: inner products over all words, without a choice
     association: float = 16.0  # chi-square with the label that a term has at least
     lift: float = 3.0  # times as frequent under one label as under the other, at least
     least: int = 4  # examples that hold a term at least
     neighbours: int = 15
-    other_words: float = 0.5  # what a word that is no term adds to a document's squared length
-    doubt: float = 0.5  # votes that stand for no evidence
+    doubt: float = 0.05  # votes that stand for no evidence, as a share of what examples of label 1 have
 
 
 def term_counts(text: bytes | None) -> Counter:
@@ -61,33 +63,40 @@ class Model:
 
     bounds: Bounds
     terms: dict[bytes, int] = field(default_factory=dict)
-    idf: np.ndarray | None = None
+    idf: np.ndarray | None = None  # of each term
+    held: dict[bytes, int] = field(default_factory=dict)  # examples that hold each word
+    rarity: np.ndarray = field(default_factory=lambda: np.ones(1))  # idf by the number of examples that hold a word
     ids: list = field(default_factory=list)
     labels: np.ndarray | None = None
     tile: np.ndarray | None = None  # (term, block) -> its tile, 0 for none
     tiles: np.ndarray | None = None  # weights of a term in a block's examples
     most: np.ndarray | None = None  # (term, block) -> greatest weight
+    unit: float = 1.0  # votes that an example of label 1 has
     steps: tuple[list[float], list[float]] = ((), ())
     starts: frozenset = frozenset()  # first bytes of the terms: most words have none of them
+    words: int = 0  # terms from here on are beginnings; those before are words, which the length holds already
 
     def vector(self, counts: Counter, memory: dict) -> tuple[np.ndarray, np.ndarray]:
-        """Terms of a document and their weights, of length 1 together."""
+        """Terms of a document and their weights, as shares of the whole vector's length."""
         found: dict[int, int] = {}
         starts = self.starts
         for word, n in counts.items():
             if word[: STARTS[0]] in starts:
                 held = memory.get(word)
                 if held is None:
-                    if len(memory) > 100_000:
+                    if len(memory) > 50_000:
                         memory.clear()
                     held = memory[word] = tuple(t for x in terms_of(word) if (t := self.terms.get(x)) is not None)
                 for t in held:
                     found[t] = found.get(t, 0) + n
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0)
         terms = np.fromiter(found, np.int64, len(found))
         weights = (1 + np.log(np.fromiter(found.values(), np.float64, len(found)))) * self.idf[terms]
-        # words that are no terms of the index lengthen the document all the same
-        length = np.sqrt(weights @ weights + self.bounds.other_words * counts.total())
-        return terms, weights / length if length else weights
+        number = np.fromiter(map(self.held.get, counts, repeat(0)), np.int64, len(counts))
+        whole = (1 + np.log(np.fromiter(counts.values(), np.float64, len(counts)))) * self.rarity[number]
+        beginnings = weights[terms >= self.words]
+        return terms, weights / np.sqrt(whole @ whole + beginnings @ beginnings)
 
     def neighbours(self, terms: np.ndarray, weights: np.ndarray) -> list[tuple[float, int]]:
         """(cosine, example) of the nearest examples, nearest first; those that share no term are none."""
@@ -111,14 +120,14 @@ class Model:
     def raw(self, near: list[tuple[float, int]]) -> float:
         """Share of the votes for label 1, each weighted by its squared cosine; few or far neighbours say little."""
         votes = sum(c * c * self.labels[e] for c, e in near)
-        return float(votes / (sum(c * c for c, _ in near) + self.bounds.doubt))
+        return float(votes / (sum(c * c for c, _ in near) + self.bounds.doubt * self.unit))
 
     def calibrated(self, raw: float) -> float:
         """Calibrated score; it grows with the raw one."""
         at, value = self.steps
-        if not at:
+        if not len(at):
             return 0.0
-        return min(1.0, max(0.0, 0.99 * value[max(0, bisect_right(at, raw) - 1)] + 0.01 * raw))
+        return min(1.0, max(0.0, 0.99 * float(np.interp(raw, at, value)) + 0.01 * raw))
 
 
 def fit(rows: list[tuple], bounds: Bounds = Bounds(), weights: tuple[float, float] = (1.0, 1.0)) -> Model:
@@ -135,14 +144,20 @@ def fit(rows: list[tuple], bounds: Bounds = Bounds(), weights: tuple[float, floa
     whole = tuple(sum((p[y] for p in parts), Counter()) for y in (0, 1))
     often = sorted(t for t in whole[0].keys() | whole[1].keys() if whole[0][t] + whole[1][t] >= bounds.least)
     held = np.array([[whole[y][t] for t in often] for y in (0, 1)], np.int64).reshape(2, len(often))
-    seen = []
+    found = []
     for fold in range(bounds.folds):
         less = np.array([[parts[fold][y][t] for t in often] for y in (0, 1)], np.int64).reshape(2, len(often))
         part = build([r for k, r in enumerate(counted) if k % bounds.folds != fold], often, held - less, bounds)
         memory: dict = {}
-        seen += [(part.raw(part.neighbours(*part.vector(c, memory))), y, weights[y]) for _, c, y in counted[fold :: bounds.folds]]
+        found += [(part, part.neighbours(*part.vector(c, memory)), y) for _, c, y in counted[fold :: bounds.folds]]
     model = build(counted, often, held, bounds)
-    model.steps = isotonic(seen)
+    votes = [v for _, near, y in found if y and (v := sum(c * c for c, _ in near)) > 0]
+    model.unit = float(np.median(votes)) if votes else 1.0
+    seen = []
+    for part, near, y in found:
+        part.unit = model.unit
+        seen.append((part.raw(near), y, weights[y]))
+    model.steps = curve(seen)
     return model
 
 
@@ -161,10 +176,17 @@ def build(counted: list[tuple], often: list[bytes], held: np.ndarray, bounds: Bo
     lift = np.maximum(share_a / share_b, share_b / share_a)
     order = np.argsort(-association, kind="stable")
     good = (a + b >= bounds.least) & (association >= bounds.association) & (lift >= bounds.lift)
-    chosen = order[good[order]][: bounds.terms]
-    model.terms = {often[k]: j for j, k in enumerate(chosen.tolist())}
+    chosen = [often[k] for k in order[good[order]][: bounds.terms].tolist()]
+    model.held = dict(Counter(w for _, counts, _ in counted for w in counts))
+    model.rarity = 1 + np.log((1 + total) / (1 + np.arange(total + 1)))
+    if bounds.terms is None:
+        chosen = sorted(model.held)
+    chosen.sort(key=lambda t: t.endswith(b"*"))  # no word has the sign: words first, beginnings after them
+    model.terms = {t: j for j, t in enumerate(chosen)}
+    model.words = sum(not t.endswith(b"*") for t in chosen)
     model.starts = frozenset(t[: STARTS[0]] for t in model.terms)
-    model.idf = 1 + np.log((1 + total) / (1 + a + b))[chosen] if len(chosen) else np.zeros(1)
+    number = {t: int(x + z) for t, x, z in zip(often, a, b, strict=True)}
+    model.idf = model.rarity[[number.get(t, model.held.get(t, 0)) for t in chosen]] if chosen else np.zeros(1)
     # Examples with the same leading term lie together, so that few blocks have high bounds.
     memory: dict = {}
     vectors = [(*model.vector(counts, memory), i, y) for i, counts, y in counted]
@@ -172,32 +194,53 @@ def build(counted: list[tuple], often: list[bytes], held: np.ndarray, bounds: Bo
     model.ids, model.labels = [v[2] for v in vectors], np.array([v[3] for v in vectors], np.float64)
     blocks = max(1, -(-len(vectors) // BLOCK))
     model.tile = np.zeros((len(chosen) or 1, blocks), np.int32)
-    tiles = [np.zeros(BLOCK, np.float32)]
+    tiles = [np.zeros(BLOCK)]
     for e, (terms, weights, _, _) in enumerate(vectors):
         for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
             if not model.tile[t, e // BLOCK]:
                 model.tile[t, e // BLOCK] = len(tiles)
-                tiles.append(np.zeros(BLOCK, np.float32))
+                tiles.append(np.zeros(BLOCK))
             tiles[model.tile[t, e // BLOCK]][e % BLOCK] = w
     model.tiles = np.array(tiles)
-    model.most = model.tiles.max(axis=1)[model.tile].astype(np.float64)
+    model.most = model.tiles.max(axis=1)[model.tile]
     return model
 
 
+def _steps(pairs: list[tuple[float, int, float]]) -> list[list[float]]:
+    """Steps of the isotonic regression: least and greatest raw score, sum of labels, number, rows."""
+    merged: list[list[float]] = []
+
+    def join() -> None:
+        top = merged.pop()
+        merged[-1] = [merged[-1][0], top[1], *(x + y for x, y in zip(merged[-1][2:], top[2:], strict=True))]
+
+    for raw, y, weight in sorted(pairs):
+        merged.append([raw, raw, y * weight, weight, 1])
+        if len(merged) > 1 and merged[-2][1] == raw:
+            join()
+        while len(merged) > 1 and merged[-2][2] * merged[-1][3] >= merged[-1][2] * merged[-2][3]:
+            join()
+    return merged
+
+
 def isotonic(pairs: list[tuple[float, int, float]]) -> tuple[list[float], list[float]]:
     """Least raw score of each step and the step's share of label 1, which never falls."""
-    merged: list[list[float]] = []  # least raw score, sum, number
-    for raw, y, weight in sorted(pairs):
-        if merged and merged[-1][0] == raw:
-            merged[-1][1] += y * weight
-            merged[-1][2] += weight
-        else:
-            merged.append([raw, y * weight, weight])
-        while len(merged) > 1 and merged[-2][1] * merged[-1][2] >= merged[-1][1] * merged[-2][2]:
-            top = merged.pop()
-            merged[-1][1] += top[1]
-            merged[-1][2] += top[2]
-    return [m[0] for m in merged], [m[1] / m[2] for m in merged]
+    merged = _steps(pairs)
+    return [m[0] for m in merged], [m[2] / m[3] for m in merged]
+
+
+def curve(pairs: list[tuple[float, int, float]]) -> tuple[list[float], list[float]]:
+    """Raw scores and shares of label 1 between which the score is interpolated: both ends of each step.
+
+    A step's share counts one more row with the share of all, so that a step of few rows isn't certain.
+    """
+    merged = _steps(pairs)
+    if not merged:
+        return [], []
+    whole = sum(m[2] for m in merged) / sum(m[3] for m in merged)
+    shares = [(m[2] + whole * m[3] / m[4]) / (m[3] + m[3] / m[4]) for m in merged]
+    shares = np.maximum.accumulate(shares).tolist()
+    return [x for m in merged for x in m[:2]], [v for v in shares for _ in range(2)]
 
 
 def is_held_out(column: Column) -> Column:
@@ -208,19 +251,23 @@ def is_held_out(column: Column) -> Column:
 def learn(documents: DataFrame, labels: DataFrame, bounds: Bounds = Bounds()) -> Model:
     """Fit a model on labelled documents that are not held out: bounded samples by a hash of their ids.
 
-    Rows of labels with null id or label are ignored. Without labelled documents every score is 0.
+    Rows of labels with null id or label are ignored, an id with both labels counts as toxic; labels of absent or too
+    long documents take no place in the samples. Without labelled documents every score is 0.
     """
+    spark = documents.sparkSession
     labels = own_columns(labels, doc_id="doc_id", toxic="toxic").where("doc_id is not null and toxic in (0, 1)").where(~is_held_out(F.col("doc_id")))
+    labels = sent(labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "labels")
+    texts = own_columns(documents, doc_id="doc_id", text="text").where(F.octet_length("text") <= bounds.text_bytes)
+    labels = written(texts.select("doc_id").join(labels, "doc_id").distinct(), "labelled")
     there = {r["toxic"]: r["count"] for r in labels.groupBy("toxic").count().collect()}
     order = F.xxhash64(F.col("doc_id").cast("string"))
     clean, toxic = (labels.where(F.col("toxic") == y).orderBy(order, "doc_id").limit(most) for y, most in ((0, bounds.clean), (1, bounds.toxic)))
     chosen = {r["doc_id"]: r["toxic"] for r in clean.unionByName(toxic).collect()}
-    spark = documents.sparkSession
     named = spark.createDataFrame([(k,) for k in chosen], f"doc_id {dict(labels.dtypes)['doc_id']}")
-    texts = own_columns(documents, doc_id="doc_id", text="text").where(F.octet_length("text") <= bounds.text_bytes).join(F.broadcast(named), "doc_id")
     rows: dict = {}
-    for r in texts.select("doc_id", F.col("text").cast("binary").alias("text")).toLocalIterator():
-        rows.setdefault(r["doc_id"], bytes(r["text"] or b""))
+    for r in texts.join(F.broadcast(named), "doc_id").select("doc_id", F.col("text").cast("binary").alias("text")).toLocalIterator():
+        text = bytes(r["text"] or b"")
+        rows[r["doc_id"]] = min(text, rows.get(r["doc_id"], text))  # of texts that share an id, the first in order
     some = [(k, rows[k], chosen[k]) for k in sorted(rows, key=lambda k: hashlib.sha256(str(k).encode()).digest())]
     weights = [there.get(y, 0) / max(1, sum(v == y for v in chosen.values())) for y in (0, 1)]
     return fit(some, bounds, (weights[0], weights[1]))

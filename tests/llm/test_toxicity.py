@@ -1,9 +1,11 @@
 """Neighbours against a full comparison, calibration, and held-out accuracy."""
 
 import random
+import string
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from brindle.llm import toxicity
@@ -43,6 +45,64 @@ def test_neighbours_are_exact():
         assert [(-round(c, 9), e) for c, e in got] == order
 
 
+def plain_vectors(rows, model, texts):
+    """TF-IDF vectors over all words, and over the model's beginnings of words, told from the texts alone."""
+    from collections import Counter
+    from math import log, sqrt
+
+    def counts(text):
+        words = Counter("".join(c.lower() if c in string.ascii_letters + string.digits or c > "\x7f" else " " for c in text).split())
+        starts = Counter()
+        for w, n in words.items():
+            for k in (4, 5, 6, 7, 8):
+                if len(w.encode()) >= k:
+                    starts[w.encode()[:k] + b"*"] += n
+        return Counter({w.encode(): n for w, n in words.items()}) + Counter({s: n for s, n in starts.items() if s in model.terms})
+
+    fitted = [counts(t) for t in dict.fromkeys(t for _, t, _ in rows)]
+    held = Counter(t for c in fitted for t in c)
+    n = len(fitted)
+
+    def vector(c):
+        v = {t: (1 + log(k)) * (1 + log((1 + n) / (1 + held[t]))) for t, k in c.items()}
+        length = sqrt(sum(x * x for x in v.values()))
+        return {t: x / length for t, x in v.items()}
+
+    return [vector(counts(t)) for t in texts]
+
+
+@pytest.mark.parametrize("terms", [1500, None])
+def test_cosine_is_that_of_plain_vectors(terms):
+    rows = made(200)
+    model = toxicity.fit([(i, t.encode(), y) for i, t, y in rows], toxicity.Bounds(terms=terms))
+    text_of = {i: t for i, t, _ in rows}
+    examples = plain_vectors(rows, model, [text_of[i] for i in model.ids])
+    asked = [t for _, t, _ in made(30, 9)] + ["zugnak unseen words only", rows[0][1]]
+    for text, v in zip(asked, plain_vectors(rows, model, asked), strict=True):
+        want = [sum(x * e.get(t, 0) for t, x in v.items() if t in model.terms) for e in examples]
+        order = sorted((-round(c, 9), e) for e, c in enumerate(want) if c > 1e-12)[: model.bounds.neighbours]
+        got = model.neighbours(*model.vector(toxicity.term_counts(text.encode()), {}))
+        assert [e for _, e in got] == [e for _, e in order] and [c for c, _ in got] == pytest.approx([-c for c, _ in order], abs=1e-8)
+    if terms is None:  # the whole cosine: a text is nearest to itself
+        assert got[0][0] == pytest.approx(1.0)
+
+
+def test_score_has_no_cliff():
+    model = toxicity.Model(toxicity.Bounds())
+    model.steps = toxicity.curve([(0.0, 0, 1.0)] * 50 + [(0.95, 1, 1.0)] * 20)
+    some = [model.calibrated(k / 100) for k in range(101)]
+    assert some == sorted(some) and max(b - a for a, b in zip(some, some[1:])) < 0.02
+    assert model.calibrated(0.94) > 0.9 and model.calibrated(0.05) < 0.1
+
+
+def test_labels_of_absent_documents_take_no_place(spark):
+    rows = made(300)
+    docs, labels = frames(spark, rows)
+    absent = spark.range(1000, 6000).selectExpr("id as doc_id", "cast(id % 2 as int) as toxic", "1 as text")
+    bounds = toxicity.Bounds(toxic=40, clean=60)
+    assert len(toxicity.learn(docs, labels.union(absent), bounds).ids) == len(toxicity.learn(docs, labels, bounds).ids) == 100
+
+
 def test_held_out_accuracy(spark):
     rows = made()
     docs, labels = frames(spark, rows)
