@@ -19,8 +19,38 @@ from pyspark.sql import DataFrame
 from .common import mapped, own_columns, small_batches
 
 MARK = "▁"
-#: Chunks and pairs that a worker remembers; beyond it the memory starts anew, which changes no result.
-REMEMBERED = 300_000
+#: Bytes that a task remembers of chunks, and of pairs of tokens; what is used least goes, which changes no result.
+CHUNK_BYTES, PAIR_BYTES = 64 << 20, 24 << 20
+#: Texts by which a vocabulary file shows its rules: the mark put first, runs of spaces, composed and wide letters, controls.
+PROBES = ("a", " a", "a  b ", "   ", "A b", "▁x▁", "\ta\r\nb", "\n", "e\u0301 é ﬁ Ａ ½ \u00a0x\u3000y", "日本\U0001d4b3", "\x00\x07", "<s></s><unk>", "1,234.5")
+#: Bytes of an entry of a dictionary and of its two objects' heads.
+ENTRY = 220
+
+
+class Recent(dict):
+    """A dictionary that computes what it lacks and forgets what was not asked for lately, to stay under a number of bytes.
+
+    It holds two generations: when the young one is half the bytes, it becomes the old one, and what is asked for again returns.
+    """
+
+    def __init__(self, most: int):
+        self.most, self.bytes, self.old = most // 2, 0, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.made(key)
+        size = self.size(key, value)
+        if size < self.most:
+            if self.bytes + size > self.most:
+                self.old, self.bytes = dict(self), 0
+                self.clear()
+            self[key] = value
+            self.bytes += size
+        return value
+
+    def size(self, key, value) -> int:
+        return ENTRY
 
 
 class Pieces:
@@ -48,7 +78,6 @@ class Pieces:
             if self.merge(text) == [i]:  # others are never the result of merging
                 self.automaton.add_word(text, (len(text), i))
         self.automaton.make_automaton()
-        self.compatible: dict[tuple[int, int], bool] = {}
 
     def merge(self, text: str) -> list[int]:
         """Greedy merging of a short string of known characters, by its definition."""
@@ -63,20 +92,11 @@ class Pieces:
                 return [self.ids.get(p, -1) for p in parts]
             parts[best[1] : best[1] + 2] = ["".join(parts[best[1] : best[1] + 2])]
 
-    def _pair(self, left: int, right: int) -> bool:
-        found = self.compatible.get((left, right))
-        if found is None:
-            if len(self.compatible) >= REMEMBERED:
-                self.compatible.clear()
-            found = self.compatible[left, right] = self.merge(self.texts[left] + self.texts[right]) == [left, right]
-        return found
-
-    def _known(self, text: str, out: list[int]) -> None:
+    def _known(self, text: str, out: list[int], compatible: Pairs) -> None:
         last = [-1] * (len(text) + 1)  # last[i]: the last token of the prefix of length i
-        compatible, pair = self.compatible, self._pair
         for end, (length, i) in self.automaton.iter(text):
             start = end + 1 - length
-            if last[end + 1] < 0 and (start == 0 or ((before := last[start]) >= 0 and ((found := compatible.get((before, i))) or found is None and pair(before, i)))):
+            if last[end + 1] < 0 and (start == 0 or ((before := last[start]) >= 0 and compatible[before << 32 | i])):
                 last[end + 1] = i
         at, ids = len(text), []
         while at:
@@ -88,21 +108,21 @@ class Pieces:
             at -= len(self.texts[i])
         out.extend(reversed(ids))
 
-    def chunk(self, text: str) -> list[int]:
+    def chunk(self, text: str, compatible: Pairs) -> list[int]:
         """Ids of a chunk in which no piece boundary is known; unknown characters fall back to bytes."""
         out: list[int] = []
         if self.known.issuperset(text):
-            self._known(text, out)
+            self._known(text, out, compatible)
             return out
         start = 0
         for k, c in enumerate(text):
             if c not in self.known:
                 if k > start:
-                    self._known(text[start:k], out)
+                    self._known(text[start:k], out, compatible)
                 out.extend(self.bytes[b] for b in c.encode("utf-8"))
                 start = k + 1
         if start < len(text):
-            self._known(text[start:], out)
+            self._known(text[start:], out, compatible)
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -138,23 +158,36 @@ def _utf8(raw: bytes) -> str:
     return "".join(out)
 
 
-class _Memory(dict):
-    """Chunk -> (ids joined by spaces with their number, decoded text)."""
+class Pairs(Recent):
+    """left << 32 | right -> whether two tokens stay as they are when their joined characters are merged."""
+
+    def __init__(self, pieces: Pieces):
+        super().__init__(PAIR_BYTES)
+        self.pieces = pieces
+
+    def size(self, key: int, same: bool) -> int:
+        return ENTRY // 2
+
+    def made(self, key: int) -> bool:
+        left, right = key >> 32, key & 0xFFFFFFFF
+        return self.pieces.merge(self.pieces.texts[left] + self.pieces.texts[right]) == [left, right]
+
 
-    def __init__(self, pieces: Pieces, before: str):
-        self.pieces, self.before = pieces, before
-        self.tails = self if not before else _Memory(pieces, "")
+class Chunks(Recent):
+    """Chunk -> its ids in decimal, joined by spaces."""
 
-    def __missing__(self, word: str) -> str:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        if len(word) > 1 and word[-2:] not in self.pieces.joined and len(word) <= 64:
-            ids = f"{self[word[:-1]]} {self.tails[word[-1]]}"
-        else:
-            ids = " ".join(map(str, self.pieces.chunk(self.before + word)))
-        if len(word) <= 64:  # long chunks hardly come again
-            self[word] = ids
-        return ids
+    def __init__(self, pieces: Pieces, compatible: Pairs, before: str, most: int):
+        super().__init__(most)
+        self.pieces, self.compatible, self.before = pieces, compatible, before
+        self.tails = self if not before else Chunks(pieces, compatible, "", most // 10)
+
+    def made(self, word: str) -> str:
+        if 1 < len(word) <= 64 and word[-2:] not in self.pieces.joined:
+            return f"{self[word[:-1]]} {self.tails[word[-1]]}"
+        return " ".join(map(str, self.pieces.chunk(self.before + word, self.compatible)))
+
+    def size(self, word: str, ids: str) -> int:
+        return ENTRY + 4 * len(word) + len(ids) if len(word) <= 64 else self.most  # long chunks hardly come again
 
 
 class Encoder:
@@ -162,7 +195,8 @@ class Encoder:
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
-        self.first, self.later = _Memory(pieces, ""), _Memory(pieces, MARK)
+        compatible = Pairs(pieces)
+        self.first, self.later = Chunks(pieces, compatible, "", CHUNK_BYTES // 5), Chunks(pieces, compatible, MARK, CHUNK_BYTES * 7 // 10)
 
     def encode(self, text: str) -> str:
         """The ids in decimal, joined by one space, the end id last."""
@@ -190,9 +224,18 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder_of(model_path: str) -> Encoder:
-    """The process's encoder for a vocabulary file: a worker's tasks share what it remembers."""
-    return Encoder(Pieces(model_path))
+def pieces_of(model_path: str) -> Pieces:
+    """A vocabulary file's table, read once by a process; it never grows. What a task remembers ends with the task.
+
+    Files that normalise texts, or treat white space, in another way than this module does are refused.
+    """
+    pieces = Pieces(model_path)
+    library, encoder = sentencepiece.SentencePieceProcessor(model_file=model_path), Encoder(pieces)
+    for text in PROBES:
+        ids = library.encode(text, add_eos=True)
+        if encoder.encode(text) != " ".join(map(str, ids)) or pieces.decode(ids) != library.decode(ids):
+            raise ValueError(f"{model_path} treats {text!r} in a way that isn't supported")
+    return pieces
 
 
 def encode(df: DataFrame, model_path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -227,8 +270,8 @@ def _run(df: DataFrame, model_path: str, id_column: str, text_column: str, colum
     kind = df.schema[id_column].dataType.simpleString()
 
     def rows(batches) -> Iterator[list]:
-        encoder = encoder_of(model_path)
-        pieces = encoder.pieces
+        pieces = pieces_of(model_path)
+        encoder = Encoder(pieces)
         texts = _Texts(pieces)
         for batch in batches:
             made = []

@@ -44,10 +44,23 @@ def test_long_runs(library, encoder):
 
 
 def test_forgetting_changes_nothing(library, monkeypatch):
-    monkeypatch.setattr(pieces, "REMEMBERED", 3)
-    encoder = pieces.Encoder(pieces.Pieces(piece_model()))
-    text = "the quick, brown fox. jumps over the lazy dog! again, the fox" * 5
-    assert encoder.encode(text) == " ".join(map(str, library.encode(text, add_eos=True)))
+    for chunks, pairs in ((3, 3), (2000, 500), (20_000, 3000)):
+        monkeypatch.setattr(pieces, "CHUNK_BYTES", chunks)
+        monkeypatch.setattr(pieces, "PAIR_BYTES", pairs)
+        encoder = pieces.Encoder(pieces.Pieces(piece_model()))
+        text = "the quick, brown fox. jumps over the lazy dog! again, the fox" * 5
+        for some in (text, text, " ".join(f"w{k}o{k * k}" for k in range(400)) + text):
+            assert encoder.encode(some) == " ".join(map(str, library.encode(some, add_eos=True)))
+        assert encoder.later.bytes <= chunks and encoder.later.compatible.bytes <= pairs
+
+
+def test_other_rules_are_refused(library, monkeypatch):
+    plain = pieces.Encoder.encode
+    monkeypatch.setattr(pieces.Encoder, "encode", lambda self, text: plain(self, text.strip()))
+    pieces.pieces_of.cache_clear()
+    with pytest.raises(ValueError, match="isn't supported"):
+        pieces.pieces_of(piece_model())
+    pieces.pieces_of.cache_clear()
 
 
 def test_tables(spark, library):
