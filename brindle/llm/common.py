@@ -2,36 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import shared_dir, written
+from ..storage import clear_scratch, drop_written, scratch, scratch_path, written  # noqa: F401
 
 #: Rows in an Arrow batch: whole texts travel in them, so batches stay small.
 BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/brindle/{name}-{uuid.uuid4().hex}"
-
-
-def drop_written(spark: SparkSession, path: str) -> None:
-    """Delete a folder through the file system that its path names."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def clear_scratch(spark: SparkSession) -> None:
-    """Delete every table that `written` left in the shared folder; results that read them end."""
-    drop_written(spark, f"{shared_dir(spark)}/brindle")
-
-
 def small_batches(spark: SparkSession) -> None:
     """Bound the rows and bytes of Arrow batches for this session: whole texts travel in them."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
@@ -48,9 +30,14 @@ def own_columns(df: DataFrame, **columns: str) -> DataFrame:
 SENT_KEYS = 1_000_000
 
 
+#: Rows of a key from which the key is hot, at least, and hot keys of a table at most.
+HOT_ROWS, HOT_KEYS = 2_000, 100_000
+
+
 def row_key(id_column: str = "doc_id", text_column: str = "text") -> Column:
-    """Tells rows apart; rows that are equal in id and text share a key."""
-    return F.xxhash64(F.col(f"`{id_column}`"), F.coalesce(F.col(f"`{text_column}`"), F.lit("")))
+    """Tells rows apart by 128 bits; rows that are equal in id and text share a key."""
+    key, text = F.col(f"`{id_column}`"), F.coalesce(F.col(f"`{text_column}`"), F.lit(""))
+    return F.concat(F.lpad(F.hex(F.xxhash64(key, text)), 16, "0"), F.lpad(F.hex(F.xxhash64(F.lit("row"), text, key)), 16, "0"))
 
 
 def sent(keys: DataFrame, name: str) -> DataFrame:
@@ -59,6 +46,22 @@ def sent(keys: DataFrame, name: str) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= SENT_KEYS else keys
 
 
+def looked_up(df: DataFrame, table: DataFrame, key: str, count: str, name: str) -> DataFrame:
+    """`df` joined with a table of distinct keys, in which `count` tells how many rows of `df` each has.
+
+    A small table is broadcast. Of a larger one only the hot keys are, so that their rows stay where they lie; the rest,
+    of which no key is hot, meets in a shuffle.
+    """
+    table = written(table, name)
+    known = table.agg(F.count("*").alias("keys"), F.sum(count).alias("rows")).first()
+    if known["keys"] <= SENT_KEYS:
+        return df.join(F.broadcast(table), key)
+    least = max(HOT_ROWS, (known["rows"] or 0) // HOT_KEYS)
+    hot = table.where(F.col(count) > least)
+    rest = df.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.where(F.col(count) <= least), key)
+    return df.join(F.broadcast(hot), key).unionByName(rest)
+
+
 def mapped(df: DataFrame, rows, schema: str) -> DataFrame:
     """mapInArrow with a function from an iterator of batches to an iterator of column lists.
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, as_bytes, mapped, row_key, sent, small_batches, written
+from .common import LOWER, as_bytes, looked_up, mapped, row_key, sent, small_batches, written
 from .components import components
 
 #: Minwise tokens in a class's pool; the first trees * branches of them make the first level.
@@ -54,7 +54,7 @@ class _Words(dict):
 
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 400_000:
+        if len(self) < 150_000:
             self[word] = value
         return value
 
@@ -100,7 +100,7 @@ def sets(documents: DataFrame, join: Join, id_column: str, text_column: str) ->
                 sketch.append(tokens[-1][::4] if len(hashes) else None)
             yield [batch.column(0), batch.column(1), n, digest, tokens, sketch]
 
-    return mapped(documents, rows, f"doc_id {kind}, row bigint, n bigint, digest binary, tokens binary, sketch binary")
+    return mapped(documents, rows, f"doc_id {kind}, row string, n bigint, digest binary, tokens binary, sketch binary")
 
 
 def first_level(classes: DataFrame, join: Join) -> DataFrame:
@@ -282,7 +282,7 @@ def links(classes: DataFrame, documents: DataFrame, join: Join, id_column: str,
     where = (classes, documents)
     keys = first_level(classes, join)
     nodes = keys.groupBy("node").agg(F.count("*").alias("count"), F.min("cid").alias("pivot")).where("count > 1")
-    keys = written(keys.join(nodes.select("node", "pivot"), "node"), "shared")
+    keys = written(looked_up(keys, nodes, "node", "count", "nodes").select("node", "cid", "pivot"), "shared")
     sizes = classes.select("cid", "n", "sketch")
     pivots = keys.where("cid <> pivot").select(F.col("pivot").alias("a"), F.col("cid").alias("b")).distinct()
     linked = written(confirmed(_allowed(pivots, sizes, join), *where, join, id_column, text_column), "linked")
@@ -291,9 +291,9 @@ def links(classes: DataFrame, documents: DataFrame, join: Join, id_column: str,
     placed = written(sizes.join(comp, "cid", "left").select("cid", "n", "sketch", F.coalesce("root", "cid").alias("comp")), "placed")
     members, found = keys.select("node", "cid"), None
     for level in range(join.depth + 1):
-        members = members.join(placed.select("cid", "n", "comp"), "cid")
+        members = written(members.join(placed.select("cid", "n", "comp"), "cid"), "members")
         nodes = members.groupBy("node").agg(F.count("*").alias("count"), F.sum("n").alias("elements"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
-        members = written(members.join(nodes.select("node", "count", "elements"), "node"), "open")
+        members = written(looked_up(members, nodes.select("node", "count", "elements"), "node", "count", "nodes"), "open")
         small = (F.col("count") <= join.small) & (F.col("elements") <= join.elements)
         exact = members.where(small).select(F.concat_ws(":", F.lit(level), "node").alias("grp"), F.lit(0).alias("side"), "cid")
         large = members.where(~small)

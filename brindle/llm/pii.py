@@ -117,7 +117,7 @@ def detect(documents: DataFrame, id_column: str = "doc_id", text_column: str = "
                 terms.append([{"term": t, "at": at} for t, at in terms_of(text, found).items()] if found else None)
             yield [batch.column(0), batch.column(1), spans, entities, terms]
 
-    return mapped(documents, rows, f"doc_id {kind}, row bigint, {SPANS}, entities array<string>, terms array<struct<term: string, at: array<int>>>")
+    return mapped(documents, rows, f"doc_id {kind}, row string, {SPANS}, entities array<string>, terms array<struct<term: string, at: array<int>>>")
 
 
 SPANS = "spans array<struct<kind: string, start: int, end: int>>"

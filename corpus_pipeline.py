@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm import decontam, neardup, pieces, pii, toxicity
-from brindle.llm.common import written
+from brindle.llm.common import drop_written, scratch, scratch_path
 from brindle.llm.queries import piece_model, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -56,8 +56,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each one's rows written and read again for the next."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents, each one's rows written and read again for the next.
+
+    A stage's own tables, and its predecessor's rows, are deleted when its rows are written.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        path = scratch_path(spark, name)
+        with scratch(spark):  # what the stage wrote for itself goes with it
+            kept = stage(spark, docs, sf_dir)
+            kept.write.parquet(path)
+        docs = spark.read.schema(kept.schema).parquet(path)
+        if before:
+            drop_written(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -8,6 +8,7 @@ import re
 import pytest
 
 from brindle.llm import pii
+from brindle.llm.common import written
 
 SCHEMA = "doc_id long, text string, row string, spans int, term string"
 
@@ -126,7 +127,7 @@ def test_counts_at_random(spark, monkeypatch, sent):
         r.shuffle(words)
         rows.append((k, " ".join(words + [f"p{who}@mail.org"] * (who < 6))))
     df = frame(spark, rows)
-    found = pii.detect(df).localCheckpoint()
+    found = written(pii.detect(df), "found")
     got = {(x["entity"], x["term"]): round(x["disclosure"], 9) for x in pii.disclosing(df, found).collect()}
     assert got == disclosed(rows) and got
 
