@@ -118,9 +118,15 @@ class Model:
         return best
 
     def raw(self, near: list[tuple[float, int]]) -> float:
-        """Share of the votes for label 1, each weighted by its squared cosine; few or far neighbours say little."""
-        votes = sum(c * c * self.labels[e] for c, e in near)
-        return float(votes / (sum(c * c for c, _ in near) + self.bounds.doubt * self.unit))
+        """Share of the votes for label 1, each weighted by its cosine; few or far neighbours say little."""
+        return self.share(*self.raw_parts(near))
+
+    def raw_parts(self, near: list[tuple[float, int]]) -> tuple[float, float]:
+        """Votes for label 1, and all votes."""
+        return float(sum(c * self.labels[e] for c, e in near)), float(sum(c for c, _ in near))
+
+    def share(self, toxic: float, both: float) -> float:
+        return toxic / (both + self.bounds.doubt * self.unit)
 
     def calibrated(self, raw: float) -> float:
         """Calibrated score; it grows with the raw one."""
@@ -130,72 +136,98 @@ class Model:
         return min(1.0, max(0.0, 0.99 * float(np.interp(raw, at, value)) + 0.01 * raw))
 
 
+class _Counted:
+    """Fitted rows as numbers: each row's words with their counts, and the terms of each word."""
+
+    def __init__(self, rows: list[tuple[object, bytes, int]]):
+        number: dict[bytes, int] = {}
+        self.ids, self.labels = [i for i, _, _ in rows], np.array([int(y) for _, _, y in rows], np.int64)
+        self.words, self.counts = [], []
+        for _, text, _ in rows:
+            counts = term_counts(text)
+            self.words.append(np.fromiter((number.setdefault(w, len(number)) for w in counts), np.int32, len(counts)))
+            self.counts.append(np.fromiter(counts.values(), np.int32, len(counts)))
+        # terms: the words, then the beginnings; each word's own are listed in a row, -1 for none
+        self.terms = list(number)
+        self.word_terms = np.full((len(self.terms), 1 + len(STARTS)), -1, np.int32)
+        beginnings: dict[bytes, int] = {}
+        for k, word in enumerate(number):
+            of = [k, *(beginnings.setdefault(t, len(number) + len(beginnings)) for t in terms_of(word)[1:])]
+            self.word_terms[k, : len(of)] = of
+        self.n_words = len(number)
+        self.terms += list(beginnings)
+
+    def held(self, rows: np.ndarray) -> np.ndarray:
+        """(label, term) -> rows that hold the term."""
+        out = np.zeros((2, len(self.terms)), np.int64)
+        for k in rows.tolist():
+            of = np.unique(self.word_terms[self.words[k]])
+            out[self.labels[k], of[of >= 0]] += 1
+        return out
+
+
 def fit(rows: list[tuple], bounds: Bounds = Bounds(), weights: tuple[float, float] = (1.0, 1.0)) -> Model:
     """A calibrated model of labelled rows (id, text in UTF-8, label).
 
     `weights` tells how many rows of label 0 and of label 1 each given one stands for.
     """
     rows = list({t: (i, t, y) for i, t, y in reversed(rows)}.values())[::-1]  # copies of a text say nothing new
-    counted = [(i, term_counts(t), int(y)) for i, t, y in rows]
-    words: dict[bytes, list[bytes]] = {}
-    parts: list[tuple[Counter, Counter]] = [(Counter(), Counter()) for _ in range(bounds.folds)]  # documents that hold a term
-    for k, (_, counts, y) in enumerate(counted):
-        parts[k % bounds.folds][y].update({t for w in counts for t in words.get(w) or words.setdefault(w, terms_of(w))})
-    whole = tuple(sum((p[y] for p in parts), Counter()) for y in (0, 1))
-    often = sorted(t for t in whole[0].keys() | whole[1].keys() if whole[0][t] + whole[1][t] >= bounds.least)
-    held = np.array([[whole[y][t] for t in often] for y in (0, 1)], np.int64).reshape(2, len(often))
-    found = []
+    counted, every = _Counted(rows), np.arange(len(rows))
+    whole, found = counted.held(every), []
     for fold in range(bounds.folds):
-        less = np.array([[parts[fold][y][t] for t in often] for y in (0, 1)], np.int64).reshape(2, len(often))
-        part = build([r for k, r in enumerate(counted) if k % bounds.folds != fold], often, held - less, bounds)
+        mine = every[fold :: bounds.folds]
+        part = build(counted, np.setdiff1d(every, mine), whole - counted.held(mine), bounds)
         memory: dict = {}
-        found += [(part, part.neighbours(*part.vector(c, memory)), y) for _, c, y in counted[fold :: bounds.folds]]
-    model = build(counted, often, held, bounds)
-    votes = [v for _, near, y in found if y and (v := sum(c * c for c, _ in near)) > 0]
+        found += [(part.raw_parts(part.neighbours(*part.vector(term_counts(rows[k][1]), memory))), int(rows[k][2])) for k in mine.tolist()]
+    model = build(counted, every, whole, bounds)
+    votes = [both for (_, both), y in found if y and both > 0]
     model.unit = float(np.median(votes)) if votes else 1.0
-    seen = []
-    for part, near, y in found:
-        part.unit = model.unit
-        seen.append((part.raw(near), y, weights[y]))
-    model.steps = curve(seen)
+    model.steps = curve([(model.share(*parts), y, weights[y]) for parts, y in found])
     return model
 
 
-def build(counted: list[tuple], often: list[bytes], held: np.ndarray, bounds: Bounds) -> Model:
-    """Terms, weights and index of examples (id, counts of words, label), not calibrated.
-
-    `held` has the numbers of examples of each label that hold each of the terms in `often`.
-    """
+def build(counted: _Counted, rows: np.ndarray, held: np.ndarray, bounds: Bounds) -> Model:
+    """Terms, weights and index of some of the rows, not calibrated; `held` has the rows of each label with each term."""
     model = Model(bounds)
-    n = [sum(y == k for _, _, y in counted) for k in (0, 1)]
-    total = sum(n)
+    n = np.bincount(counted.labels[rows], minlength=2).astype(np.float64)
+    total = len(rows)
     b, a = held.astype(np.float64)
     rest = (a + b) * (total - a - b) * n[0] * n[1]
     association = np.where(rest > 0, total * (a * n[0] - b * n[1]) ** 2 / np.where(rest > 0, rest, 1), 0.0)  # chi-square
     share_a, share_b = (a + 0.5) / (n[1] + 1), (b + 0.5) / (n[0] + 1)
     lift = np.maximum(share_a / share_b, share_b / share_a)
-    order = np.argsort(-association, kind="stable")
-    good = (a + b >= bounds.least) & (association >= bounds.association) & (lift >= bounds.lift)
-    chosen = [often[k] for k in order[good[order]][: bounds.terms].tolist()]
-    model.held = dict(Counter(w for _, counts, _ in counted for w in counts))
-    model.rarity = 1 + np.log((1 + total) / (1 + np.arange(total + 1)))
     if bounds.terms is None:
-        chosen = sorted(model.held)
-    chosen.sort(key=lambda t: t.endswith(b"*"))  # no word has the sign: words first, beginnings after them
-    model.terms = {t: j for j, t in enumerate(chosen)}
-    model.words = sum(not t.endswith(b"*") for t in chosen)
+        chosen = np.flatnonzero(a[: counted.n_words] + b[: counted.n_words] > 0)
+    else:
+        good = np.flatnonzero((a + b >= bounds.least) & (association >= bounds.association) & (lift >= bounds.lift)).tolist()
+        good.sort(key=lambda t: (-association[t], counted.terms[t]))
+        chosen = np.sort(np.array(good[: bounds.terms], np.int64))  # words first, beginnings after them
+    number = (a + b).astype(np.int64)
+    model.held = {counted.terms[k]: int(number[k]) for k in np.flatnonzero(number[: counted.n_words]).tolist()}
+    model.rarity = 1 + np.log((1 + total) / (1 + np.arange(total + 1)))
+    model.terms = {counted.terms[t]: j for j, t in enumerate(chosen.tolist())}
+    model.words = int((chosen < counted.n_words).sum())
     model.starts = frozenset(t[: STARTS[0]] for t in model.terms)
-    number = {t: int(x + z) for t, x, z in zip(often, a, b, strict=True)}
-    model.idf = model.rarity[[number.get(t, model.held.get(t, 0)) for t in chosen]] if chosen else np.zeros(1)
+    model.idf = model.rarity[number[chosen]] if len(chosen) else np.zeros(1)
+    place = np.full(len(counted.terms) + 1, -1, np.int64)
+    place[chosen] = np.arange(len(chosen))
+    vectors = []
+    for k in rows.tolist():
+        words, counts = counted.words[k], counted.counts[k]
+        of = place[counted.word_terms[words]]  # -1 takes the last place, which is -1
+        at = of >= 0
+        terms, where = np.unique(of[at], return_inverse=True)
+        weights = (1 + np.log(np.bincount(where, np.repeat(counts, at.sum(axis=1)), len(terms)))) * model.idf[terms]
+        whole = (1 + np.log(counts)) * model.rarity[number[words]]
+        length = np.sqrt(whole @ whole + (weights[terms >= model.words] ** 2).sum())
+        vectors.append((terms, weights / length if length else weights, k))
     # Examples with the same leading term lie together, so that few blocks have high bounds.
-    memory: dict = {}
-    vectors = [(*model.vector(counts, memory), i, y) for i, counts, y in counted]
-    vectors.sort(key=lambda v: (v[3], int(v[0][np.argmax(v[1])]) if len(v[0]) else -1))
-    model.ids, model.labels = [v[2] for v in vectors], np.array([v[3] for v in vectors], np.float64)
+    vectors.sort(key=lambda v: (counted.labels[v[2]], int(v[0][np.argmax(v[1])]) if len(v[0]) else -1))
+    model.ids, model.labels = [counted.ids[v[2]] for v in vectors], np.array([counted.labels[v[2]] for v in vectors], np.float64)
     blocks = max(1, -(-len(vectors) // BLOCK))
     model.tile = np.zeros((len(chosen) or 1, blocks), np.int32)
     tiles = [np.zeros(BLOCK)]
-    for e, (terms, weights, _, _) in enumerate(vectors):
+    for e, (terms, weights, _) in enumerate(vectors):
         for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
             if not model.tile[t, e // BLOCK]:
                 model.tile[t, e // BLOCK] = len(tiles)
