@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from .common import mapped, own_columns, small_batches
 
 MARK = "▁"
-#: Bytes that a task remembers of chunks, and of pairs of tokens; what is used least goes, which changes no result.
+#: Bytes that a worker remembers of chunks, and of pairs of tokens; what is used least goes, which changes no result.
 CHUNK_BYTES, PAIR_BYTES = 64 << 20, 24 << 20
 #: Texts by which a vocabulary file shows its rules: the mark put first, runs of spaces, composed and wide letters, controls.
 PROBES = ("a", " a", "a  b ", "   ", "A b", "▁x▁", "\ta\r\nb", "\n", "e\u0301 é ﬁ Ａ ½ \u00a0x\u3000y", "日本\U0001d4b3", "\x00\x07", "<s></s><unk>", "1,234.5")
@@ -225,7 +225,7 @@ class Encoder:
 
 @lru_cache(maxsize=2)
 def pieces_of(model_path: str) -> Pieces:
-    """A vocabulary file's table, read once by a process; it never grows. What a task remembers ends with the task.
+    """A vocabulary file's table, read once by a process; it never grows.
 
     Files that normalise texts, or treat white space, in another way than this module does are refused.
     """
@@ -238,6 +238,18 @@ def pieces_of(model_path: str) -> Pieces:
     return pieces
 
 
+class Shared:
+    """A worker's encoder for the tasks of one query. It hangs on the query's broadcast: a worker that goes on to another query drops both."""
+
+    def __init__(self):
+        self.held: Encoder | None = None
+
+    def encoder(self, pieces: Pieces) -> Encoder:
+        if self.held is None:
+            self.held = Encoder(pieces)
+        return self.held
+
+
 def encode(df: DataFrame, model_path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Ids of every whole text and the text that they decode to, exactly as the library gives them.
 
@@ -268,10 +280,11 @@ class _Texts(dict):
 def _run(df: DataFrame, model_path: str, id_column: str, text_column: str, columns: str, fold) -> DataFrame:
     small_batches(df.sparkSession)
     kind = df.schema[id_column].dataType.simpleString()
+    shared = df.sparkSession.sparkContext.broadcast(Shared())
 
     def rows(batches) -> Iterator[list]:
         pieces = pieces_of(model_path)
-        encoder = Encoder(pieces)
+        encoder = shared.value.encoder(pieces)
         texts = _Texts(pieces)
         for batch in batches:
             made = []
