@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -27,7 +29,7 @@ def own_columns(df: DataFrame, **columns: str) -> DataFrame:
 
 
 #: Keys that are sent to every executor at most; with more, tables are joined by a shuffle.
-SENT_KEYS = 1_000_000
+SENT_KEYS = 200_000
 
 
 #: Rows of a key from which the key is hot, at least, and hot keys of a table at most.
@@ -62,6 +64,13 @@ def looked_up(df: DataFrame, table: DataFrame, key: str, count: str, name: str)
     return df.join(F.broadcast(hot), key).unionByName(rest)
 
 
+def give_back() -> None:
+    """Return free memory to the system at a task's end: the worker lives on."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def mapped(df: DataFrame, rows, schema: str) -> DataFrame:
     """mapInArrow with a function from an iterator of batches to an iterator of column lists.
 
@@ -74,8 +83,11 @@ def mapped(df: DataFrame, rows, schema: str) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(target)
-        for columns in rows(batches):
-            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+        try:
+            for columns in rows(batches):
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+        finally:
+            give_back()
 
     return df.mapInArrow(run, schema)
 

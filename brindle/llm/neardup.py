@@ -44,7 +44,7 @@ class Join:
     percent: int = 80  # 100 * intersection >= percent * union
     trees: int = 4
     branches: int = 3
-    small: int = 4096  # classes of a node that is compared exhaustively
+    small: int = 1024  # classes of a node that is compared exhaustively
     elements: int = 1 << 19  # and elements of their sets together
     depth: int = 2  # levels after which larger nodes are compared in pairs of blocks
 
