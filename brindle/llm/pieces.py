@@ -11,18 +11,27 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
+from math import inf
 
 import ahocorasick
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from .common import mapped, own_columns, small_batches
+from .common import as_bytes, mapped, own_columns, small_batches
 
 MARK = "▁"
 #: Bytes that a worker remembers of chunks, and of pairs of tokens; what is used least goes, which changes no result.
-CHUNK_BYTES, PAIR_BYTES = 64 << 20, 24 << 20
+CHUNK_BYTES, PAIR_BYTES = 16 << 20, 4 << 20
 #: Texts by which a vocabulary file shows its rules: the mark put first, runs of spaces, composed and wide letters, controls.
 PROBES = ("a", " a", "a  b ", "   ", "A b", "▁x▁", "\ta\r\nb", "\n", "e\u0301 é ﬁ Ａ ½ \u00a0x\u3000y", "日本\U0001d4b3", "\x00\x07", "<s></s><unk>", "1,234.5")
+#: Chunks of which the tables are filled together, so that they stay near the processor.
+SLICE = 16384
+#: Pairs that the table of many chunks remembers, each at a place of its own that a later pair may take.
+PAIRS = 1 << 18
 #: Bytes of an entry of a dictionary and of its two objects' heads.
 ENTRY = 220
 
@@ -40,6 +49,10 @@ class Recent(dict):
         value = self.old.get(key)
         if value is None:
             value = self.made(key)
+        self.keep(key, value)
+        return value
+
+    def keep(self, key, value) -> None:
         size = self.size(key, value)
         if size < self.most:
             if self.bytes + size > self.most:
@@ -47,7 +60,6 @@ class Recent(dict):
                 self.clear()
             self[key] = value
             self.bytes += size
-        return value
 
     def size(self, key, value) -> int:
         return ENTRY
@@ -68,34 +80,62 @@ class Pieces:
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.ids = {self.texts[i]: i for i in size if i not in self.special and i not in self.byte_of and not model.is_unused(i)}
         self.scores = {i: model.get_score(i) for i in self.ids.values()}
-        if any(MARK in text.lstrip(MARK) for text in self.ids) or any("\n" in text for text in self.ids):
+        if any(MARK in text.lstrip(MARK) for text in self.ids) or any("\n" in text or len(text) > 255 for text in self.ids):
             raise ValueError("pieces that reach over a word's start or a line's end aren't supported")
         self.known = {c for text in self.ids for c in text}
         self.joined = {text[k : k + 2] for text in self.ids for k in range(len(text) - 1)}  # no piece joins other neighbours
         self.newline = str(self.bytes[10])
         self.automaton = ahocorasick.Automaton()
+        #: Of each token while its characters merge: the next merge's score, and the part at its right and its left end.
+        self.right, self.left = {}, {}
         for text, i in self.ids.items():
-            if self.merge(text) == [i]:  # others are never the result of merging
-                self.automaton.add_word(text, (len(text), i))
+            parts, steps = self._merged(text)
+            if parts == [text]:  # others are never the result of merging
+                self.automaton.add_word(text, i << 8 | len(text))
+                self.right[i], self.left[i] = [(s, y) for s, _, y in steps], [(s, x) for s, x, _ in steps]
         self.automaton.make_automaton()
 
-    def merge(self, text: str) -> list[int]:
-        """Greedy merging of a short string of known characters, by its definition."""
-        parts = list(text)
+    def _merged(self, text: str) -> tuple[list[str], list[tuple[float, str, str]]]:
+        """Greedy merging of a short string, by its definition: what is left, and the ends' parts before each merge."""
+        parts, steps = list(text), []
         while True:
             best = None
             for k in range(len(parts) - 1):
                 i = self.ids.get(parts[k] + parts[k + 1])
                 if i is not None and (best is None or self.scores[i] > best[0]):
                     best = (self.scores[i], k)
+            steps.append((best[0] if best else -inf, parts[0], parts[-1]))
             if best is None:
-                return [self.ids.get(p, -1) for p in parts]
+                return parts, steps
             parts[best[1] : best[1] + 2] = ["".join(parts[best[1] : best[1] + 2])]
 
+    def merge(self, text: str) -> list[int]:
+        """Ids that greedy merging leaves of a short string of known characters."""
+        return [self.ids.get(p, -1) for p in self._merged(text)[0]]
+
+    def compatible(self, left: int, right: int) -> bool:
+        """Whether two tokens stay as they are when their joined characters are merged.
+
+        Both merge as they do alone until a merge over their border has the greatest score; of equal ones the left goes first.
+        """
+        mine, other, a, b = self.right[left], self.left[right], 0, 0
+        ids, scores = self.ids, self.scores
+        while True:
+            (s, x), (t, y) = mine[a], other[b]
+            over = ids.get(x + y)
+            if over is not None and s < scores[over] >= t:
+                return False
+            if s >= t:
+                if s == -inf:
+                    return True
+                a += 1
+            else:
+                b += 1
+
     def _known(self, text: str, out: list[int], compatible: Pairs) -> None:
         last = [-1] * (len(text) + 1)  # last[i]: the last token of the prefix of length i
-        for end, (length, i) in self.automaton.iter(text):
-            start = end + 1 - length
+        for end, found in self.automaton.iter(text):
+            start, i = end + 1 - (found & 255), found >> 8
             if last[end + 1] < 0 and (start == 0 or ((before := last[start]) >= 0 and compatible[before << 32 | i])):
                 last[end + 1] = i
         at, ids = len(text), []
@@ -169,8 +209,73 @@ class Pairs(Recent):
         return ENTRY // 2
 
     def made(self, key: int) -> bool:
-        left, right = key >> 32, key & 0xFFFFFFFF
-        return self.pieces.merge(self.pieces.texts[left] + self.pieces.texts[right]) == [left, right]
+        return self.pieces.compatible(key >> 32, key & 0xFFFFFFFF)
+
+
+class Tables:
+    """Prefix tables of many chunks at once, filled by the length of the prefix."""
+
+    def __init__(self, pieces: Pieces):
+        self.pieces = pieces
+        self.lengths = np.array([len(t) for t in pieces.texts], np.int64)
+        self.names = list(map(str, range(len(pieces.texts))))
+        self.texts = [t.replace(MARK, " ") for t in pieces.texts]
+        self.keys, self.same = np.full(PAIRS, -1, np.int64), np.zeros(PAIRS, bool)
+
+    def compatible(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Whether each two tokens stay as they are when their joined characters are merged."""
+        key = left << 32 | right
+        place = ((key * -7046029254386353131) >> 24) & (PAIRS - 1)
+        out, new = self.same[place], np.flatnonzero(self.keys[place] != key)
+        if len(new):
+            some, where = np.unique(key[new], return_inverse=True)
+            told = np.fromiter(map(self.pieces.compatible, (some >> 32).tolist(), (some & 0xFFFFFFFF).tolist()), bool, len(some))
+            out[new] = told[where]
+            at = ((some * -7046029254386353131) >> 24) & (PAIRS - 1)
+            self.keys[at] = some
+            kept = self.keys[at] == some  # of pairs that share a place one keeps it
+            self.same[at[kept]] = told[kept]
+        return out
+
+    def ids(self, chunks: list[str]) -> tuple[list[str | None], list[str | None]]:
+        """Ids of each chunk in decimal, joined by spaces, and the text that they decode to; None for chunks with characters that no piece has."""
+        parts = [self._ids(chunks[k : k + SLICE]) for k in range(0, len(chunks), SLICE)]
+        return tuple([x for p in parts for x in p[k]] for k in range(2))
+
+    def _ids(self, chunks: list[str]) -> tuple[list[str | None], list[str | None]]:
+        size = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        begin = np.cumsum(size + 1) - size - 1
+        found = np.fromiter(chain.from_iterable(self.pieces.automaton.iter("\n".join(chunks))), np.int64).reshape(-1, 2)
+        end, token = found[:, 0] + 1, found[:, 1] >> 8
+        start = end - (found[:, 1] & 255)
+        first = np.repeat(begin, size + 1)[start]
+        order = np.argsort(end - first, kind="stable")
+        start, end, token, first = start[order], end[order], token[order], first[order]
+        last = np.full(int(begin[-1] + size[-1]) + 2, -1, np.int64)  # the last token of the prefix that ends there
+        level = np.searchsorted(end - first, np.arange(1, int(size.max()) + 2))
+        for a, b in zip(level[:-1].tolist(), level[1:].tolist(), strict=True):
+            before = last[start[a:b]]
+            good = start[a:b] == first[a:b]
+            asked = np.flatnonzero(~good & (before >= 0))
+            good[asked] = self.compatible(before[asked], token[a:b][asked])
+            last[end[a:b][good]] = token[a:b][good]
+        # from the ends backwards
+        at, now, told, of = begin + size, np.arange(len(chunks)), [], []
+        broken = np.zeros(len(chunks), bool)
+        while len(now):
+            token = last[at[now]]
+            broken[now[token < 0]] = True
+            now, token = now[token >= 0], token[token >= 0]
+            told.append(token)
+            of.append(now)
+            at[now] -= self.lengths[token]
+            now = now[at[now] > begin[now]]
+        of = np.concatenate(of)
+        order = np.argsort(of[::-1], kind="stable")  # a chunk's tokens were found last first
+        ids = np.concatenate(told)[::-1][order].tolist()
+        ends = np.cumsum(np.bincount(of, minlength=len(chunks))).tolist()
+        join = lambda names, by: [None if bad else by.join(names[a:b]) for bad, a, b in zip(broken.tolist(), [0, *ends], ends, strict=False)]
+        return join([self.names[i] for i in ids], " "), join([self.texts[i] for i in ids], "")
 
 
 class Chunks(Recent):
@@ -196,6 +301,7 @@ class Encoder:
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
         compatible = Pairs(pieces)
+        self.tables = Tables(pieces)
         self.first, self.later = Chunks(pieces, compatible, "", CHUNK_BYTES // 5), Chunks(pieces, compatible, MARK, CHUNK_BYTES * 7 // 10)
 
     def encode(self, text: str) -> str:
@@ -257,7 +363,7 @@ def encode(df: DataFrame, model_path: str, id_column: str = "doc_id", text_colum
     included. A null text counts as empty: its ids are the end id alone and it decodes to ''. An empty table
     gives no rows. Other columns stay behind.
     """
-    return _run(df, model_path, id_column, text_column, "ids array<int>, decoded string", lambda joined, decoded: (list(map(int, joined.split(" "))), decoded))
+    return _run(df, model_path, id_column, text_column, "ids array<int>, decoded string", lambda joined, decoded: [pc.split_pattern(joined, " ").cast(pa.list_(pa.field("element", pa.int32()))), decoded])
 
 
 def digests(df: DataFrame, model_path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -265,17 +371,78 @@ def digests(df: DataFrame, model_path: str, id_column: str = "doc_id", text_colu
     return _run(df, model_path, id_column, text_column, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", _digest)
 
 
-def _digest(joined: str, decoded: str) -> tuple[int, str, str]:
-    return joined.count(" ") + 1, hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+def _digest(joined: pa.Array, decoded: pa.Array) -> list:
+    ids, texts = as_bytes(joined), as_bytes(decoded)
+    return [[x.count(b" ") + 1 for x in ids], *([hashlib.sha256(x).hexdigest() for x in some] for some in (ids, texts))]
 
 
 class _Texts(dict):
-    """Decimal id -> its piece's text, with a byte's text left to `Pieces.decode`."""
+    """Decimal id -> its piece's text; a byte beyond ASCII is left to `Pieces.decode`."""
 
     def __init__(self, pieces: Pieces):
         super().__init__((str(i), t.replace(MARK, " ")) for i, t in enumerate(pieces.texts) if i not in pieces.byte_of)
         self.update((str(i), chr(b)) for b, i in pieces.bytes.items() if b < 128)
 
+    def of(self, joined: str, pieces: Pieces) -> str:
+        """The text of a chunk's ids; no character's bytes reach over its end."""
+        try:
+            return "".join(map(self.__getitem__, joined.split(" "))) if joined else ""
+        except KeyError:
+            ids = list(map(int, joined.split(" ")))
+            # the mark put first is the whole text's affair
+            return (" " if pieces.texts[ids[0]].startswith(MARK) else "") + pieces.decode(ids)
+
+
+#: Stands before a line's first word, which has no space before it.
+HEAD = "\x00"
+#: Longer texts are encoded by themselves.
+LONG_BYTES = 32 << 20
+#: Bytes of texts that are encoded at a time.
+TOGETHER_BYTES = 6 << 20
+
+
+def _together(texts: pa.Array, encoder: Encoder, known: _Texts) -> tuple[pa.Array, pa.Array]:
+    """Ids joined by spaces, and decoded texts: each different word of the texts is looked up once.
+
+    The texts have words between single spaces; `_plain` tells which do.
+    """
+    words = pc.split_pattern(pc.replace_substring(texts, "\n", f" \n {HEAD}"), " ")
+    coded = words.flatten().dictionary_encode()
+    first, later, newline = encoder.first, encoder.later, encoder.pieces.newline
+    different = coded.dictionary.to_pylist()
+    ids, some = encoder.tables.ids([MARK + w for w in different])
+    for k, w in enumerate(different):
+        if ids[k] is None or w[0] == HEAD:  # a line end, a line's first word, characters that no piece has
+            ids[k] = newline if w == "\n" else later[w] if w[0] != HEAD else first[w[1:]] if len(w) > 1 else ""
+            some[k] = known.of(ids[k], encoder.pieces)
+    join = lambda parts, by: pc.binary_join(pa.ListArray.from_arrays(words.offsets, pa.array(parts, pa.string()).take(coded.indices)), by)
+    joined, decoded = join(ids, " "), join(some, "")
+    joined = pc.binary_join_element_wise(joined, str(encoder.pieces.eos), " ")
+    if "" in ids:  # a line without a first word
+        joined = pa.array([" ".join(x.split()) if "  " in x else x for x in joined.to_pylist()], pa.string())
+    return joined, pc.if_else(pc.starts_with(decoded, " "), pc.utf8_slice_codeunits(decoded, 1), decoded)
+
+
+def _plain(texts: pa.Array) -> pa.Array:
+    """Texts whose words stand between single spaces and line ends."""
+    odd = pc.match_substring(texts, "  ")
+    for some in (pc.match_substring(texts, " \n"), pc.match_substring(texts, HEAD), pc.match_substring(texts, MARK), pc.starts_with(texts, " "), pc.ends_with(texts, " "), pc.starts_with(texts, "\n")):
+        odd = pc.or_(odd, some)
+    return pc.and_(pc.invert(odd), pc.and_(pc.greater(pc.binary_length(texts), 0), pc.less(pc.binary_length(texts), LONG_BYTES)))
+
+
+def _gathered(batches) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Ids and texts of batches, some megabytes at a time: the more texts, the fewer of their words are different."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column(1).nbytes
+        if size >= TOGETHER_BYTES:
+            yield tuple(pa.concat_arrays([b.column(k) for b in held]) for k in range(2))
+            held, size = [], 0
+    if held:
+        yield tuple(pa.concat_arrays([b.column(k) for b in held]) for k in range(2))
+
 
 def _run(df: DataFrame, model_path: str, id_column: str, text_column: str, columns: str, fold) -> DataFrame:
     small_batches(df.sparkSession)
@@ -284,19 +451,18 @@ def _run(df: DataFrame, model_path: str, id_column: str, text_column: str, colum
 
     def rows(batches) -> Iterator[list]:
         pieces = pieces_of(model_path)
-        encoder = shared.value.encoder(pieces)
-        texts = _Texts(pieces)
-        for batch in batches:
-            made = []
-            for text in batch.column(1).to_pylist():
-                joined = encoder.encode(text or "")
-                ids = joined.split(" ")
-                try:
-                    decoded = "".join(map(texts.__getitem__, ids))
-                    decoded = decoded[1:] if decoded.startswith(" ") else decoded
-                except KeyError:  # bytes beyond ASCII
-                    decoded = pieces.decode(list(map(int, ids)))
-                made.append(fold(joined, decoded))
-            yield [batch.column(0), *map(list, zip(*made, strict=True))] if made else [batch.column(0), *[[] for _ in columns.split(",")]]
+        encoder, known = shared.value.encoder(pieces), _Texts(pieces)
+        for ids, given in _gathered(batches):
+            texts = pc.fill_null(given, "")
+            plain = _plain(texts)
+            joined, decoded = _together(texts.filter(plain), encoder, known)
+            if len(joined) < len(texts):  # the others one by one, put at their places
+                alone = [encoder.encode(t) for t in texts.filter(pc.invert(plain)).to_pylist()]
+                apart = [pieces.decode(list(map(int, x.split(" ")))) for x in alone]
+                mask = plain.to_numpy(zero_copy_only=False)
+                order = np.empty(len(mask), np.int64)
+                order[mask], order[~mask] = np.arange(len(joined)), len(joined) + np.arange(len(alone))
+                joined, decoded = (pa.concat_arrays([x, pa.array(y, pa.string())]).take(pa.array(order)) for x, y in ((joined, alone), (decoded, apart)))
+            yield [ids, *fold(joined, decoded)]
 
     return mapped(own_columns(df, doc_id=id_column, text=text_column), rows, f"doc_id {kind}, {columns}")

@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mapped, own_columns, scratch_path, small_batches
+from .common import SENT_KEYS, mapped, own_columns, scratch_path, small_batches, written
 
 #: Fixed values of the formats: the dictionary's skippable frame, and an empty skippable frame in ASCII.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -34,22 +34,27 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 def classified(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", payload_column: str = "html", revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
-    """page_id, url, payload (binary), n, digest (SHA-1, hex), refers_to (null for responses).
+    """page_id, url, payload (binary), n, digest (SHA-1, hex), refers_to (null for responses), named (whether revisits name it).
 
     Of equal payloads of `revisit_bytes` or more, the one with the largest id is the response. Rows without an
-    id are responses that no row refers to. Of repeated rows with that id, the record is a response each time.
+    id are responses that no row refers to. Of repeated rows with that id, the record is a response each time, and one
+    of them is named. Payloads stay where they lie unless more payloads repeat than can be broadcast.
     """
     pages = own_columns(pages, page_id=id_column, url=url_column, payload=payload_column)
     pages = pages.withColumn("payload", F.coalesce(F.col("payload").cast("binary"), F.lit(b"")))
-    pages = pages.withColumns({"n": F.length("payload").cast("long"), "digest": F.sha1("payload")})
-    groups = pages.where(F.col("n") >= revisit_bytes).groupBy("digest").agg(F.max("page_id").alias("response"), F.count("*").alias("copies"))
-    groups = groups.where("copies > 1 and response is not null").select("digest", "response")
-    known = F.when((F.col("n") >= revisit_bytes) & (F.col("page_id") != F.col("response")), F.col("response"))
-    return pages.join(groups, "digest", "left").select("page_id", "url", "payload", "n", "digest", known.alias("refers_to"))
+    pages = pages.withColumns({"n": F.length("payload").cast("long"), "digest": F.sha1("payload"), "salt": F.monotonically_increasing_id()})
+    groups = pages.where((F.col("n") >= revisit_bytes)).groupBy("digest").agg(F.max("page_id").alias("response"), F.max_by("salt", "page_id").alias("place"), F.count("*").alias("copies"))
+    groups = written(groups.where("copies > 1 and response is not null").select("digest", "response", "place"), "repeated")
+    groups = F.broadcast(groups) if groups.count() <= SENT_KEYS else groups
+    repeated = F.col("n") >= revisit_bytes
+    known = F.when(repeated & (F.col("page_id") != F.col("response")), F.col("response"))
+    named = F.coalesce(repeated & (F.col("salt") == F.col("place")), F.lit(False))
+    return pages.join(groups, "digest", "left").select("page_id", "url", "payload", "n", "digest", known.alias("refers_to"), named.alias("named"))
 
 
-def record_id(page_id) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'page:{page_id}')}>"
+def record_id(page_id, named: bool = True) -> str:
+    """A record's id: told by the page's id where revisits name it, else random, so that no two are the same."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'page:{page_id}') if named else uuid.uuid4()}>"
 
 
 def _uri(url: str) -> str:
@@ -57,10 +62,10 @@ def _uri(url: str) -> str:
     return "".join(c if c > " " and c != "\x7f" and not "\ud800" <= c <= "\udfff" else "".join(f"%{b:02X}" for b in c.encode("utf-8", "replace")) for c in url)
 
 
-def record(page_id, url: str | None, payload: bytes, n: int, digest: str, refers_to, date: str = DATE) -> bytes:
+def record(page_id, url: str | None, payload: bytes, n: int, digest: str, refers_to, named: bool = True, date: str = DATE) -> bytes:
     """One WARC/1.1 record of a payload of n bytes; a revisit holds the HTTP head alone."""
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % n + payload
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id)}", f"WARC-Date: {date}"]
+    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id, named)}", f"WARC-Date: {date}"]
     if page_id is not None:
         head.append(f"X-Page-ID: {page_id}")
     if url is not None:
@@ -90,7 +95,7 @@ def write_archives(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYT
     """
     small_batches(pages.sparkSession)
     empty = F.when(F.col("refers_to").isNull(), F.col("payload")).otherwise(F.lit(b""))
-    pages = pages.select("page_id", "url", empty.alias("payload"), "n", "digest", "refers_to")
+    pages = pages.select("page_id", "url", empty.alias("payload"), "n", "digest", "refers_to", "named")
 
     def packed(batches) -> Iterator[list]:
         some: list[bytes] = []
