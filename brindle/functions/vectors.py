@@ -11,6 +11,12 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
 
+def finite(v: Column) -> Column:
+    """Whether a vector has components and all of them are finite numbers."""
+    good = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < F.lit(float("inf"))))
+    return F.coalesce(v.isNotNull() & (F.size(v) > 0) & good, F.lit(False))
+
+
 def normalised(v: Column) -> Column:
     """The vector at length 1; a vector of length 0 stays."""
     length = F.sqrt(dot(v, v))

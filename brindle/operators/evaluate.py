@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.bits import hamming, limb_names
-from ..functions.vectors import dot, normalised
+from ..functions.vectors import dot, finite, normalised
 from .retrieval import cosine_before, cosine_top_k, query_blocks
 
 #: Two-sided critical values of Student's t at 0.001, 0.01 and 0.05, by degrees of freedom.
@@ -73,9 +73,10 @@ def ranking_scores(ranking: DataFrame, queries: DataFrame, truth: DataFrame, top
 
 def vector_scores(vectors: DataFrame, queries: DataFrame, truth: DataFrame, top: int = 5) -> DataFrame:
     """The same of a ranking by cosine, however deep the first true neighbour lies: what is before it is counted, not ranked."""
-    asked, unit = queries.select("query_id", "vector").where("vector is not null"), normalised(F.col("vector"))
+    vectors = vectors.where(finite(F.col("vector")))
+    asked, unit = queries.select("query_id", "vector").where(finite(F.col("vector"))), normalised(F.col("vector"))
     true = truth.select(F.col("id").alias("query_id"), F.col("nbr").alias("id")).where("id <> query_id")
-    pairs = true.join(asked.select("query_id", unit.alias("v")), "query_id").join(vectors.where("vector is not null").select("id", unit.alias("w")), "id")
+    pairs = true.join(asked.select("query_id", unit.alias("v")), "query_id").join(vectors.select("id", unit.alias("w")), "id").where(F.size("v") == F.size("w"))
     sim = F.round(dot(F.col("v"), F.col("w")), 9) + 0.0
     best = pairs.select("query_id", "id", sim.alias("sim")).groupBy("query_id").agg(F.min(F.struct((-F.col("sim")).alias("away"), "id")).alias("best"))
     best = best.select("query_id", (-F.col("best.away")).alias("sim"), "best.id")

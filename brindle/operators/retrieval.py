@@ -10,15 +10,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.bits import address_of, bind, hamming, literal
-from ..functions.vectors import normalised
+from ..functions.bits import address_of, bind, hamming, limb_names, literal
+from ..functions.vectors import finite, normalised
 
 #: Queries that are sent to the executors at once.
 QUERY_BLOCK = 4096
 
 
-def _limbs(df: DataFrame) -> list[str]:
-    return sorted((c for c in df.columns if c[0] == "l" and c[1:].isdigit()), key=lambda c: int(c[1:]))
+def _limbs(df: DataFrame, bits: int | None = None) -> list[str]:
+    """The limbs' columns: those of the given width, or else l0 and all that follow it without a gap."""
+    if bits:
+        return limb_names(bits)
+    n = 0
+    while f"l{n}" in df.columns:
+        n += 1
+    return [f"l{j}" for j in range(n)]
 
 
 def query_blocks(queries: DataFrame) -> list[DataFrame]:
@@ -29,7 +35,7 @@ def query_blocks(queries: DataFrame) -> list[DataFrame]:
 
 def ranked(addresses: DataFrame, query: Sequence[Column], order: Sequence[str] = ("id",)) -> DataFrame:
     """All addresses with their distance, nearest first; ties go by the `order` columns (id, or the input's order)."""
-    names = _limbs(addresses)
+    names = limb_names(64 * len(query))  # as wide as the query: other columns, whatever their names, are none
     return addresses.withColumn("dist", hamming([F.col(n) for n in names], query)).orderBy("dist", *order)
 
 
@@ -42,32 +48,32 @@ def top_k(addresses: DataFrame, query: Sequence[Column], k: int = 10, exclude: D
     return ranked(addresses, query, order).limit(k).select("id", "dist")
 
 
-def text_query(addresses: DataFrame, text: str, k: int = 10, order: Sequence[str] = ("id",)) -> DataFrame:
-    """The k nearest to a text's address."""
-    return top_k(addresses, literal(address_of(text, 64 * len(_limbs(addresses)))), k, order=order)
+def text_query(addresses: DataFrame, text: str, k: int = 10, order: Sequence[str] = ("id",), bits: int | None = None) -> DataFrame:
+    """The k nearest to a text's address. `bits` names the addresses' width where other columns follow the limbs' names."""
+    return top_k(addresses, literal(address_of(text, 64 * len(_limbs(addresses, bits)))), k, order=order)
 
 
-def composed_query(addresses: DataFrame, a: str, b: str, k: int = 10, order: Sequence[str] = ("id",)) -> DataFrame:
+def composed_query(addresses: DataFrame, a: str, b: str, k: int = 10, order: Sequence[str] = ("id",), bits: int | None = None) -> DataFrame:
     """The k nearest to two texts' addresses bound together. This is no conjunction of the texts."""
-    width = 64 * len(_limbs(addresses))
+    width = 64 * len(_limbs(addresses, bits))
     return top_k(addresses, bind(literal(address_of(a, width)), literal(address_of(b, width))), k, order=order)
 
 
-def node_query(addresses: DataFrame, node, k: int = 10, order: Sequence[str] = ("id",)) -> DataFrame:
+def node_query(addresses: DataFrame, node, k: int = 10, order: Sequence[str] = ("id",), bits: int | None = None) -> DataFrame:
     """The k nearest to a node's address, without the node; an unknown node gives no rows."""
-    names = _limbs(addresses)
+    names = _limbs(addresses, bits)
     own = addresses.where(F.col("id") == node).limit(1).select(*[F.col(n).alias(f"q_{n}") for n in names])
     beside = addresses.where(F.col("id") != node).join(F.broadcast(own))  # one row
     return beside.withColumn("dist", hamming([F.col(n) for n in names], [F.col(f"q_{n}") for n in names])).orderBy("dist", *order).limit(k).select("id", "dist")
 
 
-def top_k_batch(addresses: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+def top_k_batch(addresses: DataFrame, queries: DataFrame, k: int = 10, bits: int | None = None) -> DataFrame:
     """The k nearest of every query: query_id, id, dist, rank; a query's own id is left out, ties go by id.
 
     `queries` has query_id and limbs. Queries go to the executors in bounded blocks; each batch of addresses keeps
     its k best for each query, so the shuffle holds queries * batches * k rows, not queries * addresses.
     """
-    names, kind, q_kind = _limbs(addresses), addresses.schema["id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
+    names, kind, q_kind = _limbs(addresses, bits), addresses.schema["id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
     spark, out = addresses.sparkSession, None
     for block in query_blocks(queries.select("query_id", *names)):
         some = block.collect()
@@ -101,34 +107,54 @@ def top_k_batch(addresses: DataFrame, queries: DataFrame, k: int = 10) -> DataFr
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "id", "dist", "rank")
 
 
+def _units(df: DataFrame, key: str, *more: str) -> DataFrame:
+    """key, unit vector v, and more columns, of the rows whose vectors are whole and finite."""
+    return df.where(finite(F.col("vector"))).select(key, normalised(F.col("vector")).alias("v"), *more)
+
+
+def _by_dimension(ids: list, vectors: Sequence) -> dict[int, tuple[list[int], np.ndarray]]:
+    """Dimension -> (places of its vectors, matrix of them)."""
+    places: dict[int, list[int]] = {}
+    for k, v in enumerate(vectors):
+        places.setdefault(len(v), []).append(k)
+    return {d: (at, np.array([vectors[k] for k in at], np.float64)) for d, at in places.items()}
+
+
+def _matrix(column: pa.Array, d: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and matrix of a batch's vectors of a dimension."""
+    starts, flat = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+    at = np.flatnonzero(np.diff(starts) == d)
+    return at, flat[starts[at][:, None] + np.arange(d)]
+
+
 def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, places: int = 9) -> DataFrame:
     """The k nearest of every query by cosine: query_id, id, sim (rounded), rank; ties go by id.
 
-    `vectors` has id and vector, `queries` query_id and vector, all of one dimension; null vectors take no part, vectors of
-    length 0 have cosine 0. Queries go to the executors in bounded blocks; each batch keeps its k best for each.
+    `vectors` has id and vector, `queries` query_id and vector. Vectors that are null, empty, or hold null or non-finite
+    components take no part; a query's candidates are those of its dimension; vectors of length 0 have cosine 0.
+    Other columns stay behind. Queries go to the executors in bounded blocks; each batch keeps its k best for each.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
     it, qt = to_arrow_type(vectors.schema["id"].dataType), to_arrow_type(queries.schema["query_id"].dataType)
     kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {vectors.schema['id'].dataType.simpleString()}, sim double"
-    x, out = vectors.where("vector is not null").select("id", normalised(F.col("vector")).alias("v")), None
-    for block in query_blocks(queries.where("vector is not null").select("query_id", normalised(F.col("vector")).alias("v"))):
+    x, out = _units(vectors, "id"), None
+    for block in query_blocks(_units(queries, "query_id")):
         some = block.collect()
-        given = vectors.sparkSession.sparkContext.broadcast(([r["query_id"] for r in some], np.array([r["v"] for r in some], np.float64)))
+        given = vectors.sparkSession.sparkContext.broadcast(([r["query_id"] for r in some], _by_dimension(some, [r["v"] for r in some])))
 
         def rows(batches, given=given) -> Iterator[pa.RecordBatch]:
-            ids_q, q = given.value
+            ids_q, asked = given.value
             best: list[list] = [[] for _ in ids_q]
             for batch in batches:
-                if not batch.num_rows or not ids_q:
-                    continue
-                ids = batch.column(0).to_pylist()
-                v = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
-                sims = np.round(q @ v.T, places) + 0.0
-                for i, mine in enumerate(ids_q):
-                    sim = sims[i]
-                    near = np.flatnonzero(sim >= np.partition(sim, len(sim) - k - 1)[len(sim) - k - 1]) if len(sim) > k + 1 else np.arange(len(sim))
-                    best[i] = heapq.nsmallest(k, best[i] + [(-float(sim[n]), ids[n]) for n in near.tolist() if ids[n] != mine])
+                names = batch.column(0).to_pylist()
+                for d, (places_q, q) in asked.items():
+                    at, v = _matrix(batch.column(1), d)
+                    ids = [names[n] for n in at.tolist()]
+                    sims = np.round(q @ v.T, places) + 0.0
+                    for i, sim in zip(places_q, sims, strict=True):
+                        near = np.flatnonzero(sim >= np.partition(sim, len(sim) - k - 1)[len(sim) - k - 1]) if len(sim) > k + 1 else np.arange(len(sim))
+                        best[i] = heapq.nsmallest(k, best[i] + [(-float(sim[n]), ids[n]) for n in near.tolist() if ids[n] != ids_q[i]])
             told = [(mine, i, -s + 0.0) for mine, found in zip(ids_q, best, strict=True) for s, i in found]
             columns = list(zip(*told, strict=True)) if told else [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], qt), pa.array(columns[1], it), pa.array(columns[2], pa.float64())], names=["query_id", "id", "sim"])
@@ -147,26 +173,28 @@ def cosine_before(vectors: DataFrame, marks: DataFrame, places: int = 9) -> Data
     from pyspark.sql.pandas.types import to_arrow_type
 
     qt, kinds = to_arrow_type(marks.schema["query_id"].dataType), f"query_id {marks.schema['query_id'].dataType.simpleString()}, n bigint"
-    x, out = vectors.where("vector is not null").select("id", normalised(F.col("vector")).alias("v")), None
-    for block in query_blocks(marks.select("query_id", normalised(F.col("vector")).alias("v"), "sim", "id")):
+    x, out = _units(vectors, "id"), None
+    for block in query_blocks(_units(marks, "query_id", "sim", "id")):
         some = block.collect()
-        given = vectors.sparkSession.sparkContext.broadcast(([r["query_id"] for r in some], np.array([r["v"] for r in some], np.float64), np.array([r["sim"] for r in some], np.float64), [r["id"] for r in some]))
+        given = vectors.sparkSession.sparkContext.broadcast(([r["query_id"] for r in some], _by_dimension(some, [r["v"] for r in some]), np.array([r["sim"] for r in some], np.float64), [r["id"] for r in some]))
 
         def rows(batches, given=given) -> Iterator[pa.RecordBatch]:
-            ids_q, q, sim, marked = given.value
+            ids_q, asked, sim, marked = given.value
             before = np.zeros(len(ids_q), np.int64)
             for batch in batches:
-                if not batch.num_rows or not ids_q:
-                    continue
-                ids = batch.column(0).to_pylist()
-                v = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
-                sims = np.round(q @ v.T, places) + 0.0
-                before += (sims > sim[:, None]).sum(axis=1)
-                own = {n: k for k, n in enumerate(ids)}
-                for i, k in [(i, own[mine]) for i, mine in enumerate(ids_q) if mine in own]:
-                    before[i] -= sims[i, k] > sim[i]  # a query is not before itself
-                for i, k in zip(*np.nonzero(sims == sim[:, None]), strict=True):
-                    before[i] += ids[k] < marked[i] and ids[k] != ids_q[i]
+                names = batch.column(0).to_pylist()
+                for d, (places_q, q) in asked.items():
+                    at, v = _matrix(batch.column(1), d)
+                    ids = [names[n] for n in at.tolist()]
+                    sims, bar = np.round(q @ v.T, places) + 0.0, sim[places_q][:, None]
+                    before[places_q] += (sims > bar).sum(axis=1)
+                    own = {n: k for k, n in enumerate(ids)}
+                    for j, i in enumerate(places_q):
+                        if ids_q[i] in own:
+                            before[i] -= sims[j, own[ids_q[i]]] > sim[i]  # a query is not before itself
+                    for j, k in zip(*np.nonzero(sims == bar), strict=True):
+                        i = places_q[j]
+                        before[i] += ids[k] < marked[i] and ids[k] != ids_q[i]
             yield pa.RecordBatch.from_arrays([pa.array(ids_q, qt), pa.array(before)], names=["query_id", "n"])
 
         part = x.mapInArrow(rows, kinds)

@@ -43,7 +43,7 @@ def kg_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     def ids(df: DataFrame, a: str, key_a: str, b: str, key_b: str, kind: str) -> DataFrame:
         return df.select(F.concat(F.lit(f"{a}:"), F.col(key_a)).alias("source"), F.concat(F.lit(f"{b}:"), F.col(key_b)).alias("target"), F.lit(kind).alias("type"))
 
-    supplied = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' and l_quantity >= 49").select("l_suppkey", "l_partkey").distinct()
+    supplied = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct()
     out = ids(table(spark, sf_dir, "nation"), "nation", "n_nationkey", "region", "n_regionkey", "in_region")
     out = out.union(ids(table(spark, sf_dir, "supplier"), "supplier", "s_suppkey", "nation", "s_nationkey", "based_in"))
     out = out.union(ids(table(spark, sf_dir, "customer"), "customer", "c_custkey", "nation", "c_nationkey", "lives_in"))
