@@ -24,8 +24,6 @@ TOPICS = {
     "quantum_biology_H9": "quantum biology communication",
     "quantum_biology_H10": "quantum biology navigation",
 }
-#: States that are told as they are; others are passed through as well.
-STATES = ("ready", "researched", "active", "hypothesis", "draft", "registered", "archived", "gap", "open", "partial", "hold")
 #: What must not stand anywhere in the output.
 SENSITIVE = ("bisociation", "falsifiable_test", "doi_urgency", "dvu_estimate", "ip_owner", "patent-candidate", "Thermal-Substrate")
 
@@ -43,11 +41,13 @@ def safe_label(id_: Column, label: Column, chain: Column, topics: dict[str, str]
 
 
 def sanitized_nodes(nodes: DataFrame, topics: dict[str, str] | None = None, states: dict[str, str] | None = None) -> DataFrame:
-    """id, type, label, status, and cluster where the chain is known (null elsewhere)."""
+    """id, type, label, status, and cluster where the chain is known (null elsewhere).
+
+    `states` renames states; those that it lacks are told as they are, null as ''. Repeated rows stay.
+    """
     topics = TOPICS if topics is None else topics
-    states = {s: s for s in STATES} if states is None else states
     cluster = F.when(_lookup(topics, F.col("chain")).isNotNull(), F.col("chain"))
-    status = F.coalesce(_lookup(states, F.col("status")), F.col("status"), F.lit(""))
+    status = F.coalesce(_lookup(states or {}, F.col("status")), F.col("status"), F.lit(""))
     return nodes.select("id", F.coalesce("type", F.lit("unknown")).alias("type"), safe_label(F.col("id"), F.col("label"), F.col("chain"), topics).alias("label"), status.alias("status"), cluster.alias("cluster"))
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from .graph import induced_edges
 
+#: Nodes of a subgraph of which the walk is computed at most: it alone needs a matrix.
+WALK_NODES = 2_000
 #: Decimal places that scores are rounded to, so that equal scores tie on every machine.
 PLACES = 12
 
@@ -28,6 +30,19 @@ def ctqw(a: np.ndarray, start: int, t: float = 0.5) -> np.ndarray:
     return np.abs(amplitude) ** 2
 
 
+def sparse_pagerank(n: int, pairs: np.ndarray, start: int, alpha: float = 0.85, rounds: int = 50) -> np.ndarray:
+    """`pagerank` from a list of edges, in memory that grows with nodes and edges."""
+    both = np.unique(np.concatenate([pairs, pairs[:, ::-1]]), axis=0) if len(pairs) else pairs
+    source, target = both[:, 0], both[:, 1]
+    out = np.maximum(np.bincount(source, minlength=n), 1)
+    jump = np.zeros(n)
+    jump[start] = 1
+    p = jump
+    for _ in range(rounds):
+        p = alpha * np.bincount(target, (p / out)[source], n) + (1 - alpha) * jump
+    return p
+
+
 def pagerank(a: np.ndarray, start: int, alpha: float = 0.85, rounds: int = 50) -> np.ndarray:
     """Personalised PageRank after a fixed number of rounds; rows without edges lose their mass."""
     sums = a.sum(axis=1, keepdims=True)
@@ -40,10 +55,12 @@ def pagerank(a: np.ndarray, start: int, alpha: float = 0.85, rounds: int = 50) -
     return p
 
 
-def local_scores(subgraph: DataFrame, edges: DataFrame, t: float = 0.5, alpha: float = 0.85, rounds: int = 50) -> DataFrame:
+def local_scores(subgraph: DataFrame, edges: DataFrame, t: float = 0.5, alpha: float = 0.85, rounds: int = 50, walked: bool = True) -> DataFrame:
     """query_id, node, bfs_order, dist, degree, pagerank, ctqw of every subgraph's nodes; the query is one of them.
 
-    Each subgraph is one bounded group. Degree counts edge ends, so a self-loop counts twice.
+    Each subgraph is one group, of its nodes and edges; the walk alone needs a matrix, and takes at most `WALK_NODES` nodes
+    (more are an error). Without `walked` ctqw is null. Degree counts edge ends, so a self-loop counts twice. Repeated
+    rows and parallel edges are told as `bfs_subgraph` and `induced_edges` give them; no subgraph gives no row.
     """
     kind = subgraph.schema["query_id"].dataType.simpleString()
 
@@ -51,9 +68,12 @@ def local_scores(subgraph: DataFrame, edges: DataFrame, t: float = 0.5, alpha: f
         nodes = nodes.sort_values("bfs_order").reset_index(drop=True)
         place = {n: k for k, n in enumerate(nodes["node"])}
         pairs = np.array([(place[s], place[x]) for s, x in zip(inside["source"], inside["target"], strict=True)], np.int64).reshape(-1, 2)
-        a = adjacency(len(nodes), pairs)
+        n = len(nodes)
+        if walked and n > WALK_NODES:
+            raise ValueError(f"the walk takes subgraphs of at most {WALK_NODES} nodes, not {n}")
+        found = np.round(ctqw(adjacency(n, pairs), 0, t), PLACES) if walked else np.full(n, None)
         ends = np.bincount(pairs.ravel(), minlength=len(nodes))
-        return nodes.assign(degree=ends.astype("int64"), pagerank=np.round(pagerank(a, 0, alpha, rounds), PLACES), ctqw=np.round(ctqw(a, 0, t), PLACES))[["query_id", "node", "bfs_order", "dist", "degree", "pagerank", "ctqw"]]
+        return nodes.assign(degree=ends.astype("int64"), pagerank=np.round(sparse_pagerank(n, pairs, 0, alpha, rounds), PLACES), ctqw=found)[["query_id", "node", "bfs_order", "dist", "degree", "pagerank", "ctqw"]]
 
     inside = induced_edges(subgraph, edges).select(F.col("query_id").alias("of"), "source", "target")
     return subgraph.groupBy("query_id").cogroup(inside.groupBy("of")).applyInPandas(scores, f"query_id {kind}, node {kind}, bfs_order int, dist int, degree bigint, pagerank double, ctqw double")
@@ -66,7 +86,7 @@ RANKERS = {"bfs_distance": ("dist", False), "local_degree": ("degree", True), "l
 def ranked(scores: DataFrame, ranker: str, ties: str = "node") -> DataFrame:
     """query_id, node, score, rank without the queries themselves; ties by node, or by `bfs_order`.
 
-    Subgraphs of fewer than two nodes give nothing.
+    Subgraphs of fewer than two nodes give nothing. Null scores come last, repeated nodes each have a rank.
     """
     column, more = RANKERS[ranker]
     others = scores.where("node <> query_id")

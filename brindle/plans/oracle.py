@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from ..operators.sanitize import SENSITIVE, TOPICS
-
+#: Topics that stand for known chains, and what must not stand anywhere in the output.
+TOPICS = {"quantum_biology": "quantum biology"} | {
+    f"quantum_biology_H{k}": f"quantum biology {name}"
+    for k, name in enumerate(("photosynthesis", "coherence", "algorithm", "density", "thermoregulation", "energy computing", "sensor", "evolution", "communication", "navigation"), 1)
+}
+SENSITIVE = ("bisociation", "falsifiable_test", "doi_urgency", "dvu_estimate", "ip_owner", "patent-candidate", "Thermal-Substrate")
 BITS = (128, 256, 512, 1024)
 TEXT, OTHER = "BRAZIL supplier", "AUTOMOBILE part"
 
@@ -128,10 +132,25 @@ SANITIZED = f"""{PRIVATE}, clean AS (
   SELECT id, coalesce(type, 'unknown') AS type,
          coalesce({TOPIC}, CASE WHEN label <> '' AND label <> id THEN replace(label, '—', '-')[:80] END, id) AS label,
          coalesce(status, '') AS status, CASE WHEN {TOPIC} IS NOT NULL THEN chain END AS cluster FROM private)"""
-PAGERANK = f"""
-WITH RECURSIVE {EGO}, {hops(1)}, {INSIDE},
+def capped(levels: int = 5, most: int = 50) -> str:
+    """Breadth-first subgraphs in queue order, a pair of CTEs for each level."""
+    out = """ways AS (SELECT source AS id, target AS nbr, edge_seq, 0 AS side FROM edges UNION ALL SELECT target, source, edge_seq, 1 FROM edges),
+front0 AS (SELECT query_id, query_id AS node, 1::BIGINT AS bfs_order, 0 AS dist FROM picks), seen0 AS (SELECT * FROM front0)"""
+    for k in range(1, levels + 1):
+        out += f""",
+near{k} AS (SELECT f.query_id, b.nbr AS node, min({{'a': f.bfs_order, 'b': b.edge_seq, 'c': b.side}}) AS key FROM front{k - 1} f JOIN ways b ON b.id = f.node
+  WHERE NOT EXISTS (SELECT 1 FROM seen{k - 1} s WHERE s.query_id = f.query_id AND s.node = b.nbr) GROUP BY ALL),
+front{k} AS (SELECT query_id, node, have + place AS bfs_order, {k} AS dist FROM (
+  SELECT query_id, node, row_number() OVER (PARTITION BY query_id ORDER BY key, node) AS place FROM near{k}) JOIN (SELECT query_id, max(bfs_order) AS have FROM seen{k - 1} GROUP BY query_id) USING (query_id)
+  WHERE have + place <= {most}),
+seen{k} AS (SELECT * FROM seen{k - 1} UNION ALL SELECT * FROM front{k})"""
+    return out + f", sub AS (SELECT query_id, node, bfs_order::INTEGER AS bfs_order, dist::INTEGER AS dist FROM seen{levels})"
+
+
+STEP = """
 step AS (SELECT DISTINCT query_id, a, b FROM (SELECT query_id, source AS a, target AS b FROM inside UNION ALL SELECT query_id, target, source FROM inside)),
-sums AS (SELECT query_id, a, count(*) AS n FROM step GROUP BY ALL),
+sums AS (SELECT query_id, a, count(*) AS n FROM step GROUP BY ALL)"""
+WALKED = """
 walk AS (
   SELECT query_id, node, 0 AS k, CASE WHEN node = query_id THEN 1.0::DOUBLE ELSE 0.0 END AS p FROM sub
   UNION ALL
@@ -140,8 +159,45 @@ walk AS (
     SELECT x.query_id, x.node, any_value(y.k) + 1 AS k, sum(CASE WHEN t.b IS NOT NULL THEN y.p / n ELSE 0 END) AS p
     FROM sub x JOIN walk y ON y.query_id = x.query_id LEFT JOIN step t ON t.query_id = x.query_id AND t.b = x.node AND t.a = y.node
     LEFT JOIN sums u ON u.query_id = y.query_id AND u.a = y.node GROUP BY x.query_id, x.node) w
-  ON w.query_id = s.query_id AND w.node = s.node WHERE w.k <= 50)
-SELECT query_id, node, round(p, 9) AS pagerank FROM walk WHERE k = 50
+  ON w.query_id = s.query_id AND w.node = s.node WHERE w.k <= 50)"""
+#: exp(iAt) e as a power series of eighty terms: the subgraphs' matrices have eigenvalues of a few tens at most.
+SERIES = """
+series AS (
+  SELECT query_id, node, 0 AS k, CASE WHEN node = query_id THEN 1.0::DOUBLE ELSE 0.0 END AS v FROM sub
+  UNION ALL
+  SELECT x.query_id, x.node, any_value(y.k) + 1, sum(CASE WHEN t.b IS NOT NULL THEN y.v ELSE 0 END) * 0.5 / (any_value(y.k) + 1)
+  FROM sub x JOIN series y ON y.query_id = x.query_id LEFT JOIN step t ON t.query_id = x.query_id AND t.b = x.node AND t.a = y.node
+  WHERE y.k < 80 GROUP BY x.query_id, x.node),
+amplitude AS (SELECT query_id, node, sum(CASE k % 4 WHEN 0 THEN v WHEN 2 THEN -v ELSE 0 END) AS re, sum(CASE k % 4 WHEN 1 THEN v WHEN 3 THEN -v ELSE 0 END) AS im FROM series GROUP BY ALL),
+likely AS (SELECT query_id, node, bfs_order, round(re * re + im * im, 12) AS p FROM amplitude JOIN sub USING (query_id, node)),
+walked AS (SELECT query_id, node, p AS score, (row_number() OVER (PARTITION BY query_id ORDER BY p DESC, bfs_order))::INTEGER AS rank FROM likely WHERE node <> query_id)"""
+DEGREES = """
+both_ends AS (SELECT query_id, source AS node FROM inside UNION ALL SELECT query_id, target FROM inside),
+degrees AS (SELECT s.query_id, s.node, count(b.node)::DOUBLE AS d FROM sub s LEFT JOIN both_ends b ON b.query_id = s.query_id AND b.node = s.node GROUP BY ALL)"""
+CAPPED = f"{EGO}, {capped()}, {INSIDE}, {STEP}"
+PAGERANK = f"WITH RECURSIVE {CAPPED}, {WALKED} SELECT query_id, node, round(round(p, 12), 9) AS pagerank FROM walk WHERE k = 50"
+ABLATION = f"""
+WITH RECURSIVE {CAPPED}, {WALKED}, {SERIES}, {DEGREES},
+every AS (
+  SELECT 'bfs_distance' AS ranker, query_id, node, dist::DOUBLE AS s FROM sub
+  UNION ALL SELECT 'local_degree', query_id, node, -d FROM degrees
+  UNION ALL SELECT 'local_pagerank', query_id, node, -round(p, 12) FROM walk WHERE k = 50
+  UNION ALL SELECT 'ctqw', query_id, node, -p FROM likely),
+placed AS (SELECT ranker, query_id, node, row_number() OVER (PARTITION BY ranker, query_id ORDER BY s, node) AS rank FROM every WHERE node <> query_id),
+each AS (
+  SELECT ranker, p.query_id, coalesce(1.0 / min(rank) FILTER (t.nbr IS NOT NULL), 0.0) AS rr, count(*) FILTER (t.nbr IS NOT NULL AND rank <= 5) / any_value(n_true) AS recall
+  FROM placed p LEFT JOIN truth t ON t.id = p.query_id AND t.nbr = p.node JOIN picks k ON k.query_id = p.query_id GROUP BY ALL)
+SELECT ranker, round(avg(rr), 9) AS mrr, round(avg(recall), 9) AS recall_5 FROM each GROUP BY ranker
+"""
+HYBRID = f"""
+WITH RECURSIVE {ADDRESS}, {ELIGIBLE}, {samples(1, 20)}, {capped()}, {INSIDE}, {STEP}, {SERIES},
+near AS (SELECT * FROM (
+  SELECT b.id AS query_id, a.id, row_number() OVER (PARTITION BY b.id ORDER BY {hamming('a.', 'b.')}, a.id) AS rank FROM picks JOIN address b ON b.id = picks.query_id JOIN address a ON a.id <> b.id) WHERE rank <= 50),
+parts AS (
+  SELECT query_id, node AS id, rank, 0 AS part FROM walked WHERE rank <= 10
+  UNION ALL SELECT n.query_id, n.id, n.rank, 1 FROM near n WHERE NOT EXISTS (SELECT 1 FROM walked w WHERE w.rank <= 10 AND w.query_id = n.query_id AND w.node = n.id))
+SELECT query_id, place::INTEGER AS rank, CASE part WHEN 0 THEN 'ctqw' ELSE 'signature' END AS source, id
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY part, rank) AS place FROM parts) WHERE place <= 10
 """
 SIM = """
 WITH v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
@@ -160,7 +216,21 @@ SELECT query_id, round(coalesce(1.0 / min(rank) FILTER (same), 0.0), 9) AS rr,
        round(coalesce(count(*) FILTER (same AND rank <= 5) / nullif(count(*) FILTER (same), 0), 0.0), 9) AS recall FROM r GROUP BY query_id
 """
 
+#: Vectors of the nodes whose number is that of a vector: the third method beside both kinds of address.
+ENCODER = f"""
+WITH {GRAPH}, {ELIGIBLE}, {samples(10, 50)},
+v AS (SELECT id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM nodes JOIN embeddings ON vec_id = split_part(id, ':', 2)::BIGINT),
+n AS (SELECT id, list_transform(v, lambda x: x / CASE WHEN list_inner_product(v, v) = 0 THEN 1 ELSE sqrt(list_inner_product(v, v)) END) AS v FROM v),
+r AS (
+  SELECT q.query_id, a.id, row_number() OVER (PARTITION BY q.query_id ORDER BY round(list_inner_product(a.v, b.v), 9) DESC, a.id) AS rank
+  FROM (SELECT DISTINCT query_id FROM picks) q JOIN n b ON b.id = q.query_id JOIN n a ON a.id <> q.query_id),
+each AS (
+  SELECT p.query_id, coalesce(1.0 / min(rank) FILTER (t.nbr IS NOT NULL), 0.0) AS rr, count(*) FILTER (t.nbr IS NOT NULL AND rank <= 5) / any_value(n_true) AS recall
+  FROM (SELECT DISTINCT query_id, n_true FROM picks) p LEFT JOIN r USING (query_id) LEFT JOIN truth t ON t.id = p.query_id AND t.nbr = r.id GROUP BY p.query_id)
+SELECT seed, 'vector' AS method, round(avg(rr), 9) AS mrr, round(avg(recall), 9) AS recall_5 FROM picks JOIN each USING (query_id) GROUP BY seed"""
+
 ORACLES: dict[str, str] = {
+    "multiseed_encoder": f"{MULTISEED} SELECT * FROM seeds UNION ALL SELECT * FROM ({ENCODER})",
     "kg_nodes": f"WITH {NODES} SELECT id, type, text FROM nodes",
     "kg_edges": f"WITH {EDGES} SELECT * FROM edges",
     "node_texts": rf"WITH {NODES} SELECT id, coalesce(nullif(text, ''), '(empty)') AS text, len(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> ''))::INTEGER AS n_tokens FROM nodes",
@@ -188,9 +258,11 @@ SELECT query_id, id, dist, (row_number() OVER (PARTITION BY query_id ORDER BY di
 SELECT b.id AS query_id, a.id, {hamming('a.', 'b.')} AS dist FROM address a JOIN address b ON a.id <> b.id WHERE split_part(b.id, ':', 2)::BIGINT % 20 = 0)) WHERE rank <= 10""",
     "compose_xor_topk": f"""WITH {ADDRESS}, {of_text(TEXT, 'q')}, {of_text(OTHER, 'r')}, b AS (SELECT {", ".join(f"xor(q.u{j}, r.u{j}) AS u{j}" for j in range(4))} FROM q, r)
 SELECT a.id, {hamming('a.', 'b.')} AS dist FROM address a, b ORDER BY dist, a.id LIMIT 10""",
-    "bind_unbind_errors": f"WITH {NODES} SELECT count(*) AS trials, 0::BIGINT AS errors FROM nodes",
+    "bind_unbind_errors": f"""WITH {CONTENT}, k AS (SELECT *, {", ".join(f"{digest(chr(39) + 'key' + chr(39) + ' || id', j)} AS k{j}" for j in range(4))} FROM content),
+b AS (SELECT *, {", ".join(f"xor(xor(u{j}, k{j}), k{j}) AS v{j}" for j in range(4))} FROM k)
+SELECT count(*) AS trials, count(*) FILTER ({" OR ".join(f"u{j} <> v{j}" for j in range(4))}) AS errors FROM b""",
     "cosine_topk": SIM,
-    "vector_lengths": "SELECT vec_id, round(list_inner_product(v, v), 6) AS before, CASE WHEN list_inner_product(v, v) = 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS after FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)",
+    "vector_lengths": "SELECT vec_id, round(list_inner_product(v, v), 6) AS before, round(list_inner_product(list_transform(v, lambda x: x / CASE WHEN list_inner_product(v, v) = 0 THEN 1 ELSE sqrt(list_inner_product(v, v)) END), list_transform(v, lambda x: x / CASE WHEN list_inner_product(v, v) = 0 THEN 1 ELSE sqrt(list_inner_product(v, v)) END)), 6) AS after FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)",
     "vectors_by_label": BY_LABEL,
     "multiseed": f"{MULTISEED} SELECT * FROM seeds",
     "multiseed_stats": f"""{MULTISEED} SELECT method, n, round(m, 7) AS mean, round(s, 7) AS std, round(m - 1.96 * s / sqrt(n), 7) AS low, round(m + 1.96 * s / sqrt(n), 7) AS high
@@ -199,18 +271,21 @@ FROM (SELECT method, count(*) AS n, avg(mrr) AS m, stddev_samp(mrr) AS s FROM se
 s AS (SELECT count(*) AS n, avg(a - b) AS m, stddev_samp(a - b) AS s, avg(a) AS a, avg(b) AS b FROM d)
 SELECT n, n - 1 AS df, round(m, 5) AS mean_diff, round(s, 5) AS std_diff, round(m / (s / sqrt(n)), 5) AS t, round(a / b, 5) AS ratio,
 CASE WHEN n - 1 < 9 THEN '' WHEN abs(m / (s / sqrt(n))) > 4.781 THEN '***' WHEN abs(m / (s / sqrt(n))) > 3.250 THEN '**' WHEN abs(m / (s / sqrt(n))) > 2.262 THEN '*' ELSE '' END AS stars FROM s""",
-    "bits_sweep": f"WITH {ADDRESS}, {ELIGIBLE}, {samples(1, 50)}, {scores('address', 'picks', 's128', hamming('a.', 'b.', range(2)))}, {scores('address', 'picks', 's256')} "
+    "bits_sweep": f"WITH {ADDRESS}, {ELIGIBLE}, {samples(1, 50)}, {scores('address', 'picks', 's128', hamming('a.', 'b.', range(2)))}, {scores('address', 'picks', 's256')}, {scores('address', 'picks', 's512', hamming('a.', 'b.', [*range(4)] * 2))}, {scores('address', 'picks', 's1024', hamming('a.', 'b.', [*range(4)] * 4))} "
     + "SELECT 128::INTEGER AS bits, round(avg(rr), 9) AS mrr, round(avg(recall), 9) AS recall_5 FROM s128"
-    + "".join(f" UNION ALL SELECT {b}::INTEGER, round(avg(rr), 9), round(avg(recall), 9) FROM s256" for b in BITS[1:]),
+    + "".join(f" UNION ALL SELECT {b}::INTEGER, round(avg(rr), 9), round(avg(recall), 9) FROM s{b}" for b in BITS[1:]),
     "bfs_two_hops": f"WITH {EGO}, {hops(2)} SELECT query_id, node, dist FROM sub",
     "induced_subgraph": f"WITH {EGO}, {hops(2)}, {INSIDE} SELECT query_id, count(*) AS edges FROM inside GROUP BY query_id",
-    "rank_bfs_distance": f"WITH {EGO}, {hops(1)}, scored AS (SELECT query_id, node, dist::DOUBLE AS d FROM sub) {ranking('d', 'd')}",
-    "rank_degree": f"""WITH {EGO}, {hops(1)}, {INSIDE}, both_ends AS (SELECT query_id, source AS node FROM inside UNION ALL SELECT query_id, target FROM inside),
-scored AS (SELECT s.query_id, s.node, count(b.node)::DOUBLE AS d FROM sub s LEFT JOIN both_ends b ON b.query_id = s.query_id AND b.node = s.node GROUP BY ALL) {ranking('d', 'd DESC')}""",
+    "bfs_capped": f"WITH {EGO}, {capped()} SELECT * FROM sub",
+    "rank_bfs_distance": f"WITH {EGO}, {capped()}, scored AS (SELECT query_id, node, dist::DOUBLE AS d FROM sub) {ranking('d', 'd')}",
+    "rank_degree": f"WITH {CAPPED}, {DEGREES}, scored AS (SELECT * FROM degrees) {ranking('d', 'd DESC')}",
     "local_pagerank": PAGERANK,
+    "ctqw_topk": f"WITH RECURSIVE {CAPPED}, {SERIES} SELECT query_id, node, round(score, 9) AS score, rank FROM walked WHERE rank <= 10",
+    "hybrid_topk": HYBRID,
+    "ranker_ablation": ABLATION,
     "sanitize_nodes": f"WITH {SANITIZED} SELECT * FROM clean",
     "sanitize_edges": f"WITH {EDGES} SELECT source, target, type FROM edges",
-    "edge_integrity": "SELECT DISTINCT 'region:' || n_regionkey AS id FROM nation",
+    "edge_integrity": f"WITH {GRAPH} SELECT DISTINCT id FROM ends WHERE id NOT IN (SELECT id FROM nodes WHERE type <> 'region')",
     "field_counts": f"WITH {PRIVATE} SELECT count(*) FILTER (title <> '') AS titles, count(*) FILTER (chain <> '' OR status <> '') AS placed FROM private",
     "sensitive_scan": f"WITH {SANITIZED} SELECT pattern, coalesce((SELECT bool_or(contains(concat_ws(' ', id, type, label, status, cluster), pattern)) FROM clean), false) AS found FROM (VALUES "
     + ", ".join(f"('{p}')" for p in (*SENSITIVE, "Supplier#", "unheard"))

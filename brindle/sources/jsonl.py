@@ -59,13 +59,30 @@ def load_graph(spark: SparkSession, nodes_path: str, edges_path: str) -> tuple[D
     return read_nodes(spark, nodes_path), read_edges(spark, edges_path)
 
 
-def write_lines(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Rows as JSON lines in UTF-8; nulls are left out. What exists is not overwritten unless the mode says so."""
+def backed_up(spark: SparkSession, path: str, mark: str = ".bak") -> str | None:
+    """Move what lies at a path aside, to the first free of path.bak, path.bak1, ...; None where nothing lies there."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    files = at(path).getFileSystem(conf)
+    if not files.exists(at(path)):
+        return None
+    kept = next(p for p in (f"{path}{mark}{k or ''}" for k in range(1_000_000)) if not files.exists(at(p)))
+    if not files.rename(at(path), at(kept)):
+        raise OSError(f"{path} can't be moved to {kept}")
+    return kept
+
+
+def write_lines(df: DataFrame, path: str, mode: str = "errorifexists", backup: bool = False) -> None:
+    """Rows as JSON lines in UTF-8; nulls are left out. What exists is not overwritten unless the mode says so, or moved aside with `backup`."""
+    if backup:
+        backed_up(df.sparkSession, path)
     df.write.mode(mode).json(path)
 
 
-def write_results(df: DataFrame, path: str, places: int = 4, mode: str = "errorifexists") -> None:
-    """Result rows as CSV with a header, fractions with a fixed number of places."""
+def write_results(df: DataFrame, path: str, places: int = 4, mode: str = "errorifexists", backup: bool = False) -> None:
+    """Result rows as CSV with a header, fractions with a fixed number of places. What exists is moved aside with `backup`."""
+    if backup:
+        backed_up(df.sparkSession, path)
     kinds = dict(df.dtypes)
     df.select(*[F.format_string(f"%.{places}f", F.col(c)).alias(c) if kinds[c] in ("double", "float") else F.col(c) for c in df.columns]).write.mode(mode).csv(path, header=True)
 

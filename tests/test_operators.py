@@ -275,3 +275,53 @@ def test_sanitize(spark):
     assert {r["pattern"]: r["found"] for r in sanitize.pattern_scan(nodes, ("quantum", "nothing")).collect()} == {"quantum": True, "nothing": False}
     assert not any(r["found"] for r in sanitize.pattern_scan(nodes.limit(0).select("id")).collect())
     assert tuple(sanitize.field_counts(nodes, {"a": ("type",), "b": ("chain", "status")}).first()) == (2, 3)
+
+
+def test_vectors_that_take_no_part(spark):
+    """Null, NaN and infinite components, empty vectors and other dimensions give no NaN and hide no sound vector."""
+    r = np.random.default_rng(4)
+    sound = [(k, r.normal(size=3).tolist()) for k in range(40)]
+    odd = [(100 + k, [1.0, None, 2.0]) for k in range(12)] + [(200, None), (201, []), (202, [float("nan"), 1.0, 0.0]), (203, [float("inf"), 1.0, 0.0]), (300, [1.0, 2.0]), (301, [2.0, 1.0]), (302, [0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(sound + odd, "id long, vector array<double>").repartition(3)
+    asked = df.where("id in (0, 7, 100, 201, 203, 300)").withColumnRenamed("id", "query_id").selectExpr("*", "1 as id", "2 as sim")
+    got = {}
+    for x in retrieval.cosine_top_k(df.selectExpr("*", "7 as v"), asked, 10).collect():
+        got.setdefault(x["query_id"], []).append((x["rank"], x["id"], x["sim"]))
+    unit = {k: np.array(v) / (np.linalg.norm(v) or 1) for k, v in [*sound, (302, [0.0, 0.0, 0.0])]}
+    for q in (0, 7):
+        want = sorted((-round(float(unit[q] @ v), 9) + 0.0, k) for k, v in unit.items() if k != q)[:10]
+        assert [(k, s) for _, k, s in sorted(got[q])] == [(k, pytest.approx(-s, abs=2e-9)) for s, k in want]
+    assert [k for _, k, _ in got[300]] == [301] and set(got) == {0, 7, 300}
+    assert retrieval.cosine_top_k(df.limit(0), asked).collect() == []
+
+
+def test_columns_like_limbs(spark):
+    nodes = spark.createDataFrame([("a", "alpha"), ("b", "beta"), ("c", "alpha")], "id string, text string")
+    plain = signatures.simhash(nodes)
+    more = plain.selectExpr("*", "5L as l9", "'x' as l10", "3 as l_1")
+    for found in (retrieval.text_query(more, "alpha", 3), retrieval.node_query(more, "a", 2), retrieval.composed_query(more, "alpha", "beta", 3)):
+        assert max(r["dist"] for r in found.collect()) <= 256
+    assert [(r["id"], r["dist"]) for r in retrieval.text_query(more, "alpha", 3).collect()] == [(r["id"], r["dist"]) for r in retrieval.text_query(plain, "alpha", 3).collect()]
+    wide = plain.selectExpr("*", "7L as l4")
+    assert [tuple(r) for r in retrieval.text_query(wide, "alpha", 3, bits=256).collect()] == [tuple(r) for r in retrieval.text_query(plain, "alpha", 3).collect()]
+
+
+def test_sparse_pagerank():
+    r = random.Random(5)
+    for n in (1, 2, 7, 30):
+        pairs = np.array([(r.randrange(n), r.randrange(n)) for _ in range(2 * n)], np.int64).reshape(-1, 2)
+        assert walk.sparse_pagerank(n, pairs, 0) == pytest.approx(walk.pagerank(walk.adjacency(n, pairs), 0))
+    assert walk.sparse_pagerank(3, np.zeros((0, 2), np.int64), 1) == pytest.approx(walk.pagerank(np.zeros((3, 3)), 1))
+
+
+def test_walk_refuses_large_subgraphs(spark, monkeypatch):
+    monkeypatch.setattr(walk, "WALK_NODES", 2)
+    near = graph.undirected(edges_of(spark, [("a", "b"), ("a", "c")]))
+    sub = graph.bfs_subgraph(spark.createDataFrame([("a",)], "query_id string"), near)
+    with pytest.raises(Exception, match="at most 2 nodes"):
+        walk.local_scores(sub, edges_of(spark, [("a", "b"), ("a", "c")])).collect()
+    assert walk.local_scores(sub, edges_of(spark, [("a", "b"), ("a", "c")]), walked=False).count() == 3
+
+
+def test_hamming_rate():
+    assert evaluate.hamming_rate(1000) > 0

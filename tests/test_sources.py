@@ -47,3 +47,11 @@ def test_sinks(spark, tmp_path):
     assert json.loads(text) == {"seed": 0, "mrr": 0.91236, "name": "é"} and "é" in text
     jsonl.write_results(df, str(tmp_path / "csv"))
     assert [tuple(r) for r in jsonl.read_results(spark, str(tmp_path / "csv"), "seed int, mrr double, name string").collect()] == [(0, 0.9124, "é")]
+
+
+def test_backup(spark, tmp_path):
+    df = spark.createDataFrame([(1,)], "x int")
+    for _ in range(3):
+        jsonl.write_lines(df, str(tmp_path / "out"), backup=True)
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["out", "out.bak", "out.bak1"]
+    assert jsonl.backed_up(spark, str(tmp_path / "none")) is None
