@@ -32,8 +32,10 @@ NOT_IN_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split()
 )
 
+#: Elements that a head may hold; any other, and any text, ends it.
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 #: Kinds of elements, and words in class, id and role, that are features.
-TAGS = ("article main", "nav menu", "header", "footer", "aside", "form fieldset legend", "p pre blockquote", "h1 h2 h3 h4 h5 h6", "ul ol dl", "li dt dd", "table tbody tr td th", "section", "div", "figure figcaption", "#text")
+TAGS = ("article main", "nav menu", "header", "footer", "aside", "form fieldset legend", "p pre blockquote", "h1 h2 h3 h4 h5 h6", "ul ol dl", "li dt dd", "table tbody tr td th", "section", "div", "figure figcaption", "#text", "#inline")
 WORDS = (
     "article content entry main post story text body",
     "nav navbar navigation menu breadcrumb breadcrumbs links toc pagination pager tabs",
@@ -79,53 +81,98 @@ def word_kinds(word: str) -> tuple[int, ...]:
 
 
 class Node:
-    """A block element, or a leaf with text."""
+    """A block element, a leaf with text, or an element in a leaf's line whose attributes tell something (#inline)."""
 
-    __slots__ = ("tag", "parent", "children", "words", "silent", "text", "linked", "tags", "stats")
+    __slots__ = ("tag", "parent", "children", "words", "silent", "text", "linked", "tags", "stats", "pieces")
 
     def __init__(self, tag: str, parent: Node | None, words: frozenset = frozenset(), silent: bool = False):
         self.tag, self.parent, self.words, self.silent = tag, parent, words, silent
         self.children: list[Node] = []
         self.text, self.linked, self.tags = "", 0, 0
+        self.pieces: list[tuple[str, Node | None]] = []  # of a leaf that has children: its text in parts
         self.stats: list[float] = []
 
 
+def told(attributes: str) -> tuple[frozenset, bool]:
+    """What a tag's attributes tell: kinds of words, and whether the element is hidden."""
+    found, hidden = set(), False
+    for a in ATTRIBUTE.finditer(attributes):
+        key, value = a[1].lower(), a[2] or a[3] or a[4] or ""
+        if key in ("class", "id", "role"):
+            found.update(k for x in PART.findall(value) for k in word_kinds(x))
+        else:
+            hidden |= key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", "").lower()
+    return frozenset(found), hidden
+
+
 def parse(page: str | None) -> Node:
     """The page's tree; it takes any string. End tags without a start are ignored, missing ones are implied."""
     root = node = Node("body", None)
     open_count: dict[str, int] = {}
-    run: list[str] = []
+    run: list[tuple[str, frozenset | None]] = []
+    lines: list[tuple[str, int, frozenset, bool]] = []  # open elements of a line with attributes: name, depth, words, hidden
+    unseen = depth = 0
     in_link = linked = tags = 0
     at, text = 0, page or ""
 
     def flush() -> None:
         nonlocal linked, tags
-        whole = SPACE.sub(" ", "".join(run)).strip()
+        whole = SPACE.sub(" ", "".join([t for t, _ in run])).strip()
         if whole and not node.silent:
             leaf = Node("#text", node)
             leaf.text, leaf.linked, leaf.tags = whole, min(linked, len(whole)), tags
             node.children.append(leaf)
+            if any(w for _, w in run):
+                before = inside = None
+                for piece, words in run:
+                    if words is not before:
+                        inside = Node("#inline", leaf, words) if words else None
+                        if inside:
+                            leaf.children.append(inside)
+                        before = words
+                    if inside:
+                        inside.text += piece
+                    leaf.pieces.append((piece, inside))
+                for inside in leaf.children:
+                    inside.text = SPACE.sub(" ", inside.text).strip()
         run.clear()
         linked = tags = 0
 
+    def leave(name: str | None = None) -> None:
+        """End the innermost open element of a line with that name, or all that the block's end ends."""
+        nonlocal unseen
+        if name is None:
+            while lines and lines[-1][1] > depth:
+                unseen -= lines.pop()[3]
+            return
+        for k in range(len(lines) - 1, -1, -1):
+            if lines[k][0] == name:
+                unseen -= lines.pop(k)[3]
+                break
+
     def close(name: str) -> None:
-        nonlocal node, in_link
+        nonlocal node, in_link, depth
         while node.parent is not None:
             done = node.tag
             open_count[done] -= 1
             node = node.parent
+            depth -= 1
             if done == name:
                 break
         in_link = 0
+        leave()
 
     while True:
         m = TOKEN.search(text, at)
         piece = text[at : m.start() if m else len(text)]
         if piece:
             plain = entities.unescape(piece) if "&" in piece else piece
-            run.append(plain)
-            if in_link:
-                linked += len(plain)
+            if node.tag == "head" and not plain.isspace():
+                close("head")
+            if not unseen:
+                run.append((plain, lines[-1][2] if lines else None))
+                if in_link:
+                    linked += len(plain)
         if not m:
             break
         at = m.end()
@@ -141,10 +188,19 @@ def parse(page: str | None) -> Node:
             tags += 1
             if name == "a":
                 in_link = 0 if m["end"] else 1
+            if m["end"]:
+                leave(name)
+            elif name not in VOID and m["attributes"].strip():
+                words, hidden = told(m["attributes"])
+                # what an element inside doesn't tell, the one around it does
+                lines.append((name, depth, words or (lines[-1][2] if lines else frozenset()), hidden))
+                unseen += hidden
             continue
         if name in ("br", "wbr"):
-            run.append(" " if name == "br" else "")
+            run.append((" " if name == "br" else "", lines[-1][2] if lines else None))
             continue
+        if node.tag == "head" and name not in IN_HEAD:
+            close("head")
         if name in ("html", "body") and not node.silent:
             continue
         flush()
@@ -159,19 +215,11 @@ def parse(page: str | None) -> Node:
                 close(old)
         if name in VOID or m["attributes"].endswith("/") and name in SILENT:
             continue
-        words, hidden = frozenset(), False
-        if m["attributes"].strip():
-            found = set()
-            for a in ATTRIBUTE.finditer(m["attributes"]):
-                key, value = a[1].lower(), a[2] or a[3] or a[4] or ""
-                if key in ("class", "id", "role"):
-                    found.update(k for x in PART.findall(value) for k in word_kinds(x))
-                else:
-                    hidden |= key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", "").lower()
-            words = frozenset(found)
-        child = Node(name, node, words, node.silent or hidden or name in SILENT)
+        words, hidden = told(m["attributes"]) if m["attributes"].strip() else (frozenset(), False)
+        child = Node(name, node, words, node.silent or hidden or unseen > 0 or name in SILENT)
         node.children.append(child)
         node = child
+        depth += 1
         open_count[name] = open_count.get(name, 0) + 1
     flush()
     return root
@@ -197,10 +245,10 @@ def nodes_of(root: Node) -> list[Node]:
         stack.extend(reversed(node.children))
     # stats: length, words, linked, tags, blocks, paragraphs, items, headings, ends, commas, digits, upper, longest, sign, deepest
     for node in reversed(order):
-        if node.tag == "#text":
+        if node.tag[0] == "#":
             t = node.text
             n = len(t)
-            node.stats = [n, t.count(" ") + 1, node.linked, node.tags, 1, 0, 0, 0, t.count(". ") + t.count("! ") + t.count("? ") + (t[-1] in ".!?"), t.count(","), sum(map(t.count, "0123456789")), sum(map(str.isupper, t)), n, "©" in t or "(c)" in t.lower(), 0]
+            node.stats = [n, t.count(" ") + 1, node.linked, node.tags, 1, 0, 0, 0, t.count(". ") + t.count("! ") + t.count("? ") + t.endswith((".", "!", "?")), t.count(","), sum(map(t.count, "0123456789")), sum(map(str.isupper, t)), n, "©" in t or any(x in t.lower() for x in ("(c)", "copyright", "all rights reserved")), 0]
             continue
         total = [0.0] * 15
         for c in node.children:
@@ -321,7 +369,11 @@ def decode(margin: list[float], parents: list[int]) -> list[bool]:
 
 def chosen_text(order: list[Node], kept: list[bool]) -> str:
     """The kept leaves' texts in page order, joined by one space."""
-    return " ".join(n.text for n, k in zip(order, kept, strict=True) if k and n.tag == "#text")
+    out, gone = [], {id(n) for n, k in zip(order, kept, strict=True) if not k and n.tag == "#inline"}
+    for n, k in zip(order, kept, strict=True):
+        if k and n.tag == "#text":
+            out.append(n.text if not n.children else SPACE.sub(" ", "".join(t for t, inside in n.pieces if id(inside) not in gone)).strip())
+    return " ".join(t for t in out if t)
 
 
 # --- Training: pages made from layouts, with the main text marked -------------------------------------------------
@@ -364,23 +416,32 @@ class _Writer:
     def mark(self, text: str) -> str:
         return f"\x02{text}\x03" if text else text
 
+    def inline(self) -> str:
+        """An element in a line: part of the text, or what its attributes tell."""
+        r = self.r
+        if r.random() < 0.2:
+            return f"<span class='{r.choice(WORDS[0].split())}'>{self.mark(self.words(1, 12))}</span>"
+        return f"<{(tag := r.choice(('span', 'small', 'a', 'b')))} class='{r.choice(' '.join((WORDS[5], WORDS[6], WORDS[7], WORDS[8])).split())}'>{self.words(1, 12)}</{tag}>"
+
     def article(self) -> str:
         r, out = self.r, []
         if r.random() < 0.85:
             out.append(f"<h1>{self.mark(self.words(2, 12))}</h1>")
         for _ in range(r.choice((1, 1, 2, 3, 5, 8, 14))):
             kind = r.random()
-            if kind < 0.7:
+            if kind < 0.62:
                 out.append(f"<p>{self.mark(self.words(1, r.choice((3, 12, 40, 120))))}</p>" if r.random() < 0.8 else f"<p><b>{self.mark(self.words(3, 60))}<br>")
-            elif kind < 0.78:
+            elif kind < 0.7:
                 out.append(f"<h{r.randint(2, 4)}>{self.mark(self.words(1, 8))}</h2>")
-            elif kind < 0.86:
+            elif kind < 0.78:
                 out.append("<ul>" + "".join(f"<li>{self.mark(self.words(1, 14))}</li>" for _ in range(r.randint(1, 6))) + "</ul>")
-            elif kind < 0.9:
+            elif kind < 0.82:
                 out.append(f"<blockquote>{self.mark(self.words(5, 40))}</blockquote>")
-            elif kind < 0.94:
+            elif kind < 0.86:
                 out.append("<table>" + "".join(f"<tr><td>{self.mark(self.words(1, 3))}</td><td>{self.mark(self.words(1, 6))}</td></tr>" for _ in range(r.randint(1, 4))) + "</table>")
-            elif kind < 0.97:
+            elif kind < 0.965:
+                out.append(f"<p>{self.mark(self.words(3, 30))} {self.inline()} {self.mark(self.words(3, 30))}</p>")
+            elif kind < 0.975:
                 out.append(f"<p>{self.mark(self.words(3, 20))} <a href='/x'>{self.mark(self.words(1, 3))}</a> {self.mark(self.words(3, 20))}</p>")
             else:
                 out.append(self.boilerplate(("advert", "share")))
@@ -394,7 +455,7 @@ class _Writer:
         if kind == "header":
             return named("header", WORDS[2], f"<a href='/'>{w(1, 3)}</a><p>{w(1, 9)}</p>" + (links(2, 6) if self.r.random() < 0.5 else ""), 0.03)
         if kind == "footer":
-            return named("footer", WORDS[3], f"{self.r.choice(('&copy; ', '&copy; ', 'Copyright 2020 ', ''))}{w(1, 20)}" + (links(1, 6) if self.r.random() < 0.5 else ""), 0.05)
+            return named("footer", WORDS[3], f"{self.r.choice(('&copy; ', '&copy; ', 'Copyright 2020 ', 'All rights reserved. ', ''))}{w(1, 20)}" + (links(1, 6) if self.r.random() < 0.5 else ""), 0.05)
         if kind == "sidebar":
             return named("aside", WORDS[4], f"<h3>{w(1, 4)}</h3>" + (links(2, 9) if self.r.random() < 0.6 else f"<p>{w(3, 60)}</p>"), 0.03)
         if kind == "advert":
@@ -439,7 +500,7 @@ def examples(pages: int, seed: int) -> Iterator[tuple[list[Node], np.ndarray, li
         place = {id(n): k for k, n in enumerate(order)}
         for k in range(len(order) - 1, -1, -1):
             node = order[k]
-            if node.tag == "#text" and "\x02" in node.text:
+            if node.tag[0] == "#" and "\x02" in node.text:
                 label[k] = 1
                 node.text = node.text.replace("\x02", "").replace("\x03", "")
             if label[k] and node.parent is not None:
@@ -451,6 +512,7 @@ def examples(pages: int, seed: int) -> Iterator[tuple[list[Node], np.ndarray, li
 TRAINING_PAGES = 700
 
 
+@lru_cache(maxsize=2)
 def train(pages: int = TRAINING_PAGES, seed: int = 7) -> Boosted:
     """A model fitted on made pages; the same each time."""
     made = list(examples(pages, seed))

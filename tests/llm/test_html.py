@@ -78,3 +78,98 @@ def test_features_of_many_siblings():
     order = html.nodes_of(html.parse("<p>" + "A" * 200 + "b" * 600 + "</p>"))
     x, _ = html.features(order)
     assert x[-1][upper] == pytest.approx(0.25)
+
+
+#: Pages by hand, in layouts that the made pages don't have, each with its main text.
+BY_HAND = [
+    # the head's end and the body's start are left out
+    ("<html><head><title>T</title><meta charset=utf-8><article><h1>Of rivers</h1><p>A river runs, and the river's bank gives way to it in spring.</p></article>", "Of rivers A river runs, and the river's bank gives way to it in spring."),
+    ("<head><title>T</title>Plain words come first here, without any element around them, and they are the page.", "Plain words come first here, without any element around them, and they are the page."),
+    # hidden parts, in a line and around blocks
+    ("<body><main><p>One <span hidden>secret</span>line of text that is shown, <i style='display: none'>and not this</i> to the end of it.</p><span hidden><div>gone</div></span><p>Then another one, which is shown as well, whole.</p></main></body>", "One line of text that is shown, to the end of it. Then another one, which is shown as well, whole."),
+    # advertising inside a sentence; emphasis with an attribute stays
+    ("<body><article><h1>Bread</h1><p>Bread is made of flour, <span class='advert'>BUY OUR OVENS</span> of water and of <em class=x>time</em>, as everyone knows.</p><p>Let it rest over the night, then bake it.</p></article></body>", "Bread Bread is made of flour, of water and of time, as everyone knows. Let it rest over the night, then bake it."),
+    # a letter: tables for layout, upper-case tags, entities
+    ("<HTML><BODY><TABLE><TR><TD><UL CLASS=menu><LI><A HREF=/>Home</A><LI><A HREF=/n>News</A><LI><A HREF=/c>Contact</A></UL><TD><DIV CLASS=content><H2>Caf&eacute; &amp; bar</H2><P>We open at nine, and we close when the last guest has gone home.<P>Sunday is our day of rest, so don't come then.</DIV></TABLE></BODY></HTML>", "Café & bar We open at nine, and we close when the last guest has gone home. Sunday is our day of rest, so don't come then."),
+    ("<body><nav><a href=/>Start</a> <a href=/x>More</a></nav><section class=post-body><h1>Notes</h1><ul><li>First, a note of some length about things.</li><li>Second, one more note about other things.</li></ul></section><section class=comments><p>Nice notes, thank you so much!</p></section><footer>&copy; 2020 Me</footer></body>", "Notes First, a note of some length about things. Second, one more note about other things."),
+]
+
+
+@pytest.mark.parametrize("page, text", BY_HAND)
+def test_layouts_by_hand(model, page, text):
+    assert html.texts([page], model) == [text]
+
+
+def plain_text(page):
+    """All text of a small page of well-formed blocks, by the library's parser."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.out, self.blocks, self.silent = [], [], 0
+
+        def end(self):
+            self.out.append(" ".join("".join(self.blocks).split()))
+            self.blocks = []
+
+        def handle_starttag(self, tag, attributes):
+            if tag in html.SILENT:
+                self.silent += 1
+            if tag == "br":
+                self.blocks.append(" ")
+            elif tag not in html.INLINE:
+                self.end()
+
+        def handle_endtag(self, tag):
+            if tag in html.SILENT:
+                self.silent -= 1
+            if tag not in html.INLINE and tag != "br":
+                self.end()
+
+        def handle_data(self, data):
+            if not self.silent:
+                self.blocks.append(data)
+
+    reader = Reader()
+    reader.feed(page)
+    reader.close()
+    reader.end()
+    return " ".join(t for t in reader.out if t)
+
+
+def test_all_kept_is_the_whole_text():
+    """Parse and join against another parser: with every node kept, a page's text is all its text."""
+    r = np.random.default_rng(8)
+    words = ["alpha", "b&amp;c", "d é", "  e ", "\n", "&lt;f&gt;", "12"]
+
+    def block(depth):
+        if depth == 0 or r.random() < 0.4:
+            out = []
+            for _ in range(r.integers(1, 5)):
+                w = words[r.integers(len(words))]
+                out.append(w if r.random() < 0.6 else f"<{(t := ['b', 'span', 'em'][r.integers(3)])} class='{['x', 'ad', 'share'][r.integers(3)]}'>{w}</{t}>")
+                if r.random() < 0.1:
+                    out.append("<br>")
+            return "".join(out)
+        return "".join(f"<{(t := ['div', 'section', 'h2', 'blockquote'][r.integers(4)])} class=c>{block(depth - 1)}</{t}>" + ("<script>x</script>" if r.random() < 0.1 else "") for _ in range(r.integers(1, 4)))
+
+    for _ in range(300):
+        page = f"<body>{block(3)}</body>"
+        order = html.nodes_of(html.parse(page))
+        assert html.chosen_text(order, [True] * len(order)) == plain_text(page)
+
+
+def test_labels_of_parts_are_the_likeliest(model):
+    """The whole of parse, score and decode on small pages against all labellings of their trees."""
+    for seed in range(40):
+        page = html._Writer(seed).inline() + f"<div class=ad>{html._Writer(seed).words(2, 6)}</div><p>{html._Writer(seed + 1).words(3, 20)}</p>"
+        page = page.replace("\x02", "").replace("\x03", "")
+        order = html.nodes_of(html.parse(page))
+        x, parents = html.features(order)
+        margin = model.margin(x)
+        if len(order) > 12:
+            continue
+        labels = [ys for ys in itertools.product((False, True), repeat=len(order)) if all(ys[p] or not ys[k] for k, p in enumerate(parents) if p >= 0)]
+        best = max(labels, key=lambda ys: (sum(-np.log1p(np.exp(-m if y else m)) for m, y in zip(margin, ys, strict=True)), ys))
+        assert html.texts([page], model) == [html.chosen_text(order, list(best))]
