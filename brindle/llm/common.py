@@ -64,6 +64,22 @@ def looked_up(df: DataFrame, table: DataFrame, key: str, count: str, name: str)
     return df.join(F.broadcast(hot), key).unionByName(rest)
 
 
+def left_beside(df: DataFrame, table: DataFrame, key: str, count: str, most: int, name: str) -> DataFrame:
+    """`df` with the columns of a table of distinct keys, null where it lacks a row's key; see `looked_up`.
+
+    Tables of at most `most` keys are broadcast. Rows with a null key meet no one and aren't shuffled.
+    """
+    table = written(table, name)
+    known = table.agg(F.count("*").alias("keys"), F.sum(count).alias("rows")).first()
+    told = table.drop(count)
+    if known["keys"] <= most:
+        return df.join(F.broadcast(told), key, "left")
+    least = max(HOT_ROWS, (known["rows"] or 0) // max(1, min(HOT_KEYS, most)))
+    hot, named = table.where(F.col(count) > least).drop(count), df.where(F.col(key).isNotNull())
+    rest = named.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.where(F.col(count) <= least).drop(count), key, "left")
+    return named.join(F.broadcast(hot), key).unionByName(rest).unionByName(df.where(F.col(key).isNull()), allowMissingColumns=True)
+
+
 def give_back() -> None:
     """Return free memory to the system at a task's end: the worker lives on."""
     pa.default_memory_pool().release_unused()

@@ -3,7 +3,9 @@
 Character triples counted over all labelled documents give a text's likelihood in each language. What a declared
 language or an address suffix says is learnt from the pages themselves: grouped sums of the pages' text posteriors
 give P(declared | language) and P(suffix | language). A host's prior is the share of each language among its other
-pages, smoothed towards its domain's, and that towards all pages'. Bayes' rule joins the four.
+pages, smoothed towards that of its site (the last three labels), that towards its domain's (the last two), and that
+towards all pages': a domain that many owners share, like co.uk, says little, and their sites speak for themselves.
+Bayes' rule joins the four.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import html
-from .common import mapped, own_columns, small_batches, written
+from .common import SENT_KEYS, left_beside, mapped, own_columns, small_batches, written
 
 #: Cells that character triples are counted in.
 CELLS = 1 << 14
@@ -119,7 +121,7 @@ def address(url: str | None) -> tuple[str | None, str | None, str | None]:
 
 
 def evidence(pages: DataFrame, languages: Languages, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
-    """page_id, url, declared, suffix, domain, host, n_chars and the text's log-likelihoods of every page."""
+    """page_id, declared, suffix, domain, host, site, n_chars and the text's log-likelihoods of every page."""
     spark = pages.sparkSession
     small_batches(spark)
     kind = dict(pages.dtypes)[id_column]
@@ -131,9 +133,9 @@ def evidence(pages: DataFrame, languages: Languages, id_column: str = "page_id",
             sources = batch.column(2).to_pylist()
             texts = html.texts(sources, model.value)
             told = [address(u) for u in batch.column(1).to_pylist()]
-            yield [batch.column(0), [declared(p) for p in sources], *([t[k] for t in told] for k in range(3)), [len(t) for t in texts], [given.value.likelihood(t) for t in texts]]
+            yield [batch.column(0), [declared(p) for p in sources], *([t[k] for t in told] for k in range(3)), [h and ".".join(h.split(".")[-3:]) for _, _, h in told], [len(t) for t in texts], [given.value.likelihood(t) for t in texts]]
 
-    return mapped(pages, rows, f"page_id {kind}, declared string, suffix string, domain string, host string, n_chars bigint, likelihood array<double>")
+    return mapped(pages, rows, f"page_id {kind}, declared string, suffix string, domain string, host string, site string, n_chars bigint, likelihood array<double>")
 
 
 def _softmax(x: Column) -> Column:
@@ -178,9 +180,9 @@ def identify(pages: DataFrame, documents: DataFrame, id_column: str = "page_id",
         said = F.zip_with("c", array(held), lambda c, n: F.log((c + SMOOTHING * F.col("_share")) / (n + SMOOTHING)))
         counts = counts.withColumn("_share", F.greatest(share, F.lit(1e-9))).select(kind, said.alias(f"said_{kind}"))
         out = out.join(counts, kind, "left")
-    domains = known.where("domain is not null").groupBy("domain").agg(_sums(k)[0].alias("in_domain"))
-    hosts = known.where("host is not null").groupBy("host").agg(_sums(k)[0].alias("in_host"))
-    out = out.join(hosts, "host", "left").join(domains, "domain", "left")
+    for kind in ("domain", "site", "host"):
+        counts = known.where(F.col(kind).isNotNull()).groupBy(kind).agg(_sums(k)[0].alias(f"in_{kind}"), F.count("*").alias("pages"))
+        out = left_beside(out, counts, kind, "pages", SENT_KEYS // (1 + k // 8), kind)
     none = array([0.0] * k)
     own = F.when(F.col("n_chars") > 0, F.col("p")).otherwise(none)
 
@@ -189,7 +191,9 @@ def identify(pages: DataFrame, documents: DataFrame, id_column: str = "page_id",
         total = F.aggregate(other, F.lit(0.0), lambda a, v: a + v)
         return F.zip_with(other, towards, lambda c, t: (c + SMOOTHING * t) / (total + SMOOTHING))
 
-    out = out.withColumn("prior", smoothed(F.col("in_domain"), array(root))).withColumn("prior", smoothed(F.col("in_host"), F.col("prior")))
+    out = out.withColumn("prior", smoothed(F.col("in_domain"), array(root)))
+    for kind in ("site", "host"):
+        out = out.withColumn("prior", smoothed(F.col(f"in_{kind}"), F.col("prior")))
     add = lambda x, y: F.zip_with(x, y, lambda a, b: a + b)
     score = add(F.transform("prior", lambda v: F.log(v)), F.col("likelihood"))
     for kind in ("declared", "suffix"):

@@ -85,3 +85,61 @@ def test_nulls_ties_and_long_texts(spark):
     assert texts[5] == chat.brute_force([("assistant", "t"), ("user", "same"), ("user", "same")])[1]
     assert texts[None] == chat.brute_force([(None, ""), ("user", "x" * 3_000_000)])[1]
     assert chat.repair(frame(spark, [])).collect() == []
+
+
+def told(turns):
+    """The cheapest repair's text by trying all repairs, with a renderer of its own: whole turns are joined, then written."""
+    best = [None]
+
+    def go(k, sequence, cost):
+        if best[0] is not None and cost > best[0][0]:
+            return
+        if k == len(turns):
+            state, tail = (sequence[-1][0] if sequence else 0), []
+            while state != 3:
+                state = {0: 2, 1: 2, 2: 3}[state]
+                tail.append((state, [""]))
+            cost += COSTS.insert * len(tail)
+            if best[0] is None or cost < best[0][0]:
+                best[0] = (cost, set())
+            if cost == best[0][0]:
+                best[0][1].add("".join(f"<|{chat.STATES[r]}|>\n" + "\n\n".join(parts) + "<|end|>\n" for r, parts in sequence + tail))
+            return
+        role, text = chat.role_of(turns[k][0]), turns[k][1]
+        change = lambda t: 0 if t == role else COSTS.relabel if role else COSTS.relabel_unknown
+        if sequence:
+            last, parts = sequence[-1]
+            go(k + 1, sequence[:-1] + [(last, parts + [text])], cost + COSTS.merge + change(last))
+
+        def begin(state, empties):
+            for t in {0: (1, 2), 1: (2,), 2: (3,), 3: (2,)}[state]:
+                go(k + 1, sequence + empties + [(t, [text])], cost + COSTS.insert * len(empties) + change(t))
+                if t != 1 and len(empties) < 2:
+                    begin(t, empties + [(t, [""])])
+
+        begin(sequence[-1][0] if sequence else 0, [])
+
+    go(0, [], 0)
+    return best[0]
+
+
+def test_text_is_that_of_a_cheapest_repair():
+    r = random.Random(9)
+    for _ in range(150):
+        turns = [(r.choice(["user", "assistant", "system", "Human", "gpt", None, "tool"]), f"t{k}") for k in range(r.randint(1, 5))]
+        cost, text = chat.brute_force(turns)
+        least, texts = told(turns)
+        assert cost == least and text in texts
+
+
+def test_words_stay_with_their_role(spark):
+    """No user's or assistant's words become another's while merges and empty turns can repair the conversation."""
+    rows = [(1, 0, "user", "Q1"), (1, 1, "user", "Q2"), (2, 0, "assistant", "Hi"), (2, 1, "user", "Q"), (2, 2, "assistant", "A"), (3, 0, "user", "Q"), (3, 1, "assistant", "A"), (3, 2, "assistant", "B")]
+    got = {(x["conv_id"], x["turn"]): (x["new_role"], x["action"]) for x in chat.repair(frame(spark, rows)).collect()}
+    assert all(got[c, t][0] == role for c, t, role, _ in rows)
+    assert got[1, 1] == ("user", "merge") and got[3, 2] == ("assistant", "merge")
+    r = random.Random(3)
+    for _ in range(300):
+        roles = [r.choice((2, 3)) for _ in range(r.randint(1, 12))]
+        end = chat.best_end(chat._forward(chat.begin(), [chat.step(x, COSTS) for x in roles])[-1], COSTS)
+        assert [t for _, t, _ in chat.repaired(roles, chat.begin(), end, COSTS)] == roles

@@ -1,9 +1,13 @@
 """Evidence fusion on pages with known languages, and its edge cases."""
 
+import math
 import random
 import re
+from collections import defaultdict
 
-from brindle.llm import langid
+import pytest
+
+from brindle.llm import common, html, langid
 
 WORDS = {"en": "the and of that with this from for which there".split(), "de": "der und nicht eine durch auch nach wird über für".split(), "fr": "les dans une pour avec est sur être très où".split()}
 
@@ -87,3 +91,87 @@ def test_declared_is_read_once():
     for page in ("<html ", "<meta ", "<meta content-language ", "<meta content-language content", "<html lang", "<html lang=", "<html><meta>"):
         assert langid.declared(page * 100_000) is None
     assert langid.declared("<html lang=" + " " * 1_000_000) is None
+
+
+def posteriors(pages, docs):
+    """page_id -> (posterior by language, text likelihoods), in plain Python: triples, shares and Bayes' rule by their definitions."""
+    def cell(a, b, c):
+        h = ((ord(a) * 0x9E3779B1 + ord(b)) * 0x85EBCA6B + ord(c)) % 2**64 * 0x9E3779B97F4A7C15 % 2**64
+        return h >> 50
+
+    triples = lambda t: [cell(*t.lower()[i : i + 3]) for i in range(len(t.lower()) - 2)]
+    counts = defaultdict(lambda: defaultdict(int))
+    for lang in sorted({d[2] for d in docs if d[1] is not None and d[2] is not None}):
+        for c in triples("\n".join(d[1] for d in docs if d[1] is not None and d[2] == lang)):
+            counts[lang][c] += 1
+    names = sorted(counts)
+    total = {lang: sum(counts[lang].values()) for lang in names}
+    every = defaultdict(int)
+    for lang in names:
+        for c, n in counts[lang].items():
+            every[c] += n
+    whole = lambda c: (every[c] + 1) / (sum(total.values()) + langid.CELLS)
+    texts = html.texts([p[2] for p in pages], html.train())
+    like, own = [], []
+    for t in texts:
+        at = triples(t)
+        scale = min(1, langid.INDEPENDENT / len(at)) if at else 0
+        like.append([scale * sum(math.log((counts[lang][c] + 1000 * whole(c)) / (total[lang] + 1000)) for c in at) for lang in names])
+        e = [math.exp(x - max(like[-1])) for x in like[-1]]
+        own.append([x / sum(e) for x in e])
+    k, s = len(names), langid.SMOOTHING
+    known = [i for i, t in enumerate(texts) if t]
+    mass = [sum(own[i][j] for i in known) for j in range(k)]
+    told = [langid.address(p[1]) for p in pages]
+    declared = [langid.declared(p[2]) for p in pages]
+    groups = {"declared": declared, "suffix": [t[0] for t in told], "domain": [t[1] for t in told], "site": [t[2] and ".".join(t[2].split(".")[-3:]) for t in told], "host": [t[2] for t in told]}
+    held = lambda kind, value: [sum(own[i][j] for i in known if groups[kind][i] == value) for j in range(k)]
+    out = []
+    for i in range(len(pages)):
+        prior = [(m + s / k) / (sum(mass) + s) for m in mass]
+        for kind in ("domain", "site", "host"):
+            c = held(kind, groups[kind][i]) if groups[kind][i] is not None else [0.0] * k
+            c = [max(x - (own[i][j] if texts[i] else 0), 0) for j, x in enumerate(c)]
+            prior = [(x + s * p) / (sum(c) + s) for x, p in zip(c, prior)]
+        score = [math.log(p) + x for p, x in zip(prior, like[i])]
+        for kind in ("declared", "suffix"):
+            value = groups[kind][i]
+            if value is not None and any(groups[kind][j] == value for j in known):
+                c = held(kind, value)
+                n = [sum(own[j][x] for j in known if groups[kind][j] is not None) for x in range(k)]
+                share = sum(c) / sum(n)
+                score = [v + math.log((a + s * share) / (b + s)) for v, a, b in zip(score, c, n)]
+        e = [math.exp(x - max(score)) for x in score]
+        out.append((names, [x / sum(e) for x in e]))
+    return out
+
+
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_posterior_is_bayes_rule(spark, monkeypatch, most):
+    """With most = 0 no table of hosts is broadcast whole, and with HOT_ROWS = 3 some hosts are hot."""
+    monkeypatch.setattr(langid, "SENT_KEYS", most)
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    monkeypatch.setattr(common, "HOT_KEYS", 10**9)
+    pages, docs = frames(spark)
+    plain_pages = [tuple(r) for r in pages.collect()]
+    want = posteriors(plain_pages, [tuple(r) for r in docs.collect()])
+    got = sorted(((str(r["page_id"]), r["lang"], r["confidence"]) for r in langid.identify(pages, docs).collect()), key=str)
+    expected = sorted(((str(p[0]), names[post.index(max(post))], round(max(post), 6)) for p, (names, post) in zip(plain_pages, want)), key=str)
+    assert [g[:2] for g in got] == [e[:2] for e in expected]
+    assert [g[2] for g in got] == pytest.approx([e[2] for e in expected], abs=2e-6)
+
+
+def test_sites_of_a_shared_domain(spark):
+    """Two sites under co.uk speak for themselves."""
+    _, docs = frames(spark)
+    rows = [(k, f"https://www.{'ab'[k % 2]}.co.uk/{k}", page("de" if k % 2 else "en", None, shift=k)) for k in range(40)] + [(100, "https://x.a.co.uk/", ""), (101, "https://x.b.co.uk/", "")]
+    got = {r["page_id"]: r["lang"] for r in langid.identify(spark.createDataFrame(rows, "page_id long, url string, html string"), docs).collect()}
+    assert (got[100], got[101]) == ("en", "de")
+
+
+def test_ties_and_repeats(spark):
+    """Equal languages tie: the first name is told; repeated rows each have a row."""
+    docs = spark.createDataFrame([(1, "same words", "bb"), (2, "same words", "aa")], "doc_id long, text string, lang string")
+    rows = [(1, "https://h.example.org/", "<p>same words here and there, same words.</p>")] * 3
+    got = langid.identify(spark.createDataFrame(rows, "page_id long, url string, html string"), docs).collect()
+    assert [(r["lang"], r["confidence"]) for r in got] == [("aa", 0.5)] * 3
