@@ -24,8 +24,8 @@ from .common import mapped, own_columns, small_batches, written
 CANDIDATES, QUERIES = 1024, 256
 #: Blocks of candidates (the longest vectors) that set the queries' first thresholds.
 SEED_BLOCKS = 1
-#: Groups that the blocks of candidates are dealt to; each block of queries is sent to each group.
-GROUPS = 64
+#: Groups that the blocks of candidates are dealt to at least, and blocks of a group; each block of queries is sent to each group.
+GROUPS, GROUP_BLOCKS = 64, 16
 
 BLOCK = "dim int, longest double, ids binary, whole binary, big boolean"
 
@@ -116,8 +116,10 @@ def _search(row_q: dict, row_c: dict, bars: np.ndarray, turn: np.ndarray, k: int
     rq, rc = qf @ turn, cf @ turn
     norm_q, norm_c = np.linalg.norm(qf, axis=1), np.linalg.norm(cf, axis=1)
     rest_q, rest_c = (np.linalg.norm(r[:, head:], axis=1) for r in (rq, rc))
-    out = []
     slack = 1e-9 * norm_q * float(norm_c.max(initial=0)) + 1e-6  # more than rounding can make of the sums
+    if not (row_q["big"] or row_c["big"]):
+        return _search_together(ids_q, qf, rq, norm_q, rest_q, ids_c, cf, rc, norm_c, rest_c, bars, slack, k, head)
+    out = []
     for i in np.flatnonzero(~(norm_q * norm_c.max(initial=0) + slack < bars)):
         best: list[tuple[int, int]] = []
         bar = bars[i]
@@ -139,6 +141,31 @@ def _search(row_q: dict, row_c: dict, bars: np.ndarray, turn: np.ndarray, k: int
     return out
 
 
+def _search_together(ids_q, qf, rq, norm_q, rest_q, ids_c, cf, rc, norm_c, rest_c, bars, slack, k: int, head: int) -> list[tuple[int, int, int]]:
+    """`_search` where every sum of products stays below 2**53: all queries meet each part of the candidates in matrix products."""
+    bars, best = bars.copy(), [[] for _ in ids_q]
+    for at in range(0, len(ids_c), 512):  # candidates go by descending length
+        live = np.flatnonzero(~(norm_q * norm_c[at] + slack < bars))
+        if not len(live):
+            break
+        part = slice(at, at + 512)
+        bound = rq[live, :head] @ rc[part, :head].T + rest_q[live, None] * rest_c[part] + slack[live, None]
+        open_ = ~(bound < bars[live, None]) & (ids_c[part] != ids_q[live, None])
+        rows, columns = np.flatnonzero(open_.any(axis=1)), np.flatnonzero(open_.any(axis=0))
+        if not len(rows):
+            continue
+        scores = qf[live[rows]] @ cf[part][columns].T  # whole numbers, exact as doubles
+        scores[~open_[np.ix_(rows, columns)]] = -np.inf
+        names = ids_c[part][columns]
+        for row, i in zip(scores, live[rows].tolist(), strict=True):
+            least = max(bars[i], np.partition(row, len(row) - k)[len(row) - k]) if len(row) > k else bars[i]
+            near = np.flatnonzero((row >= least) & (row > -np.inf))
+            best[i] = heapq.nsmallest(k, best[i] + list(zip((-row[near]).tolist(), names[near].tolist(), strict=True)))
+            if len(best[i]) == k:
+                bars[i] = max(bars[i], -best[i][-1][0])
+    return [(int(ids_q[i]), v, int(-s)) for i, found in enumerate(best) for s, v in found]
+
+
 def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256.0, id_column: str = "vec_id", vector_column: str = "embedding", head: int | None = None) -> DataFrame:
     """The k candidates of greatest inner product of every query, exactly; ties go to the smaller id.
 
@@ -180,8 +207,10 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float
             yield [[r[c] for r in out[2]] for c in ("dim", "longest", "ids", "whole", "big")] + out[:2]
 
     asked = written(mapped(asked, seeded, f"{BLOCK}, bars binary, least double"), "queries")
-    asked = asked.select(*[F.col(c).alias(f"q_{c}") for c in asked.columns], F.explode(F.sequence(F.lit(0), F.lit(GROUPS - 1))).alias("g"))
-    met = stored.withColumn("g", F.pmod(F.xxhash64("ids"), F.lit(GROUPS)).cast("int")).join(asked, "g")
+    groups = max(GROUPS, -(-stored.count() // GROUP_BLOCKS))  # as many as the candidates need
+    asked = asked.select(*[F.col(c).alias(f"q_{c}") for c in asked.columns], F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
+    # copies of the queries are never broadcast
+    met = stored.withColumn("g", F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int")).join(asked.hint("shuffle_merge"), "g")
     met = met.where((F.col("dim") == F.col("q_dim")) & (F.col("longest") * F.col("q_longest") * (1 + 1e-9) + 1e-6 >= F.col("q_least")))
 
     def scored(batches) -> Iterator[list]:
