@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, as_bytes, looked_up, mapped, row_key, sent, small_batches, written
+from .common import LOWER, SENT_KEYS, as_bytes, left_beside, looked_up, mapped, row_key, sent, small_batches, written
 from .components import components
 
 #: Minwise tokens in a class's pool; the first trees * branches of them make the first level.
@@ -44,7 +44,7 @@ class Join:
     percent: int = 80  # 100 * intersection >= percent * union
     trees: int = 4
     branches: int = 3
-    small: int = 1024  # classes of a node that is compared exhaustively
+    small: int = 4096  # classes of a node that is compared exhaustively
     elements: int = 1 << 19  # and elements of their sets together
     depth: int = 2  # levels after which larger nodes are compared in pairs of blocks
 
@@ -347,8 +347,8 @@ def grouped(documents: DataFrame, join: Join = Join(), id_column: str = "doc_id"
     comp = components(linked).select(F.col("node").alias("cid"), "root")
     placed = found.select("doc_id", "row", "n", "digest").join(classes.select("digest", "cid"), "digest", "left").join(comp, "cid", "left")
     placed = written(placed.select("doc_id", "row", F.col("n").alias("n_shingles"), F.coalesce("root", "cid").alias("component")), "placed")
-    least = placed.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
-    out = placed.join(least, "component", "left").withColumn("component_id", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("least")))
+    least = placed.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"), F.count("*").alias("members"))
+    out = left_beside(placed, least, "component", "members", SENT_KEYS, "least").withColumn("component_id", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("least")))
     return out.select("doc_id", "row", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
