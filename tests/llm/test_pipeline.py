@@ -51,3 +51,22 @@ def test_empty(spark, folder):
     path, _ = folder
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, spark.read.parquet(f"{path}/documents.parquet").limit(0), path).collect() == []
+
+
+def test_odd_rows(spark, folder):
+    """Nulls, long texts, repeated rows, and columns with the names that the operators use for themselves."""
+    path, docs = folder
+    long = " ".join(f"w{k}x{k * 7 % 1000}" for k in range(120_000)) + " bob@mail.example.com"
+    odd = [(1, docs[1][1], "en", "s", 0), (1, docs[1][1], "en", "s", 0), (2, None, None, None, None), (3, "", "en", "s", 0), (3, "", "en", "s", 0), (None, docs[4][1], None, "s", 1), (4, long, "en", "s", 1), (5, long + " tail", "en", "s", 1)]
+    clash = "row string, key int, spans string, doc int, _row string, score double, hit string, ids int"
+    frame = spark.createDataFrame([(*r, "r", 1, "s", 2, "q", 0.5, "h", 9) for r in odd], f"doc_id long, text string, lang string, source string, n_chars long, {clash}")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        frame = stage(spark, frame, path)
+        assert tuple(frame.columns) == corpus_pipeline.COLUMNS
+    rows = frame.collect()
+    # the copy of document 1, the repeated row of 3 and the near copy of 4 go; a row without an id is in no group
+    assert sorted((r["doc_id"] for r in rows), key=str) == [1, 2, 3, 4, None]
+    text = {r["doc_id"]: r["text"] for r in rows}
+    assert text[2] is None and text[3] == "" and text[4].endswith("[EMAIL]") and text[None] == docs[4][1]
+    last = corpus_pipeline.STAGES[-1][1](spark, spark.createDataFrame(rows, frame.schema).selectExpr("*", "1 as key", "2 as ids"), path).collect()
+    assert len(last) == 5 and all(r["round_trip"] for r in last)
