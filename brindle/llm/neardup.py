@@ -357,10 +357,12 @@ def deduplicated(documents: DataFrame, join: Join = Join(), id_column: str = "do
 
     Of rows that repeat both id and text one stays; of rows that repeat an id alone, those of their groups.
     """
-    kept = grouped(documents, join, id_column, text_column).where("kept").groupBy(F.col("row").alias("_row")).agg(F.count("*").alias("_times"))
-    kept = written(kept, "kept")
+    found = grouped(documents, join, id_column, text_column).where("doc_id is not null")
+    # what goes is told by its keys, as it is less than what stays; rows of one key go or stay together
+    found = written(found.groupBy(F.col("row").alias("_row")).agg(F.max("kept").alias("kept"), F.count("*").alias("times")).where("not kept or times > 1"), "kept")
+    gone, again = (sent(found.where(how).select("_row"), name) for how, name in (("not kept", "gone"), ("kept", "again")))
     marked = documents.withColumn("_row", row_key(id_column, text_column))
     named = marked.where(F.col(f"`{id_column}`").isNotNull())
-    once = named.join(sent(kept.where("_times = 1").select("_row"), "once"), "_row", "left_semi")
-    again = named.join(sent(kept.where("_times > 1").select("_row"), "again"), "_row", "left_semi").dropDuplicates(["_row"])
-    return once.unionByName(again).unionByName(marked.where(F.col(f"`{id_column}`").isNull())).drop("_row")
+    once = named.join(gone, "_row", "left_anti").join(again, "_row", "left_anti")
+    more = named.join(again, "_row", "left_semi").dropDuplicates(["_row"])
+    return once.unionByName(more).unionByName(marked.where(F.col(f"`{id_column}`").isNull())).drop("_row")
