@@ -25,11 +25,11 @@ from .common import as_bytes, mapped, own_columns, small_batches
 
 MARK = "▁"
 #: Bytes that a worker remembers of chunks, and of pairs of tokens; what is used least goes, which changes no result.
-CHUNK_BYTES, PAIR_BYTES = 16 << 20, 4 << 20
+CHUNK_BYTES, PAIR_BYTES = 8 << 20, 4 << 20
 #: Texts by which a vocabulary file shows its rules: the mark put first, runs of spaces, composed and wide letters, controls.
 PROBES = ("a", " a", "a  b ", "   ", "A b", "▁x▁", "\ta\r\nb", "\n", "e\u0301 é ﬁ Ａ ½ \u00a0x\u3000y", "日本\U0001d4b3", "\x00\x07", "<s></s><unk>", "1,234.5")
 #: Chunks of which the tables are filled together, so that they stay near the processor.
-SLICE = 16384
+SLICE = 8192
 #: Pairs that the table of many chunks remembers, each at a place of its own that a later pair may take.
 PAIRS = 1 << 18
 #: Bytes of an entry of a dictionary and of its two objects' heads.
@@ -86,13 +86,14 @@ class Pieces:
         self.joined = {text[k : k + 2] for text in self.ids for k in range(len(text) - 1)}  # no piece joins other neighbours
         self.newline = str(self.bytes[10])
         self.automaton = ahocorasick.Automaton()
-        #: Of each token while its characters merge: the next merge's score, and the part at its right and its left end.
-        self.right, self.left = {}, {}
+        #: Of each token while its characters merge: the next merge's score, and the parts at its left and its right end.
+        self.steps = {}
+        own = {text: text for text in self.ids}  # parts are pieces: each is held once
         for text, i in self.ids.items():
             parts, steps = self._merged(text)
             if parts == [text]:  # others are never the result of merging
                 self.automaton.add_word(text, i << 8 | len(text))
-                self.right[i], self.left[i] = [(s, y) for s, _, y in steps], [(s, x) for s, x, _ in steps]
+                self.steps[i] = tuple((s, own.get(x, x), own.get(y, y)) for s, x, y in steps)
         self.automaton.make_automaton()
 
     def _merged(self, text: str) -> tuple[list[str], list[tuple[float, str, str]]]:
@@ -118,10 +119,10 @@ class Pieces:
 
         Both merge as they do alone until a merge over their border has the greatest score; of equal ones the left goes first.
         """
-        mine, other, a, b = self.right[left], self.left[right], 0, 0
+        mine, other, a, b = self.steps[left], self.steps[right], 0, 0
         ids, scores = self.ids, self.scores
         while True:
-            (s, x), (t, y) = mine[a], other[b]
+            (s, _, x), (t, y, _) = mine[a], other[b]
             over = ids.get(x + y)
             if over is not None and s < scores[over] >= t:
                 return False
@@ -398,7 +399,7 @@ HEAD = "\x00"
 #: Longer texts are encoded by themselves.
 LONG_BYTES = 32 << 20
 #: Bytes of texts that are encoded at a time.
-TOGETHER_BYTES = 6 << 20
+TOGETHER_BYTES = 3 << 20
 
 
 def _together(texts: pa.Array, encoder: Encoder, known: _Texts) -> tuple[pa.Array, pa.Array]:
