@@ -29,7 +29,9 @@ CHUNK_BYTES, PAIR_BYTES = 8 << 20, 4 << 20
 #: Texts by which a vocabulary file shows its rules: the mark put first, runs of spaces, composed and wide letters, controls.
 PROBES = ("a", " a", "a  b ", "   ", "A b", "▁x▁", "\ta\r\nb", "\n", "e\u0301 é ﬁ Ａ ½ \u00a0x\u3000y", "日本\U0001d4b3", "\x00\x07", "<s></s><unk>", "1,234.5")
 #: Chunks of which the tables are filled together, so that they stay near the processor.
-SLICE = 8192
+SLICE = 16384
+#: Characters up to which a chunk's table is filled with others; of a longer one alone, with the same result.
+LEVELS = 256
 #: Pairs that the table of many chunks remembers, each at a place of its own that a later pair may take.
 PAIRS = 1 << 18
 #: Bytes of an entry of a dictionary and of its two objects' heads.
@@ -65,6 +67,80 @@ class Recent(dict):
         return ENTRY
 
 
+class States:
+    """The automaton over the tokens as arrays, in which many chunks take a step at once. State 0 has read no token's beginning."""
+
+    def __init__(self, tokens: dict[str, int]):
+        go: list[dict[str, int]] = [{}]
+        own: list[list[int]] = [[]]
+        for text, i in tokens.items():
+            state = 0
+            for c in text:
+                if c not in go[state]:
+                    go[state][c] = len(go)
+                    go.append({})
+                    own.append([])
+                state = go[state][c]
+            own[state] = [i]
+        fail, queue = [0] * len(go), [0]
+        for state in queue:  # it grows: states by their depth
+            for c, then in go[state].items():
+                queue.append(then)
+                back = fail[state]
+                while back and c not in go[back]:
+                    back = fail[back]
+                fail[then] = go[back].get(c, 0) if state else 0
+                own[then] = own[then] + own[fail[then]]
+        names = sorted({c for edges in go for c in edges})
+        self.wide, self.names = len(names) + 1, np.zeros(0x110000, np.int32)  # name 0: a character of no token
+        self.names[[ord(c) for c in names]] = np.arange(1, self.wide)
+        self.fail = np.array(fail, np.int64)
+        self.counts = np.fromiter(map(len, own), np.int64, len(own))
+        self.first = np.cumsum(self.counts) - self.counts
+        self.tokens = np.fromiter(chain.from_iterable(own), np.int64)  # those that end where a state is reached
+        number = dict(zip(names, range(1, self.wide), strict=True))
+        edges = np.array([(a * self.wide + number[c], b) for a, some in enumerate(go) for c, b in some.items()], np.int64).reshape(-1, 2)
+        self.most = (4 << len(edges).bit_length()) - 1
+        self.keys, self.to = np.full(self.most + 1, -1, np.int64), np.zeros(self.most + 1, np.int64)
+        place = self._place(edges[:, 0])
+        while len(edges):  # those whose place is taken go on to the next
+            free = np.flatnonzero(self.keys[place] < 0)
+            self.keys[place[free]] = edges[free, 0]
+            kept = self.keys[place] == edges[:, 0]
+            self.to[place[kept]] = edges[kept, 1]
+            edges, place = edges[~kept], (place[~kept] + 1) & self.most
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * -7046029254386353131) >> 24) & self.most
+
+    def _edge(self, state: np.ndarray, name: np.ndarray) -> np.ndarray:
+        """The states that follow in the tree; 0 where none does."""
+        key = state * self.wide + name
+        place = self._place(key)
+        held = self.keys[place]
+        out = np.where(held == key, self.to[place], 0)
+        odd = np.flatnonzero((held != key) & (held >= 0))
+        while len(odd):
+            place[odd] = (place[odd] + 1) & self.most
+            held = self.keys[place[odd]]
+            same = held == key[odd]
+            out[odd[same]] = self.to[place[odd[same]]]
+            odd = odd[~same & (held >= 0)]
+        return out
+
+    def step(self, state: np.ndarray, name: np.ndarray) -> np.ndarray:
+        """The states after one more character each."""
+        out = self._edge(state, name)
+        left = np.flatnonzero((out == 0) & (state > 0))
+        state, name = state[left], name[left]
+        while len(left):
+            state = self.fail[state]
+            out[left] = then = self._edge(state, name)
+            on = np.flatnonzero((then == 0) & (state > 0))
+            left, state, name = left[on], state[on], name[on]
+        return out
+
+
 class Pieces:
     """A vocabulary file's pieces and the prefix table over them."""
 
@@ -95,6 +171,7 @@ class Pieces:
                 self.automaton.add_word(text, i << 8 | len(text))
                 self.steps[i] = tuple((s, own.get(x, x), own.get(y, y)) for s, x, y in steps)
         self.automaton.make_automaton()
+        self.states = States({text: i for text, i in self.ids.items() if i in self.steps})
 
     def _merged(self, text: str) -> tuple[list[str], list[tuple[float, str, str]]]:
         """Greedy merging of a short string, by its definition: what is left, and the ends' parts before each merge."""
@@ -239,42 +316,54 @@ class Tables:
         return out
 
     def ids(self, chunks: list[str]) -> tuple[list[str | None], list[str | None]]:
-        """Ids of each chunk in decimal, joined by spaces, and the text that they decode to; None for chunks with characters that no piece has."""
-        parts = [self._ids(chunks[k : k + SLICE]) for k in range(0, len(chunks), SLICE)]
-        return tuple([x for p in parts for x in p[k]] for k in range(2))
+        """Ids of each chunk in decimal, joined by spaces, and the text that they decode to.
+
+        None for chunks that are empty, longer than LEVELS, or have characters that no piece has.
+        """
+        fit = [k for k, c in enumerate(chunks) if 0 < len(c) <= LEVELS]
+        out: tuple[list[str | None], list[str | None]] = ([None] * len(chunks), [None] * len(chunks))
+        for k in range(0, len(fit), SLICE):
+            some = sorted(fit[k : k + SLICE], key=lambda j: -len(chunks[j]))
+            for all_of, told in zip(out, self._ids([chunks[j] for j in some]), strict=True):
+                for j, x in zip(some, told, strict=True):
+                    all_of[j] = x
+        return out
 
     def _ids(self, chunks: list[str]) -> tuple[list[str | None], list[str | None]]:
-        size = np.fromiter(map(len, chunks), np.int64, len(chunks))
-        begin = np.cumsum(size + 1) - size - 1
-        found = np.fromiter(chain.from_iterable(self.pieces.automaton.iter("\n".join(chunks))), np.int64).reshape(-1, 2)
-        end, token = found[:, 0] + 1, found[:, 1] >> 8
-        start = end - (found[:, 1] & 255)
-        first = np.repeat(begin, size + 1)[start]
-        order = np.argsort(end - first, kind="stable")
-        start, end, token, first = start[order], end[order], token[order], first[order]
-        last = np.full(int(begin[-1] + size[-1]) + 2, -1, np.int64)  # the last token of the prefix that ends there
-        level = np.searchsorted(end - first, np.arange(1, int(size.max()) + 2))
-        for a, b in zip(level[:-1].tolist(), level[1:].tolist(), strict=True):
-            before = last[start[a:b]]
-            good = start[a:b] == first[a:b]
+        """Of chunks from long to short."""
+        states, n = self.pieces.states, len(chunks)
+        size = np.fromiter(map(len, chunks), np.int64, n)
+        begin = np.cumsum(size) - size
+        names = states.names[np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), "<u4")]
+        longer = n - np.searchsorted(size[::-1], np.arange(size[0]), side="right")  # chunks that have a character there
+        last = np.full((int(size[0]) + 1) * n, -1, np.int64)  # at length * n + chunk: the last token of that prefix
+        state = np.zeros(n, np.int64)
+        for at, m in enumerate(longer.tolist()):
+            state = states.step(state[:m], names[begin[:m] + at])
+            count = states.counts[state]
+            row = np.repeat(np.arange(m), count)
+            token = states.tokens[np.arange(len(row)) + np.repeat(states.first[state] - np.cumsum(count) + count, count)]
+            start = at + 1 - self.lengths[token]
+            before = last[start * n + row]
+            good = start == 0
             asked = np.flatnonzero(~good & (before >= 0))
-            good[asked] = self.compatible(before[asked], token[a:b][asked])
-            last[end[a:b][good]] = token[a:b][good]
+            good[asked] = self.compatible(before[asked], token[asked])
+            last[(at + 1) * n + row[good]] = token[good]
         # from the ends backwards
-        at, now, told, of = begin + size, np.arange(len(chunks)), [], []
-        broken = np.zeros(len(chunks), bool)
+        at, now, told, of = size.copy(), np.arange(n), [], []
+        broken = np.zeros(n, bool)
         while len(now):
-            token = last[at[now]]
+            token = last[at[now] * n + now]
             broken[now[token < 0]] = True
             now, token = now[token >= 0], token[token >= 0]
             told.append(token)
             of.append(now)
             at[now] -= self.lengths[token]
-            now = now[at[now] > begin[now]]
+            now = now[at[now] > 0]
         of = np.concatenate(of)
         order = np.argsort(of[::-1], kind="stable")  # a chunk's tokens were found last first
         ids = np.concatenate(told)[::-1][order].tolist()
-        ends = np.cumsum(np.bincount(of, minlength=len(chunks))).tolist()
+        ends = np.cumsum(np.bincount(of, minlength=n)).tolist()
         join = lambda names, by: [None if bad else by.join(names[a:b]) for bad, a, b in zip(broken.tolist(), [0, *ends], ends, strict=False)]
         return join([self.names[i] for i in ids], " "), join([self.texts[i] for i in ids], "")
 

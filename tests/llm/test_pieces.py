@@ -77,3 +77,18 @@ def test_tables(spark, library):
     assert (digest[4]["n_tokens"], digest[4]["ids_sha256"]) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
     assert digest[4]["decoded_sha256"] == hashlib.sha256(library.decode(ids).encode()).hexdigest()
     assert pieces.digests(df.limit(0), piece_model()).collect() == []
+
+
+def test_many_chunks_at_once(library, encoder):
+    r = random.Random(4)
+    signs = "abcdeéßñzxthering日本ΩПр,.'1𝒳"
+    chunks = ["▁" + "".join(r.choice(signs) for _ in range(r.choice((1, 5, 12, 40, pieces.LEVELS - 1, pieces.LEVELS, 900)))) for _ in range(3000)]
+    ids, texts = encoder.tables.ids(["", *chunks])
+    assert ids[0] is None
+    for chunk, found, text in zip(chunks, ids[1:], texts[1:], strict=True):
+        want = library.encode(chunk[1:])  # it puts the mark first
+        unknown = any(c not in encoder.pieces.known for c in chunk)
+        assert (found is None) == (unknown or len(chunk) > pieces.LEVELS)
+        if found is not None:
+            assert found == " ".join(map(str, want)) and text == chunk.replace("▁", " ")
+    assert encoder.tables.ids([]) == ([], [])
