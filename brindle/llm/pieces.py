@@ -30,6 +30,8 @@ CHUNK_BYTES, PAIR_BYTES = 8 << 20, 4 << 20
 PROBES = ("a", " a", "a  b ", "   ", "A b", "▁x▁", "\ta\r\nb", "\n", "e\u0301 é ﬁ Ａ ½ \u00a0x\u3000y", "日本\U0001d4b3", "\x00\x07", "<s></s><unk>", "1,234.5")
 #: Chunks of which the tables are filled together, so that they stay near the processor.
 SLICE = 16384
+#: Prefixes of the chunks of a slice, at most.
+CELLS = 1 << 19
 #: Characters up to which a chunk's table is filled with others; of a longer one alone, with the same result.
 LEVELS = 256
 #: Pairs that the table of many chunks remembers, each at a place of its own that a later pair may take.
@@ -72,16 +74,16 @@ class States:
 
     def __init__(self, tokens: dict[str, int]):
         go: list[dict[str, int]] = [{}]
-        own: list[list[int]] = [[]]
+        own: list[tuple[int, ...]] = [()]
         for text, i in tokens.items():
             state = 0
             for c in text:
                 if c not in go[state]:
                     go[state][c] = len(go)
                     go.append({})
-                    own.append([])
+                    own.append(())
                 state = go[state][c]
-            own[state] = [i]
+            own[state] = (i,)
         fail, queue = [0] * len(go), [0]
         for state in queue:  # it grows: states by their depth
             for c, then in go[state].items():
@@ -90,7 +92,7 @@ class States:
                 while back and c not in go[back]:
                     back = fail[back]
                 fail[then] = go[back].get(c, 0) if state else 0
-                own[then] = own[then] + own[fail[then]]
+                own[then] = own[then] + own[fail[then]] if own[then] else own[fail[then]]
         names = sorted({c for edges in go for c in edges})
         self.wide, self.names = len(names) + 1, np.zeros(0x110000, np.int32)  # name 0: a character of no token
         self.names[[ord(c) for c in names]] = np.arange(1, self.wide)
@@ -101,7 +103,7 @@ class States:
         number = dict(zip(names, range(1, self.wide), strict=True))
         edges = np.array([(a * self.wide + number[c], b) for a, some in enumerate(go) for c, b in some.items()], np.int64).reshape(-1, 2)
         self.most = (4 << len(edges).bit_length()) - 1
-        self.keys, self.to = np.full(self.most + 1, -1, np.int64), np.zeros(self.most + 1, np.int64)
+        self.keys, self.to = np.full(self.most + 1, -1, np.int64), np.zeros(self.most + 1, np.int32)
         place = self._place(edges[:, 0])
         while len(edges):  # those whose place is taken go on to the next
             free = np.flatnonzero(self.keys[place] < 0)
@@ -118,7 +120,7 @@ class States:
         key = state * self.wide + name
         place = self._place(key)
         held = self.keys[place]
-        out = np.where(held == key, self.to[place], 0)
+        out = np.where(held == key, self.to[place], 0).astype(np.int64)
         odd = np.flatnonzero((held != key) & (held >= 0))
         while len(odd):
             place[odd] = (place[odd] + 1) & self.most
@@ -320,10 +322,13 @@ class Tables:
 
         None for chunks that are empty, longer than LEVELS, or have characters that no piece has.
         """
-        fit = [k for k, c in enumerate(chunks) if 0 < len(c) <= LEVELS]
+        size = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        order = np.argsort(-size, kind="stable")
+        order = order[(size[order] > 0) & (size[order] <= LEVELS)]
         out: tuple[list[str | None], list[str | None]] = ([None] * len(chunks), [None] * len(chunks))
-        for k in range(0, len(fit), SLICE):
-            some = sorted(fit[k : k + SLICE], key=lambda j: -len(chunks[j]))
+        while len(order):
+            most = min(SLICE, CELLS // (int(size[order[0]]) + 1))
+            some, order = order[:most].tolist(), order[most:]
             for all_of, told in zip(out, self._ids([chunks[j] for j in some]), strict=True):
                 for j, x in zip(some, told, strict=True):
                     all_of[j] = x
@@ -336,7 +341,7 @@ class Tables:
         begin = np.cumsum(size) - size
         names = states.names[np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), "<u4")]
         longer = n - np.searchsorted(size[::-1], np.arange(size[0]), side="right")  # chunks that have a character there
-        last = np.full((int(size[0]) + 1) * n, -1, np.int64)  # at length * n + chunk: the last token of that prefix
+        last = np.full((int(size[0]) + 1) * n, -1, np.int32)  # at length * n + chunk: the last token of that prefix
         state = np.zeros(n, np.int64)
         for at, m in enumerate(longer.tolist()):
             state = states.step(state[:m], names[begin[:m] + at])
@@ -344,7 +349,7 @@ class Tables:
             row = np.repeat(np.arange(m), count)
             token = states.tokens[np.arange(len(row)) + np.repeat(states.first[state] - np.cumsum(count) + count, count)]
             start = at + 1 - self.lengths[token]
-            before = last[start * n + row]
+            before = last[start * n + row].astype(np.int64)
             good = start == 0
             asked = np.flatnonzero(~good & (before >= 0))
             good[asked] = self.compatible(before[asked], token[asked])
