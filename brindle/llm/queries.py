@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, html, langid, neardup, pieces, pii, topk, toxicity, warc
+from . import centroids, chat, decontam, html, langid, merkle, multihash, neardup, pieces, pii, topk, toxicity, warc
 from .oracle import ORACLES  # noqa: F401
 
 
@@ -70,6 +70,24 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest_items(found)
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.told(centroids.cluster(table(spark, sf_dir, "embeddings"), centroids.Clustering(centroids=40, rounds=5, dimension=64, scale=256.0)))
+
+
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multihash.edited_fingerprints(table(spark, sf_dir, "documents"), share=4)
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row's proof holds against its own row, or against the row with one character more where a seventh is tampered with."""
+    fields = ("doc_id", "source", "lang", "n_chars", "text")
+    other = merkle.leaf_digest([F.try_add("n_chars", F.lit(1)) if f == "n_chars" else F.col(f) for f in fields])
+    chosen = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    found = merkle.manifest(table(spark, sf_dir, "documents"), fields, "lang", "doc_id", more={"other": F.when(chosen, other)})
+    found = merkle.verified(found.withColumn("held", F.coalesce("other", "leaf")), "held")
+    return found.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", "verified")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
     "op2_minhash": op2_minhash,
@@ -81,4 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html": op8_html,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_decontamination": op10_decontamination,
-}
\ No newline at end of file
+    "op11_centroids": op11_centroids,
+    "op12_fingerprints": op12_fingerprints,
+    "op13_manifest": op13_manifest,
+}
