@@ -202,37 +202,6 @@ def cosine_before(vectors: DataFrame, marks: DataFrame, places: int = 9) -> Data
     return out.groupBy("query_id").agg(F.sum("n").alias("n_before"))
 
 
-def radius_join(addresses: DataFrame, radius: int = 15) -> DataFrame:
-    """a, b, dist of all pairs of 256-bit addresses that differ in at most `radius` < 16 bits, exactly.
-
-    Two such addresses agree in one of sixteen bands of 16 bits at least. Equal addresses are one representative
-    first, so a large group of copies costs no pairs; pairs are of representatives, whose members `members` tells.
-    """
-    if not 0 <= radius < 16:
-        raise ValueError("the bands find all pairs only below 16 bits")
-    names = _limbs(addresses)
-    one = addresses.groupBy(*names).agg(F.min("id").alias("id"))
-    bands = F.array(*[F.struct(F.lit(4 * j + s).alias("at"), F.expr(f"shiftrightunsigned({n}, {16 * s}) & 65535").alias("value")) for j, n in enumerate(names) for s in range(4)])
-    keyed = one.select("id", *names, F.explode(bands).alias("band"))
-    a = keyed.select(F.col("id").alias("a"), *[F.col(n).alias(f"a_{n}") for n in names], "band")
-    b = keyed.select(F.col("id").alias("b"), *[F.col(n).alias(f"b_{n}") for n in names], "band")
-    dist = hamming([F.col(f"a_{n}") for n in names], [F.col(f"b_{n}") for n in names])
-    return a.join(b, "band").where("a < b").withColumn("dist", dist).where(F.col("dist") <= radius).select("a", "b", "dist").distinct()
-
-
-def members(addresses: DataFrame) -> DataFrame:
-    """id, representative: the smallest id with the same address."""
-    names = _limbs(addresses)
-    return addresses.join(addresses.groupBy(*names).agg(F.min("id").alias("representative")), names).select("id", "representative")
-
-
-def linked_members(addresses: DataFrame, pairs: DataFrame) -> DataFrame:
-    """id, representative, links: a row for each address's id, with the number of its representative's pairs in `pairs`."""
-    ends = pairs.select(F.col("a").alias("representative")).union(pairs.select("b"))
-    links = ends.groupBy("representative").agg(F.count("*").alias("links"))
-    return members(addresses).join(links, "representative", "left").select("id", "representative", F.coalesce("links", F.lit(0)).cast("long").alias("links"))
-
-
 def decorated(results: DataFrame, nodes: DataFrame) -> DataFrame:
     """Results with their nodes' short titles; of nodes that repeat an id, the first in input order, else any."""
     from ..functions.text import short_title

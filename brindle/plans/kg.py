@@ -49,3 +49,13 @@ def kg_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = out.union(ids(table(spark, sf_dir, "customer"), "customer", "c_custkey", "nation", "c_nationkey", "lives_in"))
     out = out.union(ids(supplied, "supplier", "l_suppkey", "part", "l_partkey", "supplies"))
     return out.withColumn("edge_seq", F.concat_ws("|", "source", "target", "type"))
+
+
+def trade_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """source, target, type: who bought which part, from whom, and who supplies it, distinct, of all line items."""
+    sold = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders").withColumnRenamed("o_orderkey", "l_orderkey"), "l_orderkey")
+    ends = {"customer": "o_custkey", "part": "l_partkey", "supplier": "l_suppkey"}
+    name = {kind: F.concat(F.lit(f"{kind}:"), F.col(key)) for kind, key in ends.items()}
+    sides = (("customer", "part", "buys"), ("customer", "supplier", "orders_from"), ("supplier", "part", "supplies"))
+    each = F.array(*[F.struct(name[a].alias("source"), name[b].alias("target"), F.lit(kind).alias("type")) for a, b, kind in sides])
+    return sold.select(F.explode(each).alias("e")).select("e.*").distinct()

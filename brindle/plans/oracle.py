@@ -229,6 +229,55 @@ each AS (
   FROM (SELECT DISTINCT query_id, n_true FROM picks) p LEFT JOIN r USING (query_id) LEFT JOIN truth t ON t.id = p.query_id AND t.nbr = r.id GROUP BY p.query_id)
 SELECT seed, 'vector' AS method, round(avg(rr), 9) AS mrr, round(avg(recall), 9) AS recall_5 FROM picks JOIN each USING (query_id) GROUP BY seed"""
 
+NEAR = f"""WITH d AS (SELECT doc_id AS id, text FROM documents), {simhash('d', 'content')},
+one AS (SELECT min(id) AS id, u0, u1, u2, u3 FROM content GROUP BY u0, u1, u2, u3),
+near AS (SELECT a, b, dist FROM (SELECT x.id AS a, y.id AS b, {hamming('x.', 'y.')} AS dist FROM one x JOIN one y ON x.id < y.id) WHERE dist <= 15)"""
+SENSED, DECAY = (64, 128, 256, 512, 1024), ((1,), (2, 1), (4, 2, 1), (8, 4, 2, 1))
+
+
+def sensed(widths=SENSED) -> str:
+    """CTEs sensed{bits} (id, u0, ...): signs of sixteen hashed places of each member of an adjacency row."""
+    out = """
+members AS (SELECT id, nbr FROM truth JOIN nodes USING (id) UNION SELECT id, id FROM nodes),
+words AS (SELECT id, ('0x' || substr(sha256('row:' || nbr), 4 * k + 1, 4))::UBIGINT AS w FROM members, range(16) t(k))"""
+    for b in widths:
+        limbs = ", ".join(f"coalesce(bit_or(1::UBIGINT << (place & 63)) FILTER (place >> 6 = {j}), 0) AS u{j}" for j in range(b // 64))
+        out += f""",
+places{b} AS (SELECT id, w & {b - 1} AS place FROM words GROUP BY ALL HAVING sum(CASE WHEN w < 32768 THEN 1 ELSE -1 END) > 0),
+sensed{b} AS (SELECT id, {limbs} FROM nodes LEFT JOIN places{b} USING (id) GROUP BY id)"""
+    return out
+
+
+def deep(weights: tuple[int, ...]) -> str:
+    """CTEs walk0, walk1, ... of all 256 counters, and deep{depth} (id, u0, ...): weighted votes of walks that don't turn back."""
+    every = range(256)
+    out = "walk0 AS (SELECT id, 1::BIGINT AS n, " + ", ".join(f"((u{k // 64} >> {k % 64}) & 1)::BIGINT AS p{k}" for k in every) + " FROM content)"
+    for d in range(1, 4):
+        back = "" if d == 1 else f" UNION ALL SELECT b.id, -(g.n - {int(d > 2)}) * b.n, " + ", ".join(f"-(g.n - {int(d > 2)}) * b.p{k}" for k in every) + f" FROM walk{d - 2} b JOIN walk1 g USING (id)"
+        names = ", ".join(f"p{k}" for k in every)
+        out += f""",
+walk{d} AS (SELECT id, sum(n)::BIGINT AS n, {", ".join(f"sum(p{k})::BIGINT AS p{k}" for k in every)} FROM (
+  SELECT e.id, n, {names} FROM ends e JOIN walk{d - 1} w ON w.id = e.nbr JOIN content c ON c.id = e.id{back}) GROUP BY id)"""
+    for d, some in enumerate(weights):
+        parts = " UNION ALL ".join(f"SELECT id, {w} * n AS n, " + ", ".join(f"{w} * p{k} AS p{k}" for k in every) + f" FROM walk{step}" for step, w in enumerate(some))
+        limbs = ", ".join(" + ".join(f"(2 * sum(p{64 * j + b}) >= sum(n))::INTEGER::UBIGINT * {1 << b}::UBIGINT" for b in range(64)) + f" AS u{j}" for j in range(4))
+        out += f", deep{d} AS (SELECT id, {limbs} FROM ({parts}) GROUP BY id)"
+    return out
+
+
+def sweep(parts: list[tuple[str, str]]) -> str:
+    """MRR and recall of each index of scores, with the columns that tell it apart."""
+    return " UNION ALL ".join(f"SELECT {what}, round(avg(rr), 9) AS mrr, round(avg(recall), 9) AS recall_5 FROM {name}" for name, what in parts)
+
+
+TRADE = """
+sold AS (SELECT 'customer:' || o_custkey AS c, 'part:' || l_partkey AS p, 'supplier:' || l_suppkey AS s FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+trade AS (SELECT c AS source, p AS target, 'buys' AS type FROM sold UNION SELECT c, s, 'orders_from' FROM sold UNION SELECT s, p, 'supplies' FROM sold),
+degrees AS (SELECT id, count(*) AS d FROM (SELECT source AS id FROM trade UNION ALL SELECT target FROM trade) GROUP BY id),
+triangles AS (
+  SELECT b.source AS c, b.target AS p, o.target AS s
+  FROM trade b JOIN trade o ON o.source = b.source AND o.type = 'orders_from' JOIN trade u ON u.source = o.target AND u.target = b.target AND u.type = 'supplies' WHERE b.type = 'buys')"""
+
 ORACLES: dict[str, str] = {
     "multiseed_encoder": f"{MULTISEED} SELECT * FROM seeds UNION ALL SELECT * FROM ({ENCODER})",
     "kg_nodes": f"WITH {NODES} SELECT id, type, text FROM nodes",
@@ -243,9 +292,10 @@ ORACLES: dict[str, str] = {
     "topology_address": f"WITH {ADDRESS} SELECT id, {SIGNED} FROM address",
     "address_widths": f"WITH {ADDRESS} " + " UNION ALL ".join(f"SELECT id, {b}::INTEGER AS bits, {width(b)} AS address FROM address" for b in BITS),
     "documents_simhash": f"WITH d AS (SELECT doc_id AS id, text FROM documents), {simhash('d', 'content')} SELECT id, {SIGNED} FROM content",
-    "documents_near": f"""WITH d AS (SELECT doc_id AS id, text FROM documents), {simhash('d', 'content')},
-one AS (SELECT min(id) AS id, u0, u1, u2, u3 FROM content GROUP BY u0, u1, u2, u3)
-SELECT a, b, dist FROM (SELECT x.id AS a, y.id AS b, {hamming('x.', 'y.')} AS dist FROM one x JOIN one y ON x.id < y.id) WHERE dist <= 15""",
+    "documents_near": f"{NEAR} SELECT * FROM near",
+    "documents_near_members": f"""{NEAR},
+links AS (SELECT id AS representative, count(*) AS links FROM (SELECT a AS id FROM near UNION ALL SELECT b FROM near) GROUP BY id)
+SELECT c.id, o.id AS representative, coalesce(links, 0) AS links FROM content c JOIN one o USING (u0, u1, u2, u3) LEFT JOIN links ON links.representative = o.id""",
     "hamming_topk_text": f"WITH {ADDRESS}, {of_text(TEXT, 'q')} SELECT a.id, {hamming('a.', 'q.')} AS dist FROM address a, q ORDER BY dist, a.id LIMIT 10",
     "hamming_topk_node": f"""WITH {ADDRESS} SELECT id, dist, coalesce(nullif(text, ''), '')[:60] AS name FROM (
 SELECT a.id, {hamming('a.', 'b.')} AS dist FROM address a, address b WHERE b.id = 'nation:3' AND a.id <> 'nation:3' ORDER BY dist, a.id LIMIT 10) JOIN (
@@ -253,9 +303,24 @@ SELECT 'region:' || r_regionkey AS id, r_name AS text FROM region UNION ALL SELE
 UNION ALL SELECT 'supplier:' || s_suppkey, s_name FROM supplier UNION ALL SELECT 'customer:' || c_custkey, c_name FROM customer
 UNION ALL SELECT 'part:' || p_partkey, p_name FROM part) USING (id)""",
     "hamming_topk_exclude": f"WITH {ADDRESS}, {of_text(TEXT, 'q')} SELECT a.id, {hamming('a.', 'q.')} AS dist FROM address a, q WHERE a.id NOT LIKE 'supplier:%' ORDER BY dist, a.id LIMIT 10",
-    "hamming_topk_batch": f"""WITH {ADDRESS} SELECT * FROM (
+    "hamming_topk_batch": (BATCH := f"""WITH {ADDRESS} SELECT * FROM (
 SELECT query_id, id, dist, (row_number() OVER (PARTITION BY query_id ORDER BY dist, id))::INTEGER AS rank FROM (
-SELECT b.id AS query_id, a.id, {hamming('a.', 'b.')} AS dist FROM address a JOIN address b ON a.id <> b.id WHERE split_part(b.id, ':', 2)::BIGINT % 20 = 0)) WHERE rank <= 10""",
+SELECT b.id AS query_id, a.id, {hamming('a.', 'b.')} AS dist FROM address a JOIN address b ON a.id <> b.id WHERE split_part(b.id, ':', 2)::BIGINT % 20 = 0)) WHERE rank <= 10"""),
+    "hamming_index_topk": BATCH,
+    "sensed_address": f"WITH {GRAPH}, {sensed((64, 128))} SELECT id, 64::INTEGER AS bits, {width(64)} AS address FROM sensed64 UNION ALL SELECT id, 128::INTEGER, {width(128)} FROM sensed128",
+    "sensed_sweep": f"WITH {ADDRESS}, {ELIGIBLE}, {samples(1, 50)}, {sensed()}, {scores('address', 'picks', 'topo')}"
+    + "".join(f", {scores(f'sensed{b}', 'picks', f's{b}', hamming('a.', 'b.', range(b // 64)))}" for b in SENSED)
+    + " " + sweep([("topo", "'topology' AS method, 256::INTEGER AS bits"), *[(f"s{b}", f"'sensed', {b}::INTEGER") for b in SENSED]]),
+    "depth_address": f"WITH {GRAPH}, {simhash('nodes', 'content')}, {deep(DECAY)} SELECT id, {SIGNED} FROM deep2",
+    "depth_sweep": f"WITH {GRAPH}, {simhash('nodes', 'content')}, {deep(DECAY)}, {ELIGIBLE}, {samples(1, 50)}"
+    + "".join(f", {scores(f'deep{d}', 'picks', f's{d}')}" for d in range(4))
+    + " " + sweep([(f"s{d}", f"{d}::INTEGER AS depth") for d in range(4)]),
+    "trade_clustering": f"""WITH {TRADE},
+corners AS (SELECT id, count(*) AS n FROM (SELECT c AS id FROM triangles UNION ALL SELECT p FROM triangles UNION ALL SELECT s FROM triangles) GROUP BY id)
+SELECT id, d AS degree, coalesce(n, 0) AS triangles, round(CASE WHEN d > 1 THEN 2.0 * coalesce(n, 0) / (d * (d - 1)) ELSE 0 END, 9) AS clustering FROM degrees LEFT JOIN corners USING (id)""",
+    "trade_census": f"""WITH {TRADE}, t AS (SELECT count(*) AS n FROM triangles), g AS (SELECT count(*) AS nodes, sum(d) // 2 AS edges, sum(d * (d - 1)) // 2 AS wedges, sum(d * (d - 1) * (d - 2)) // 6 AS stars FROM degrees)
+SELECT 'nodes' AS motif, nodes::BIGINT AS n FROM g UNION ALL SELECT 'edges', edges::BIGINT FROM g UNION ALL SELECT 'wedges', wedges::BIGINT FROM g UNION ALL SELECT 'stars', stars::BIGINT FROM g
+UNION ALL SELECT 'triangles', n FROM t UNION ALL SELECT 'open wedges', (wedges - 3 * n)::BIGINT FROM g, t UNION ALL SELECT 'buys+orders_from+supplies', n FROM t WHERE n > 0""",
     "compose_xor_topk": f"""WITH {ADDRESS}, {of_text(TEXT, 'q')}, {of_text(OTHER, 'r')}, b AS (SELECT {", ".join(f"xor(q.u{j}, r.u{j}) AS u{j}" for j in range(4))} FROM q, r)
 SELECT a.id, {hamming('a.', 'b.')} AS dist FROM address a, b ORDER BY dist, a.id LIMIT 10""",
     "bind_unbind_errors": f"""WITH {CONTENT}, k AS (SELECT *, {", ".join(f"{digest(chr(39) + 'key' + chr(39) + ' || id', j)} AS k{j}" for j in range(4))} FROM content),

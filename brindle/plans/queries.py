@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bits, text, vectors
-from ..operators import evaluate, graph, retrieval, sanitize, signatures, walk
-from ..storage import written
-from .kg import kg_edges, kg_nodes, node_records, table
+from ..operators import depth, evaluate, graph, hamming_index, motifs, retrieval, sanitize, sensing, signatures, walk
+from ..storage import scratch_path, written
+from .kg import kg_edges, kg_nodes, node_records, table, trade_edges
 
 BITS = (128, 256, 512, 1024)
+#: Widths of the sensed addresses, and weights of the own address and of each depth: they halve with every edge.
+SENSED, DECAY = (64, 128, 256, 512, 1024), ((1,), (2, 1), (4, 2, 1), (8, 4, 2, 1))
 SEEDS = tuple(range(10))
 #: Texts that the fixed queries ask for.
 TEXT, OTHER = "BRAZIL supplier", "AUTOMOBILE part"
@@ -69,15 +71,20 @@ def documents_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signatures.simhash_arrow(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def banded(spark: SparkSession, addresses: DataFrame) -> hamming_index.HammingIndex:
+    """A stored index of the addresses' bands of 16 bits."""
+    return hamming_index.build(addresses, scratch_path(spark, "bands"))
+
+
 def documents_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of different document addresses within 15 bits."""
-    return retrieval.radius_join(written(documents_simhash(spark, sf_dir), "addresses"), 15)
+    return hamming_index.pairs_within(banded(spark, documents_simhash(spark, sf_dir)), 15)
 
 
 def documents_near_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its address's representative, of which `documents_near` has the pairs, and their number."""
-    stored = written(documents_simhash(spark, sf_dir), "addresses")
-    return retrieval.linked_members(stored, retrieval.radius_join(stored, 15))
+    stored = banded(spark, documents_simhash(spark, sf_dir))
+    return hamming_index.linked_members(stored, hamming_index.pairs_within(stored, 15))
 
 
 def hamming_topk_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,6 +108,55 @@ def hamming_topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.top_k_batch(stored, asked, 10)
 
 
+def hamming_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`hamming_topk_batch` by the index of bands: the same rows."""
+    stored = index(spark, sf_dir)
+    asked = stored.where("cast(split_part(id, ':', 2) as bigint) % 20 = 0").withColumnRenamed("id", "query_id")
+    return hamming_index.search(banded(spark, stored), asked, 10).rows
+
+
+def sensed_address(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses of two widths by compressed sensing of the adjacency rows, as hex."""
+    found = sensing.sensed(kg_nodes(spark, sf_dir), graph.true_neighbors(kg_edges(spark, sf_dir)), SENSED[:2])
+    return reduce(DataFrame.unionByName, [a.select("id", F.lit(b).alias("bits"), bits.to_hex(bits.limbs_of(bits=b)).alias("address")) for b, a in found.items()])
+
+
+def sensed_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MRR and recall of one seed by the sensed address's width, beside the topology address."""
+    truth, chosen = written(graph.true_neighbors(kg_edges(spark, sf_dir)), "truth"), written(samples(spark, sf_dir, (0,)), "samples")
+    found = [("sensed", b, written(a, "sensed")) for b, a in sensing.sensed(kg_nodes(spark, sf_dir), truth, SENSED).items()]
+    parts = []
+    for method, b, addressed in [*found, ("topology", 256, index(spark, sf_dir))]:
+        means = evaluate.seed_means(evaluate.query_scores(addressed, chosen, truth), chosen, method)
+        parts.append(means.select("method", F.lit(b).alias("bits"), F.round("mrr", 9).alias("mrr"), F.round("recall_5", 9).alias("recall_5")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def depth_address(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses by votes of two edges' depth, each edge halving the weight."""
+    return depth.depth_addresses(written(content(spark, sf_dir), "content"), graph.undirected(kg_edges(spark, sf_dir)), DECAY[2:3])[0]
+
+
+def depth_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MRR and recall of one seed by the votes' depth."""
+    truth, chosen = written(graph.true_neighbors(kg_edges(spark, sf_dir)), "truth"), written(samples(spark, sf_dir, (0,)), "samples")
+    found = depth.depth_addresses(written(content(spark, sf_dir), "content"), graph.undirected(kg_edges(spark, sf_dir)), DECAY)
+    parts = []
+    for k, addressed in enumerate(found):
+        means = evaluate.seed_means(evaluate.query_scores(written(addressed, "depth"), chosen, truth), chosen, "depth")
+        parts.append(means.select(F.lit(k).alias("depth"), F.round("mrr", 9).alias("mrr"), F.round("recall_5", 9).alias("recall_5")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def trade_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Triangles and clustering of customers, parts and suppliers that trade with each other."""
+    return motifs.clustering(written(trade_edges(spark, sf_dir), "trade")).withColumn("clustering", F.round("clustering", 9))
+
+
+def trade_census(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return motifs.census(written(trade_edges(spark, sf_dir), "trade"))
+
+
 def compose_xor_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.composed_query(addresses(spark, sf_dir), TEXT, OTHER, 10)
 
@@ -295,6 +351,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "hamming_topk_node": hamming_topk_node,
     "hamming_topk_exclude": hamming_topk_exclude,
     "hamming_topk_batch": hamming_topk_batch,
+    "hamming_index_topk": hamming_index_topk,
+    "sensed_address": sensed_address,
+    "sensed_sweep": sensed_sweep,
+    "depth_address": depth_address,
+    "depth_sweep": depth_sweep,
+    "trade_clustering": trade_clustering,
+    "trade_census": trade_census,
     "compose_xor_topk": compose_xor_topk,
     "bind_unbind_errors": bind_unbind_errors,
     "cosine_topk": cosine_topk,

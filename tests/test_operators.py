@@ -93,24 +93,6 @@ def test_cosine(spark, monkeypatch):
     assert {(x["query_id"], x["id"], x["rank"]) for x in retrieval.cosine_top_k(df, asked, 4).collect()} == want
 
 
-def test_radius_join(spark):
-    r, rows = random.Random(5), []
-    for k in range(60):
-        base = [r.getrandbits(64) - (1 << 63) for _ in range(4)]
-        rows.append((2 * k, *base))
-        for _ in range(r.randint(0, 30)):
-            j, b = r.randrange(4), r.randrange(64)
-            base[j] = bits.signed((base[j] ^ 1 << b) & (1 << 64) - 1)
-        rows.append((2 * k + 1, *base))
-    index = spark.createDataFrame(rows, "id long, l0 long, l1 long, l2 long, l3 long")
-    dist = lambda x, y: sum(((a ^ b) & (1 << 64) - 1).bit_count() for a, b in zip(x[1:], y[1:], strict=True))
-    one = list({x[1:]: x for x in reversed(rows)}.values())
-    want = {(x[0], y[0], dist(x, y)) for x in one for y in one if x[0] < y[0] and dist(x, y) <= 15}
-    assert {tuple(x) for x in retrieval.radius_join(index, 15).collect()} == want
-    with pytest.raises(ValueError):
-        retrieval.radius_join(index, 16)
-
-
 def test_members_of_near_documents(spark, tmp_path):
     """Every document is told, copies with and without other neighbours too."""
     r = random.Random(3)
