@@ -63,9 +63,76 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(root, doc_id) AS c
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN root ON node = doc_id
 """
 
+OP11 = "WITH v AS (" + """
+  SELECT row_number() OVER () AS i, vec_id, list_transform(embedding, lambda x: floor(256.0 * x::DOUBLE)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS (SELECT (row_number() OVER (ORDER BY h, q) - 1)::INTEGER AS k, q FROM (SELECT sha256('2:' || vec_id) AS h, q FROM v WHERE vec_id IS NOT NULL ORDER BY h, q LIMIT 40))"""
+for _r in range(6):
+    OP11 += f""",
+a{_r} AS MATERIALIZED (
+  SELECT i, vec_id, v.q, k, (list_inner_product(v.q, v.q) - 2 * list_inner_product(v.q, c.q) + list_inner_product(c.q, c.q))::BIGINT AS d
+  FROM v, c{_r} c QUALIFY row_number() OVER (PARTITION BY i ORDER BY d, k) = 1),
+m{_r} AS (SELECT k, p, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT k, unnest(range(1, 65)) AS p, unnest(q)::BIGINT AS x FROM a{_r}) GROUP BY k, p),
+c{_r + 1} AS MATERIALIZED (
+  SELECT c.k, coalesce(n.q, c.q) AS q FROM c{_r} c
+  LEFT JOIN (SELECT k, list(((s - ((s % n) + n) % n) // n)::DOUBLE ORDER BY p) AS q FROM m{_r} GROUP BY k) n USING (k))"""
+OP11 += """
+SELECT vec_id, a5.k AS cluster, d AS distance, (sum(d) OVER (PARTITION BY a5.k))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+       sha256(array_to_string(list_transform(c5.q, lambda x: x::BIGINT), ',')) AS centroid_sha256
+FROM a5 JOIN c5 USING (k)
+"""
+
+_CRC = """xor(4294967295, list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda x: unicode(x)::BIGINT), lambda c, b:
+  list_reduce([0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: xor(y >> 1, CASE WHEN y % 2 = 1 THEN 3988292384 ELSE 0 END), xor(c, b)), 4294967295))"""
+_FIELD = "coalesce(octet_length(encode({x}::VARCHAR)) || ':' || {x}::VARCHAR, '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return "sha256(" + " || ".join(_FIELD.format(x=x) for x in ("doc_id", "source", "lang", n_chars, "text")) + ")"
+
+
+def _climb(name: str, key: str) -> str:
+    """The levels above a CTE's rows (idx, n, d), which are each other's siblings in pairs."""
+    return f"""
+{name} AS (
+  SELECT {key} 0 AS level, idx, n, d FROM {name}_0
+  UNION ALL SELECT {key} any_value(level) + 1, idx // 2, any_value((n + 1) // 2), sha256(string_agg(d, '' ORDER BY idx)) FROM {name} WHERE n > 1 GROUP BY {key} idx // 2)"""
+
+
+OP13 = f"""
+WITH RECURSIVE base AS (
+  SELECT row_number() OVER () AS i, doc_id, lang, {_leaf('n_chars')} AS leaf,
+         CASE WHEN {_CRC} % 7 = 0 THEN {_leaf('(n_chars + 1)')} ELSE {_leaf('n_chars')} END AS held
+  FROM documents),
+placed AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, i) - 1 AS idx, count(*) OVER (PARTITION BY lang) AS n,
+         dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree
+  FROM base),
+nodes_0 AS (SELECT tree, idx, n, leaf AS d FROM placed), {_climb('nodes', 'tree,')},
+tops_0 AS (SELECT tree AS idx, count(*) OVER () AS n, d FROM nodes WHERE n = 1), {_climb('tops', '')},
+steps AS (
+  SELECT i, row_number() OVER (PARTITION BY i ORDER BY upper, level) AS s, place, coalesce(d, '') AS d FROM (
+    SELECT i, 0 AS upper, l.level, (p.idx >> l.level) & 1 AS place, s.d
+    FROM placed p JOIN (SELECT DISTINCT tree, level FROM nodes WHERE n > 1) l USING (tree)
+    LEFT JOIN nodes s ON s.tree = p.tree AND s.level = l.level AND s.idx = xor(p.idx >> l.level, 1)
+    UNION ALL
+    SELECT i, 1, l.level, (p.tree >> l.level) & 1, s.d
+    FROM placed p, (SELECT DISTINCT level FROM tops WHERE n > 1) l
+    LEFT JOIN tops s ON s.level = l.level AND s.idx = xor(p.tree >> l.level, 1))),
+fold AS (
+  SELECT i, 0 AS s, held AS x FROM placed
+  UNION ALL SELECT f.i, f.s + 1, sha256(CASE place WHEN 1 THEN d || x ELSE x || d END) FROM fold f JOIN steps t ON t.i = f.i AND t.s = f.s + 1),
+folded AS (SELECT i, arg_max(x, s) AS folded_root FROM fold GROUP BY i),
+proofs AS (SELECT i, string_agg(d, '' ORDER BY s) AS p FROM steps GROUP BY i)
+SELECT doc_id, leaf, r.d AS subroot, t.d AS root, sha256(coalesce(p, '')) AS proof_sha256, folded_root, folded_root = t.d AS verified
+FROM placed JOIN folded USING (i) LEFT JOIN proofs USING (i) JOIN nodes r ON r.tree = placed.tree AND r.n = 1 JOIN tops t ON t.n = 1
+"""
+
 ORACLES: dict[str, str] = {
     "op1_topk": OP1,
     "op2_minhash": OP2,
     "op3_warc": OP3,
     "op10_decontamination": OP10,
+    "op11_centroids": OP11,
+    "op13_manifest": OP13,
 }
