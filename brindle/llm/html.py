@@ -37,15 +37,15 @@ IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript
 #: Kinds of elements, and words in class, id and role, that are features.
 TAGS = ("article main", "nav menu", "header", "footer", "aside", "form fieldset legend", "p pre blockquote", "h1 h2 h3 h4 h5 h6", "ul ol dl", "li dt dd", "table tbody tr td th", "section", "div", "figure figcaption", "#text", "#inline")
 WORDS = (
-    "article content entry main post story text body",
-    "nav navbar navigation menu breadcrumb breadcrumbs links toc pagination pager tabs",
-    "header masthead banner top logo branding topbar",
-    "footer foot bottom copyright legal colophon contentinfo",
-    "sidebar aside side widget rail related recommended complementary popular trending",
-    "ad ads advert advertisement adsense promo promoted sponsor sponsored sponsors promotion dfp",
-    "comment comments discussion reply replies respond disqus feedback reader",
-    "cookie cookies consent notice notification alert gdpr banner popup modal overlay warning disclaimer",
-    "share social sharing follow tags meta author byline date author-bio newsletter subscribe signup login search form",
+    "article content entry main post story text body artikel inhalt beitrag contenu contenido articulo",
+    "nav navbar navigation menu breadcrumb breadcrumbs links toc pagination pager tabs navi menue navegacion brotkrumen",
+    "header masthead banner top logo branding topbar hdr head kopfzeile kopf entete encabezado cabecera",
+    "footer foot bottom copyright legal colophon contentinfo ftr fusszeile fuss impressum pie pied piedepagina",
+    "sidebar aside side widget rail related recommended complementary popular trending seitenleiste randspalte sdb barra lateral",
+    "ad ads advert advertisement adsense promo promoted sponsor sponsored sponsors promotion dfp werbung anzeige anzeigen reklame publicite publicidad anuncio",
+    "comment comments discussion reply replies respond disqus feedback reader cmt cmts cmnt kommentar kommentare commentaire commentaires comentario comentarios",
+    "cookie cookies consent notice notification alert gdpr banner popup modal overlay warning disclaimer hinweis hinweise avis aviso",
+    "share social sharing follow tags meta author byline date author-bio newsletter subscribe signup login search form teilen partager compartir suche recherche buscar",
 )
 TAG_OF = {t: k for k, ts in enumerate(TAGS) for t in ts.split()}
 WORD_OF = {w: k for k, ws in enumerate(WORDS) for w in ws.split()}
@@ -73,11 +73,17 @@ PART = re.compile(r"[a-z]+", re.I)
 SPACE = re.compile(r"[\s]+")
 
 
-@lru_cache(maxsize=65536)
 def word_kinds(word: str) -> tuple[int, ...]:
-    """Kinds of an attribute's word: its own, or else those of the words inside it."""
+    """Kinds of an attribute's word: its own, or else those of the words inside it, however long it is."""
     word = word.lower()
-    return (WORD_OF[word],) if word in WORD_OF else tuple({k for w, k in INSIDE.items() if w in word}) if 6 < len(word) < 40 else ()
+    return _short_kinds(word) if len(word) < 64 else _kinds(word)
+
+
+def _kinds(word: str) -> tuple[int, ...]:
+    return (WORD_OF[word],) if word in WORD_OF else tuple({k for w, k in INSIDE.items() if w in word})
+
+
+_short_kinds = lru_cache(maxsize=65536)(_kinds)
 
 
 class Node:
@@ -101,7 +107,8 @@ def told(attributes: str) -> tuple[frozenset, bool]:
         if key in ("class", "id", "role"):
             found.update(k for x in PART.findall(value) for k in word_kinds(x))
         else:
-            hidden |= key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", "").lower()
+            value = SPACE.sub("", value).lower()
+            hidden |= key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and ("display:none" in value or "visibility:hidden" in value)
     return frozenset(found), hidden
 
 
@@ -110,7 +117,8 @@ def parse(page: str | None) -> Node:
     root = node = Node("body", None)
     open_count: dict[str, int] = {}
     run: list[tuple[str, frozenset | None]] = []
-    lines: list[tuple[str, int, frozenset, bool]] = []  # open elements of a line with attributes: name, depth, words, hidden
+    lines: list[list] = []  # elements of a line with attributes: name, depth, words, hidden, whether it is open
+    line_open: dict[str, list[list]] = {}  # of each name, those of them that may be open, innermost last
     unseen = depth = 0
     in_link = linked = tags = 0
     at, text = 0, page or ""
@@ -141,14 +149,18 @@ def parse(page: str | None) -> Node:
     def leave(name: str | None = None) -> None:
         """End the innermost open element of a line with that name, or all that the block's end ends."""
         nonlocal unseen
-        if name is None:
-            while lines and lines[-1][1] > depth:
-                unseen -= lines.pop()[3]
-            return
-        for k in range(len(lines) - 1, -1, -1):
-            if lines[k][0] == name:
-                unseen -= lines.pop(k)[3]
-                break
+        if name is not None:
+            same = line_open.get(name)
+            while same and not same[-1][4]:
+                same.pop()  # ended with a block
+            if same:
+                ended = same.pop()
+                unseen -= ended[3]
+                ended[4] = False
+        while lines and (not lines[-1][4] or name is None and lines[-1][1] > depth):
+            ended = lines.pop()  # one that is ended inside another stays until the inner one ends
+            unseen -= ended[3] and ended[4]
+            ended[4] = False
 
     def close(name: str) -> None:
         nonlocal node, in_link, depth
@@ -193,7 +205,8 @@ def parse(page: str | None) -> Node:
             elif name not in VOID and m["attributes"].strip():
                 words, hidden = told(m["attributes"])
                 # what an element inside doesn't tell, the one around it does
-                lines.append((name, depth, words or (lines[-1][2] if lines else frozenset()), hidden))
+                lines.append([name, depth, words or (lines[-1][2] if lines else frozenset()), hidden, True])
+                line_open.setdefault(name, []).append(lines[-1])
                 unseen += hidden
             continue
         if name in ("br", "wbr"):
@@ -367,6 +380,36 @@ def decode(margin: list[float], parents: list[int]) -> list[bool]:
     return out
 
 
+#: A margin that no other outweighs.
+SURE = 1e6
+#: Parts of a page that their tag sets apart, and elements that hold an article.
+APART, ARTICLE = frozenset("nav menu footer aside".split()), frozenset("article main".split())
+
+
+def set_apart(order: list[Node], parents: list[int]) -> list[bool]:
+    """Nodes that a tag sets apart from the main text, however short either is.
+
+    Menus, footers and asides are; where they hold the only article or main element, the trees decide. Beside one that
+    lies in none of them, so is a header that neither holds it nor lies in it.
+    """
+    n = len(order)
+    apart, inside, holds = [False] * n, [False] * n, [False] * n
+    for k, p in enumerate(parents):
+        apart[k] = order[k].tag in APART or p >= 0 and apart[p]
+        inside[k] = order[k].tag in ARTICLE or p >= 0 and inside[p]
+    alone = not any(node.tag in ARTICLE and not a for node, a in zip(order, apart, strict=True))
+    for k in range(n - 1, -1, -1):
+        holds[k] = holds[k] or order[k].tag in ARTICLE and (alone or not apart[k])
+        if holds[k] and parents[k] >= 0:
+            holds[parents[k]] = True
+    out = [False] * n
+    for k, p in enumerate(parents):
+        tag = order[k].tag
+        mine = tag in APART and not holds[k] or tag == "header" and not alone and not inside[k] and not holds[k]
+        out[k] = mine or p >= 0 and out[p]
+    return out
+
+
 def chosen_text(order: list[Node], kept: list[bool]) -> str:
     """The kept leaves' texts in page order, joined by one space."""
     out, gone = [], {id(n) for n, k in zip(order, kept, strict=True) if not k and n.tag == "#inline"}
@@ -435,7 +478,9 @@ class _Writer:
                 out.append(f"<h{r.randint(2, 4)}>{self.mark(self.words(1, 8))}</h2>")
             elif kind < 0.78:
                 out.append("<ul>" + "".join(f"<li>{self.mark(self.words(1, 14))}</li>" for _ in range(r.randint(1, 6))) + "</ul>")
-            elif kind < 0.82:
+            elif kind < 0.80:
+                out.append(f"<p>{self.mark(self.words(1, 6))}</p><ul>" + "".join(f"<li><a href='/s{k}'>{self.mark(self.words(1, 9))}</a></li>" for k in range(r.randint(1, 6))) + "</ul>")
+            elif kind < 0.83:
                 out.append(f"<blockquote>{self.mark(self.words(5, 40))}</blockquote>")
             elif kind < 0.86:
                 out.append("<table>" + "".join(f"<tr><td>{self.mark(self.words(1, 3))}</td><td>{self.mark(self.words(1, 6))}</td></tr>" for _ in range(r.randint(1, 4))) + "</table>")
@@ -528,7 +573,8 @@ def texts(pages: list[str | None], model: Boosted) -> list[str]:
     margin = model.margin(np.concatenate([m[0] for m in made])) if made else np.zeros(0)
     out, at = [], 0
     for order, (x, parents) in zip(trees, made, strict=True):
-        out.append(chosen_text(order, decode(margin[at : at + len(x)].tolist(), parents)))
+        likely = np.where(set_apart(order, parents), -SURE, margin[at : at + len(x)])
+        out.append(chosen_text(order, decode(likely.tolist(), parents)))
         at += len(x)
     return out
 

@@ -44,8 +44,8 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     model = toxicity.learn(documents, table(spark, sf_dir, "labels"))
-    found = toxicity.score(documents, model, threshold=0.7, evidence=False)
-    return found.select("doc_id", toxicity.is_held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+    found = toxicity.score(documents, model, threshold=0.7)
+    return found.select("doc_id", toxicity.is_held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "evidence")
 
 
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

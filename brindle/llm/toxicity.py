@@ -1,14 +1,16 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-A vector has a component for every word of a text, whether any example holds it or not, and one for each chosen
-beginning of words; its weight is (1 + log count) * (1 + log((1 + N) / (1 + examples that hold it))). All components
-make its length. Inner products go over the chosen terms, words and beginnings that are associated with the labels;
-with `Bounds.terms` None they go over all words, which is the plain TF-IDF cosine. The index holds the examples' postings in
-blocks: for each term and each block that has it, the examples' weights and their maximum. A document's terms
-give each block an upper bound; blocks are scored from the greatest bound down until no bound exceeds the k-th
-best cosine, so the neighbours are those of a full comparison. The votes of the neighbours, weighted by closeness, are
-calibrated by isotonic regression on labelled rows, each scored by a model that was fitted without its share of
-the rows; between the regression's steps the score is interpolated.
+A vector has a component for every word of a text, whether any example holds it or not; its weight is
+(1 + log count) * (1 + log((1 + N) / (1 + examples that hold it))). The index has postings of every word of every
+example, in blocks of examples, and for each word and block that has it the greatest weight. A document's words give
+each block an upper bound of the cosine; blocks are scored from the greatest bound down until no bound exceeds the k-th
+best cosine, so the neighbours are those of a full comparison, and a fitted text is its own nearest with 1.
+
+The neighbours vote for their labels. How near a neighbour's vote is follows from the words, and beginnings of words,
+that are associated with the labels: the cosine over those alone, as shares of the whole vectors' lengths. The nearest
+of the neighbours in this sense vote, weighted by it; neighbours that share nothing of the kind say nothing. The share
+of the votes is calibrated by isotonic regression on labelled rows, each scored by a model that was fitted without its
+share of the rows; between the regression's steps the score is interpolated.
 """
 
 from __future__ import annotations
@@ -40,11 +42,12 @@ class Bounds:
     clean: int = 3000  # of label 0
     folds: int = 4  # shares of the rows, for the calibration
     text_bytes: int = 65536  # longer labelled texts are not fitted on; all texts are scored
-    terms: int | None = 1500  # None: inner products over all words, without a choice
+    terms: int = 1500  # that weigh votes; the cosine that finds the neighbours is over all words
     association: float = 16.0  # chi-square with the label that a term has at least
     lift: float = 3.0  # times as frequent under one label as under the other, at least
     least: int = 4  # examples that hold a term at least
-    neighbours: int = 15
+    neighbours: int = 100  # nearest examples by the cosine over all words
+    voters: int = 15  # of them, the nearest by the associated terms
     doubt: float = 0.05  # votes that stand for no evidence, as a share of what examples of label 1 have
 
 
@@ -57,11 +60,73 @@ def terms_of(word: bytes) -> list[bytes]:
     return [word, *(word[:n] + b"*" for n in STARTS if len(word) >= n)]
 
 
+def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All places of the spans, one span after the other."""
+    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
+
+
+class Index:
+    """Postings of all words of the examples, sorted by word and example; a pair is a word's postings in a block."""
+
+    def __init__(self, number: dict[bytes, int], rows: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray):
+        """`rows` has each example's words, as the dictionary numbers them, and their weights as shares of its vector's length."""
+        word = np.concatenate([w for w, _ in rows]) if rows else np.zeros(0, np.int64)
+        weight = np.concatenate([x for _, x in rows]) if rows else np.zeros(0)
+        example = np.repeat(np.arange(len(rows)), [len(w) for w, _ in rows])
+        order = np.lexsort((example, word))
+        word, self.weight, self.example = word[order], weight[order], example[order]
+        self.number, self.idf, self.examples, self.blocks = number, idf, len(rows), -(-len(rows) // BLOCK)
+        pair = word * max(1, self.blocks) + self.example // BLOCK
+        first = np.flatnonzero(np.diff(pair, prepend=-1))
+        self.begin = np.append(first, len(pair))  # of each pair's postings
+        self.block = self.example[first] // BLOCK
+        self.most = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
+        self.pairs = np.searchsorted(word[first], np.arange(len(idf) + 1))  # of each word
+
+    def nearest(self, counts: Counter, unknown: float, k: int) -> list[tuple[float, int]]:
+        """(cosine, example) of the k nearest, nearest first, equal ones by their number; those that share no word are none.
+
+        `unknown` is the weight of a word that no example holds, which counts for the length.
+        """
+        if not counts or not self.examples:
+            return []
+        words = np.fromiter(map(self.number.get, counts, repeat(-1)), np.int64, len(counts))
+        known = words >= 0
+        weights = (1 + np.log(np.fromiter(counts.values(), np.float64, len(counts)))) * np.where(known, self.idf[words], unknown)
+        weights, words = (weights / np.sqrt(weights @ weights))[known], words[known]
+        sizes = self.pairs[words + 1] - self.pairs[words]
+        pairs, by = _spans(self.pairs[words], sizes), np.repeat(weights, sizes)
+        bound = np.bincount(self.block[pairs], by * self.most[pairs], self.blocks)
+        order = np.argsort(-bound, kind="stable")
+        some = -(-k // BLOCK) + 2  # blocks that hold over k examples; then all that may still hold a nearer one
+        cosine = self._scored(pairs, by, order[:some])
+        if len(cosine) > k:
+            bar = np.partition(cosine, len(cosine) - k)[len(cosine) - k] - 1e-9
+            rest = order[some:][bound[order[some:]] > max(bar, 0)]
+            cosine = cosine if not len(rest) else cosine + self._scored(pairs, by, rest)
+            bar = np.partition(cosine, len(cosine) - k)[len(cosine) - k] - 1e-9
+        else:
+            cosine, bar = cosine + self._scored(pairs, by, order[some:]), 0.0
+        near = np.flatnonzero((cosine >= bar) & (cosine > 1e-12))
+        near = near[np.lexsort((near, -np.round(cosine[near], 9)))][:k]
+        return list(zip(cosine[near].tolist(), near.tolist(), strict=True))
+
+    def _scored(self, pairs: np.ndarray, by: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        chosen = np.zeros(self.blocks, bool)
+        chosen[blocks] = True
+        at = chosen[self.block[pairs]]
+        pairs = pairs[at]
+        sizes = self.begin[pairs + 1] - self.begin[pairs]
+        places = _spans(self.begin[pairs], sizes)
+        return np.bincount(self.example[places], np.repeat(by[at], sizes) * self.weight[places], self.examples)
+
+
 @dataclass
 class Model:
-    """Terms, index and calibration; small enough to be sent to every executor."""
+    """Index, the terms that weigh votes, and the calibration; small enough to be sent to every executor."""
 
     bounds: Bounds
+    index: Index | None = None
     terms: dict[bytes, int] = field(default_factory=dict)
     idf: np.ndarray | None = None  # of each term
     held: dict[bytes, int] = field(default_factory=dict)  # examples that hold each word
@@ -70,14 +135,13 @@ class Model:
     labels: np.ndarray | None = None
     tile: np.ndarray | None = None  # (term, block) -> its tile, 0 for none
     tiles: np.ndarray | None = None  # weights of a term in a block's examples
-    most: np.ndarray | None = None  # (term, block) -> greatest weight
     unit: float = 1.0  # votes that an example of label 1 has
     steps: tuple[list[float], list[float]] = ((), ())
     starts: frozenset = frozenset()  # first bytes of the terms: most words have none of them
     words: int = 0  # terms from here on are beginnings; those before are words, which the length holds already
 
     def vector(self, counts: Counter, memory: dict) -> tuple[np.ndarray, np.ndarray]:
-        """Terms of a document and their weights, as shares of the whole vector's length."""
+        """Associated terms of a document and their weights, as shares of the whole vector's length."""
         found: dict[int, int] = {}
         starts = self.starts
         for word, n in counts.items():
@@ -98,32 +162,28 @@ class Model:
         beginnings = weights[terms >= self.words]
         return terms, weights / np.sqrt(whole @ whole + beginnings @ beginnings)
 
-    def neighbours(self, terms: np.ndarray, weights: np.ndarray) -> list[tuple[float, int]]:
-        """(cosine, example) of the nearest examples, nearest first; those that share no term are none."""
-        if not len(terms) or not len(self.ids):
+    def neighbours(self, counts: Counter) -> list[tuple[float, int]]:
+        """(cosine, example) of the nearest examples by the cosine over all words."""
+        return self.index.nearest(counts, float(self.rarity[0]), self.bounds.neighbours) if self.index else []
+
+    def voters(self, near: list[tuple[float, int]], counts: Counter, memory: dict) -> list[tuple[float, float, int]]:
+        """(vote, cosine, example) of the neighbours that vote, the heaviest first."""
+        terms, weights = self.vector(counts, memory) if near else ((), ())
+        if not len(terms):
             return []
-        bound = weights @ self.most[terms]
-        k, bar = self.bounds.neighbours, 0.0
-        best: list[tuple[float, int]] = []
-        order = np.argsort(-bound, kind="stable")
-        for at in range(0, len(order), 4):  # four blocks at a time
-            some = order[at : at + 4]
-            if bound[some[0]] <= 0 or len(best) == k and bound[some[0]] + 1e-9 < bar:
-                break
-            cosine = np.einsum("t,tbe->be", weights, self.tiles[self.tile[terms[:, None], some]])
-            example = some[:, None] * BLOCK + np.arange(BLOCK)
-            hit = np.flatnonzero(cosine.ravel() > max(bar - 1e-9, 0))
-            best = sorted(best + list(zip(cosine.ravel()[hit].tolist(), example.ravel()[hit].tolist(), strict=True)), key=lambda x: (-round(x[0], 9), x[1]))[:k]
-            bar = best[-1][0] if len(best) == k else 0.0
-        return best
-
-    def raw(self, near: list[tuple[float, int]]) -> float:
-        """Share of the votes for label 1, each weighted by its cosine; few or far neighbours say little."""
-        return self.share(*self.raw_parts(near))
-
-    def raw_parts(self, near: list[tuple[float, int]]) -> tuple[float, float]:
+        examples = np.array([e for _, e in near])
+        votes = weights @ self.tiles[self.tile[terms[:, None], examples[None, :] // BLOCK], examples[None, :] % BLOCK]
+        heard = np.flatnonzero(votes > 1e-12)
+        heard = heard[np.lexsort((heard, -np.round(votes[heard], 9)))][: self.bounds.voters]
+        return [(float(votes[k]), *near[k]) for k in heard.tolist()]
+
+    def raw(self, votes: list[tuple[float, float, int]]) -> float:
+        """Share of the votes for label 1, each by its weight; few or light votes say little."""
+        return self.share(*self.raw_parts(votes))
+
+    def raw_parts(self, votes: list[tuple[float, float, int]]) -> tuple[float, float]:
         """Votes for label 1, and all votes."""
-        return float(sum(c * self.labels[e] for c, e in near)), float(sum(c for c, _ in near))
+        return float(sum(v * self.labels[e] for v, _, e in votes)), float(sum(v for v, _, _ in votes))
 
     def share(self, toxic: float, both: float) -> float:
         return toxic / (both + self.bounds.doubt * self.unit)
@@ -178,7 +238,9 @@ def fit(rows: list[tuple], bounds: Bounds = Bounds(), weights: tuple[float, floa
         mine = every[fold :: bounds.folds]
         part = build(counted, np.setdiff1d(every, mine), whole - counted.held(mine), bounds)
         memory: dict = {}
-        found += [(part.raw_parts(part.neighbours(*part.vector(term_counts(rows[k][1]), memory))), int(rows[k][2])) for k in mine.tolist()]
+        for k in mine.tolist():
+            counts = term_counts(rows[k][1])
+            found.append((part.raw_parts(part.voters(part.neighbours(counts), counts, memory)), int(rows[k][2])))
     model = build(counted, every, whole, bounds)
     votes = [both for (_, both), y in found if y and both > 0]
     model.unit = float(np.median(votes)) if votes else 1.0
@@ -187,7 +249,7 @@ def fit(rows: list[tuple], bounds: Bounds = Bounds(), weights: tuple[float, floa
 
 
 def build(counted: _Counted, rows: np.ndarray, held: np.ndarray, bounds: Bounds) -> Model:
-    """Terms, weights and index of some of the rows, not calibrated; `held` has the rows of each label with each term."""
+    """Index, terms and weights of some of the rows, not calibrated; `held` has the rows of each label with each term."""
     model = Model(bounds)
     n = np.bincount(counted.labels[rows], minlength=2).astype(np.float64)
     total = len(rows)
@@ -196,12 +258,9 @@ def build(counted: _Counted, rows: np.ndarray, held: np.ndarray, bounds: Bounds)
     association = np.where(rest > 0, total * (a * n[0] - b * n[1]) ** 2 / np.where(rest > 0, rest, 1), 0.0)  # chi-square
     share_a, share_b = (a + 0.5) / (n[1] + 1), (b + 0.5) / (n[0] + 1)
     lift = np.maximum(share_a / share_b, share_b / share_a)
-    if bounds.terms is None:
-        chosen = np.flatnonzero(a[: counted.n_words] + b[: counted.n_words] > 0)
-    else:
-        good = np.flatnonzero((a + b >= bounds.least) & (association >= bounds.association) & (lift >= bounds.lift)).tolist()
-        good.sort(key=lambda t: (-association[t], counted.terms[t]))
-        chosen = np.sort(np.array(good[: bounds.terms], np.int64))  # words first, beginnings after them
+    good = np.flatnonzero((a + b >= bounds.least) & (association >= bounds.association) & (lift >= bounds.lift)).tolist()
+    good.sort(key=lambda t: (-association[t], counted.terms[t]))
+    chosen = np.sort(np.array(good[: bounds.terms], np.int64))  # words first, beginnings after them
     number = (a + b).astype(np.int64)
     model.held = {counted.terms[k]: int(number[k]) for k in np.flatnonzero(number[: counted.n_words]).tolist()}
     model.rarity = 1 + np.log((1 + total) / (1 + np.arange(total + 1)))
@@ -220,21 +279,23 @@ def build(counted: _Counted, rows: np.ndarray, held: np.ndarray, bounds: Bounds)
         weights = (1 + np.log(np.bincount(where, np.repeat(counts, at.sum(axis=1)), len(terms)))) * model.idf[terms]
         whole = (1 + np.log(counts)) * model.rarity[number[words]]
         length = np.sqrt(whole @ whole + (weights[terms >= model.words] ** 2).sum())
-        vectors.append((terms, weights / length if length else weights, k))
-    # Examples with the same leading term lie together, so that few blocks have high bounds.
-    vectors.sort(key=lambda v: (counted.labels[v[2]], int(v[0][np.argmax(v[1])]) if len(v[0]) else -1))
+        vectors.append((terms, weights / length if length else weights, k, whole / np.sqrt(whole @ whole) if len(whole) else whole))
+    # Examples with the same widespread words, so mostly of one language, lie together: many blocks have low bounds.
+    common = {k: words[np.lexsort((words, -number[words]))[:3]].tolist() for _, _, k, _ in vectors for words in (counted.words[k],)}
+    vectors.sort(key=lambda v: (common[v[2]], v[2]))
     model.ids, model.labels = [counted.ids[v[2]] for v in vectors], np.array([counted.labels[v[2]] for v in vectors], np.float64)
     blocks = max(1, -(-len(vectors) // BLOCK))
     model.tile = np.zeros((len(chosen) or 1, blocks), np.int32)
     tiles = [np.zeros(BLOCK)]
-    for e, (terms, weights, _) in enumerate(vectors):
+    for e, (terms, weights, _, _) in enumerate(vectors):
         for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
             if not model.tile[t, e // BLOCK]:
                 model.tile[t, e // BLOCK] = len(tiles)
                 tiles.append(np.zeros(BLOCK))
             tiles[model.tile[t, e // BLOCK]][e % BLOCK] = w
     model.tiles = np.array(tiles)
-    model.most = model.tiles.max(axis=1)[model.tile]
+    words = {counted.terms[k]: k for k in range(counted.n_words)}
+    model.index = Index(words, [(counted.words[k].astype(np.int64), whole) for _, _, k, whole in vectors], model.rarity[np.minimum(number[: counted.n_words], total)])
     return model
 
 
@@ -308,8 +369,9 @@ def learn(documents: DataFrame, labels: DataFrame, bounds: Bounds = Bounds()) ->
 def score(documents: DataFrame, model: Model, threshold: float = 0.7, evidence: bool = True) -> DataFrame:
     """Score of every whole text: doc_id, score, predicted and, if asked for, the neighbours as evidence.
 
-    `evidence` is an array of (doc_id, label, cosine). A text without any of the model's terms, an empty or a null
-    one, has no neighbours and gets the calibrated score of none. Repeated rows each get a row.
+    `evidence` is an array of (doc_id, label, cosine, vote): the neighbours that vote. A text without any word, an
+    empty or a null one, has no neighbours; it and a text whose neighbours share none of the associated terms with it
+    get the calibrated score of no votes. Repeated rows each get a row.
     """
     spark = documents.sparkSession
     small_batches(spark)
@@ -319,21 +381,24 @@ def score(documents: DataFrame, model: Model, threshold: float = 0.7, evidence:
 
     def rows(batches) -> Iterator[list]:
         model, memory = given.value, {}
-        nothing = model.calibrated(model.raw([]))
         for batch in batches:
             scores, proofs = [], []
             for text in as_bytes(batch.column(1)):
-                terms, weights = model.vector(term_counts(text), memory)
-                near = model.neighbours(terms, weights) if len(terms) else []
-                scores.append(model.calibrated(model.raw(near)) if near else nothing)
+                votes = _votes(model, text, memory)
+                scores.append(model.calibrated(model.raw(votes)))
                 if evidence:
-                    proofs.append([{"doc_id": example[e], "label": int(model.labels[e]), "cosine": c} for c, e in near])
+                    proofs.append([{"doc_id": example[e], "label": int(model.labels[e]), "cosine": c, "vote": v} for v, c, e in votes])
             yield [batch.column(0), scores, [int(s >= threshold) for s in scores]] + [proofs] * evidence
 
-    schema = f"doc_id {kind}, score double, predicted int" + ", evidence array<struct<doc_id: string, label: int, cosine: double>>" * evidence
+    schema = f"doc_id {kind}, score double, predicted int" + ", evidence array<struct<doc_id: string, label: int, cosine: double, vote: double>>" * evidence
     return mapped(own_columns(documents, doc_id="doc_id", text="text"), rows, schema)
 
 
+def _votes(model: Model, text: bytes | None, memory: dict) -> list[tuple[float, float, int]]:
+    counts = term_counts(text)
+    return model.voters(model.neighbours(counts), counts, memory)
+
+
 def accepted(documents: DataFrame, model: Model, threshold: float = 0.7, text_column: str = "text") -> DataFrame:
     """The documents whose score stays below the threshold; all columns stay."""
     small_batches(documents.sparkSession)
@@ -343,7 +408,7 @@ def accepted(documents: DataFrame, model: Model, threshold: float = 0.7, text_co
     def rows(batches) -> Iterator:
         model, memory = given.value, {}
         for batch in batches:
-            raw = (model.raw(model.neighbours(*model.vector(term_counts(t), memory))) for t in as_bytes(batch.column(at)))
+            raw = (model.raw(_votes(model, t, memory)) for t in as_bytes(batch.column(at)))
             yield batch.filter(pa.array([model.calibrated(r) < threshold for r in raw], pa.bool_()))
 
     return documents.mapInArrow(rows, documents.schema)

@@ -173,3 +173,58 @@ def test_labels_of_parts_are_the_likeliest(model):
         labels = [ys for ys in itertools.product((False, True), repeat=len(order)) if all(ys[p] or not ys[k] for k, p in enumerate(parents) if p >= 0)]
         best = max(labels, key=lambda ys: (sum(-np.log1p(np.exp(-m if y else m)) for m, y in zip(margin, ys, strict=True)), ys))
         assert html.texts([page], model) == [html.chosen_text(order, list(best))]
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<article><p>Ok.</p></article><footer>c 2020</footer>", "Ok."),
+        ("<nav>Home About</nav><article><p>Ok, fine.</p></article>", "Ok, fine."),
+        ("<header>Site</header><article><header><h1>Title</h1></header><p>Text.</p></article>", "Title Text."),
+        ("<article><p>Sources of it all:</p><ul><li><a>First source</a></li><li><a>Second source</a></li></ul></article>", "Sources of it all: First source Second source"),
+        ("<article><p aria-hidden=TRUE>no</p><p style='visibility: hidden'>nor this</p><p>Yes, this stays.</p></article>", "Yes, this stays."),
+        (f"<article><p>Yes, this stays in here.</p></article><div class='{'x' * 30}commentlistwrapper'><p>I agree so much</p></div>", "Yes, this stays in here."),
+        ("<main><p>Here is what the page is about.</p></main><aside><article><p>Other things to read</p></article></aside>", "Here is what the page is about."),
+    ],
+)
+def test_tags_that_set_apart_outweigh_length(model, page, text):
+    assert html.texts([page], model) == [text]
+
+
+@pytest.mark.parametrize("name", ["cmts", "kommentare", "c-hdr__wrap", "fusszeile", "werbung", "piedepagina"])
+def test_short_names_and_those_of_other_languages(model, name):
+    page = f"<body><article><p>Main text of it, with quite a few words in here.</p></article><div class='{name}'><p>Ja, genau so ist es</p></div></body>"
+    assert html.texts([page], model) == ["Main text of it, with quite a few words in here."]
+
+
+@pytest.mark.parametrize("opened", ["<span class=a>x", "<b class=x><span class=x>x"])
+def test_unclosed_elements_of_a_line_take_linear_time(opened):
+    import time
+
+    def seconds(n):
+        began = time.perf_counter()
+        html.parse(opened * n + "</b>" * n)
+        return time.perf_counter() - began
+
+    seconds(1000)
+    assert seconds(100_000) < 60 * max(seconds(10_000), 0.05)
+
+
+def test_elements_of_a_line_end_in_any_order(model):
+    page = "<article><p>One <b class=x>two <i class=ad>gone</b> gone too</i> three, and so on to the end of it.</p><p>Another of them, as long.</p></article>"
+    assert html.texts([page], model) == ["One two three, and so on to the end of it. Another of them, as long."]
+    assert html.texts(["<article>Some <b hidden>no <div>no</div></b> more of the text that is told here.</article>"], model) == ["Some more of the text that is told here."]
+
+
+def test_whole_articles_of_the_pages(model):
+    """The main text of the driver's pages is what the library's own reading of their article element gives."""
+    import re
+
+    import pyarrow.parquet as pq
+
+    pages = [p for p in pq.read_table("/root/testdata/sf0.001/pages.parquet")["html"].to_pylist() if p and p.count("<article") == 1]
+    bodies = [re.search(r"<article\b[^>]*>(.*)</article>", p, re.S)[1] for p in pages]
+    clean = [k for k, b in enumerate(bodies) if not re.search(r"<(script|style|nav|aside|form|footer|span|div)\b", b)]
+    assert len(clean) > 10
+    for k, got in zip(clean, html.texts([pages[k] for k in clean], model), strict=True):
+        assert got == plain_text(bodies[k])

@@ -3,6 +3,8 @@
 import random
 import string
 import zlib
+from collections import Counter
+from math import log, sqrt
 
 import numpy as np
 import pytest
@@ -32,59 +34,81 @@ def frames(spark, rows):
     return docs, labels
 
 
-def test_neighbours_are_exact():
-    model = toxicity.fit([(i, t.encode(), y) for i, t, y in made()])
-    dense = np.zeros((len(model.ids), len(model.terms)))
-    for t in range(len(model.terms)):
-        dense[:, t] = model.tiles[model.tile[t]].ravel()[: len(model.ids)]
-    for _, text, _ in made(60, 8):
-        terms, weights = model.vector(toxicity.term_counts(text.encode()), {})
-        full = dense[:, terms] @ weights
-        order = sorted((-round(c, 9), e) for e, c in enumerate(full) if c > 0)[: model.bounds.neighbours]
-        got = model.neighbours(terms, weights)
-        assert [(-round(c, 9), e) for c, e in got] == order
+def words_in(text):
+    return Counter("".join(c.lower() if c in string.ascii_letters + string.digits or c > "\x7f" else " " for c in text).split())
 
 
-def plain_vectors(rows, model, texts):
-    """TF-IDF vectors over all words, and over the model's beginnings of words, told from the texts alone."""
-    from collections import Counter
-    from math import log, sqrt
+def starts_in(text):
+    out = Counter()
+    for w, n in words_in(text).items():
+        for k in (4, 5, 6, 7, 8):
+            if len(w.encode()) >= k:
+                out[w.encode()[:k] + b"*"] += n
+    return out
 
-    def counts(text):
-        words = Counter("".join(c.lower() if c in string.ascii_letters + string.digits or c > "\x7f" else " " for c in text).split())
-        starts = Counter()
-        for w, n in words.items():
-            for k in (4, 5, 6, 7, 8):
-                if len(w.encode()) >= k:
-                    starts[w.encode()[:k] + b"*"] += n
-        return Counter({w.encode(): n for w, n in words.items()}) + Counter({s: n for s, n in starts.items() if s in model.terms})
 
-    fitted = [counts(t) for t in dict.fromkeys(t for _, t, _ in rows)]
-    held = Counter(t for c in fitted for t in c)
-    n = len(fitted)
+def weighted(counts, held, n):
+    return {t: (1 + log(k)) * (1 + log((1 + n) / (1 + held[t]))) for t, k in counts.items()}
 
-    def vector(c):
-        v = {t: (1 + log(k)) * (1 + log((1 + n) / (1 + held[t]))) for t, k in c.items()}
-        length = sqrt(sum(x * x for x in v.values()))
-        return {t: x / length for t, x in v.items()}
 
-    return [vector(counts(t)) for t in texts]
+def unit(v):
+    length = sqrt(sum(x * x for x in v.values()))
+    return {t: x / length for t, x in v.items()} if length else {}
 
 
-@pytest.mark.parametrize("terms", [1500, None])
-def test_cosine_is_that_of_plain_vectors(terms):
+def dot(a, b):
+    return sum(x * b.get(t, 0) for t, x in a.items())
+
+
+def independent(rows, model, texts):
+    """For each text: cosines over all words, and votes over the associated terms, with every example."""
+    fitted = list(dict.fromkeys(t for _, t, _ in rows))
+    of_words = Counter(t for x in fitted for t in words_in(x))
+    of_starts = Counter(t for x in fitted for t in starts_in(x))
+    text_of = {i: t for i, t, _ in reversed(rows)}
+
+    def both(text):
+        plain = weighted(words_in(text), of_words, len(fitted))
+        starts = weighted({t: k for t, k in starts_in(text).items() if t in model.terms}, of_starts, len(fitted))
+        wide = unit({t.encode(): x for t, x in plain.items()} | starts)
+        return unit(plain), {t: x for t, x in wide.items() if t in model.terms}
+
+    examples = [both(text_of[i]) for i in model.ids]
+    for text in texts:
+        p, v = both(text)
+        yield [dot(p, e) for e, _ in examples], [dot(v, e) for _, e in examples]
+
+
+def ranked(values, most):
+    return [e for _, e in sorted((-round(x, 9), e) for e, x in enumerate(values) if x > 1e-12)[:most]]
+
+
+@pytest.mark.parametrize("block, neighbours", [(64, 100), (4, 7), (1, 3)])
+def test_neighbours_votes_and_score_are_exact(monkeypatch, block, neighbours):
+    monkeypatch.setattr(toxicity, "BLOCK", block)
     rows = made(200)
-    model = toxicity.fit([(i, t.encode(), y) for i, t, y in rows], toxicity.Bounds(terms=terms))
-    text_of = {i: t for i, t, _ in rows}
-    examples = plain_vectors(rows, model, [text_of[i] for i in model.ids])
-    asked = [t for _, t, _ in made(30, 9)] + ["zugnak unseen words only", rows[0][1]]
-    for text, v in zip(asked, plain_vectors(rows, model, asked), strict=True):
-        want = [sum(x * e.get(t, 0) for t, x in v.items() if t in model.terms) for e in examples]
-        order = sorted((-round(c, 9), e) for e, c in enumerate(want) if c > 1e-12)[: model.bounds.neighbours]
-        got = model.neighbours(*model.vector(toxicity.term_counts(text.encode()), {}))
-        assert [e for _, e in got] == [e for _, e in order] and [c for c, _ in got] == pytest.approx([-c for c, _ in order], abs=1e-8)
-    if terms is None:  # the whole cosine: a text is nearest to itself
-        assert got[0][0] == pytest.approx(1.0)
+    model = toxicity.fit([(i, t.encode(), y) for i, t, y in rows], toxicity.Bounds(neighbours=neighbours, voters=5))
+    asked = [t for _, t, _ in made(40, 9)] + ["zugnak unseen words only", "zugnaker", "nothing of it", rows[0][1], ""]
+    for text, (cosines, votes) in zip(asked, independent(rows, model, asked), strict=True):
+        counts = toxicity.term_counts(text.encode())
+        near = model.neighbours(counts)
+        order = ranked(cosines, neighbours)
+        assert [e for _, e in near] == order and [c for c, _ in near] == pytest.approx([cosines[e] for e in order], abs=1e-8)
+        heard = [order[k] for k in ranked([votes[e] for e in order], 5)]
+        got = model.voters(near, counts, {})
+        assert [e for _, _, e in got] == heard and [v for v, _, _ in got] == pytest.approx([votes[e] for e in heard], abs=1e-8)
+        whole = sum(votes[e] for e in heard)
+        share = sum(votes[e] * model.labels[e] for e in heard) / (whole + model.bounds.doubt * model.unit)
+        at, value = model.steps
+        assert model.calibrated(model.raw(got)) == pytest.approx(min(1, max(0, 0.99 * float(np.interp(share, at, value)) + 0.01 * share)), abs=1e-7)
+
+
+def test_a_fitted_text_is_its_own_nearest():
+    rows = made(120)
+    model = toxicity.fit([(i, t.encode(), y) for i, t, y in rows])
+    for i, text, _ in rows[:30]:
+        cosine, e = model.neighbours(toxicity.term_counts(text.encode()))[0]
+        assert model.ids[e] == i and cosine == pytest.approx(1.0)
 
 
 def test_score_has_no_cliff():
