@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import repeat
 
 import numpy as np
@@ -23,6 +24,8 @@ from .common import as_bytes, mapped, own_columns, row_key, sent, small_batches,
 GAP = 64
 #: Tokens after which a shard ends (with the document they are in).
 SHARD_TOKENS = 1_000_000
+#: Places of a shard that a search works on at once.
+EXPANDED = 1 << 19
 #: Bytes of test texts that one search carries to the executors; more are searched block after block.
 BLOCK_BYTES = 16 << 20
 
@@ -98,25 +101,51 @@ class Phrases:
         self.words = list(found)
         self.items = [sorted(found[w]) for w in self.words]
         self.terms = sorted({w for ws in self.words for w in ws})
-        number = {t: i for i, t in enumerate(self.terms)}
+        number = self.number = {t: i for i, t in enumerate(self.terms)}
         self.sizes = np.array([len(w) for w in self.words], np.int64)
         self.ids = np.full((len(self.words), int(self.sizes.max(initial=1))), -1, np.int64)
         for k, ws in enumerate(self.words):
             self.ids[k, : len(ws)] = [number[w] for w in ws]
 
 
+class Tests:
+    """Test items that are sent to the workers, each of which makes the phrases of them once."""
+
+    def __init__(self, items: list[tuple[str, bytes | None]], window: int):
+        self.items, self.window = items, window
+
+    @cached_property
+    def phrases(self) -> Phrases:
+        return Phrases(self.items, self.window)
+
+
+def _chunks(sizes: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(list, place in it) of all places of lists of these sizes, at most `most` at once."""
+    ends = np.cumsum(sizes)
+    for at in range(0, int(ends[-1]) if len(ends) else 0, most):
+        places = np.arange(at, min(at + most, int(ends[-1])))
+        row = np.searchsorted(ends, places, "right")
+        yield row, places - (ends[row] - sizes[row])
+
+
 def matches(phrases: Phrases, terms: list[bytes], counts: list[int], positions: bytes, slop: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(phrase, start) of every match in a shard: each word within `slop` places of where the phrase has it."""
+    """(phrase, start) of every match in a shard: each word within `slop` places of where the phrase has it.
+
+    A phrase's search starts from its rarest word in the shard. That word's list is first intersected with its rarer
+    neighbour's, once for all phrases that hold the two side by side; what is left of it is checked against the other
+    words, from rare to common. At most `EXPANDED` places are in work at once, however many phrases or places there are.
+    """
+    nothing = np.zeros(0, np.int64), np.zeros(0, np.int64)
     if not len(phrases.words):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    number = {t: i for i, t in enumerate(phrases.terms)}
+        return nothing
+    number = phrases.number
     mine = np.fromiter(map(number.get, terms, repeat(-1)), np.int64, len(terms))
     place = np.frombuffer(positions, "<i4").astype(np.int64)
     ends = np.cumsum(counts)
     used = np.flatnonzero(mine >= 0)
     used = used[np.argsort(mine[used], kind="stable")]
     if not len(used):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return nothing
     span = int(place.max()) + 2 * GAP
     length = np.zeros(len(phrases.terms) + 1, np.int64)  # of each term's list; the last stands for no term
     length[mine[used]] = np.asarray(counts, np.int64)[used]
@@ -124,29 +153,48 @@ def matches(phrases: Phrases, terms: list[bytes], counts: list[int], positions:
     flat = np.concatenate(lists)
     keys = np.repeat(mine[used], [len(x) for x in lists]) * span + flat
     first = np.concatenate([[0], np.cumsum(length[:-1])])
-    there = phrases.ids >= 0
-    frequency = np.where(there, length[phrases.ids], np.iinfo(np.int64).max)
+
+    def near(term: np.ndarray, at: np.ndarray, reach: int) -> np.ndarray:
+        """Whether the term stands within `reach` of the place; no term does."""
+        target = term * span + at - reach
+        found = np.minimum(np.searchsorted(keys, target), len(keys) - 1)
+        return (term < 0) | (keys[found] >= target) & (keys[found] <= target + 2 * reach)
+
+    never = np.iinfo(np.int64).max
+    frequency = np.where(phrases.ids >= 0, length[phrases.ids], never)
     possible = np.flatnonzero((frequency > 0).all(axis=1))
-    order = np.argsort(frequency[possible], axis=1, kind="stable")
-    rare = order[:, 0]
-    anchor = phrases.ids[possible, rare]
-    number_of = length[anchor]
-    row = np.repeat(np.arange(len(possible)), number_of)
-    within = np.arange(len(row)) - np.repeat(np.cumsum(number_of) - number_of, number_of)
-    start = flat[first[anchor][row] + within] - rare[row]
-    if slop:
-        shift = np.arange(-slop, slop + 1)
-        row, start = np.repeat(row, len(shift)), (start[:, None] + shift).ravel()
-    for k in range(1, order.shape[1]):
-        offset = order[row, k]
-        term = phrases.ids[possible[row], offset]
-        target = term * span + start + offset - slop
-        at = np.searchsorted(keys, target)
-        good = (term < 0) | (keys[np.minimum(at, len(keys) - 1)] <= target + 2 * slop) & (at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] >= target)
-        row, start = row[good], start[good]
-    if slop and len(row):
-        row, start = np.unique(np.stack([row, start]), axis=1)
-    return possible[row], start
+    if not len(possible):
+        return nothing
+    frequency = frequency[possible]
+    order = np.argsort(frequency, axis=1, kind="stable")
+    rows, rare = np.arange(len(possible)), order[:, 0]
+    beside = np.stack([np.where(rare > 0, frequency[rows, np.maximum(rare - 1, 0)], never), np.where(rare + 1 < frequency.shape[1], frequency[rows, np.minimum(rare + 1, frequency.shape[1] - 1)], never)])
+    way = np.where(beside.min(axis=0) == never, 0, np.where(beside[0] < beside[1], -1, 1))
+    ids = phrases.ids[possible]
+    anchor, other = ids[rows, rare], np.where(way == 0, -1, ids[rows, np.clip(rare + way, 0, ids.shape[1] - 1)])
+    pairs, pair = np.unique(np.stack([anchor, other, way]), axis=1, return_inverse=True)
+    pair = pair.ravel()
+    kept, by = [], []
+    for row, within in _chunks(length[pairs[0]], EXPANDED):
+        at = flat[first[pairs[0][row]] + within]
+        good = near(pairs[1][row], at + pairs[2][row], 2 * slop)
+        kept.append(at[good])
+        by.append(row[good])
+    kept, by = np.concatenate(kept), np.concatenate(by)
+    sizes = np.bincount(by, minlength=pairs.shape[1])
+    begin = np.cumsum(sizes) - sizes
+    shift, out = np.arange(-slop, slop + 1), [nothing]
+    for row, within in _chunks(sizes[pair], max(1, EXPANDED // len(shift))):
+        start = kept[begin[pair[row]] + within] - rare[row]
+        if slop:
+            row, start = np.repeat(row, len(shift)), (start[:, None] + shift).ravel()
+        for k in range(0 if slop else 1, order.shape[1]):
+            offset = order[row, k]
+            good = near(ids[row, offset], start + offset, slop)
+            row, start = row[good], start[good]
+        out.append((possible[row], start))
+    phrase, start = (np.concatenate(x) for x in zip(*out, strict=True))
+    return tuple(np.unique(np.stack([phrase, start]), axis=1)) if slop and len(phrase) else (phrase, start)
 
 
 def search(index: DataFrame, tests: DataFrame, window: int = 10, slop: int = 0, item_column: str = "item_id", text_column: str = "text", folded: bool = True) -> DataFrame:
@@ -169,10 +217,10 @@ def search(index: DataFrame, tests: DataFrame, window: int = 10, slop: int = 0,
     out = None
     for block in range(blocks):  # each block is of bounded size; usually there is one
         items = [(r.item, bytes(r.text)) for r in tests.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block).collect()]
-        given = spark.sparkContext.broadcast(items)
+        given = spark.sparkContext.broadcast(Tests(items, window))
 
         def rows(batches, given=given) -> Iterator[list]:
-            phrases = Phrases(given.value, window)
+            phrases = given.value.phrases
             for batch in batches:
                 for s in batch.to_pylist():
                     yield _folded(s, phrases, slop) if folded else _listed(s, phrases, slop)
@@ -182,7 +230,7 @@ def search(index: DataFrame, tests: DataFrame, window: int = 10, slop: int = 0,
             columns = f"shard string, place int, {columns}"
 
             def rows(batches, given=given) -> Iterator[list]:  # noqa: F811
-                phrases = Phrases(given.value, window)
+                phrases = given.value.phrases
                 for batch in batches:
                     for s in batch.to_pylist():
                         yield _masks(s, phrases, slop)
@@ -251,19 +299,25 @@ def _merged(out: DataFrame, kind: str) -> DataFrame:
     return mapped(grouped.select("doc_id", "n_words", "hits", "items"), rows, f"doc_id {kind}, n_words bigint, n_hit bigint, items array<string>")
 
 
-def decontaminate(documents: DataFrame, tests: DataFrame, window: int = 10, slop: int = 0) -> DataFrame:
-    """Index the documents, store the index in the shared folder, and search it for the tests' windows."""
+def decontaminate(documents: DataFrame, tests: DataFrame, window: int = 10, slop: int = 0, whole: bool = True) -> DataFrame:
+    """Index the documents, store the index in the shared folder, and search it for the tests' windows.
+
+    The stored index holds every word, so `search` takes other tests to it later; without `whole` it holds the words of
+    these tests alone, which is smaller.
+    """
     small_batches(documents.sparkSession)
-    terms = vocabulary(tests)
-    size = terms.agg(F.sum(F.length("term"))).first()[0] or 0
-    held = {bytes(r.term) for r in terms.collect()} if size <= BLOCK_BYTES else None
+    held = None
+    if not whole:
+        terms = vocabulary(tests)
+        size = terms.agg(F.sum(F.length("term"))).first()[0] or 0
+        held = {bytes(r.term) for r in terms.collect()} if size <= BLOCK_BYTES else None
     return search(written(build_index(documents, held), "postings"), tests, window, slop)
 
 
 def cleaned(documents: DataFrame, tests: DataFrame, window: int = 10, slop: int = 0, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The documents without a word in an occurrence of a test's window; all columns stay."""
     marked = documents.withColumn("_row", row_key(id_column, text_column))
-    found = decontaminate(marked.select(F.col("_row").alias("doc_id"), F.col(f"`{text_column}`").alias("text")), tests, window, slop)
+    found = decontaminate(marked.select(F.col("_row").alias("doc_id"), F.col(f"`{text_column}`").alias("text")), tests, window, slop, whole=False)
     return marked.join(sent(found.where("contaminated").select(F.col("doc_id").alias("_row")), "contaminated"), "_row", "left_anti").drop("_row")
 
 

@@ -85,3 +85,35 @@ def test_cleaned(spark):
     assert kept == sorted(i for i, t in docs if i != 102 and not brute(t, [x for x in items if x[0] is not None])[1])
     assert decontam.cleaned(df, tests.limit(0)).count() == len(docs) and decontam.cleaned(df, tests).columns == df.columns
     assert decontam.decontaminate(df.limit(0), tests).collect() == []
+
+
+@pytest.mark.parametrize("slop", [0, 2])
+def test_bounded_work_on_common_words(monkeypatch, slop):
+    """Many phrases of few, common words: the same matches whatever the number of places in work."""
+    r = random.Random(slop)
+    vocabulary = [b"a", b"b", b"c", b"d"]
+    text = [r.choice(vocabulary) for _ in range(400)]
+    items = [(str(k), b" ".join(r.choice(vocabulary) for _ in range(r.choice((1, 2, 4, 6))))) for k in range(60)]
+    phrases = decontam.Phrases(items, 5)
+    shard = decontam._shard(["x"], [decontam.GAP], [len(text)], [decontam.np.array([vocabulary.index(w) for w in text], "i4")], dict.fromkeys(vocabulary))
+    terms, counts, positions = shard[4][0], shard[5][0], shard[6][0]
+    want = set()
+    for p, ws in enumerate(phrases.words):
+        for s in range(-slop, len(text) + slop + 1):
+            if all(any(0 <= s + j + e < len(text) and text[s + j + e] == w for e in range(-slop, slop + 1)) for j, w in enumerate(ws)):
+                want.add((p, s + decontam.GAP))
+    for most in (1 << 19, 17):
+        monkeypatch.setattr(decontam, "EXPANDED", most)
+        phrase, start = decontam.matches(phrases, terms, counts, positions, slop)
+        assert set(zip(phrase.tolist(), start.tolist(), strict=True)) == want and len(phrase) == len(want)
+
+
+def test_one_stored_index_for_many_tests(spark):
+    docs, items = made()
+    frame, first = frames(spark, docs, items)
+    index = decontam.written(decontam.build_index(frame), "postings")
+    second = spark.createDataFrame([("new", "w5 w6 w7"), ("other", docs[7][1])], "item_id string, text string")
+    key = lambda x: tuple(map(str, x))
+    for tests in (first, second):
+        by_index = sorted(map(tuple, decontam.search(index, tests).collect()), key=key)
+        assert by_index == sorted(map(tuple, decontam.decontaminate(frame, tests, whole=False).collect()), key=key)
