@@ -278,6 +278,14 @@ triangles AS (
   SELECT b.source AS c, b.target AS p, o.target AS s
   FROM trade b JOIN trade o ON o.source = b.source AND o.type = 'orders_from' JOIN trade u ON u.source = o.target AND u.target = b.target AND u.type = 'supplies' WHERE b.type = 'buys')"""
 
+#: Distances from the four nodes with most edges: ways of up to twelve edges, of which the shortest counts.
+LANDMARKS = """
+best AS (SELECT id AS landmark FROM ends GROUP BY id ORDER BY count(*) DESC, id LIMIT 4),
+way AS (SELECT landmark, landmark AS id, 0 AS dist FROM best UNION SELECT landmark, nbr, dist + 1 FROM way JOIN truth USING (id) WHERE dist < 12),
+reached AS (SELECT landmark, id, min(dist)::BIGINT AS dist FROM way GROUP BY landmark, id)"""
+ITEMS = """
+items AS (SELECT o_custkey AS custkey, l_orderkey AS orderkey, l_linenumber AS linenumber, l_suppkey AS suppkey, o_orderdate AS ordered, l_shipdate AS shipped FROM lineitem JOIN orders ON o_orderkey = l_orderkey)"""
+
 ORACLES: dict[str, str] = {
     "multiseed_encoder": f"{MULTISEED} SELECT * FROM seeds UNION ALL SELECT * FROM ({ENCODER})",
     "kg_nodes": f"WITH {NODES} SELECT id, type, text FROM nodes",
@@ -321,6 +329,26 @@ SELECT id, d AS degree, coalesce(n, 0) AS triangles, round(CASE WHEN d > 1 THEN
     "trade_census": f"""WITH {TRADE}, t AS (SELECT count(*) AS n FROM triangles), g AS (SELECT count(*) AS nodes, sum(d) // 2 AS edges, sum(d * (d - 1)) // 2 AS wedges, sum(d * (d - 1) * (d - 2)) // 6 AS stars FROM degrees)
 SELECT 'nodes' AS motif, nodes::BIGINT AS n FROM g UNION ALL SELECT 'edges', edges::BIGINT FROM g UNION ALL SELECT 'wedges', wedges::BIGINT FROM g UNION ALL SELECT 'stars', stars::BIGINT FROM g
 UNION ALL SELECT 'triangles', n FROM t UNION ALL SELECT 'open wedges', (wedges - 3 * n)::BIGINT FROM g, t UNION ALL SELECT 'buys+orders_from+supplies', n FROM t WHERE n > 0""",
+    "landmark_distances": f"WITH RECURSIVE {EDGES}, {LANDMARKS} SELECT * FROM reached",
+    "pair_distance_bounds": f"""WITH RECURSIVE {GRAPH}, {ELIGIBLE}, {samples(2, 50)}, {LANDMARKS},
+placed AS (SELECT seed, query_id, row_number() OVER (PARTITION BY seed ORDER BY query_id) AS place FROM picks),
+pairs AS (SELECT DISTINCT x.query_id AS a, y.query_id AS b FROM placed x JOIN placed y USING (place) WHERE x.seed = 0 AND y.seed = 1),
+told AS (
+  SELECT a, b, max(abs(x.dist - y.dist)) AS low, min(x.dist + y.dist) AS high, bool_or((x.dist IS NULL) <> (y.dist IS NULL)) AS apart
+  FROM pairs CROSS JOIN best LEFT JOIN reached x ON x.landmark = best.landmark AND x.id = a LEFT JOIN reached y ON y.landmark = best.landmark AND y.id = b GROUP BY a, b),
+bounds AS (SELECT a, b, CASE WHEN a = b THEN 0 WHEN NOT apart THEN low END AS lower, CASE WHEN a = b THEN 0 WHEN NOT apart THEN high END AS upper, a <> b AND apart AS apart FROM told)
+SELECT a, b, lower, upper, coalesce(lower = upper, false) AS exact, apart FROM bounds""",
+    "neighbour_rollup": f"""WITH {EDGES},
+near AS (SELECT source AS id, target AS nbr, type, split_part(source, ':', 1) AS kind FROM edges UNION ALL SELECT target, source, type, split_part(target, ':', 1) FROM edges),
+nodes AS (SELECT kind, type, id, count(*) AS degree FROM near GROUP BY ALL),
+a AS (SELECT kind, type, grouping_id(kind, type) AS level, sum(degree)::BIGINT AS edges, count(*) AS nodes FROM nodes GROUP BY GROUPING SETS ((kind, type), (kind), (type), ())),
+b AS (SELECT kind, type, grouping_id(kind, type) AS level, count(DISTINCT nbr) AS neighbours FROM near GROUP BY GROUPING SETS ((kind, type), (kind), (type), ()))
+SELECT a.kind, a.type, a.level::INTEGER AS level, edges, nodes, neighbours, true AS close FROM a JOIN b ON a.level = b.level AND a.kind IS NOT DISTINCT FROM b.kind AND a.type IS NOT DISTINCT FROM b.type""",
+    "order_at_shipping": f"""WITH {ITEMS}, days AS (SELECT o_custkey AS custkey, o_orderdate AS day, max(o_orderkey) AS key FROM orders GROUP BY ALL)
+SELECT i.custkey, i.orderkey, i.linenumber, i.shipped, d.key AS latest_key, d.day AS latest_day FROM items i ASOF LEFT JOIN days d ON d.custkey = i.custkey AND d.day <= i.shipped""",
+    "overlapping_edges": f"""WITH {ITEMS}, valid AS (SELECT custkey, suppkey, least(ordered, shipped) AS since, greatest(ordered, shipped) AS until FROM items)
+SELECT a.custkey, count(*) AS pairs, count(DISTINCT (a.suppkey, b.suppkey)) AS suppliers FROM valid a JOIN valid b ON a.custkey = b.custkey AND a.suppkey < b.suppkey
+WHERE a.since < a.until AND b.since < b.until AND greatest(a.since, b.since) < least(a.until, b.until) GROUP BY a.custkey""",
     "compose_xor_topk": f"""WITH {ADDRESS}, {of_text(TEXT, 'q')}, {of_text(OTHER, 'r')}, b AS (SELECT {", ".join(f"xor(q.u{j}, r.u{j}) AS u{j}" for j in range(4))} FROM q, r)
 SELECT a.id, {hamming('a.', 'b.')} AS dist FROM address a, b ORDER BY dist, a.id LIMIT 10""",
     "bind_unbind_errors": f"""WITH {CONTENT}, k AS (SELECT *, {", ".join(f"{digest(chr(39) + 'key' + chr(39) + ' || id', j)} AS k{j}" for j in range(4))} FROM content),

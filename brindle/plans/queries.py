@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import bits, text, vectors
-from ..operators import depth, evaluate, graph, hamming_index, motifs, retrieval, sanitize, sensing, signatures, walk
+from ..operators import depth, evaluate, graph, hamming_index, motifs, paths, retrieval, sanitize, sensing, signatures, sketches, temporal, walk
 from ..storage import scratch_path, written
 from .kg import kg_edges, kg_nodes, node_records, table, trade_edges
 
@@ -157,6 +157,63 @@ def trade_census(spark: SparkSession, sf_dir: str) -> DataFrame:
     return motifs.census(written(trade_edges(spark, sf_dir), "trade"))
 
 
+def landmark_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances from the four nodes with most edges to every node."""
+    near = written(graph.undirected(kg_edges(spark, sf_dir)).select("id", "nbr"), "near")
+    return paths.distances(near, written(paths.landmarks(near, 4), "landmarks"))
+
+
+def pair_distance_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What those distances tell of the pairs of two seeds' queries with one place in the samples."""
+    chosen = written(samples(spark, sf_dir, (0, 1)).withColumn("place", F.row_number().over(Window.partitionBy("seed").orderBy("query_id"))), "samples")
+    of = lambda seed, end: chosen.where(F.col("seed") == seed).select("place", F.col("query_id").alias(end))
+    return paths.pair_bounds(of(0, "a").join(of(1, "b"), "place"), landmark_distances(spark, sf_dir))
+
+
+def typed_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, nbr, kind (the node's type), type (the edge's) of every edge both ways."""
+    edges = kg_edges(spark, sf_dir)
+    both = edges.select(F.col("source").alias("id"), F.col("target").alias("nbr"), "type").union(edges.select("target", "source", "type"))
+    return both.withColumn("kind", F.split_part("id", F.lit(":"), F.lit(1)))
+
+
+GROUPINGS = (("kind", "type"), ("kind",), ("type",), ())
+
+
+def neighbour_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges, nodes and distinct neighbours by type of node and edge, in all roll-ups, exactly; and whether the sketches' estimates are within four standard errors."""
+    near = written(typed_neighbours(spark, sf_dir), "near")
+    told = sketches.exact(near, ("kind", "type"), GROUPINGS).alias("e")
+    guess = sketches.rolled_up(written(sketches.neighbourhoods(near, ("kind", "type")), "sketches"), ("kind", "type"), GROUPINGS).alias("s")
+    same = (F.col("e.level") == F.col("s.level")) & F.col("e.kind").eqNullSafe(F.col("s.kind")) & F.col("e.type").eqNullSafe(F.col("s.type"))
+    close = F.abs(F.col("s.neighbours") - F.col("e.neighbours")) <= F.greatest(F.lit(1.0), 4 * 1.04 / 2 ** (sketches.REGISTERS / 2) * F.col("e.neighbours"))
+    return told.join(guess, same).select("e.kind", "e.type", F.col("e.level").cast("int").alias("level"), "e.edges", "e.nodes", "e.neighbours", (close & (F.col("s.edges") == F.col("e.edges")) & (F.col("s.nodes") == F.col("e.nodes"))).alias("close"))
+
+
+def sold_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """custkey, orderkey, linenumber, suppkey, ordered, shipped of every line item."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("orderkey"), F.col("o_custkey").alias("custkey"), F.col("o_orderdate").alias("ordered"))
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("orderkey"), F.col("l_linenumber").alias("linenumber"), F.col("l_suppkey").alias("suppkey"), F.col("l_shipdate").alias("shipped"))
+    return items.join(orders, "orderkey").select("custkey", "orderkey", "linenumber", "suppkey", "ordered", "shipped")
+
+
+def order_at_shipping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each line item with its customer's latest order by the day that the item was shipped."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("custkey"), F.col("o_orderkey").alias("key"), F.col("o_orderdate").alias("day"))
+    items = sold_items(spark, sf_dir).select("custkey", "orderkey", "linenumber", "shipped")
+    return temporal.as_of(items, orders, ("custkey",), "shipped", "day", ("key",), prefix="latest_")
+
+
+def overlapping_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each customer and pair of suppliers, the pairs of its line items from them that are under way at one time.
+
+    An item's edge is valid between its order's day and its shipping day, whichever is first.
+    """
+    items = written(sold_items(spark, sf_dir).select("custkey", "orderkey", "linenumber", "suppkey", F.least("ordered", "shipped").alias("since"), F.greatest("ordered", "shipped").alias("until")), "items")
+    pairs = temporal.overlapping(items, items, ("custkey",), ("since", "until"), ("since", "until"), width=365 * temporal.DAY)
+    return pairs.where("suppkey < r_suppkey").groupBy("custkey").agg(F.count("*").alias("pairs"), F.countDistinct("suppkey", "r_suppkey").alias("suppliers"))
+
+
 def compose_xor_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.composed_query(addresses(spark, sf_dir), TEXT, OTHER, 10)
 
@@ -358,6 +415,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "depth_sweep": depth_sweep,
     "trade_clustering": trade_clustering,
     "trade_census": trade_census,
+    "landmark_distances": landmark_distances,
+    "pair_distance_bounds": pair_distance_bounds,
+    "neighbour_rollup": neighbour_rollup,
+    "order_at_shipping": order_at_shipping,
+    "overlapping_edges": overlapping_edges,
     "compose_xor_topk": compose_xor_topk,
     "bind_unbind_errors": bind_unbind_errors,
     "cosine_topk": cosine_topk,
