@@ -278,6 +278,12 @@ triangles AS (
   SELECT b.source AS c, b.target AS p, o.target AS s
   FROM trade b JOIN trade o ON o.source = b.source AND o.type = 'orders_from' JOIN trade u ON u.source = o.target AND u.target = b.target AND u.type = 'supplies' WHERE b.type = 'buys')"""
 
+RECORDS = """
+SELECT 'region:' || r_regionkey AS id, 'region' AS type, r_name AS title, NULL::VARCHAR AS cluster, NULL::VARCHAR AS description FROM region
+UNION ALL SELECT 'nation:' || n_nationkey, 'nation', n_name, NULL, NULL FROM nation
+UNION ALL SELECT 'supplier:' || s_suppkey, 'supplier', s_name, NULL, NULL FROM supplier
+UNION ALL SELECT 'customer:' || c_custkey, 'customer', c_name, c_mktsegment, NULL FROM customer
+UNION ALL SELECT 'part:' || p_partkey, 'part', p_name, p_type, p_brand FROM part"""
 #: Distances from the four nodes with most edges: ways of up to twelve edges, of which the shortest counts.
 LANDMARKS = """
 best AS (SELECT id AS landmark FROM ends GROUP BY id ORDER BY count(*) DESC, id LIMIT 4),
@@ -376,6 +382,23 @@ CASE WHEN n - 1 < 9 THEN '' WHEN abs(m / (s / sqrt(n))) > 4.781 THEN '***' WHEN
     "ctqw_topk": f"WITH RECURSIVE {CAPPED}, {SERIES} SELECT query_id, node, round(score, 9) AS score, rank FROM walked WHERE rank <= 10",
     "hybrid_topk": HYBRID,
     "ranker_ablation": ABLATION,
+    "walk_scores": f"""WITH RECURSIVE {CAPPED}, {SERIES}
+SELECT k.query_id, round(coalesce(1.0 / min(rank) FILTER (t.nbr IS NOT NULL), 0.0), 9) AS rr, round(count(*) FILTER (t.nbr IS NOT NULL AND rank <= 5) / any_value(n_true), 9) AS recall
+FROM picks k LEFT JOIN (SELECT * FROM walked WHERE rank <= 100) w USING (query_id) LEFT JOIN truth t ON t.id = w.query_id AND t.nbr = w.node GROUP BY k.query_id""",
+    "ablation_verdict": f"""WITH r AS ({ABLATION}),
+w AS (SELECT max(mrr) FILTER (ranker = 'bfs_distance') AS bfs_distance, max(mrr) FILTER (ranker = 'ctqw') AS ctqw FROM r),
+b AS (SELECT ranker, mrr FROM r WHERE ranker <> 'ctqw' ORDER BY mrr DESC, ranker LIMIT 1)
+SELECT bfs_distance, ctqw, CASE WHEN bfs_distance >= 0.95 * ctqw THEN 'marginal' WHEN ctqw > bfs_distance + 0.05 THEN 'substantial' ELSE 'close' END AS verdict, ranker AS best_baseline, mrr AS best_mrr FROM w, b""",
+    "method_verdict": f"""{MULTISEED}, m AS (SELECT method, avg(mrr) AS mean, avg(recall_5) AS recall FROM seeds GROUP BY method),
+w AS (SELECT max(mean) FILTER (method = 'topology') AS t, max(mean) FILTER (method = 'content') AS c, max(recall) FILTER (method = 'topology') AS r FROM m)
+SELECT method AS best, round(mean, 9) AS mean, CASE WHEN t > c + 0.05 THEN 'signature' WHEN c > t + 0.05 THEN 'encoder' ELSE 'close' END AS ahead, t > 0.0 AND t < 1.0 AS mrr_in_range, r > 0.5 AND r < 1.0 AS recall_in_range
+FROM m, w ORDER BY mean DESC, method DESC LIMIT 1""",
+    "storage_table": f"WITH {NODES} SELECT type, count(*) AS nodes, 32 * count(*) AS signature_bytes, 1536 * count(*) AS vector_bytes, 48.0::DOUBLE AS ratio FROM nodes GROUP BY type",
+    "lines_nodes": RECORDS,
+    "lines_edges": f"WITH {EDGES} SELECT source, target, type FROM edges",
+    "line_files_parts": "SELECT 'part:' || p_partkey AS id, p_name AS title, p_brand AS description FROM part",
+    "results_csv": f"WITH {EDGES}, d AS (SELECT id, count(*) AS n FROM ends GROUP BY id) SELECT split_part(id, ':', 1) AS type, count(*) AS nodes, printf('%.4f', avg(n))::DOUBLE AS degree FROM d GROUP BY ALL",
+    "sql_nearest": f"WITH {ADDRESS}, {of_text(TEXT, 'q')} SELECT a.id, {hamming('a.', 'q.')} AS dist FROM address a, q ORDER BY dist, a.id LIMIT 10",
     "sanitize_nodes": f"WITH {SANITIZED} SELECT * FROM clean",
     "sanitize_edges": f"WITH {EDGES} SELECT source, target, type FROM edges",
     "edge_integrity": f"WITH {GRAPH} SELECT DISTINCT id FROM ends WHERE id NOT IN (SELECT id FROM nodes WHERE type <> 'region')",

@@ -8,8 +8,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import bits, text, vectors
+from ..functions import bits, tables, text, vectors
 from ..operators import depth, evaluate, graph, hamming_index, motifs, paths, retrieval, sanitize, sensing, signatures, sketches, temporal, walk
+from ..sources import jsonl
+from ..sources.line_files import LineFiles
 from ..storage import scratch_path, written
 from .kg import kg_edges, kg_nodes, node_records, table, trade_edges
 
@@ -250,9 +252,9 @@ def method_scores(spark: SparkSession, sf_dir: str, chosen: DataFrame) -> dict[s
     return {name: evaluate.query_scores(found, asked, truth) for name, found in (("content", plain), ("topology", written(signatures.topology(plain, edges), "index")))}
 
 
-def multiseed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def multiseed(spark: SparkSession, sf_dir: str, seeds=SEEDS) -> DataFrame:
     """MRR and recall of each seed and method."""
-    chosen = written(samples(spark, sf_dir), "samples")
+    chosen = written(samples(spark, sf_dir, seeds), "samples")
     parts = [evaluate.seed_means(scores, chosen, name) for name, scores in method_scores(spark, sf_dir, chosen).items()]
     return reduce(DataFrame.unionByName, parts).select("seed", "method", F.round("mrr", 9).alias("mrr"), F.round("recall_5", 9).alias("recall_5"))
 
@@ -281,9 +283,9 @@ def multiseed_paired_t(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.paired_t(wide, "topology", "content").select("n", "df", "stars", *[F.round(c, 5).alias(c) for c in ("mean_diff", "std_diff", "t", "ratio")])
 
 
-def bits_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+def bits_sweep(spark: SparkSession, sf_dir: str, seed: int = 0) -> DataFrame:
     """MRR and recall of one seed by the address's width."""
-    base, truth, chosen = index(spark, sf_dir), graph.true_neighbors(kg_edges(spark, sf_dir)), written(samples(spark, sf_dir, (0,)), "samples")
+    base, truth, chosen = index(spark, sf_dir), graph.true_neighbors(kg_edges(spark, sf_dir)), written(samples(spark, sf_dir, (seed,)), "samples")
     parts = []
     for b in BITS:
         scores = evaluate.query_scores(base.select("id", *bits.resized(bits.limbs_of(), b)), chosen, truth)
@@ -356,6 +358,81 @@ def ranker_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def walk_scores(spark: SparkSession, sf_dir: str, seed: int = 0, k: int = 100) -> DataFrame:
+    """Reciprocal rank and recall of each query's walk, of whose list k rows count, which is all of a subgraph of fifty."""
+    asked = written(samples(spark, sf_dir, (seed,), 20), "samples")
+    subgraphs = written(graph.bfs_subgraph(asked, graph.undirected(kg_edges(spark, sf_dir)), 50), "subgraphs")
+    ranking = walk.walk_top_k(walk.local_scores(subgraphs, kg_edges(spark, sf_dir)), k)
+    found = evaluate.ranking_scores(ranking, asked, graph.true_neighbors(kg_edges(spark, sf_dir)))
+    return found.select("query_id", F.round("rr", 9).alias("rr"), F.round("recall", 9).alias("recall"))
+
+
+def ablation_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the walk adds to distance, and the best of the other rankers."""
+    found = written(ranker_ablation(spark, sf_dir), "ablation")
+    best = evaluate.best_of(found.select(F.col("ranker").alias("method"), F.col("mrr").alias("mean")), ("bfs_distance", "local_degree", "local_pagerank")).first()
+    wide = found.agg(*[F.max(F.when(F.col("ranker") == r, F.col("mrr"))).alias(r) for r in ("bfs_distance", "ctqw")])
+    verdict = evaluate.walk_verdict(F.col("bfs_distance"), F.col("ctqw")).alias("verdict")
+    return wide.select("bfs_distance", "ctqw", verdict, F.lit(best["method"]).alias("best_baseline"), F.lit(best["mean"]).alias("best_mrr"))
+
+
+def method_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best method over the seeds, which is ahead, and whether the topology's results lie in ranges that are expected of this graph."""
+    found = written(multiseed(spark, sf_dir), "seeds")
+    means = found.groupBy("method").agg(F.avg("mrr").alias("mean"))
+    best = evaluate.best_of(means, ("topology", "content")).first()
+    wide = found.agg(*[F.avg(F.when(F.col("method") == m, F.col(c))).alias(f"{m}_{c}") for m in ("topology", "content") for c in ("mrr", "recall_5")])
+    told = [evaluate.encoder_verdict(F.col("topology_mrr"), F.col("content_mrr")).alias("ahead"), evaluate.within(F.col("topology_mrr"), 0.0, 1.0).alias("mrr_in_range"), evaluate.within(F.col("topology_recall_5"), 0.5, 1.0).alias("recall_in_range")]
+    return wide.select(F.lit(best["method"]).alias("best"), F.lit(best["mean"]).alias("mean"), *told).withColumn("mean", F.round("mean", 9))
+
+
+def storage_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of all nodes' addresses and of float32 vectors of 384 dimensions, by type of node."""
+    size = evaluate.storage_bytes()
+    n = F.count("*")
+    return kg_nodes(spark, sf_dir).groupBy("type").agg(n.alias("nodes"), (n * size["signature"]).alias("signature_bytes"), (n * size["vector"]).alias("vector_bytes"), F.lit(float(size["ratio"])).alias("ratio"))
+
+
+def lines_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes written as JSON lines and read back."""
+    path = scratch_path(spark, "nodes")
+    jsonl.write_lines(node_records(spark, sf_dir), path)
+    return jsonl.read_nodes(spark, path).select("id", "type", "title", "cluster", "description")
+
+
+def lines_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges written as JSON lines and read back, an older file of them moved aside before; ends go by either name."""
+    path = scratch_path(spark, "edges")
+    edges = kg_edges(spark, sf_dir).drop("edge_seq")
+    jsonl.write_lines(edges.limit(0), path)
+    old = edges.where("type <> 'supplies'").unionByName(edges.where("type = 'supplies'").selectExpr("source as src", "target as tgt", "type"), allowMissingColumns=True)
+    jsonl.write_lines(old, path, backup=True)
+    return jsonl.read_edges(spark, path).select("source", "target", "type")
+
+
+def line_files_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes written and read by the data source of JSON lines, in ranges of 64 kB, of which it hands on the parts alone."""
+    spark.dataSource.register(LineFiles)
+    path = scratch_path(spark, "lines")
+    node_records(spark, sf_dir).write.format("line_files").mode("append").save(path)
+    back = spark.read.format("line_files").schema("id string, type string, title string, description string").option("splitBytes", 1 << 16).load(path)
+    return back.where("type = 'part'").select("id", "title", "description")
+
+
+def results_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean degrees by type of node, written as a table of results with four places and read back."""
+    path = scratch_path(spark, "results")
+    found = graph.degree(kg_edges(spark, sf_dir)).groupBy(F.split_part("id", F.lit(":"), F.lit(1)).alias("type")).agg(F.count("*").alias("nodes"), F.avg("degree").alias("degree"))
+    jsonl.write_results(found, path)
+    return jsonl.read_results(spark, path, "type string, nodes bigint, degree double")
+
+
+def sql_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`hamming_topk_text` by the table function of SQL."""
+    tables.register(spark, index(spark, sf_dir), "kg_addresses")
+    return spark.sql(f"SELECT id, dist FROM nearest(TABLE(kg_addresses), text => '{TEXT}', k => 10) ORDER BY dist, id LIMIT 10")
+
+
 def private_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers and customers in the private shape: labels, chains, states, and a field that is sensitive."""
     s = table(spark, sf_dir, "supplier").select(F.concat(F.lit("supplier:"), "s_suppkey").alias("id"), F.lit("spec").alias("type"), F.concat("s_name", F.lit("—"), F.lit("x")).alias("label"), F.when(F.col("s_nationkey") % 3 == 0, F.concat(F.lit("quantum_biology_H"), (F.col("s_nationkey") + 1).cast("string"))).alias("chain"), F.when(F.col("s_nationkey") % 2 == 0, "active").otherwise("unheard").alias("status"), F.when(F.col("s_acctbal") > 0, "title").alias("title"))
@@ -439,6 +516,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ctqw_topk": ctqw_topk,
     "hybrid_topk": hybrid_topk,
     "ranker_ablation": ranker_ablation,
+    "walk_scores": walk_scores,
+    "ablation_verdict": ablation_verdict,
+    "method_verdict": method_verdict,
+    "storage_table": storage_table,
+    "lines_nodes": lines_nodes,
+    "lines_edges": lines_edges,
+    "line_files_parts": line_files_parts,
+    "results_csv": results_csv,
+    "sql_nearest": sql_nearest,
     "sanitize_nodes": sanitize_nodes,
     "sanitize_edges": sanitize_edges,
     "edge_integrity": edge_integrity,

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Folders that each open `scratch` has seen written.
-_OPEN: list[list[str]] = []
+#: Folders that each `scratch` that is open in this thread has seen written.
+_OPEN: ContextVar[tuple[list[str], ...]] = ContextVar("open", default=())
+#: This driver's own folder among the scratch tables, and the folders that go when it ends.
+_RUN, _LEFT = uuid.uuid4().hex, set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,13 +39,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    path = f"{shared_dir(spark)}/brindle/{name}-{uuid.uuid4().hex}"
-    for made in _OPEN:
+    """A new path in the shared folder. What nothing has deleted before is deleted when this driver ends in order."""
+    own = f"{shared_dir(spark)}/brindle/{_RUN}"
+    if own not in _LEFT:
+        _LEFT.add(own)
+        atexit.register(_ended, spark, own)
+    path = f"{own}/{name}-{uuid.uuid4().hex}"
+    for made in _OPEN.get():
         made.append(path)
     return path
 
 
+def _ended(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session may be gone
+        drop_written(spark, path)
+
+
 def drop_written(spark: SparkSession, path: str) -> None:
     """Delete a folder through the file system that its path names."""
     jvm = spark.sparkContext._jvm
@@ -50,21 +63,21 @@ def drop_written(spark: SparkSession, path: str) -> None:
 
 
 def clear_scratch(spark: SparkSession) -> None:
-    """Delete every table that `written` left in the shared folder; results that read them end."""
+    """Delete every table that `written` left in the shared folder, other drivers' too; results that read them end."""
     drop_written(spark, f"{shared_dir(spark)}/brindle")
 
 
 @contextlib.contextmanager
 def scratch(spark: SparkSession) -> Iterator[list[str]]:
-    """Collects the folders that are written inside; those still in the list at its end are deleted.
+    """Collects the folders that this thread writes inside; those still in the list at its end are deleted.
 
-    What shall stay is taken from the list. DataFrames that read the others end with them.
+    Scopes of other threads don't see them. What shall stay is taken from the list. DataFrames that read the others end with them.
     """
     made: list[str] = []
-    _OPEN.append(made)
+    token = _OPEN.set((*_OPEN.get(), made))
     try:
         yield made
     finally:
-        _OPEN[:] = [m for m in _OPEN if m is not made]
+        _OPEN.reset(token)
         for path in made:
             drop_written(spark, path)

@@ -55,3 +55,30 @@ def test_backup(spark, tmp_path):
         jsonl.write_lines(df, str(tmp_path / "out"), backup=True)
     assert sorted(p.name for p in tmp_path.iterdir()) == ["out", "out.bak", "out.bak1"]
     assert jsonl.backed_up(spark, str(tmp_path / "none")) is None
+
+
+def test_scopes_of_threads_are_apart(spark):
+    """A table that one thread writes stays while another thread's scope ends."""
+    import threading
+
+    from brindle.storage import scratch, written
+
+    inside, done = threading.Event(), threading.Event()
+
+    def other():
+        with scratch(spark) as made:
+            inside.set()
+            done.wait(60)
+            assert made == []
+
+    thread = threading.Thread(target=other)
+    thread.start()
+    inside.wait(60)
+    table = written(spark.range(5), "mine")
+    done.set()
+    thread.join()
+    assert table.count() == 5
+    with scratch(spark) as made:
+        gone = written(spark.range(3), "gone")
+        assert gone.count() == 3 and len(made) == 1
+    assert table.count() == 5
