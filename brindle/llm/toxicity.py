@@ -83,16 +83,12 @@ class Index:
         self.most = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
         self.pairs = np.searchsorted(word[first], np.arange(len(idf) + 1))  # of each word
 
-    def nearest(self, counts: Counter, unknown: float, k: int) -> list[tuple[float, int]]:
+    def nearest(self, words: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[float, int]]:
         """(cosine, example) of the k nearest, nearest first, equal ones by their number; those that share no word are none.
 
-        `unknown` is the weight of a word that no example holds, which counts for the length.
+        Words that no example holds (-1) count for the length.
         """
-        if not counts or not self.examples:
-            return []
-        words = np.fromiter(map(self.number.get, counts, repeat(-1)), np.int64, len(counts))
         known = words >= 0
-        weights = (1 + np.log(np.fromiter(counts.values(), np.float64, len(counts)))) * np.where(known, self.idf[words], unknown)
         weights, words = (weights / np.sqrt(weights @ weights))[known], words[known]
         sizes = self.pairs[words + 1] - self.pairs[words]
         pairs, by = _spans(self.pairs[words], sizes), np.repeat(weights, sizes)
@@ -129,7 +125,6 @@ class Model:
     index: Index | None = None
     terms: dict[bytes, int] = field(default_factory=dict)
     idf: np.ndarray | None = None  # of each term
-    held: dict[bytes, int] = field(default_factory=dict)  # examples that hold each word
     rarity: np.ndarray = field(default_factory=lambda: np.ones(1))  # idf by the number of examples that hold a word
     ids: list = field(default_factory=list)
     labels: np.ndarray | None = None
@@ -157,19 +152,28 @@ class Model:
             return np.zeros(0, np.int64), np.zeros(0)
         terms = np.fromiter(found, np.int64, len(found))
         weights = (1 + np.log(np.fromiter(found.values(), np.float64, len(found)))) * self.idf[terms]
-        number = np.fromiter(map(self.held.get, counts, repeat(0)), np.int64, len(counts))
-        whole = (1 + np.log(np.fromiter(counts.values(), np.float64, len(counts)))) * self.rarity[number]
+        whole = self.weights(counts)[1]
         beginnings = weights[terms >= self.words]
         return terms, weights / np.sqrt(whole @ whole + beginnings @ beginnings)
 
+    def weights(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
+        """The document's words, as the index numbers them (-1 for those of no example), and their weights."""
+        words = np.fromiter(map(self.index.number.get, counts, repeat(-1)), np.int64, len(counts))
+        idf = np.where(words >= 0, self.index.idf[words], self.rarity[0])
+        return words, (1 + np.log(np.fromiter(counts.values(), np.float64, len(counts)))) * idf
+
     def neighbours(self, counts: Counter) -> list[tuple[float, int]]:
         """(cosine, example) of the nearest examples by the cosine over all words."""
-        return self.index.nearest(counts, float(self.rarity[0]), self.bounds.neighbours) if self.index else []
+        return self.index.nearest(*self.weights(counts), self.bounds.neighbours) if counts and self.index and self.index.examples else []
+
+    def voters(self, counts: Counter, memory: dict) -> list[tuple[float, float, int]]:
+        """(vote, cosine, example) of the nearest examples that vote, the heaviest first.
 
-    def voters(self, near: list[tuple[float, int]], counts: Counter, memory: dict) -> list[tuple[float, float, int]]:
-        """(vote, cosine, example) of the neighbours that vote, the heaviest first."""
-        terms, weights = self.vector(counts, memory) if near else ((), ())
-        if not len(terms):
+        A document without associated terms shares none with any example: it has no voters, and none are looked for.
+        """
+        terms, weights = self.vector(counts, memory)
+        near = self.neighbours(counts) if len(terms) else []
+        if not near:
             return []
         examples = np.array([e for _, e in near])
         votes = weights @ self.tiles[self.tile[terms[:, None], examples[None, :] // BLOCK], examples[None, :] % BLOCK]
@@ -239,8 +243,7 @@ def fit(rows: list[tuple], bounds: Bounds = Bounds(), weights: tuple[float, floa
         part = build(counted, np.setdiff1d(every, mine), whole - counted.held(mine), bounds)
         memory: dict = {}
         for k in mine.tolist():
-            counts = term_counts(rows[k][1])
-            found.append((part.raw_parts(part.voters(part.neighbours(counts), counts, memory)), int(rows[k][2])))
+            found.append((part.raw_parts(part.voters(term_counts(rows[k][1]), memory)), int(rows[k][2])))
     model = build(counted, every, whole, bounds)
     votes = [both for (_, both), y in found if y and both > 0]
     model.unit = float(np.median(votes)) if votes else 1.0
@@ -262,7 +265,6 @@ def build(counted: _Counted, rows: np.ndarray, held: np.ndarray, bounds: Bounds)
     good.sort(key=lambda t: (-association[t], counted.terms[t]))
     chosen = np.sort(np.array(good[: bounds.terms], np.int64))  # words first, beginnings after them
     number = (a + b).astype(np.int64)
-    model.held = {counted.terms[k]: int(number[k]) for k in np.flatnonzero(number[: counted.n_words]).tolist()}
     model.rarity = 1 + np.log((1 + total) / (1 + np.arange(total + 1)))
     model.terms = {counted.terms[t]: j for j, t in enumerate(chosen.tolist())}
     model.words = int((chosen < counted.n_words).sum())
@@ -384,7 +386,7 @@ def score(documents: DataFrame, model: Model, threshold: float = 0.7, evidence:
         for batch in batches:
             scores, proofs = [], []
             for text in as_bytes(batch.column(1)):
-                votes = _votes(model, text, memory)
+                votes = model.voters(term_counts(text), memory)
                 scores.append(model.calibrated(model.raw(votes)))
                 if evidence:
                     proofs.append([{"doc_id": example[e], "label": int(model.labels[e]), "cosine": c, "vote": v} for v, c, e in votes])
@@ -394,11 +396,6 @@ def score(documents: DataFrame, model: Model, threshold: float = 0.7, evidence:
     return mapped(own_columns(documents, doc_id="doc_id", text="text"), rows, schema)
 
 
-def _votes(model: Model, text: bytes | None, memory: dict) -> list[tuple[float, float, int]]:
-    counts = term_counts(text)
-    return model.voters(model.neighbours(counts), counts, memory)
-
-
 def accepted(documents: DataFrame, model: Model, threshold: float = 0.7, text_column: str = "text") -> DataFrame:
     """The documents whose score stays below the threshold; all columns stay."""
     small_batches(documents.sparkSession)
@@ -408,7 +405,7 @@ def accepted(documents: DataFrame, model: Model, threshold: float = 0.7, text_co
     def rows(batches) -> Iterator:
         model, memory = given.value, {}
         for batch in batches:
-            raw = (model.raw(_votes(model, t, memory)) for t in as_bytes(batch.column(at)))
+            raw = (model.raw(model.voters(term_counts(t), memory)) for t in as_bytes(batch.column(at)))
             yield batch.filter(pa.array([model.calibrated(r) < threshold for r in raw], pa.bool_()))
 
     return documents.mapInArrow(rows, documents.schema)

@@ -95,7 +95,7 @@ def test_neighbours_votes_and_score_are_exact(monkeypatch, block, neighbours):
         order = ranked(cosines, neighbours)
         assert [e for _, e in near] == order and [c for c, _ in near] == pytest.approx([cosines[e] for e in order], abs=1e-8)
         heard = [order[k] for k in ranked([votes[e] for e in order], 5)]
-        got = model.voters(near, counts, {})
+        got = model.voters(counts, {})
         assert [e for _, _, e in got] == heard and [v for v, _, _ in got] == pytest.approx([votes[e] for e in heard], abs=1e-8)
         whole = sum(votes[e] for e in heard)
         share = sum(votes[e] * model.labels[e] for e in heard) / (whole + model.bounds.doubt * model.unit)
