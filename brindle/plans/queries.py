@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bits, tables, text, vectors
 from ..operators import depth, evaluate, graph, hamming_index, motifs, paths, retrieval, sanitize, sensing, signatures, sketches, temporal, walk
-from ..sources import jsonl
-from ..sources.line_files import LineFiles
+from ..sources import jsonl, line_files
 from ..storage import scratch_path, written
 from .kg import kg_edges, kg_nodes, node_records, table, trade_edges
 
@@ -412,7 +411,7 @@ def lines_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def line_files_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes written and read by the data source of JSON lines, in ranges of 64 kB, of which it hands on the parts alone."""
-    spark.dataSource.register(LineFiles)
+    line_files.register(spark)
     path = scratch_path(spark, "lines")
     node_records(spark, sf_dir).write.format("line_files").mode("append").save(path)
     back = spark.read.format("line_files").schema("id string, type string, title string, description string").option("splitBytes", 1 << 16).load(path)

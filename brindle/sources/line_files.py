@@ -1,8 +1,8 @@
 """A data source of JSON lines: files are read in byte ranges, pushed filters drop lines before Spark sees them.
 
-`spark.dataSource.register(LineFiles)`, then `spark.read.format("line_files").schema(...).load(path)` and
+`register(spark)`, then `spark.read.format("line_files").schema(...).load(path)` and
 `df.write.format("line_files").mode(...).save(path)`. Files are reached by pyarrow's file systems, so a path may name
-one that the workers share. Filters come in with spark.sql.python.filterPushdown.enabled.
+one that the workers share.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.fs as pafs
+from pyspark.sql import SparkSession
 from pyspark.sql import datasource as ds
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BooleanType, DataType, DoubleType, FloatType, IntegerType, LongType, ShortType, StringType, StructType
@@ -198,3 +199,9 @@ class LineFiles(ds.DataSource):
         for f in schema:
             converter(f.dataType)
         return LineWriter(dict(self.options), overwrite)
+
+
+def register(spark: SparkSession) -> None:
+    """Make the source known to a session, which from then on pushes filters to Python data sources."""
+    spark.dataSource.register(LineFiles)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")

@@ -6,15 +6,14 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from brindle.sources.line_files import LineFiles, LineReader, LineWriter, Range
+from brindle.sources.line_files import LineReader, LineWriter, Range, register
 
 SCHEMA = "id string, n bigint, x double, ok boolean, extra string"
 
 
 @pytest.fixture()
 def source(spark):
-    spark.dataSource.register(LineFiles)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    register(spark)
     yield spark
     spark.conf.unset("spark.sql.python.filterPushdown.enabled")
 
