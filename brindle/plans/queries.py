@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
+from contextvars import ContextVar
+from functools import reduce, wraps
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,25 +23,57 @@ SEEDS = tuple(range(10))
 TEXT, OTHER = "BRAZIL supplier", "AUTOMOBILE part"
 
 
+#: Tables that one query reads more than once, by name and folder.
+_SCOPE: ContextVar[dict | None] = ContextVar("scope", default=None)
+
+
+def _stored(name: str, spark: SparkSession, sf_dir: str, make: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
+    """A table that is written once in a query, however many of its parts read it."""
+    scope = _SCOPE.get()
+    scope = {} if scope is None else scope
+    if (name, sf_dir) not in scope:
+        scope[name, sf_dir] = written(make(spark, sf_dir), name)
+    return scope[name, sf_dir]
+
+
+def _scoped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query with a scope of its own for what it stores."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        token = _SCOPE.set({})
+        try:
+            return query(spark, sf_dir)
+        finally:
+            _SCOPE.reset(token)
+
+    return run
+
+
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The graph's edges, stored: their source tables are read once in a query."""
+    return _stored("edges", spark, sf_dir, kg_edges)
+
+
 def content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signatures.simhash(kg_nodes(spark, sf_dir))
 
 
 def addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signatures.build_addresses(kg_nodes(spark, sf_dir), graph.undirected(kg_edges(spark, sf_dir)))
+    return signatures.build_addresses(kg_nodes(spark, sf_dir), graph.undirected(edges(spark, sf_dir)))
 
 
 def index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The addresses as a stored index: it is built once and read as often as a query needs it."""
-    return written(addresses(spark, sf_dir), "index")
+    return _stored("index", spark, sf_dir, addresses)
 
 
 def eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.eligible(kg_nodes(spark, sf_dir), kg_edges(spark, sf_dir))
+    return graph.eligible(kg_nodes(spark, sf_dir), edges(spark, sf_dir))
 
 
 def samples(spark: SparkSession, sf_dir: str, seeds=SEEDS, n: int = 50) -> DataFrame:
-    return evaluate.sampled(eligible(spark, sf_dir), seeds, n)
+    return _stored(f"samples-{n}-{'-'.join(map(str, seeds))}", spark, sf_dir, lambda spark, sf_dir: evaluate.sampled(eligible(spark, sf_dir), seeds, n))
 
 
 def undirected_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,13 +151,13 @@ def hamming_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sensed_address(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Addresses of two widths by compressed sensing of the adjacency rows, as hex."""
-    found = sensing.sensed(kg_nodes(spark, sf_dir), graph.true_neighbors(kg_edges(spark, sf_dir)), SENSED[:2])
+    found = sensing.sensed(kg_nodes(spark, sf_dir), graph.true_neighbors(edges(spark, sf_dir)), SENSED[:2])
     return reduce(DataFrame.unionByName, [a.select("id", F.lit(b).alias("bits"), bits.to_hex(bits.limbs_of(bits=b)).alias("address")) for b, a in found.items()])
 
 
 def sensed_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MRR and recall of one seed by the sensed address's width, beside the topology address."""
-    truth, chosen = written(graph.true_neighbors(kg_edges(spark, sf_dir)), "truth"), written(samples(spark, sf_dir, (0,)), "samples")
+    truth, chosen = written(graph.true_neighbors(edges(spark, sf_dir)), "truth"), written(samples(spark, sf_dir, (0,)), "samples")
     found = [("sensed", b, written(a, "sensed")) for b, a in sensing.sensed(kg_nodes(spark, sf_dir), truth, SENSED).items()]
     parts = []
     for method, b, addressed in [*found, ("topology", 256, index(spark, sf_dir))]:
@@ -135,13 +168,13 @@ def sensed_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def depth_address(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Addresses by votes of two edges' depth, each edge halving the weight."""
-    return depth.depth_addresses(written(content(spark, sf_dir), "content"), graph.undirected(kg_edges(spark, sf_dir)), DECAY[2:3])[0]
+    return depth.depth_addresses(written(content(spark, sf_dir), "content"), graph.undirected(edges(spark, sf_dir)), DECAY[2:3])[0]
 
 
 def depth_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MRR and recall of one seed by the votes' depth."""
-    truth, chosen = written(graph.true_neighbors(kg_edges(spark, sf_dir)), "truth"), written(samples(spark, sf_dir, (0,)), "samples")
-    found = depth.depth_addresses(written(content(spark, sf_dir), "content"), graph.undirected(kg_edges(spark, sf_dir)), DECAY)
+    truth, chosen = written(graph.true_neighbors(edges(spark, sf_dir)), "truth"), written(samples(spark, sf_dir, (0,)), "samples")
+    found = depth.depth_addresses(written(content(spark, sf_dir), "content"), graph.undirected(edges(spark, sf_dir)), DECAY)
     parts = []
     for k, addressed in enumerate(found):
         means = evaluate.seed_means(evaluate.query_scores(written(addressed, "depth"), chosen, truth), chosen, "depth")
@@ -160,7 +193,7 @@ def trade_census(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def landmark_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distances from the four nodes with most edges to every node."""
-    near = written(graph.undirected(kg_edges(spark, sf_dir)).select("id", "nbr"), "near")
+    near = written(graph.undirected(edges(spark, sf_dir)).select("id", "nbr"), "near")
     return paths.distances(near, written(paths.landmarks(near, 4), "landmarks"))
 
 
@@ -245,10 +278,10 @@ def vector_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def method_scores(spark: SparkSession, sf_dir: str, chosen: DataFrame) -> dict[str, DataFrame]:
     """Each method's scores of all queries that any seed samples."""
-    nodes, edges = kg_nodes(spark, sf_dir), graph.undirected(kg_edges(spark, sf_dir))
+    nodes, both = kg_nodes(spark, sf_dir), graph.undirected(edges(spark, sf_dir))
     plain = written(signatures.simhash_arrow(nodes), "content")
-    truth, asked = written(edges.select("id", "nbr").distinct(), "truth"), chosen.select("query_id").distinct()
-    return {name: evaluate.query_scores(found, asked, truth) for name, found in (("content", plain), ("topology", written(signatures.topology(plain, edges), "index")))}
+    truth, asked = written(both.select("id", "nbr").distinct(), "truth"), chosen.select("query_id").distinct()
+    return {name: evaluate.query_scores(found, asked, truth) for name, found in (("content", plain), ("topology", written(signatures.topology(plain, both), "index")))}
 
 
 def multiseed(spark: SparkSession, sf_dir: str, seeds=SEEDS) -> DataFrame:
@@ -264,7 +297,7 @@ def multiseed_encoder(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("number"), F.col("embedding").alias("vector"))
     v = written(kg_nodes(spark, sf_dir).select("id", F.expr("cast(split_part(id, ':', 2) as bigint)").alias("number")).join(v, "number").select("id", "vector"), "vectors")
     asked = chosen.select(F.col("query_id")).distinct()
-    found = evaluate.vector_scores(v, v.withColumnRenamed("id", "query_id").join(asked, "query_id"), graph.true_neighbors(kg_edges(spark, sf_dir)).join(F.broadcast(asked.withColumnRenamed("query_id", "id")), "id"))
+    found = evaluate.vector_scores(v, v.withColumnRenamed("id", "query_id").join(asked, "query_id"), graph.true_neighbors(edges(spark, sf_dir)).join(F.broadcast(asked.withColumnRenamed("query_id", "id")), "id"))
     found = asked.join(found, "query_id", "left").select("query_id", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("rr", "recall")])
     third = evaluate.seed_means(found, chosen, "vector").select("seed", "method", F.round("mrr", 9).alias("mrr"), F.round("recall_5", 9).alias("recall_5"))
     return multiseed(spark, sf_dir).unionByName(third)
@@ -284,7 +317,7 @@ def multiseed_paired_t(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bits_sweep(spark: SparkSession, sf_dir: str, seed: int = 0) -> DataFrame:
     """MRR and recall of one seed by the address's width."""
-    base, truth, chosen = index(spark, sf_dir), graph.true_neighbors(kg_edges(spark, sf_dir)), written(samples(spark, sf_dir, (seed,)), "samples")
+    base, truth, chosen = index(spark, sf_dir), graph.true_neighbors(edges(spark, sf_dir)), written(samples(spark, sf_dir, (seed,)), "samples")
     parts = []
     for b in BITS:
         scores = evaluate.query_scores(base.select("id", *bits.resized(bits.limbs_of(), b)), chosen, truth)
@@ -303,7 +336,7 @@ def vectors_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ego(spark: SparkSession, sf_dir: str, hops: int | None = 1, most: int | None = None) -> DataFrame:
     """Subgraphs around one seed's queries, up to a number of hops or nodes."""
-    near = graph.undirected(kg_edges(spark, sf_dir))
+    near = graph.undirected(edges(spark, sf_dir))
     return graph.bfs_subgraph(samples(spark, sf_dir, (0,), 20), near, most, hops)
 
 
@@ -317,7 +350,7 @@ def bfs_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def induced_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = graph.induced_edges(ego(spark, sf_dir, 2), kg_edges(spark, sf_dir))
+    found = graph.induced_edges(ego(spark, sf_dir, 2), edges(spark, sf_dir))
     return found.groupBy("query_id").agg(F.count("*").alias("edges"))
 
 
@@ -333,7 +366,7 @@ def local_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def capped_scores(spark: SparkSession, sf_dir: str, walked: bool = True) -> DataFrame:
-    return walk.local_scores(written(bfs_capped(spark, sf_dir), "subgraphs"), kg_edges(spark, sf_dir), walked=walked)
+    return walk.local_scores(written(bfs_capped(spark, sf_dir), "subgraphs"), edges(spark, sf_dir), walked=walked)
 
 
 def ctqw_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -349,7 +382,7 @@ def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ranker_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MRR and recall of the four rankers over the same capped subgraphs."""
-    scores, truth = written(capped_scores(spark, sf_dir), "scores"), graph.true_neighbors(kg_edges(spark, sf_dir))
+    scores, truth = written(capped_scores(spark, sf_dir), "scores"), graph.true_neighbors(edges(spark, sf_dir))
     asked, parts = samples(spark, sf_dir, (0,), 20), []
     for name in walk.RANKERS:
         found = evaluate.ranking_scores(walk.ranked(scores, name), asked, truth)
@@ -360,9 +393,9 @@ def ranker_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def walk_scores(spark: SparkSession, sf_dir: str, seed: int = 0, k: int = 100) -> DataFrame:
     """Reciprocal rank and recall of each query's walk, of whose list k rows count, which is all of a subgraph of fifty."""
     asked = written(samples(spark, sf_dir, (seed,), 20), "samples")
-    subgraphs = written(graph.bfs_subgraph(asked, graph.undirected(kg_edges(spark, sf_dir)), 50), "subgraphs")
-    ranking = walk.walk_top_k(walk.local_scores(subgraphs, kg_edges(spark, sf_dir)), k)
-    found = evaluate.ranking_scores(ranking, asked, graph.true_neighbors(kg_edges(spark, sf_dir)))
+    subgraphs = written(graph.bfs_subgraph(asked, graph.undirected(edges(spark, sf_dir)), 50), "subgraphs")
+    ranking = walk.walk_top_k(walk.local_scores(subgraphs, edges(spark, sf_dir)), k)
+    found = evaluate.ranking_scores(ranking, asked, graph.true_neighbors(edges(spark, sf_dir)))
     return found.select("query_id", F.round("rr", 9).alias("rr"), F.round("recall", 9).alias("recall"))
 
 
@@ -530,3 +563,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "field_counts": field_counts,
     "sensitive_scan": sensitive_scan,
 }
+QUERIES = {name: _scoped(query) for name, query in QUERIES.items()}
