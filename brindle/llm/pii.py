@@ -8,6 +8,7 @@ nothing. Terms from one threshold on are generalised, from a higher one on remov
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -157,14 +158,13 @@ def pair_counts(texts: DataFrame, counts: dict[str, int] | None, highest: float,
         known, pairs = given.value, {}
         for batch in batches:
             for copies, held, terms in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                some = [(t, 0 if known is None else known[t]) for t in terms if known is None or t in known]
+                some = sorted((0 if known is None else known[t], t) for t in terms if known is None or t in known)
+                rarest = [n for n, _ in some]
                 for e in held:
-                    most = highest * e["n_entity"] ** power
-                    for t, n in some:
-                        if n <= most:
-                            pair = pairs.setdefault((e["entity"], t), [0, 0])
-                            pair[0] += copies
-                            pair[1] += 1
+                    for _, t in some[: bisect.bisect_right(rarest, highest * e["n_entity"] ** power)]:
+                        pair = pairs.setdefault((e["entity"], t), [0, 0])
+                        pair[0] += copies
+                        pair[1] += 1
                     if len(pairs) > HELD_PAIRS:
                         yield told(pairs)
                         pairs = {}
@@ -174,15 +174,23 @@ def pair_counts(texts: DataFrame, counts: dict[str, int] | None, highest: float,
     return found.groupBy("entity", "term").agg(F.sum("n_both").alias("n_both"), F.sum("texts").alias("texts"))
 
 
-def disclosing(documents: DataFrame, found: DataFrame, thresholds: Thresholds = Thresholds(), text_column: str = "text") -> DataFrame:
-    """entity, term, disclosure of the pairs from the lower threshold on, by counts over whole documents."""
+def disclosing(documents: DataFrame, found: DataFrame, thresholds: Thresholds = Thresholds(), text_column: str = "text", each_entity: bool = True) -> DataFrame:
+    """entity, term, disclosure of the pairs from the lower threshold on, by counts over whole documents.
+
+    Entities that stand in just the same rows disclose the same, so one of them is counted for all: a directory of many
+    addresses costs its words, not addresses times words. Without `each_entity` only that one is told.
+    """
     total = documents.count()
     bearing = found.where("entities is not null")
     rows = bearing.groupBy("row").agg(F.count("*").alias("copies"))  # a text counts once as support
     each = bearing.select("row", F.explode("entities").alias("entity")).distinct().join(rows, "row")
-    entities = each.groupBy("entity").agg(F.sum("copies").alias("n_entity"), F.count("*").alias("texts"))
-    entities = entities.where((F.col("texts") >= thresholds.support) & (F.col("n_entity") < total)).select("entity", "n_entity")
-    entities = sent(entities, "supported")
+    where = [F.bit_xor(F.xxhash64(F.lit(k), "row")).alias(f"rows{k}") for k in range(2)]  # two hashes of the set of rows
+    entities = each.groupBy("entity").agg(F.sum("copies").alias("n_entity"), F.count("*").alias("texts"), *where)
+    entities = written(entities.where((F.col("texts") >= thresholds.support) & (F.col("n_entity") < total)), "supported")
+    alike = ["n_entity", "texts", "rows0", "rows1"]
+    ones = entities.groupBy(*alike).agg(F.min("entity").alias("one"))
+    named = entities.join(ones, alike).select("entity", "one")
+    entities = sent(ones.select(F.col("one").alias("entity"), "n_entity"), "entities")
     held = each.join(entities, "entity").groupBy("row").agg(F.first("copies").alias("copies"), F.collect_list(F.struct("entity", "n_entity")).alias("held"))
     names = bearing.select("row", F.transform("terms", lambda x: x["term"]).alias("terms")).dropDuplicates(["row"])
     texts = written(names.join(held, "row"), "texts")
@@ -196,7 +204,8 @@ def disclosing(documents: DataFrame, found: DataFrame, thresholds: Thresholds =
     pairs = pair_counts(texts, known, highest, thresholds.generalise).where(F.col("texts") >= thresholds.support)
     pairs = pairs.join(entities, "entity").join(counts, "term")
     share = F.log(F.lit(float(total)) * F.col("n_both") / (F.col("n_entity") * F.greatest("n", "n_both"))) / F.log(F.lit(float(total)) / F.col("n_entity"))
-    return pairs.select("entity", "term", share.alias("disclosure")).where(F.col("disclosure") >= thresholds.generalise)
+    pairs = pairs.select("entity", "term", share.alias("disclosure")).where(F.col("disclosure") >= thresholds.generalise)
+    return pairs.withColumnRenamed("entity", "one").join(named, "one").select("entity", "term", "disclosure") if each_entity else pairs
 
 
 def sanitised_spans(documents: DataFrame, thresholds: Thresholds = Thresholds(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -208,7 +217,7 @@ def sanitised_spans(documents: DataFrame, thresholds: Thresholds = Thresholds(),
     an empty table gives no rows.
     """
     found = written(detect(documents, id_column, text_column), "entities")
-    pairs = written(disclosing(documents, found, thresholds, text_column), "pairs")
+    pairs = written(disclosing(documents, found, thresholds, text_column, each_entity=False), "pairs")
     pairs = F.broadcast(pairs) if pairs.count() <= SENT_TERMS else pairs
     bearing = found.where("entities is not null")
     placed = bearing.select("row", F.explode("terms").alias("x")).select("row", "x.*").join(pairs, "term")

@@ -132,6 +132,21 @@ def test_counts_at_random(spark, monkeypatch, sent):
     assert got == disclosed(rows) and got
 
 
+def test_a_directory_costs_its_words(spark):
+    """Entities of the same rows are counted once for all, and tell what each of them tells."""
+    names = [f"p{k}@mail.org" for k in range(300)]
+    rows = [(k, " ".join([f"word{j} {a}" for j, a in enumerate(names)] + [f"copy{k}"])) for k in range(3)]
+    rows += [(10, f"{names[0]} word1"), *((20 + k, f"plain text {k} word1") for k in range(30))]
+    df = frame(spark, rows)
+    found = written(pii.detect(df), "found")
+    few = pii.disclosing(df, found, each_entity=False).collect()
+    assert len({x["entity"] for x in few}) <= 2 and len(few) <= 600
+    got = {(x["entity"], x["term"]): round(x["disclosure"], 9) for x in pii.disclosing(df, found).collect()}
+    assert got == disclosed(rows) and len(got) > 80_000
+    spans = {x["doc_id"]: [s for s in x["spans"] if s["kind"] == "remove"] for x in pii.sanitised_spans(df).collect()}
+    assert len(spans[0]) == 299 and not spans[20]
+
+
 def test_replacing():
     assert pii.sanitise("abc Def 12", [(0, 3, "remove"), (4, 7, "generalise"), (8, 10, "generalise")]) == " [NAME] [NUMBER]"
     assert pii.sanitise("0123456789", [(0, 5, "card"), (3, 7, "phone")]) == "[CARD]789"
