@@ -211,9 +211,9 @@ def _proofs(index: np.ndarray, nodes: np.ndarray, starts: list[int], widths: lis
     at = index[:, None] // a ** np.arange(levels)[None, :]
     place = at % a
     sibling = (at - place)[:, :, None] + np.arange(a)[None, None, :]
-    other = (sibling < np.array(widths[:levels])[None, :, None]) & (np.arange(a)[None, None, :] != place[:, :, None])
+    other = (sibling < np.array(widths[:levels], np.int64)[None, :, None]) & (np.arange(a)[None, None, :] != place[:, :, None])
     shared = np.array([s for _, some in above for s in some], "S64")
-    ids = np.where(other, sibling + np.array(starts[:levels])[None, :, None], -1).reshape(len(index), levels * a)
+    ids = np.where(other, sibling + np.array(starts[:levels], np.int64)[None, :, None], -1).reshape(len(index), levels * a)
     both = np.concatenate([ids, np.broadcast_to(len(nodes) + np.arange(len(shared)), (len(index), len(shared)))], axis=1)
     values = np.concatenate([nodes, shared])[both[both >= 0]]
     text = pa.StringArray.from_buffers(len(values), pa.py_buffer(np.arange(0, 64 * (len(values) + 1), 64, dtype=np.int32)), pa.py_buffer(values.tobytes()))

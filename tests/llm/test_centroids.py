@@ -10,7 +10,7 @@ from brindle.storage import scratch
 
 def plain(rows, how):
     """Every distance in every round, without bounds: id -> (cluster, distance), and the centroids."""
-    kept = [(i, np.floor(how.scale * np.array(v, float)).astype(np.int64)) for i, v in rows if v is not None and len(v) == how.dimension and None not in v and np.isfinite(v).all()]
+    kept = [(i, np.floor(how.scale * np.array(v, np.float32).astype(float)).astype(np.int64)) for i, v in rows if v is not None and len(v) == how.dimension and None not in v and np.isfinite(v).all()]
     ids, x = [i for i, _ in kept], np.array([v for _, v in kept]).reshape(len(kept), how.dimension)
     key = lambda k: (hashlib.sha256(f"{how.seed}{ids[k]}".encode()).hexdigest(), x[k].tolist())
     c = x[sorted((k for k in range(len(ids)) if ids[k] is not None), key=key)[: how.centroids]].copy()
