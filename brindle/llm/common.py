@@ -87,6 +87,19 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def heaps_returned(spark: SparkSession) -> None:
+    """Have the JVMs of the driver and of the executors collect their heaps and return what is free.
+
+    What one stage of a job has used isn't needed by the next, whose Python workers need memory beside the heap. One
+    task for each executor asks for it; where an executor gets none, its heap stays as it is.
+    """
+    context = spark.sparkContext
+    context._jvm.System.gc()
+    executors = max(1, context._jsc.sc().getExecutorMemoryStatus().size() - 1)
+    spark.range(0, executors, 1, executors).select(F.expr("reflect('java.lang.System', 'gc')").alias("done")).write.format("noop").mode("overwrite").save()
+    give_back()
+
+
 def mapped(df: DataFrame, rows, schema: str) -> DataFrame:
     """mapInArrow with a function from an iterator of batches to an iterator of column lists.
 

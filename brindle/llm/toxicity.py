@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, mapped, own_columns, sent, small_batches, words_of, written
+from .common import as_bytes, give_back, mapped, own_columns, sent, small_batches, words_of, written
 
 #: Examples in a block of the index.
 BLOCK = 64
@@ -244,10 +244,14 @@ def fit(rows: list[tuple], bounds: Bounds = Bounds(), weights: tuple[float, floa
         memory: dict = {}
         for k in mine.tolist():
             found.append((part.raw_parts(part.voters(term_counts(rows[k][1]), memory)), int(rows[k][2])))
+        del part, memory
+        give_back()  # the driver lives on
     model = build(counted, every, whole, bounds)
     votes = [both for (_, both), y in found if y and both > 0]
     model.unit = float(np.median(votes)) if votes else 1.0
     model.steps = curve([(model.share(*parts), y, weights[y]) for parts, y in found])
+    del counted
+    give_back()
     return model
 
 
