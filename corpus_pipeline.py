@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm import decontam, neardup, pieces, pii, toxicity
-from brindle.llm.common import drop_written, scratch, scratch_path
+from brindle.llm.common import drop_written, heaps_returned, scratch, scratch_path
 from brindle.llm.queries import piece_model, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -28,22 +28,26 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Texts without words are in no group, nor are rows with a null id. Of rows that repeat id and text one stays.
     """
+    heaps_returned(spark)
     return neardup.deduplicated(docs.select(*COLUMNS), neardup.Join(words=5, percent=80))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold ten words of a benchmark item in a row, or a whole shorter item, go; without items all stay."""
+    heaps_returned(spark)
     return decontam.cleaned(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"), window=10)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and the terms that disclose it are replaced; n_chars follows the text. A null text, and its n_chars, stay."""
+    heaps_returned(spark)
     docs = pii.sanitised(docs.select(*COLUMNS))
     return docs.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*COLUMNS)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's piece ids, and whether they decode to its text; a null or empty text has the end id alone. Repeated rows each have a row."""
+    heaps_returned(spark)
     found = pieces.encode(docs.withColumn("key", F.struct("doc_id", "lang", "source", "text")), piece_model(), id_column="key")
     return found.select("doc_id.doc_id", "doc_id.lang", "doc_id.source", "ids", F.size("ids").cast("long").alias("n_tokens"), (F.col("decoded") == F.coalesce("doc_id.text", F.lit(""))).alias("round_trip"))
 
