@@ -7,7 +7,6 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from brindle.functions import bits
 from brindle.operators import depth, graph, motifs, sensing, signatures
 
 
@@ -121,4 +120,3 @@ def test_no_edges(spark):
     edges = edges_of(spark, [])
     assert motifs.triangles(edges).count() == 0 and motifs.clustering(edges).count() == 0
     assert {r["n"] for r in motifs.census(edges).collect()} == {0}
-    assert bits.limb_names(64) == ["l0"]
